@@ -1,4 +1,825 @@
-"""Every terrain query by name."""
+"""Every terrain query by name, each with its SQL form for DuckDB where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Queries run over the whole test tables by way of the adapters.  Results of floating-point sums are rounded
+to six places, as sums depend on the order of their rows in the last digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from catena.adapters import SIZE, adapter, prelude
+from catena.functions import geo, nuclide, soil, stats
+from catena.grid import GridSpec
+from catena.operators import algebra, flow, focal, joins, kernels, morphology, network, profile
+from catena.plans import analyses
+
+SPEC = GridSpec(SIZE, SIZE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, *needs: str, sql: str | None = None, recursive: bool = False, more: str = "") -> Callable:
+    """Register a query; its function gets the named adapters as DataFrames."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*[adapter(spark, sf_dir, n) for n in needs])
+        if sql:
+            parts = [prelude(*needs), more]
+            ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(p for p in parts if p) + "\n" + sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+# --- pieces of SQL that several checks share ---
+
+STEPS_SQL = "(VALUES (0,-1,0,1),(1,-1,1,2),(2,0,1,1),(3,1,1,2),(4,1,0,1),(5,1,-1,2),(6,0,-1,1),(7,-1,-1,2)) k(k, dr, dc, d2)"
+D8_SQL = f"""falls AS (SELECT CAST(c.row * {SIZE} + c.col AS BIGINT) AS node, k.k, (c.value - n.value) / sqrt(CAST(k.d2 AS DOUBLE)) AS fall, CAST(n.row * {SIZE} + n.col AS BIGINT) AS lower
+  FROM cells c JOIN {STEPS_SQL} ON true JOIN cells n ON n.row = c.row + k.dr AND n.col = c.col + k.dc),
+steepest AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY fall DESC, k) AS place FROM falls WHERE fall > 0),
+nodes AS (SELECT CAST(c.row * {SIZE} + c.col AS BIGINT) AS node, c.row, c.col, c.value AS z, coalesce(s.lower, CAST(c.row * {SIZE} + c.col AS BIGINT)) AS receiver, coalesce(s.k, -1) AS direction,
+  CASE WHEN s.k IS NULL THEN CAST(0 AS DOUBLE) WHEN s.k % 2 = 1 THEN sqrt(CAST(2 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END AS dx
+  FROM cells c LEFT JOIN steepest s ON s.node = c.row * {SIZE} + c.col AND s.place = 1)"""
+WAYS_SQL = """ways(node, ancestor, steps, distance) AS (SELECT node, node, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM {t}
+  UNION ALL SELECT w.node, n.receiver, w.steps + 1, w.distance + n.dx FROM ways w JOIN {t} n ON n.node = w.ancestor WHERE n.receiver <> n.node)"""
+D8_WAYS = D8_SQL + ",\n" + WAYS_SQL.format(t="nodes")
+TREE_WAYS = WAYS_SQL.format(t="tree")
+COUNTS = "counts AS (SELECT ancestor AS node, count(*) AS n_contrib FROM ways GROUP BY ancestor)"
+
+
+def d8(cells: DataFrame) -> DataFrame:
+    return flow.store(flow.d8(cells, SPEC), "d8")
+
+
+# --- flow ---
+
+
+@query("d8_receiver", "cells", more=D8_SQL, sql="SELECT node, receiver, direction, round(dx, 6) AS dx FROM nodes")
+def _(cells):
+    return rounded(flow.d8(cells, SPEC).select("node", "receiver", "direction", "dx"), "dx")
+
+
+@query("d8_slope", "cells", more=D8_SQL, sql="SELECT n.node, round(CASE WHEN n.dx > 0 THEN (n.z - r.z) / n.dx ELSE 0 END, 6) AS slope FROM nodes n JOIN nodes r ON r.node = n.receiver")
+def _(cells):
+    return rounded(flow.d8_slope(d8(cells)).select("node", "slope"), "slope")
+
+
+@query("contributing_cells", "cells", recursive=True, more=D8_WAYS, sql="SELECT ancestor AS node, count(*) AS n_contrib FROM ways GROUP BY ancestor")
+def _(cells):
+    return flow.contributing(flow.d8(cells, SPEC))
+
+
+@query("drainage_area", "cells", recursive=True, more=D8_WAYS, sql="SELECT ancestor AS node, count(*) AS n_contrib, CAST(count(*) AS DOUBLE) AS area FROM ways GROUP BY ancestor")
+def _(cells):
+    return flow.drainage_area(flow.d8(cells, SPEC), SPEC)
+
+
+@query("basin_root", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.node, w.ancestor AS root, w.steps AS depth FROM ways w JOIN nodes n ON n.node = w.ancestor AND n.receiver = n.node")
+def _(cells):
+    return flow.to_root(flow.d8(cells, SPEC))
+
+
+@query("base_level_nodes", "cells", more=D8_SQL, sql='SELECT node, "row", col FROM nodes WHERE node = receiver')
+def _(cells):
+    return flow.base_level(flow.d8(cells, SPEC)).select("node", "row", "col")
+
+
+@query("donors_count", "cells", more=D8_SQL, sql="SELECT n.node, count(d.node) AS n_donors FROM nodes n LEFT JOIN nodes d ON d.receiver = n.node AND d.node <> n.node GROUP BY n.node")
+def _(cells):
+    return flow.donors(d8(cells))
+
+
+@query("upslope_sum", "tree", recursive=True, more=TREE_WAYS, sql="SELECT w.ancestor AS node, CAST(sum(t.amount) AS BIGINT) AS total FROM ways w JOIN tree t ON t.node = w.node GROUP BY w.ancestor")
+def _(tree):
+    return flow.accumulate(tree, {"total": F.col("amount")})
+
+
+@query("upslope_mean", "tree", recursive=True, more=TREE_WAYS, sql="SELECT w.ancestor AS node, count(*) AS n, round(CAST(sum(t.amount) AS DOUBLE) / count(*), 6) AS mean FROM ways w JOIN tree t ON t.node = w.node GROUP BY w.ancestor")
+def _(tree):
+    tree = flow.store(tree, "tree")
+    return rounded(flow.upslope_mean(tree, tree, "amount").select("node", "n", "mean"), "mean")
+
+
+@query("distance_from_outlet", "tree", recursive=True, more=TREE_WAYS, sql="SELECT w.node, w.ancestor AS root, w.steps AS depth, w.distance FROM ways w JOIN tree n ON n.node = w.ancestor AND n.receiver = n.node")
+def _(tree):
+    return flow.distance_from_outlet(tree)
+
+
+@query("flow_path", "cells", recursive=True, more=D8_WAYS, sql="SELECT node AS start, steps AS step, ancestor AS node FROM ways WHERE node % 97 = 0")
+def _(cells):
+    nodes = d8(cells)
+    return flow.flow_paths(nodes, nodes.where("node % 97 = 0"))
+
+
+CHI_SQL = """terms AS (SELECT w.node, n.receiver = n.node AS at_root, n.node AS via, CASE WHEN n.receiver = n.node THEN 0 ELSE n.dx * power(1.0 / c.n_contrib, 0.5) END AS term FROM ways w JOIN {t} n ON n.node = w.ancestor JOIN counts c ON c.node = n.node)"""
+
+
+@query("chi_tree", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS + ",\n" + CHI_SQL.format(t="nodes"), sql="SELECT node, max(CASE WHEN at_root THEN via END) AS root, round(sum(term), 6) AS chi FROM terms GROUP BY node")
+def _(cells):
+    nodes = d8(cells)
+    return rounded(flow.chi(nodes, flow.drainage_area(nodes, SPEC)), "chi")
+
+
+@query("sources_area_threshold", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS, sql="SELECT node FROM counts WHERE n_contrib >= 5 AND node NOT IN (SELECT n.receiver FROM nodes n JOIN counts c ON c.node = n.node WHERE c.n_contrib >= 5 AND n.receiver <> n.node)")
+def _(cells):
+    nodes = d8(cells)
+    return flow.sources_by_area(nodes, flow.contributing(nodes), 5)
+
+
+SLOPES = "slopes AS (SELECT n.node, n.receiver, CASE WHEN n.dx > 0 THEN (n.z - r.z) / n.dx ELSE 0 END AS slope FROM nodes n JOIN nodes r ON r.node = n.receiver)"
+
+
+@query("sources_slope_area", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS + ",\n" + SLOPES + ",\nhot AS (SELECT s.node, s.receiver FROM slopes s JOIN counts c ON c.node = s.node WHERE c.n_contrib * s.slope * s.slope >= 1e9)", sql="SELECT node FROM hot WHERE node NOT IN (SELECT receiver FROM hot WHERE receiver <> node)")
+def _(cells):
+    nodes = d8(cells)
+    return flow.sources_by_slope_area(nodes, flow.contributing(nodes), flow.d8_slope(nodes), 1e9)
+
+
+@query("upstream_closure", "tree", recursive=True, more=TREE_WAYS, sql="SELECT ancestor AS outlet, node FROM ways WHERE ancestor >= 100 AND ancestor < 1000 AND ancestor % 5 = 0")
+def _(tree):
+    tree = flow.store(tree, "tree")
+    return flow.upslope_nodes(tree, tree.where("node >= 100 AND node < 1000 AND node % 5 = 0"))
+
+
+@query("is_upstream_pairs", "cells", recursive=True, more=D8_WAYS, sql="SELECT node AS a, ancestor AS b FROM ways WHERE steps > 0")
+def _(cells):
+    return flow.ancestors(flow.d8(cells, SPEC)).where("steps > 0").select(F.col("node").alias("a"), F.col("ancestor").alias("b"))
+
+
+@query("farthest_upslope", "tree", recursive=True, more=TREE_WAYS, sql="SELECT ancestor AS node, arg_min(node, (-distance, node)) AS farthest, max(distance) AS distance FROM ways GROUP BY ancestor")
+def _(tree):
+    return flow.farthest_upslope(flow.store(tree, "tree"))
+
+
+TAGGED = "tagged AS (SELECT w.node, w.ancestor AS tag_node, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w WHERE w.ancestor % 3 = 0)"
+
+
+@query("tag_upstream", "tree", recursive=True, more=TREE_WAYS + ",\n" + TAGGED, sql="SELECT node, tag_node, tag_node * 10 AS tag, distance FROM tagged WHERE place = 1 AND distance < 120")
+def _(tree):
+    tree = flow.store(tree, "tree")
+    return flow.nearest_tag(tree, tree.where("node % 3 = 0").select("node", (F.col("node") * 10).alias("tag")), 120.0)
+
+
+# --- networks ---
+
+
+@query("strahler_order", "tree", sql="""SELECT node, CAST(stream_order AS INT) AS stream_order FROM (
+  SELECT o.node, 1 AS stream_order FROM tree o WHERE o.node >= 10000000 OR (o.node NOT IN (SELECT receiver FROM tree WHERE receiver <> node))
+  UNION ALL SELECT node, stream_order FROM l3 UNION ALL SELECT node, stream_order FROM l2 UNION ALL SELECT node, stream_order FROM l1)""", more="""
+l3 AS (SELECT receiver AS node, CASE WHEN count(*) > 1 THEN 2 ELSE 1 END AS stream_order FROM tree WHERE node >= 10000000 GROUP BY receiver),
+l3a AS (SELECT t.node, t.receiver, coalesce(l3.stream_order, 1) AS o FROM tree t LEFT JOIN l3 ON l3.node = t.node WHERE t.node >= 1000 AND t.node < 10000000),
+l2m AS (SELECT receiver AS node, max(o) AS m FROM l3a GROUP BY receiver),
+l2 AS (SELECT l2m.node, CASE WHEN (SELECT count(*) FROM l3a WHERE l3a.receiver = l2m.node AND l3a.o = l2m.m) > 1 THEN l2m.m + 1 ELSE l2m.m END AS stream_order FROM l2m),
+l2a AS (SELECT t.node, t.receiver, coalesce(l2.stream_order, 1) AS o FROM tree t LEFT JOIN l2 ON l2.node = t.node WHERE t.node >= 100 AND t.node < 1000),
+l1m AS (SELECT receiver AS node, max(o) AS m FROM l2a GROUP BY receiver),
+l1 AS (SELECT l1m.node, CASE WHEN (SELECT count(*) FROM l2a WHERE l2a.receiver = l1m.node AND l2a.o = l1m.m) > 1 THEN l1m.m + 1 ELSE l1m.m END AS stream_order FROM l1m)""")
+def _(tree):
+    return network.strahler(flow.store(tree, "tree"))
+
+
+CHANNEL_SQL = D8_WAYS + ",\n" + COUNTS + """,
+channel AS (SELECT n.* FROM nodes n JOIN counts c ON c.node = n.node WHERE c.n_contrib >= 3),
+feeds AS (SELECT n.node, count(d.node) AS n_donors, bool_or(n.node = n.receiver) AS root FROM channel n LEFT JOIN channel d ON d.receiver = n.node AND d.node <> n.node GROUP BY n.node)"""
+
+
+def channel_of(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The flow tree, its counts, and the nodes to which at least three drain."""
+    nodes = d8(cells)
+    counts = flow.store(flow.contributing(nodes), "counts")
+    return nodes, counts, flow.store(nodes.join(counts.where("n_contrib >= 3").select("node"), "node", "left_semi"), "channel")
+
+
+@query("junction_list", "cells", recursive=True, more=CHANNEL_SQL, sql="SELECT node AS junction, n_donors FROM feeds WHERE n_donors <> 1 OR root")
+def _(cells):
+    channel = channel_of(cells)[2]
+    return network.junctions(channel, network.strahler(channel)).select("junction", "n_donors")
+
+
+@query("channel_from_sources", "cells", recursive=True, more=CHANNEL_SQL, sql="SELECT node FROM channel")
+def _(cells):
+    nodes, counts, _channel = channel_of(cells)
+    return network.channel_nodes(nodes, flow.sources_by_area(nodes, counts, 3)).select("node")
+
+
+@query("largest_basin", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS, sql="SELECT c.node, c.n_contrib FROM counts c JOIN nodes n ON n.node = c.node AND n.receiver = n.node ORDER BY n_contrib DESC, c.node LIMIT 1")
+def _(cells):
+    nodes = d8(cells)
+    return network.largest(flow.contributing(nodes).join(flow.base_level(nodes).select("node"), "node"), F.col("n_contrib"))
+
+
+@query("prune_area_window", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS, sql="SELECT node, n_contrib FROM counts WHERE n_contrib BETWEEN 4 AND 20")
+def _(cells):
+    return network.prune_by_size(flow.contributing(flow.d8(cells, SPEC)), 4, 20)
+
+
+@query("prune_nested", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS + ",\nouts AS (SELECT node FROM counts WHERE n_contrib BETWEEN 4 AND 20)", sql="SELECT node FROM outs WHERE node NOT IN (SELECT w.node FROM ways w JOIN outs o ON o.node = w.ancestor WHERE w.steps > 0)")
+def _(cells):
+    nodes = d8(cells)
+    return network.prune_nested(nodes, network.prune_by_size(flow.contributing(nodes), 4, 20).select("node"))
+
+
+@query("basins_of_outlets", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS + ",\nouts AS (SELECT node FROM counts WHERE n_contrib BETWEEN 4 AND 20),\nnear AS (SELECT w.node, w.ancestor, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w JOIN outs o ON o.node = w.ancestor)", sql="SELECT node, ancestor AS basin FROM near WHERE place = 1")
+def _(cells):
+    nodes = d8(cells)
+    return network.basins(nodes, network.prune_by_size(flow.contributing(nodes), 4, 20))
+
+
+@query("nearest_channel_relief", "cells", recursive=True, more=CHANNEL_SQL + ",\nnear AS (SELECT w.node, w.ancestor, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w JOIN channel c ON c.node = w.ancestor)", sql="SELECT n.node, n.ancestor AS channel_node, round(n.distance, 6) AS distance, round(a.z - b.z, 6) AS relief FROM near n JOIN nodes a ON a.node = n.node JOIN nodes b ON b.node = n.ancestor WHERE place = 1")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return rounded(network.to_channel(nodes, channel, nodes), "distance", "relief")
+
+
+@query("source_keys", "cells", recursive=True, more=CHANNEL_SQL + """,
+heads AS (SELECT f.node FROM feeds f WHERE f.n_donors = 0),
+far AS (SELECT w.node, max(w.distance) AS d FROM ways w GROUP BY w.node),
+pick AS (SELECT w.ancestor AS node, h.node AS source_key, row_number() OVER (PARTITION BY w.ancestor ORDER BY round(far.d, 6) DESC, h.node) AS place FROM ways w JOIN heads h ON h.node = w.node JOIN far ON far.node = h.node)""", sql="SELECT node, source_key FROM pick WHERE place = 1")
+def _(cells):
+    nodes, counts, channel = channel_of(cells)
+    return network.source_keys(channel, flow.sources_by_area(nodes, counts, 3))
+
+
+@query("stream_counts", "tree", sql="SELECT 1 AS stream_order, count(*) AS n_streams FROM tree WHERE node NOT IN (SELECT receiver FROM tree WHERE receiver <> node)")
+def _(tree):
+    tree = flow.store(tree, "tree")
+    return network.stream_counts(tree, network.strahler(tree)).where("stream_order = 1")
+
+
+@query("hypsometric_integral", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.ancestor AS node, round(CASE WHEN max(n.z) > min(n.z) THEN (avg(n.z) - min(n.z)) / (max(n.z) - min(n.z)) END, 6) AS hi FROM ways w JOIN nodes n ON n.node = w.node GROUP BY w.ancestor")
+def _(cells):
+    nodes = d8(cells)
+    return rounded(network.hypsometric_integral(nodes, nodes), "hi")
+
+
+ANGLE_SQL = """vecs AS (SELECT d.receiver, d.node, CAST(d.col - r.col AS DOUBLE) AS u, CAST(r.row - d.row AS DOUBLE) AS v FROM nodes d JOIN nodes r ON r.node = d.receiver WHERE d.node <> d.receiver)"""
+
+
+@query("junction_angles", "cells", more=D8_SQL + ",\n" + ANGLE_SQL, sql="SELECT a.receiver AS node, a.node AS donor1, b.node AS donor2, round(degrees(acos(greatest(-1.0, least(1.0, (a.u * b.u + a.v * b.v) / sqrt((a.u * a.u + a.v * a.v) * (b.u * b.u + b.v * b.v)))))), 4) AS angle FROM vecs a JOIN vecs b ON a.receiver = b.receiver AND a.node < b.node")
+def _(cells):
+    nodes = d8(cells)
+    places = nodes.select("node", SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
+    return network.junction_angles(nodes, places).withColumn("angle", F.round("angle", 4))
+
+
+ROOTED = "rooted AS (SELECT n.row, n.col, w.ancestor AS basin FROM ways w JOIN nodes n ON n.node = w.node JOIN nodes a ON a.node = w.ancestor AND a.receiver = a.node)"
+
+
+def rooted(cells: DataFrame) -> DataFrame:
+    nodes = d8(cells)
+    return flow.store(flow.to_root(nodes).join(nodes.select("node", "row", "col"), "node").select("row", "col", F.col("root").alias("basin")), "rooted")
+
+
+@query("basin_perimeter", "cells", recursive=True, more=D8_WAYS + ",\n" + ROOTED, sql=f'SELECT * FROM (SELECT b.row AS "row", b.col, b.basin, CAST(8 - count(n.basin) AS INT) AS outside FROM rooted b JOIN {STEPS_SQL} ON true LEFT JOIN rooted n ON n.row = b.row + k.dr AND n.col = b.col + k.dc AND n.basin = b.basin GROUP BY 1, 2, 3) WHERE outside > 0')
+def _(cells):
+    return network.perimeter(rooted(cells))
+
+
+@query("adjacency_pairs", "cells", recursive=True, more=D8_WAYS + ",\n" + ROOTED, sql=f"SELECT b.basin, n.basin AS neighbour, count(*) AS n FROM rooted b JOIN {STEPS_SQL} ON true JOIN rooted n ON n.row = b.row + k.dr AND n.col = b.col + k.dc WHERE n.basin <> b.basin GROUP BY 1, 2")
+def _(cells):
+    return network.adjacent(rooted(cells))
+
+
+# --- joins of points ---
+
+
+@query("burn_raster_to_points", "points", "cells", sql=f'SELECT p.id, c.value AS burned FROM points p LEFT JOIN cells c ON c.row = {SIZE - 1} - floor(p.y) AND c.col = floor(p.x)')
+def _(points, cells):
+    return joins.burn(points, cells, SPEC).select("id", "burned")
+
+
+TARGETS = "targets AS (SELECT row, col, CAST(row * 64 + col AS BIGINT) AS node FROM cells WHERE (row * 64 + col) % 23 = 0)"
+
+
+@query("snap_points", "points", "cells", more=TARGETS + ",\npairs AS (SELECT p.id, t.node, (t.row - (63 - floor(p.y))) * (t.row - (63 - floor(p.y))) + (t.col - floor(p.x)) * (t.col - floor(p.x)) AS d2 FROM points p JOIN targets t ON abs(t.row - (63 - floor(p.y))) <= 4 AND abs(t.col - floor(p.x)) <= 4)", sql="SELECT id, arg_min(node, (d2, node)) AS node, round(sqrt(min(d2)), 6) AS distance FROM pairs WHERE d2 <= 16 GROUP BY id")
+def _(points, cells):
+    targets = cells.where("(row * 64 + col) % 23 = 0").select("row", "col", SPEC.node().alias("node"))
+    return rounded(joins.nearest_within(joins.in_cells(points, SPEC), targets, 4), "distance")
+
+
+@query("nearest_point", "points", "cells", more="far AS (SELECT CAST(row * 64 + col AS BIGINT) AS id2, col + 0.5 AS x, 63 - row + 0.5 AS y FROM cells WHERE (row * 64 + col) % 401 = 0)", sql="SELECT p.id, arg_min(f.id2, ((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), f.id2)) AS id2, round(sqrt(min((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y))), 6) AS distance FROM points p JOIN far f ON true GROUP BY p.id")
+def _(points, cells):
+    targets = cells.where("(row * 64 + col) % 401 = 0").select(SPEC.node().alias("id2"), SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
+    return rounded(joins.nearest(points, targets, 8.0), "distance")
+
+
+POLYGON = [(3.2, 4.1), (40.7, 8.3), (55.1, 50.2), (20.4, 30.9), (8.6, 60.3)]
+IN_POLYGON = " + ".join(f"CASE WHEN ({y1} > y) <> ({y2} > y) AND x < ({x2} - {x1}) * (y - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+
+
+@query("point_in_polygon", "points", sql=f"SELECT id FROM points WHERE ({IN_POLYGON}) % 2 = 1")
+def _(points):
+    return points.where(joins.in_polygon(F.col("x"), F.col("y"), POLYGON)).select("id")
+
+
+# --- map algebra ---
+
+for _name, _op, _sql in (("raster_add", "add", "a.value + b.value"), ("raster_sub", "subtract", "a.value - b.value"), ("raster_mul", "multiply", "a.value * b.value"), ("raster_div", "divide", "CASE WHEN b.value <> 0 THEN a.value / b.value END")):
+    query(_name, "cells", "cells2", sql=f'SELECT a.row AS "row", a.col, round({_sql}, 6) AS value FROM cells a JOIN cells2 b ON a.row = b.row AND a.col = b.col')(lambda a, b, op=_op: rounded(algebra.combine(a, b, op), "value"))
+
+
+@query("raster_diff_count", "cells", "cells2", sql="SELECT round(avg(abs(a.value - b.value)), 6) AS mean_abs_diff, count(*) FILTER (a.value <> b.value) AS n_different FROM cells a JOIN cells2 b ON a.row = b.row AND a.col = b.col")
+def _(cells, cells2):
+    return rounded(algebra.difference_summary(cells, cells2), "mean_abs_diff")
+
+
+@query("mask_below", "cells", sql='SELECT row AS "row", col, CASE WHEN value >= 37000 THEN value END AS value FROM cells')
+def _(cells):
+    return algebra.mask_below(cells, 37000)
+
+
+@query("mask_by_raster", "cells", "cells2", sql='SELECT a.row AS "row", a.col, CASE WHEN b.value > 25 THEN a.value END AS value FROM cells a LEFT JOIN cells2 b ON a.row = b.row AND a.col = b.col')
+def _(cells, cells2):
+    return algebra.mask_by(cells, cells2, 25)
+
+
+@query("clip_window", "cells", sql='SELECT row - 10 AS "row", col - 20 AS col, value FROM cells WHERE row BETWEEN 10 AND 29 AND col BETWEEN 20 AND 49')
+def _(cells):
+    return algebra.clip(cells, 10, 20, 20, 30)
+
+
+@query("trim_bounds", "cells", sql="SELECT min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max, count(*) AS n FROM cells WHERE value >= 39000")
+def _(cells):
+    return algebra.bounds(algebra.mask_below(cells, 39000))
+
+
+@query("trim_to_data", "cells", sql='SELECT c.row - b.r AS "row", c.col - b.c AS col, value FROM cells c, (SELECT min(row) AS r, min(col) AS c FROM cells WHERE value >= 39000) b WHERE value >= 39000')
+def _(cells):
+    return algebra.trim(algebra.mask_below(cells, 39000)).select("row", "col", "value")
+
+
+@query("resample_centre", "cells", sql='SELECT CAST(floor(row / 4.0) AS INT) AS "row", CAST(floor(col / 4.0) AS INT) AS col, value FROM cells WHERE row % 4 = 2 AND col % 4 = 2')
+def _(cells):
+    return algebra.resample(cells, 4)
+
+
+@query("categorise", "cells", sql='SELECT row AS "row", col, CAST((value > 35000) AS INT) + CAST((value > 38000) AS INT) + CAST((value > 41000) AS INT) AS category FROM cells')
+def _(cells):
+    return cells.select("row", "col", algebra.categorise(F.col("value"), [35000.0, 38000.0, 41000.0]).alias("category"))
+
+
+@query("scale_minmax", "cells", sql='SELECT row AS "row", col, round((value - min(value) OVER ()) * 100 / (max(value) OVER () - min(value) OVER ()), 6) AS value FROM cells')
+def _(cells):
+    return rounded(algebra.rescale(cells, 0.0, 100.0), "value")
+
+
+@query("merge_rasters", "cells", "cells2", sql='SELECT a.row AS "row", a.col, coalesce(CASE WHEN a.value >= 38000 THEN a.value END, b.value) AS value FROM cells a JOIN cells2 b ON a.row = b.row AND a.col = b.col')
+def _(cells, cells2):
+    return algebra.merge(algebra.mask_below(cells, 38000).where("value IS NOT NULL"), cells2)
+
+
+@query("union_networks", "cells", "cells2", sql='SELECT row AS "row", col, max(v) AS value FROM (SELECT row, col, 1 AS v FROM cells WHERE value > 40000 UNION ALL SELECT row, col, 1 FROM cells2 WHERE value > 27) GROUP BY 1, 2')
+def _(cells, cells2):
+    return algebra.union_of(algebra.to_mask(cells, F.col("value") > 40000).where("value = 1"), algebra.to_mask(cells2, F.col("value") > 27).where("value = 1"))
+
+
+@query("binary_quality", "cells", "cells2", more="b AS (SELECT CAST(a.value > 38000 AS INT) AS f, CAST(c.value > 25.5 AS INT) AS t FROM cells a JOIN cells2 c ON a.row = c.row AND a.col = c.col), s AS (SELECT count(*) FILTER (f = 1 AND t = 1) AS tp, count(*) FILTER (f = 1 AND t = 0) AS fp, count(*) FILTER (f = 0 AND t = 1) AS fn FROM b)", sql="SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS reliability, round(tp / (tp + fn), 6) AS sensitivity, round(tp / (tp + fp + fn), 6) AS quality, round((fp - fn) / (tp + fn), 6) AS area_difference FROM s")
+def _(cells, cells2):
+    found = algebra.to_mask(cells, F.col("value") > 38000).where("value = 1")
+    return rounded(algebra.quality_of(found, algebra.to_mask(cells2, F.col("value") > 25.5).where("value = 1")), "reliability", "sensitivity", "quality", "area_difference")
+
+
+# --- statistics by zone and group ---
+
+
+@query("zonal_mean", "zones", sql="SELECT zone, round(avg(value), 6) AS mean, count(*) AS n FROM zones GROUP BY zone")
+def _(zones):
+    return zones.groupBy("zone").agg(r6(F.avg("value")).alias("mean"), F.count("*").alias("n"))
+
+
+@query("zonal_min_max_range", "zones", sql="SELECT zone, min(value) AS low, max(value) AS high, max(value) - min(value) AS span FROM zones GROUP BY zone")
+def _(zones):
+    return zones.groupBy("zone").agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("value") - F.min("value")).alias("span"))
+
+
+@query("zonal_stddev", "zones", sql="SELECT zone, round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) / sqrt(count(*)), 6) AS se FROM zones GROUP BY zone")
+def _(zones):
+    return zones.groupBy("zone").agg(r6(F.stddev_pop("value")).alias("sd"), r6(F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("se"))
+
+
+@query("zonal_median", "zones", sql="SELECT zone, round(quantile_cont(value, 0.5), 6) AS median FROM zones GROUP BY zone")
+def _(zones):
+    return zones.groupBy("zone").agg(r6(stats.percentile("value", 0.5)).alias("median"))
+
+
+@query("zonal_percentile", "zones", sql="SELECT zone, round(quantile_cont(value, 0.16), 6) AS p16, round(quantile_cont(value, 0.84), 6) AS p84 FROM zones GROUP BY zone")
+def _(zones):
+    return zones.groupBy("zone").agg(r6(stats.percentile("value", 0.16)).alias("p16"), r6(stats.percentile("value", 0.84)).alias("p84"))
+
+
+@query("zonal_litho_count", "zones", "litho", sql="SELECT z.zone, l.litho, count(*) AS n FROM zones z JOIN litho l ON l.row = z.row AND l.col = z.col GROUP BY 1, 2")
+def _(zones, litho):
+    return zones.join(litho, ["row", "col"]).groupBy("zone", "litho").agg(F.count("*").alias("n"))
+
+
+@query("circular_mean_aspect", "zones", sql="SELECT zone, round(degrees(atan2(sum(sin(radians(value % 360))), sum(cos(radians(value % 360))))), 4) AS aspect FROM zones GROUP BY zone")
+def _(zones):
+    a = F.radians(F.col("value") % 360)
+    return zones.groupBy("zone").agg(F.round(F.degrees(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a)))), 4).alias("aspect"))
+
+
+MAD_SQL = "m AS (SELECT source_key, quantile_cont(elevation, 0.5) AS m FROM profile GROUP BY 1), d AS (SELECT p.*, m.m, abs(p.elevation - m.m) AS away FROM profile p JOIN m ON m.source_key = p.source_key), mads AS (SELECT source_key, quantile_cont(away, 0.5) AS mad FROM d GROUP BY 1)"
+
+
+@query("descriptive_stats", "profile", more=MAD_SQL, sql="""SELECT p.source_key, count(*) AS n, min(elevation) AS minimum, round(quantile_cont(elevation, 0.25), 6) AS q1, round(quantile_cont(elevation, 0.5), 6) AS median, round(quantile_cont(elevation, 0.75), 6) AS q3,
+  max(elevation) AS maximum, round(avg(elevation), 8) AS mean, round(stddev_pop(elevation), 6) AS sd, round(stddev_pop(elevation) / sqrt(count(*)), 6) AS se, round(max(mad), 6) AS mad FROM profile p JOIN mads ON mads.source_key = p.source_key GROUP BY 1""")
+def _(profile_):
+    # Means of hundredths over 64 values have eight places: at six some would be ties.
+    return rounded(stats.describe(profile_, ["source_key"], "elevation").withColumn("mean", F.round("mean", 8)), "q1", "median", "q3", "sd", "se", "mad")
+
+
+@query("mad_by_group", "profile", more=MAD_SQL, sql="SELECT source_key, round(mad, 6) AS mad FROM mads")
+def _(profile_):
+    return rounded(stats.mad(profile_, ["source_key"], "elevation"), "mad")
+
+
+@query("modified_zscore", "profile", more=MAD_SQL, sql="SELECT d.node, round(CASE WHEN mad > 0 THEN (elevation - m) * 0.6745 / mad END, 6) AS mzs, coalesce(abs(CASE WHEN mad > 0 THEN (elevation - m) * 0.6745 / mad END) > 3.5, false) AS outlier FROM d JOIN mads ON mads.source_key = d.source_key")
+def _(profile_):
+    return rounded(stats.modified_z(profile_, ["source_key"], "elevation").select("node", "mzs", "outlier"), "mzs")
+
+
+@query("histogram", "profile", sql="SELECT CAST(floor(elevation / 10) AS BIGINT) AS bin, floor(elevation / 10) * 10 AS lower, (floor(elevation / 10) + 1) * 10 AS upper, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS density FROM profile GROUP BY 1, 2, 3")
+def _(profile_):
+    return rounded(stats.histogram(profile_, "elevation", 10.0), "density")
+
+
+@query("linear_bins", "profile", sql="SELECT CAST(floor(elevation / 25) AS BIGINT) AS bin, round(avg(elevation), 6) AS mean_x, round(avg(pos), 6) AS mean_y, round(stddev_pop(pos), 6) AS sd_y, count(*) AS n FROM profile WHERE elevation <> 0 GROUP BY 1")
+def _(profile_):
+    return rounded(stats.linear_bins(profile_, "elevation", "pos", 25.0), "mean_x", "mean_y", "sd_y")
+
+
+@query("log_bins", "profile", sql="SELECT CAST(floor(log10(pos) / 0.25) AS BIGINT) AS bin, round(avg(pos), 6) AS mean_x, round(avg(elevation), 6) AS mean_y, round(stddev_pop(elevation), 6) AS sd_y, count(*) AS n FROM profile WHERE pos > 0 GROUP BY 1")
+def _(profile_):
+    return rounded(stats.log_bins(profile_, "pos", "elevation", 0.25), "mean_x", "mean_y", "sd_y")
+
+
+@query("small_bin_filter", "profile", sql="SELECT bin, n, round(share, 6) AS share FROM (SELECT CAST(floor(elevation / 25) AS BIGINT) AS bin, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM profile WHERE elevation <> 0 GROUP BY 1) WHERE share >= 0.02")
+def _(profile_):
+    return rounded(stats.drop_small_bins(stats.linear_bins(profile_, "elevation", "pos", 25.0), 0.02).select("bin", "n", "share"), "share")
+
+
+@query("regression_by_group", "profile", sql="SELECT source_key, round(regr_slope(elevation, pos), 6) AS slope, round(regr_intercept(elevation, pos), 6) AS intercept, round(regr_r2(elevation, pos), 6) AS r2, count(*) AS n FROM profile GROUP BY 1")
+def _(profile_):
+    return rounded(stats.regression(profile_, ["source_key"], "pos", "elevation"), "slope", "intercept", "r2")
+
+
+@query("orthogonal_regression", "profile", more="a AS (SELECT source_key, var_pop(pos) AS xx, var_pop(elevation) AS yy, covar_pop(elevation, pos) AS xy, avg(pos) AS mx, avg(elevation) AS my FROM profile GROUP BY 1), s AS (SELECT *, CASE WHEN xy <> 0 THEN (yy - xx + sqrt((yy - xx) * (yy - xx) + 4 * xy * xy)) / (2 * xy) END AS slope FROM a)", sql="SELECT source_key, round(slope, 4) AS slope FROM s")
+def _(profile_):
+    return stats.orthogonal_regression(profile_, ["source_key"], "pos", "elevation").select("source_key", F.round("slope", 4).alias("slope"))
+
+
+@query("durbin_watson", "profile", more="f AS (SELECT source_key, regr_slope(elevation, pos) AS s, regr_intercept(elevation, pos) AS i FROM profile GROUP BY 1), r AS (SELECT p.source_key, s * pos + i - elevation AS r, (s * pos + i - elevation) - lag(s * pos + i - elevation) OVER (PARTITION BY p.source_key ORDER BY pos) AS d FROM profile p JOIN f ON f.source_key = p.source_key)", sql="SELECT source_key, round(sum(d * d) / sum(r * r), 6) AS durbin_watson FROM r GROUP BY 1")
+def _(profile_):
+    return rounded(stats.durbin_watson(profile_, ["source_key"], "pos", "elevation", ["pos"]), "durbin_watson")
+
+
+RANKS = "k AS (SELECT *, rank() OVER (ORDER BY elevation) + (count(*) OVER (PARTITION BY elevation) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY elevation) AS t FROM profile WHERE kind IN ('click', 'view'))"
+
+
+@query("mann_whitney_u", "profile", more=RANKS + """,
+s AS (SELECT CAST(count(*) FILTER (kind = 'click') AS DOUBLE) AS na, CAST(count(*) FILTER (kind = 'view') AS DOUBLE) AS nb, sum(r) FILTER (kind = 'click') AS ra, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM k),
+u AS (SELECT *, ra - na * (na + 1) / 2 AS ua, na * nb - (ra - na * (na + 1) / 2) AS ub FROM s)""", sql="SELECT na, nb, CAST(ua AS DOUBLE) AS u_a, CAST(ub AS DOUBLE) AS u_b, round((least(ua, ub) - na * nb / 2) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 6) AS z FROM u")
+def _(profile_):
+    return rounded(stats.mann_whitney(profile_, "elevation", "kind", "click", "view"), "z").withColumns({"u_a": F.col("u_a").cast("double"), "u_b": F.col("u_b").cast("double")})
+
+
+@query("ks_statistic", "profile", more="c AS (SELECT elevation, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b FROM profile WHERE kind IN ('click', 'view') GROUP BY 1)", sql="SELECT round(max(g), 6) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY elevation) / sum(a) OVER () - sum(b) OVER (ORDER BY elevation) / sum(b) OVER ()) AS g FROM c)")
+def _(profile_):
+    return rounded(stats.ks_distance(profile_, "elevation", "kind", "click", "view"), "ks")
+
+
+@query("quantile_points", "profile", more="q AS (SELECT unnest(range(1, 20)) AS i)", sql="SELECT CAST(i AS INT) AS i, round((SELECT quantile_cont(elevation, [0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95]) FROM profile)[i], 4) AS quantile FROM q")
+def _(profile_):
+    return stats.quantile_points(profile_, "elevation", 19).select(F.col("i").cast("int").alias("i"), F.round("quantile", 4).alias("quantile"))
+
+
+@query("unique_values", "profile", sql="SELECT kind, count(*) AS n FROM profile GROUP BY kind")
+def _(profile_):
+    return profile_.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("duplicate_values", "profile", sql="SELECT elevation, count(*) AS n FROM profile GROUP BY 1 HAVING count(*) > 1")
+def _(profile_):
+    return profile_.groupBy("elevation").agg(F.count("*").alias("n")).where("n > 1")
+
+
+KNOTS = "knots AS (SELECT source_key, pos * 1.0 AS x, elevation AS y FROM profile WHERE pos % 10 = 1), asked AS (SELECT source_key, node, pos + 0.25 AS x FROM profile)"
+
+
+@query("interp1d_asof", "profile", more=KNOTS + """,
+b AS (SELECT a.*, k.x AS x0, k.y AS y0 FROM asked a ASOF LEFT JOIN knots k ON a.source_key = k.source_key AND a.x >= k.x),
+e AS (SELECT b.*, k.x AS x1, k.y AS y1 FROM b ASOF LEFT JOIN knots k ON b.source_key = k.source_key AND b.x <= k.x)""", sql="SELECT node, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (x - x0) / (x1 - x0) * (y1 - y0) END, 6) AS y FROM e")
+def _(profile_):
+    knots = profile_.where("pos % 10 = 1").select("source_key", F.col("pos").cast("double").alias("x"), F.col("elevation").alias("y"))
+    asked = profile_.select("source_key", "node", (F.col("pos") + 0.25).cast("double").alias("x"))
+    return rounded(stats.interpolate(asked, knots, ["source_key"], "x", "y").select("node", "y"), "y")
+
+
+# --- neighbourhoods ---
+
+DISC2 = ", ".join(f"({i}, {j})" for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4)
+
+
+@query("neighbour_mean", "cells", sql=f'SELECT c.row AS "row", c.col, round(avg(n.value), 6) AS mean, round(stddev_pop(n.value), 6) AS sd, count(*) AS n FROM cells c JOIN (VALUES {DISC2}) k(i, j) ON true JOIN cells n ON n.row = c.row + k.i AND n.col = c.col + k.j GROUP BY 1, 2')
+def _(cells):
+    return rounded(focal.neighbourhood(cells, 2).select("row", "col", "mean", "sd", "n"), "mean", "sd")
+
+
+@query("neighbour_relief", "cells", sql=f'SELECT c.row AS "row", c.col, min(n.value) AS low, max(n.value) AS high, max(n.value) - min(n.value) AS relief FROM cells c JOIN (VALUES {DISC2}) k(i, j) ON true JOIN cells n ON n.row = c.row + k.i AND n.col = c.col + k.j GROUP BY 1, 2')
+def _(cells):
+    return focal.neighbourhood(cells, 2).select("row", "col", "low", "high", "relief")
+
+
+@query("fraction_condition", "cells", sql=f'SELECT c.row AS "row", c.col, round(avg(CASE WHEN n.value BETWEEN 36000 AND 40000 THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM cells c JOIN (VALUES {DISC2}) k(i, j) ON true JOIN cells n ON n.row = c.row + k.i AND n.col = c.col + k.j GROUP BY 1, 2')
+def _(cells):
+    return rounded(focal.fraction_where(cells, 2, 36000.0, 40000.0), "fraction")
+
+
+W3 = f"""w3 AS (SELECT c.row, c.col, c.value AS z, {', '.join(f'max(CASE WHEN k.k = {k} THEN n.value END) AS n{k}' for k in range(8))}
+  FROM cells c JOIN {STEPS_SQL} ON true LEFT JOIN cells n ON n.row = c.row + k.dr AND n.col = c.col + k.dc GROUP BY 1, 2, 3),
+g3 AS (SELECT row, col, z, ((n1 + 2 * n2 + n3) - (n7 + 2 * n6 + n5)) / 8 AS zx, ((n7 + 2 * n0 + n1) - (n5 + 2 * n4 + n3)) / 8 AS zy FROM w3)"""
+
+
+@query("gradient", "cells", more=W3, sql='SELECT row AS "row", col, round(zx, 6) AS zx, round(zy, 6) AS zy FROM g3 WHERE zx IS NOT NULL AND zy IS NOT NULL')
+def _(cells):
+    return rounded(focal.gradient3(cells).select("row", "col", "zx", "zy"), "zx", "zy")
+
+
+@query("hillshade", "cells", more=W3, sql='SELECT row AS "row", col, round(255 * greatest(0.0, (-zx * sin(radians(315)) * sin(radians(45)) - zy * cos(radians(315)) * sin(radians(45)) + cos(radians(45))) / sqrt(1 + zx * zx + zy * zy)), 6) AS hillshade FROM g3 WHERE zx IS NOT NULL AND zy IS NOT NULL')
+def _(cells):
+    return rounded(focal.hillshade(cells), "hillshade")
+
+
+# --- profiles ---
+
+
+@query("knickpoint_diffs", "profile", more="c AS (SELECT *, elevation - lag(elevation) OVER (PARTITION BY source_key ORDER BY pos) AS d, count(*) OVER (PARTITION BY source_key) AS n FROM profile)", sql="SELECT node, round(d, 6) AS delta FROM c WHERE n >= 6 AND d <> 0")
+def _(profile_):
+    return rounded(profile.changes(profile_, "elevation").select("node", "delta"), "delta")
+
+
+@query("stepped_knickpoints", "profile", more="c AS (SELECT *, elevation - lag(elevation) OVER (PARTITION BY source_key ORDER BY pos) AS step FROM profile), w AS (SELECT *, avg(step) OVER v AS m, stddev_pop(step) OVER v AS s FROM c WHERE step IS NOT NULL WINDOW v AS (PARTITION BY source_key ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))", sql="SELECT node, round(step, 6) AS step FROM w WHERE step > m + 2 * s")
+def _(profile_):
+    return rounded(profile.stepped(profile_, "elevation").select("node", "step"), "step")
+
+
+@query("knickpoint_groups", "profile", more="c AS (SELECT *, elevation - lag(elevation) OVER (PARTITION BY source_key ORDER BY pos) AS d FROM profile), k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_key ORDER BY pos) > 2 THEN 1 ELSE 0 END AS b FROM c WHERE abs(d) > 15), i AS (SELECT *, sum(b) OVER (PARTITION BY source_key ORDER BY pos) AS knick FROM k)", sql="SELECT source_key, CAST(knick AS BIGINT) AS knick, round(sum(d), 4) AS delta, min(pos) AS first, max(pos) AS last, count(*) AS n FROM i GROUP BY 1, 2")
+def _(profile_):
+    raw = profile.changes(profile_, "elevation", 1).where("abs(delta) > 15")
+    return profile.gather(raw, 2).select("source_key", "knick", F.round("delta", 4).alias("delta"), "first", "last", "n")
+
+
+@query("chi_profile_integral", "profile", sql="SELECT node, round(sum(power(1.0 / (1 + n - pos), 0.45)) OVER (PARTITION BY source_key ORDER BY pos), 6) AS chi FROM (SELECT *, count(*) OVER (PARTITION BY source_key) AS n FROM profile)")
+def _(profile_):
+    p = profile_.withColumns({"area": 1 + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos"), "dx": F.lit(1.0)})
+    return rounded(profile.chi_along(p, "area", "dx", 0.45).select("node", "chi"), "chi")
+
+
+@query("segment_counter", "profile", more="c AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY source_key ORDER BY pos) THEN 0 ELSE 1 END AS b FROM profile)", sql="SELECT node, CAST(sum(b) OVER (PARTITION BY source_key ORDER BY pos) AS BIGINT) AS segment FROM c")
+def _(profile_):
+    return profile.segments(profile_, "kind").select("node", "segment")
+
+
+@query("slope_area_bins", "profile", more="p AS (SELECT source_key, log10(1 + pos) AS la, log10(elevation) AS ls FROM profile WHERE elevation > 0)", sql="SELECT source_key, CAST(floor(la / 0.2) AS BIGINT) AS bin, round(avg(la), 6) AS mean_log_a, round(quantile_cont(ls, 0.5), 6) AS median_log_s, round(quantile_cont(ls, 0.25), 6) AS q1_log_s, round(quantile_cont(ls, 0.75), 6) AS q3_log_s, count(*) AS n FROM p GROUP BY 1, 2")
+def _(profile_):
+    p = profile_.select("source_key", (F.col("pos") + 1).alias("area"), F.col("elevation").alias("slope"))
+    return rounded(profile.bin_slope_area(p, 0.2).select("source_key", "bin", "mean_log_a", "median_log_s", "q1_log_s", "q3_log_s", "n"), "mean_log_a", "median_log_s", "q1_log_s", "q3_log_s")
+
+
+@query("disorder_metric", "profile", more="s AS (SELECT source_key, pos * 1.0 AS chi, abs(pos - lag(pos) OVER (PARTITION BY source_key ORDER BY elevation, pos)) AS d FROM profile)", sql="SELECT source_key, round((coalesce(sum(d), 0) - (max(chi) - min(chi))) / CASE WHEN max(chi) > min(chi) THEN max(chi) - min(chi) END, 6) AS disorder, count(*) AS n FROM s GROUP BY 1")
+def _(profile_):
+    return rounded(profile.disorder(profile_.withColumn("chi", F.col("pos").cast("double")), ["source_key"]), "disorder")
+
+
+@query("movern_grid_disorder", "profile", more="t AS (SELECT unnest([CAST(0.2 AS DOUBLE), 0.35, 0.5, 0.65]) AS theta), c AS (SELECT p.source_key % 10 AS basin_key, theta, elevation, pos, node, sum(power(CAST(1 AS DOUBLE) / (1 + n - pos), theta)) OVER (PARTITION BY p.source_key, theta ORDER BY pos) AS chi FROM (SELECT *, count(*) OVER (PARTITION BY source_key) AS n FROM profile) p, t), s AS (SELECT *, abs(chi - lag(chi) OVER (PARTITION BY basin_key, theta ORDER BY elevation, chi)) AS d FROM c)", sql="SELECT basin_key, theta, round((coalesce(sum(d), 0) - (max(chi) - min(chi))) / CASE WHEN max(chi) > min(chi) THEN max(chi) - min(chi) END, 4) AS disorder, count(*) AS n FROM s GROUP BY 1, 2")
+def _(profile_):
+    p = profile_.withColumns({"area": 1 + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos"), "dx": F.lit(1.0), "basin_key": F.col("source_key") % 10})
+    return profile.disorder_over(p, [0.2, 0.35, 0.5, 0.65], "area", "dx", ["basin_key"]).withColumn("disorder", F.round("disorder", 4))
+
+
+@query("nci", "profile", more="e AS (SELECT source_key, min(pos) AS p0, max(pos) AS p1, arg_min(elevation, pos) AS z0, arg_max(elevation, pos) AS z1, min(elevation) AS lo, max(elevation) AS hi FROM profile GROUP BY 1)", sql="SELECT p.source_key, round(quantile_cont((elevation - (z0 + (pos - p0) * (z1 - z0) / (p1 - p0))) / (hi - lo), 0.5), 6) AS nci FROM profile p JOIN e ON e.source_key = p.source_key WHERE p1 > p0 AND hi > lo GROUP BY 1")
+def _(profile_):
+    return rounded(profile.nci(profile_), "nci")
+
+
+@query("swath_bins", "cells", sql="SELECT CAST(floor(abs(row - col) / 4.0) AS BIGINT) AS bin, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(quantile_cont(value, 0.25), 8) AS q1, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, 0.75), 8) AS q3, count(*) AS n FROM cells GROUP BY 1")
+def _(cells):
+    found = profile.swath(cells.withColumn("away", F.abs(F.col("row") - F.col("col"))), "away", "value", 4.0)
+    return rounded(found, "mean", "sd").withColumns({c: F.round(c, 8) for c in ("q1", "median", "q3")})
+
+
+@query("moving_regression", "profile", sql="SELECT node, round(avg(elevation) OVER (PARTITION BY source_key ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS smoothed, round(regr_slope(elevation, pos) OVER (PARTITION BY source_key ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 5) AS slope FROM profile")
+def _(profile_):
+    p = profile.smooth(profile.moving_regression(profile_, "pos", "elevation", 4), "elevation", 4)
+    return p.select("node", r6("smoothed").alias("smoothed"), F.round("slope", 5).alias("slope"))
+
+
+@query("enforce_slope", "profile", sql="SELECT node, round(max(elevation - 0.5 * pos) OVER (PARTITION BY source_key ORDER BY pos) + 0.5 * pos, 6) AS elevation FROM profile")
+def _(profile_):
+    p = profile_.withColumn("flow_distance", F.col("pos").cast("double"))
+    return rounded(profile.enforce_slope(p, 0.5).select("node", "elevation"), "elevation")
+
+
+@query("thin_profile", "profile", sql="SELECT node FROM (SELECT node, row_number() OVER (PARTITION BY source_key, floor(pos / 7.0) ORDER BY pos) AS r FROM profile) WHERE r = 1")
+def _(profile_):
+    return profile.thin_by_spacing(profile_.withColumn("flow_distance", F.col("pos").cast("double")), 7.0).select("node")
+
+
+@query("sort_thin_skip", "profile", sql="SELECT node FROM (SELECT node, row_number() OVER (PARTITION BY source_key ORDER BY pos) AS r FROM profile) WHERE (r - 1) % 4 = 0")
+def _(profile_):
+    return profile.thin_by_skip(profile_, 3).select("node")
+
+
+# --- components ---
+
+COMPONENT_SQL = f"""hot AS (SELECT row, col, CAST(row * {SIZE} + col AS BIGINT) AS node FROM cells WHERE value > 40000),
+reach(node, row, col, label) AS (SELECT node, row, col, node FROM hot UNION SELECT n.node, n.row, n.col, r.label FROM reach r JOIN {STEPS_SQL} ON true JOIN hot n ON n.row = r.row + k.dr AND n.col = r.col + k.dc)"""
+
+
+def hot(cells: DataFrame) -> DataFrame:
+    return morphology.components(algebra.mask_below(cells, 40000.000001), SIZE)
+
+
+@query("connected_components", "cells", recursive=True, more=COMPONENT_SQL, sql='SELECT row AS "row", col, min(label) AS component FROM reach GROUP BY 1, 2')
+def _(cells):
+    return hot(cells)
+
+
+@query("small_patch_filter", "cells", recursive=True, more=COMPONENT_SQL + ", c AS (SELECT row, col, min(label) AS component FROM reach GROUP BY 1, 2)", sql='SELECT row AS "row", col, component, n FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c) WHERE n >= 4')
+def _(cells):
+    return morphology.patches_of_size(hot(cells), 4)
+
+
+@query("isolated_corner_cells", "cells", more="hot AS (SELECT row, col FROM cells WHERE value > 38000)", sql='SELECT h.row AS "row", h.col FROM hot h WHERE EXISTS (SELECT 1 FROM hot n WHERE abs(n.row - h.row) + abs(n.col - h.col) = 1)')
+def _(cells):
+    return morphology.remove_checkerboard(algebra.to_mask(cells, F.col("value") > 38000)).select("row", "col")
+
+
+# --- places and nuclides ---
+
+
+@query("utm_forward", "samples", more="""p AS (SELECT sample, longitude, latitude, radians(latitude) AS la, least(60, floor((longitude + 180) / 6) + 1) AS zone, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e FROM samples),
+q AS (SELECT *, e / (1 - e) AS ep, tan(la) * tan(la) AS t, cos(la) * cos(la) * e / (1 - e) AS c, 6378137.0::DOUBLE / sqrt(1 - sin(la) * sin(la) * e) AS n, radians(longitude - ((zone - 1) * 6 - 177)) * cos(la) AS a,
+  6378137.0::DOUBLE * (la * (1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) - sin(la * 2) * (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) + sin(la * 4) * (15 * e * e / 256 + 45 * e * e * e / 1024) - sin(la * 6) * (35 * e * e * e / 3072)) AS m FROM p)""", sql="""SELECT sample, CAST(zone AS INT) AS zone,
+  round(n * (a + (1 - t + c) * a * a * a / 6 + (5 - t * 18 + t * t + c * 72 - 58 * ep) * a * a * a * a * a / 120) * 0.9996 + 500000, 3) AS easting,
+  round((m + n * tan(la) * (a * a / 2 + (5 - t + c * 9 + c * c * 4) * a * a * a * a / 24 + (61 - t * 58 + t * t + c * 600 - 330 * ep) * a * a * a * a * a * a / 720)) * 0.9996 + CASE WHEN latitude < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM q""")
+def _(samples):
+    lat, lon = F.col("latitude"), F.col("longitude")
+    e, n = geo.to_utm(lat, lon)
+    return samples.select("sample", geo.utm_zone(lon).alias("zone"), F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+
+
+@query("be10_steady_state", "samples", more="e AS (SELECT sample, CAST(conc AS DOUBLE) / 1e8 AS rate FROM samples)", sql="SELECT sample, round(4.30::DOUBLE * (0.9887::DOUBLE / (rate / 160 + 4.99e-7) + 0.0027::DOUBLE / (rate / 738.6::DOUBLE + 4.99e-7) + 0.0086::DOUBLE / (rate / 2688 + 4.99e-7)), 2) AS conc FROM e")
+def _(samples):
+    return samples.select("sample", F.round(nuclide.steady_concentration(F.col("conc") / 1e8), 2).alias("conc"))
+
+
+@query("atmospheric_pressure", "samples", sql="SELECT sample, round(1013.25 * exp(-0.03417 / 0.0065 * (ln(288.15) - ln(288.15 - conc / 1000.0 * 0.0065))), 4) AS hpa FROM samples")
+def _(samples):
+    return samples.select("sample", F.round(nuclide.pressure(F.col("conc") / 1000), 4).alias("hpa"))
+
+
+@query("sinmap_safety", "cells", more="s AS (SELECT row, col, 0.1 + (value % 500) / 1000 AS a FROM cells)", sql='SELECT row AS "row", col, round((0.2 + cos(a) * (1 - 0.4 * 0.5) * tan(0.6)) / sin(a), 6) AS fs FROM s')
+def _(cells):
+    s = cells.withColumn("a", 0.1 + (F.col("value") % 500) / 1000)
+    return s.select("row", "col", r6(soil.factor_of_safety(F.lit(0.2), F.lit(0.4), 0.5, F.col("a"), F.lit(0.6))).alias("fs"))
+
+
+# --- kernels and iterations that SQL can't express: rows only ---
+
+
+@query("apparent_erosion", "samples")
+def _(samples):
+    s = samples.withColumn("scaling", nuclide.stone_scaling(F.col("latitude"), nuclide.pressure(F.lit(500.0))))
+    return nuclide.apparent_erosion(s, "conc", "scaling").select("sample", "conc", "scaling", "erosion")
+
+
+@query("tv_denoise", "profile")
+def _(profile_):
+    return kernels.denoise(profile_, "elevation", 20.0)
+
+
+@query("segment_channels", "profile")
+def _(profile_):
+    return kernels.segment_channels(profile_.withColumn("chi", F.col("pos").cast("double")), 20.0, 8, 6)
+
+
+@query("sampled_segments", "profile")
+def _(profile_):
+    return kernels.sampled_segments(profile_.withColumn("chi", F.col("pos").cast("double")), 20.0, rounds=5)
+
+
+@query("concavity_chain", "profile")
+def _(profile_):
+    p = profile_.withColumns({"area": F.lit(1.0) + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos"), "dx": F.lit(1.0), "basin_key": F.col("source_key") % 10})
+    return kernels.concavity_chain(p, "basin_key", "area", "dx", steps=200)
+
+
+@query("kernel_density", "profile")
+def _(profile_):
+    return stats.gaussian_density(profile_, ["source_key"], "elevation")
+
+
+@query("collinearity", "profile")
+def _(profile_):
+    p = profile_.withColumns({"chi": F.col("pos").cast("double"), "basin_key": F.col("source_key") % 10})
+    return profile.collinearity(p, F.col("source_key") < 10)
+
+
+@query("slope_area", "profile")
+def _(profile_):
+    return profile.slope_area(profile_.withColumns({"area": F.col("pos").cast("double"), "flow_distance": F.col("pos").cast("double")}), 5.0)
+
+
+@query("polynomial_surface", "cells")
+def _(cells):
+    return focal.polynomial_surface(cells, 2)
+
+
+@query("roughness", "cells")
+def _(cells):
+    return focal.roughness(cells, 2)
+
+
+@query("gaussian_filter", "cells")
+def _(cells):
+    return focal.gaussian(cells, 1.0)
+
+
+@query("perona_malik", "cells")
+def _(cells):
+    return focal.perona_malik(cells, 3)
+
+
+@query("non_local_means", "cells")
+def _(cells):
+    return focal.non_local_means(cells, 2, 1, 3000.0)
+
+
+@query("topographic_shielding", "cells")
+def _(cells):
+    return focal.shielding(cells, 30.0, 5)
+
+
+@query("power_spectrum", "cells")
+def _(cells):
+    return focal.spectrum(cells, SIZE, SIZE)
+
+
+@query("bandpass_filter", "cells")
+def _(cells):
+    return focal.frequency_filter(cells, SIZE, SIZE, 1.0, 0.02, 0.2)
+
+
+@query("nodata_fill", "cells")
+def _(cells):
+    return focal.fill_gaps(algebra.mask_below(cells, 36000), SIZE, SIZE)
+
+
+@query("depression_fill", "cells")
+def _(cells):
+    return flow.fill(cells, 0.001)
+
+
+@query("multiple_flow", "cells")
+def _(cells):
+    return flow.multiple_flow(cells, SPEC)
+
+
+@query("d_infinity", "cells")
+def _(cells):
+    return flow.d_infinity(cells)
+
+
+@query("skeleton", "cells")
+def _(cells):
+    return morphology.thin(algebra.to_mask(cells, F.col("value") > 37000).where("value = 1"))
+
+
+@query("skeleton_end_points", "cells")
+def _(cells):
+    return morphology.end_points(morphology.thin(algebra.to_mask(cells, F.col("value") > 37000).where("value = 1")))
+
+
+@query("stability_index", "cells")
+def _(cells):
+    s = cells.withColumn("a", 0.1 + (F.col("value") % 500) / 1000)
+    bounds = [F.lit(x) for x in (0.0, 0.3, 0.4, 0.8, 0.0005, 0.002)]
+    return s.select("row", "col", soil.stability_index(F.col("a"), F.lit(200.0), *bounds).alias("si"))
+
+
+@query("chi_analysis", "cells")
+def _(cells):
+    parts = analyses.drainage(cells, SPEC, {"raster_is_filled": True, "threshold_contributing_pixels": 3})
+    return analyses.chi_profiles({k: flow.store(v, k) for k, v in parts.items() if k in ("nodes", "area", "chi", "source_keys")})["chi_data"]
