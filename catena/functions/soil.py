@@ -29,8 +29,12 @@ def saturation_supply(transmissivity: Column, area: Column, slope: Column) -> Co
     return transmissivity * F.sin(slope) / area
 
 
-@F.pandas_udf("double")
-def stability_index(slope: pd.Series, area: pd.Series, c_low: pd.Series, c_high: pd.Series, t_low: pd.Series, t_high: pd.Series, r_low: pd.Series, r_high: pd.Series) -> pd.Series:
+def stability_index(*columns: Column) -> Column:
+    """See ``_stability`` for the columns."""
+    return F.pandas_udf(_stability, "double")(*columns)
+
+
+def _stability(slope: pd.Series, area: pd.Series, c_low: pd.Series, c_high: pd.Series, t_low: pd.Series, t_high: pd.Series, r_low: pd.Series, r_high: pd.Series) -> pd.Series:
     """Chance that the factor of safety exceeds 1 with cohesion, tan friction and recharge/transmissivity uniform between bounds.
 
     If even the worst case is stable, its factor of safety.  The chance is a midpoint sum over a grid of the three.

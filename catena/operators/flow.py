@@ -268,4 +268,4 @@ def d_infinity(cells: DataFrame) -> DataFrame:
         slope = F.when(r < 0, s1).when(r > quarter / 2, (F.col("z") - F.col(f"n{c}")) / DIAGONAL).otherwise(F.sqrt(s1 * s1 + s2 * s2))
         best.append(F.struct(slope.alias("slope"), (sign * along + turns * quarter).alias("angle")))
     top = z.select("row", "col", F.array_max(F.filter(F.array(*best), lambda f: f["slope"] > 0)).alias("top"))
-    return top.select("row", "col", F.col("top.angle").alias("angle"), F.coalesce("top.slope", F.lit(0.0)).alias("slope"))
+    return top.select("row", "col", F.pmod(F.col("top.angle"), F.lit(4 * quarter)).alias("angle"), F.coalesce("top.slope", F.lit(0.0)).alias("slope"))

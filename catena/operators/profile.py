@@ -7,23 +7,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CHANNEL = Window.partitionBy("source_key").orderBy("pos")
+
+def channel() -> WindowSpec:
+    """Each channel in order."""
+    return Window.partitionBy("source_key").orderBy("pos")
 
 
 def changes(profile: DataFrame, value: str, least_nodes: int = 6) -> DataFrame:
     """Where a value differs from the one before it along its channel: the raw knickpoints ``delta``; short channels are left out."""
     n = F.count("*").over(Window.partitionBy("source_key"))
-    d = F.col(value) - F.lag(value).over(CHANNEL)
+    d = F.col(value) - F.lag(value).over(channel())
     return profile.withColumns({"n_nodes": n, "delta": d}).where((F.col("n_nodes") >= least_nodes) & (F.col("delta") != 0)).drop("n_nodes")
 
 
 def stepped(profile: DataFrame, value: str, half: int = 5, times: float = 2.0) -> DataFrame:
     """Nodes whose step from the node before exceeds the mean step of the window by some deviations."""
-    d = profile.withColumn("step", F.col(value) - F.lag(value).over(CHANNEL)).where("step IS NOT NULL")
-    w = CHANNEL.rowsBetween(-half, half)
+    d = profile.withColumn("step", F.col(value) - F.lag(value).over(channel())).where("step IS NOT NULL")
+    w = channel().rowsBetween(-half, half)
     d = d.withColumns({"mean_step": F.avg("step").over(w), "sd_step": F.stddev_pop("step").over(w)})
     return d.where(F.col("step") > F.col("mean_step") + times * F.col("sd_step"))
 
@@ -39,13 +42,13 @@ def gather(knicks: DataFrame, gap: float, at: str = "pos", size: str = "delta")
 def chi_along(profile: DataFrame, area: str, dx: str, theta: float, a0: float = 1.0) -> DataFrame:
     """``chi`` as a running sum of dx (A0 / A)^theta from the outlet up."""
     term = F.col(dx) * F.pow(F.lit(a0) / F.col(area), F.lit(theta))
-    return profile.withColumn("chi", F.sum(term).over(CHANNEL.rowsBetween(Window.unboundedPreceding, 0)))
+    return profile.withColumn("chi", F.sum(term).over(channel().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def segments(profile: DataFrame, value: str) -> DataFrame:
     """``segment``: runs of one value along a channel, counted from 1."""
-    same = F.coalesce(F.col(value) == F.lag(value).over(CHANNEL), F.lit(False))
-    return profile.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("segment", F.sum("__new").over(CHANNEL)).drop("__new")
+    same = F.coalesce(F.col(value) == F.lag(value).over(channel()), F.lit(False))
+    return profile.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("segment", F.sum("__new").over(channel())).drop("__new")
 
 
 def slope_area(profile: DataFrame, interval: float, area: str = "area", distance: str = "flow_distance") -> DataFrame:
@@ -119,7 +122,7 @@ def swath(points: DataFrame, distance: str, value: str, width: float) -> DataFra
 
 def moving_regression(profile: DataFrame, x: str, y: str, half: int) -> DataFrame:
     """``slope`` of y over x in the window of ``half`` nodes to both sides."""
-    w = CHANNEL.rowsBetween(-half, half)
+    w = channel().rowsBetween(-half, half)
     n, sx, sy = F.count(F.lit(1)).over(w), F.sum(x).over(w), F.sum(y).over(w)
     sxx, sxy = F.sum(F.col(x) * F.col(x)).over(w), F.sum(F.col(x) * F.col(y)).over(w)
     d = n * sxx - sx * sx
@@ -127,13 +130,13 @@ def moving_regression(profile: DataFrame, x: str, y: str, half: int) -> DataFram
 
 
 def smooth(profile: DataFrame, value: str, half: int) -> DataFrame:
-    return profile.withColumn("smoothed", F.avg(value).over(CHANNEL.rowsBetween(-half, half)))
+    return profile.withColumn("smoothed", F.avg(value).over(channel().rowsBetween(-half, half)))
 
 
 def enforce_slope(profile: DataFrame, least: float, max_gap: float = 128.0, distance: str = "flow_distance", z: str = "elevation") -> DataFrame:
     """Raise nodes so that every step upstream climbs by at least ``least`` per unit; runs end at gaps in distance."""
-    d = F.col(distance) - F.lag(distance).over(CHANNEL)
-    runs = profile.withColumn("__new", F.when((d < 0) | (d > max_gap), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(CHANNEL))
+    d = F.col(distance) - F.lag(distance).over(channel())
+    runs = profile.withColumn("__new", F.when((d < 0) | (d > max_gap), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(channel()))
     w = Window.partitionBy("source_key", "__run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     level = F.max(F.col(z) - least * F.col(distance)).over(w) + least * F.col(distance)
     return runs.withColumn(z, level).drop("__new", "__run")
@@ -146,7 +149,7 @@ def thin_by_spacing(profile: DataFrame, spacing: float, distance: str = "flow_di
 
 
 def thin_by_skip(profile: DataFrame, skip: int) -> DataFrame:
-    return profile.withColumn("__r", F.row_number().over(CHANNEL)).where((F.col("__r") - 1) % (skip + 1) == 0).drop("__r")
+    return profile.withColumn("__r", F.row_number().over(channel())).where((F.col("__r") - 1) % (skip + 1) == 0).drop("__r")
 
 
 def collinearity(profile: DataFrame, reference: Column, sigma: float = 10.0) -> DataFrame:

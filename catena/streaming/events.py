@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Mean, extremes and count of each channel's values by window of event time; later than ``late`` is dropped."""
     w = F.window("ts", width)
-    out = events.withWatermark("ts", late).groupBy(w.alias("w"), F.col("user_id").alias("source_key"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), F.col("user_id").alias("source_key"))
     return out.agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n")).select("source_key", F.col("w.start").alias("start"), "mean", "low", "high", "n")
 
 
@@ -33,4 +33,4 @@ def steps(events: DataFrame, least: float) -> DataFrame:
         found = [(int(key[0]), int(e), v - b) for e, v, b in zip(rows["event_id"], values, before, strict=True) if b is not None and abs(v - b) >= least]
         yield pd.DataFrame(found, columns=["source_key", "event_id", "delta"])
 
-    return events.groupBy(F.col("user_id").alias("source_key")).applyInPandasWithState(follow, "source_key long, event_id long, delta double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("source_key", F.col("user_id")).groupBy("source_key").applyInPandasWithState(follow, "source_key long, event_id long, delta double", "last double", "append", GroupStateTimeout.NoTimeout)

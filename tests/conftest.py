@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
