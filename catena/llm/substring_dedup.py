@@ -65,15 +65,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _first(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row, whether a row with its key has a smaller id (True) in these arrays."""
+def _first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, whether a row with its key has a smaller id in these arrays, and whether any has another id."""
     order = np.lexsort((ids, keys))
-    k = keys[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    smallest = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(keys), dtype=bool)
-    out[order] = ids[order] > smallest
-    return out
+    k, i = keys[order], ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.concatenate([heads, [len(k)]]))
+    later, shared = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
+    later[order] = i > np.repeat(i[heads], size)
+    shared[order] = np.repeat(i[heads] < i[heads + size - 1], size)
+    return later, shared
+
+
+def _scattered(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys for rows that meet no others: any task will do."""
+    return base.mix(base.mix(ids.astype(np.uint64)) ^ places.astype(np.uint64))
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +107,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> I
     for whole in batches:
         for batch in base.slices(whole):
             offsets, words, ids = _documents(batch)
-            key, owner, rows = batch.column("row_key"), [], []
-            hashes_of, places_of = [], []
+            hashes_of, places_of, owner = [], [], []
             for i in np.flatnonzero(np.diff(offsets) >= window):
                 hashes, at = _anchors(words[offsets[i] : offsets[i + 1]], window, half)
                 at = np.unique(at)
@@ -111,10 +116,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> I
                 owner.append(np.full(len(at), i))
             if not owner:
                 continue
-            rows = np.concatenate(owner)
-            hashes, places = np.concatenate(hashes_of), np.concatenate(places_of)
-            later = _first(hashes, ids[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows]), key.take(pa.array(rows)), pa.array(places.astype(np.int32)), pa.array(later)], names=["hash", "doc_id", "row_key", "place", "later"])
+            hashes, places, rows = np.concatenate(hashes_of), np.concatenate(places_of), np.concatenate(owner)
+            later, shared = _first(hashes, ids[rows])
+            # Only the first row of a hash goes to be compared; of the others it is known that they repeat.
+            hashes = np.where(later, _scattered(ids[rows], places), hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows]), batch.column("row_key").take(pa.array(rows)), pa.array(places.astype(np.int32)), pa.array(shared)], names=["hash", "doc_id", "row_key", "place", "repeats"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> Iterator[pa.RecordBatch]:
@@ -136,7 +142,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> I
             if not owner:
                 continue
             hashes, places, rows = np.concatenate(hashes_of), np.concatenate(places_of), np.concatenate(owner)
-            later = _first(hashes, ids[rows])
+            later, _ = _first(hashes, ids[rows])
             send = np.flatnonzero(~later)
             # Of rows of one document with the same window all are sent: each place counts.
             runs = np.flatnonzero(later)
@@ -146,7 +152,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> I
             rows = np.concatenate([rows[send], rows[runs][heads]])
             place = np.concatenate([places[send], places[runs][heads]])
             run = np.concatenate([np.zeros(len(send), dtype=np.int64), length])
-            hashes = np.concatenate([hashes[send], base.mix(hashes[runs][heads] ^ np.uint64(1))])
+            hashes = np.concatenate([hashes[send], _scattered(ids[rows[len(send) :]], place[len(send) :])])
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows]), batch.column("row_key").take(pa.array(rows)), pa.array(place.astype(np.int32)), pa.array(run.astype(np.int32))], names=["hash", "doc_id", "row_key", "place", "run"])
 
 
@@ -156,17 +162,13 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``docs`` has ``doc_id, row_key, text``; a run is (place, count) in words from 0.
     """
     half = (window + 1) // 2
-    anchors = docs.mapInArrow(lambda b: _anchor_rows(b, window, half), "hash long, doc_id long, row_key long, place int, later boolean")
-    # `later` rows know already that their anchor repeats; they need no comparison, but the first one needs them.
-    anchors = base.store(anchors, "anchors")
-    sent = anchors.where("NOT later").groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    more = anchors.where("later").select("hash").distinct()
-    again = sent.where("low < high").select("hash").unionByName(more).distinct()
-    alive = anchors.where("NOT later").join(again, "hash", "left_semi").select("doc_id", "row_key", "place").unionByName(anchors.where("later").select("doc_id", "row_key", "place"))
+    anchors = docs.mapInArrow(lambda b: _anchor_rows(b, window, half), "hash long, doc_id long, row_key int, place int, repeats boolean")
+    # At most one document of each batch sends a hash, so these groups stay small however often a passage repeats.
+    same = Window.partitionBy("hash")
+    alive = anchors.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("repeats").over(same)}).where("any OR low < high")
     places = alive.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places"))
     extended = docs.join(places, ["doc_id", "row_key"])
-    windows = extended.mapInArrow(lambda b: _window_rows(b, window, half), "hash long, doc_id long, row_key long, place int, run int")
-    # At most one document of each batch sends a hash, so these groups stay small however often a passage repeats.
+    windows = extended.mapInArrow(lambda b: _window_rows(b, window, half), "hash long, doc_id long, row_key int, place int, run int")
     smallest = F.min("doc_id").over(Window.partitionBy("hash", F.col("run") > 0))
     flagged = windows.withColumn("low", smallest).where("run > 0 OR doc_id > low")
     runs = F.collect_list(F.struct("place", F.greatest("run", F.lit(1)).alias("run")))
@@ -211,7 +213,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     """
     if window < 2:
         raise ValueError("a window has at least two words")
-    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    # Rows that share a doc_id are told apart by 16 bits of their text's hash; more would double what is shuffled.
+    rows = rows.withColumn("row_key", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
     runs = repeated_places(rows.where("doc_id IS NOT NULL"), window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
     none = F.array().cast("array<struct<place:int,run:int>>")
