@@ -67,6 +67,10 @@ def whole_text(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+#: Text that is tokenized at once: more of it has fewer distinct words for its length.
+TOKEN_SLICE_BYTES = 8 << 20
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch by bytes of text, so that memory does not depend on row length alone."""
     if not batch.num_rows:
@@ -129,39 +133,53 @@ class CachedEncoder:
     A text is cut where its tokenizer always cuts: before a space that follows
     a non-space (``lead_space``: byte-level vocabularies, whose words carry
     their leading space), or at every space (vocabularies that drop white space).
-    The library encodes each distinct part once; a cache of at most
-    ``capacity`` parts is kept for later batches.  Strings of special tokens
-    inside a text are ordinary text.
+    The library encodes each distinct part of a batch once, many of them joined
+    by a separator that no part contains and that no merge crosses.  Parts that
+    came twice in a batch are kept for the next ones, ``capacity`` of them at
+    most.  Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, lead_space: bool, capacity: int = 400_000) -> None:
+    #: Parts of this form (RE2) can be joined: no separator, and no white space but a leading space and newlines inside.
+    JOINABLE = r"^ ?[^~\s\x0b\x1c-\x1f\x85\p{Z}]+(\n+[^~\s\x0b\x1c-\x1f\x85\p{Z}]+)*$"
+
+    def __init__(self, path: str, lead_space: bool, capacity: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.lead_space, self.capacity = lead_space, capacity
-        self.clear()
-
-    def clear(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.used = 0
-        self.start: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
-        self.count: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
-
-    def _add(self, parts: list[str]) -> None:
-        found = [x.ids for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(count.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.start.append(np.cumsum(count) - count + self.used)
-        self.count.append(count)
-        n = len(self.cache)
-        self.cache.update(zip(parts, range(n, n + len(parts)), strict=True))
-        self.used += total
+        self.separator = "\t" if lead_space else " ~ "
+        self.mark = self.model.encode(self.separator, add_special_tokens=False).ids
+        self.kept = pa.array([], pa.string())
+        self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def _one_by_one(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.model.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for x in found for i in x), np.uint32)
+
+    def _joined(self, parts: pa.Array, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        cuts = pa.array([*range(0, len(parts), step), len(parts)], pa.int32())
+        texts = [t + self.separator for t in pc.binary_join(pa.ListArray.from_arrays(cuts, parts), self.separator).to_pylist()]
+        ids = np.concatenate([np.array(x.ids, dtype=np.uint32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = ids == self.mark[0]
+        if len(self.mark) != 1 or int(ends.sum()) != len(parts):
+            return self._one_by_one(parts)
+        return np.diff(np.concatenate([[-1], np.flatnonzero(ends)])) - 1, ids[~ends]
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part, and all ids in order."""
+        simple = np.asarray(pc.match_substring_regex(parts, self.JOINABLE), dtype=bool)
+        count, found = np.zeros(len(parts), dtype=np.int64), []
+        for which, how in ((simple, self._joined), (~simple, self._one_by_one)):
+            if which.any():
+                count[which], ids = how(parts.filter(pa.array(which)))
+                found.append((which, ids))
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), dtype=np.uint32)
+        for which, ids in found:
+            out[spread(start[which], count[which])] = ids
+        return count, out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids of all texts (uint32)."""
@@ -192,18 +210,25 @@ class CachedEncoder:
 
     def _ids(self, offsets: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = parts.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.cache) + len(distinct) > self.capacity:
-            self.clear()
-        if missing := [w for w in distinct if w not in self.cache]:
-            self._add(missing)
-        if len(self.start) > 1:
-            self.start, self.count = [np.concatenate(self.start)], [np.concatenate(self.count)]
-        row = np.fromiter(map(self.cache.__getitem__, distinct), np.int64, len(distinct))
-        row = row[np.asarray(coded.indices, dtype=np.int64)] if len(distinct) else np.zeros(0, dtype=np.int64)
-        count = self.count[0][row]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return total[offsets], self.flat[spread(self.start[0][row], count)]
+        distinct, code = coded.dictionary, np.asarray(coded.indices)
+        if not len(distinct):
+            return np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        place = np.asarray(pc.index_in(distinct, value_set=self.kept).fill_null(-1), dtype=np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.kept) + np.arange(len(new))
+        missing = distinct.take(pa.array(new))
+        count, ids = self._encode_parts(missing) if len(new) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32))
+        counts, flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
+        row = place[code]
+        each = counts[row]
+        start = np.cumsum(counts) - counts
+        out = flat[spread(start[row], each)]
+        again = np.flatnonzero(np.bincount(code, minlength=len(distinct))[new] > 1)[: self.capacity - len(self.kept)]
+        if len(again):
+            self.kept = pa.concat_arrays([self.kept, missing.take(pa.array(again))])
+            self.flat = np.concatenate([self.flat, ids[spread((np.cumsum(count) - count)[again], count[again])]])
+            self.count = np.concatenate([self.count, count[again]])
+        return np.concatenate([[0], np.cumsum(each)])[offsets], out
 
 
 @lru_cache(maxsize=4)

@@ -185,7 +185,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", le
         name = f"{number:06d}.records"
         out, offset, start, temporary = None, 0, 0, f"{root}/.{name}.{uuid.uuid4().hex}"
         for whole in batches:
-            for batch in base.slices(whole):
+            for batch in base.slices(whole, limit=base.TOKEN_SLICE_BYTES):
                 at, ids = model.encode(batch.column("text"))
                 doc_ids = batch.column("doc_id").to_pylist()
                 n = np.diff(at) + 1
@@ -220,7 +220,8 @@ def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
 def _ranges(index: DataFrame) -> DataFrame:
     block = F.floor(F.col("offset") / READ_BYTES)
     ranges = index.groupBy("file", "part", block.alias("block")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("local_start").alias("local_start"))
-    return ranges.repartition(F.col("file"), F.col("block"))
+    # The table of ranges is tiny, so its number of tasks is set: adaptive execution would read everything in one.
+    return ranges.repartition(max(1, min(ranges.count(), 100_000)), F.col("file"), F.col("block"))
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:

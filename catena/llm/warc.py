@@ -162,7 +162,10 @@ def read(spark: SparkSession, folder: str, selected: DataFrame, payloads: bool =
                         yield _read_batch(found, payloads)
 
     block = F.floor(F.col("offset") / SPAN)
-    sorted_rows = selected.select("file", "offset", "length", block.alias("block")).repartition("file", "block").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length", block.alias("block"))
+    # The index is small beside what it points to, so the number of tasks is set by the blocks.
+    n = rows.select("file", "block").distinct().count()
+    sorted_rows = rows.repartition(max(1, min(n, 100_000)), "file", "block").sortWithinPartitions("file", "offset")
     schema = READ if payloads else READ.rpartition(",")[0]
     return sorted_rows.mapInArrow(fetch, schema)
 
