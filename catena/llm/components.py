@@ -9,7 +9,7 @@ from catena.llm import base
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``links`` (``a, b``); root is the smallest node of its component.
+    """``node, root`` for every node of ``links`` (``a, b``) that is not itself the smallest of its component; that one is the root.
 
     Alternates two steps that keep components as they are (Kiveris et al. 2014):
     each node's larger neighbours, then its smaller ones, are linked to the
