@@ -27,7 +27,7 @@ TREE = """tree AS (
 #: One channel a user: events in order, a unit apart; the running number is the distance from the outlet.
 PROFILE = """profile AS (SELECT user_id AS source_key, event_id AS node, event_type AS kind, round(value, 2) AS elevation,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos FROM events)"""
-POINTS = f"""points AS (SELECT o_orderkey AS id, o_custkey % {SIZE} + 0.5 AS x, o_orderkey % {SIZE} + 0.5 AS y, o_totalprice AS value FROM orders)"""
+POINTS = f"""points AS (SELECT o_orderkey AS id, CAST(o_custkey % {SIZE} + 0.5 AS DOUBLE) AS x, CAST(o_orderkey % {SIZE} + 0.5 AS DOUBLE) AS y, o_totalprice AS value FROM orders)"""
 SAMPLES = """samples AS (SELECT s_suppkey AS sample, CAST(-60 + s_suppkey % 121 AS DOUBLE) AS latitude, CAST(-177 + (s_suppkey * 7) % 355 AS DOUBLE) AS longitude,
   100000 + CAST(round(s_acctbal * 100) AS BIGINT) % 900000 AS conc FROM supplier)"""
 

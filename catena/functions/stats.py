@@ -187,3 +187,40 @@ def interpolate(points: DataFrame, table: DataFrame, keys: list[str], x: str, y:
     share = (F.col(x) - F.col("__a.x")) / (F.col("__b.x") - F.col("__a.x"))
     value = F.when(F.col("__a").isNull(), F.col("__b.y")).when(F.col("__b").isNull() | (F.col("__a.x") == F.col("__b.x")), F.col("__a.y")).otherwise(F.col("__a.y") + share * (F.col("__b.y") - F.col("__a.y")))
     return both.withColumn(y, value).drop("__node", "__a", "__b")
+
+
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Quadratic mean, skewness and kurtosis (3 for a normal distribution) of each group."""
+    return df.groupBy(*keys).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("quadratic_mean"), F.skewness(value).alias("skewness"), (F.kurtosis(value) + 3).alias("kurtosis"))
+
+
+def box_plot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Quartiles, and the farthest values within one and a half quartile ranges of them."""
+    q = df.groupBy(*keys).agg(percentile(value, 0.25).alias("q1"), percentile(value, 0.5).alias("median"), percentile(value, 0.75).alias("q3"))
+    j = df.join(q, keys)
+    span = (F.col("q3") - F.col("q1")) * 1.5
+    low, high = F.min(F.when(F.col(value) >= F.col("q1") - span, F.col(value))), F.max(F.when(F.col(value) <= F.col("q3") + span, F.col(value)))
+    return j.groupBy(*keys, "q1", "median", "q3").agg(low.alias("whisker_low"), high.alias("whisker_high"))
+
+
+def bootstrap_regression(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 100, seed: int = 1) -> DataFrame:
+    """Mean and deviation of slope and intercept over resamples, from counts drawn for each row and round.
+
+    Rows draw Poisson weights (mean 1) by a hash, the usual stand-in for drawing rows when they are spread over a cluster.
+    """
+    draws = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("__r"))
+    u = F.pmod(F.xxhash64(*keys, "__x", "__y", "__r", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    steps, total = [], 0.0
+    for k in range(7):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    w = sum((F.when(u > s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
+    m = draws.withColumn("__w", w).groupBy(*keys, "__r").agg(*[F.sum(F.col("__w") * e).alias(n) for n, e in (("n", F.lit(1.0)), ("sx", F.col("__x")), ("sy", F.col("__y")), ("xx", F.col("__x") * F.col("__x")), ("xy", F.col("__x") * F.col("__y")))])
+    d = F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")
+    fit = m.withColumn("slope", F.when(d > 0, (F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")) / d)).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
+    return fit.groupBy(*keys).agg(F.avg("slope").alias("slope"), F.stddev_pop("slope").alias("slope_sd"), F.avg("intercept").alias("intercept"), F.stddev_pop("intercept").alias("intercept_sd"))
+
+
+def sample_rows(df: DataFrame, n: int, *order: str, seed: int = 1) -> DataFrame:
+    """``n`` rows without replacement, the same each run."""
+    return df.orderBy(F.xxhash64(*order, F.lit(seed)), *order).limit(n)

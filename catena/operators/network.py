@@ -172,3 +172,59 @@ def overlap_window(profile: DataFrame, n: int) -> DataFrame:
     """The first ``n`` nodes of each channel past its confluence, by position downstream."""
     w = Window.partitionBy("source_key").orderBy("pos")
     return profile.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def spread_labels(members: DataFrame) -> DataFrame:
+    """``row, col, near``: the basins of the eight neighbours of every cell."""
+    from catena.grid import STEPS, spread
+
+    return spread(members, STEPS, "basin").select("row", "col", F.col("sent").alias("near"))
+
+
+def nesting(nodes: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``outlet, inside, depth``: every pair of outlets where one lies upstream of the other, and how many lie between, itself counted."""
+    ways = flow.ancestors(nodes, outlets).where("steps > 0").join(outlets.select(F.col("node").alias("ancestor")), "ancestor")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("steps"))
+    return ways.select(F.col("ancestor").alias("outlet"), F.col("node").alias("inside"), place.alias("depth"))
+
+
+def prune_elevation(outlets: DataFrame, heights: DataFrame, low: float, high: float) -> DataFrame:
+    """Outlets within a range of heights."""
+    return outlets.join(heights.select("node", "z"), "node").where(F.col("z").between(low, high)).drop("z")
+
+
+def largest_complete(nodes: DataFrame, counts: DataFrame, touched: DataFrame) -> DataFrame:
+    """For each base-level basin the largest sub-basin that holds no touched node."""
+    root = flow.to_root(nodes).select("node", "root")
+    free = counts.join(touched.select("node"), "node", "left_anti").join(root, "node")
+    best = free.groupBy("root").agg(F.max(F.struct("n_contrib", (-F.col("node")).alias("minus"))).alias("b"))
+    return best.select("root", (-F.col("b.minus")).alias("node"), F.col("b.n_contrib").alias("n_contrib"))
+
+
+def basin_summary(members: DataFrame, metrics: list[str], res: float = 1.0) -> DataFrame:
+    """One wide row a basin: area, centre, and mean, median, deviation, extremes of each metric column."""
+    parts = [(F.count("*") * res * res).alias("area"), F.avg("row").alias("centre_row"), F.avg("col").alias("centre_col")]
+    for m in metrics:
+        parts += [F.avg(m).alias(f"{m}_mean"), F.percentile(F.col(m), F.lit(0.5)).alias(f"{m}_median"), F.stddev_pop(m).alias(f"{m}_sd"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
+    return members.groupBy("basin").agg(*parts)
+
+
+def drainage_density(members: DataFrame, channel: DataFrame, res: float = 1.0) -> DataFrame:
+    """``basin, density, hillslope_length``: channel length over area, and half its inverse."""
+    length = members.join(channel.select("node", "dx"), "node").groupBy("basin").agg(F.sum("dx").alias("length"))
+    area = members.groupBy("basin").agg((F.count("*") * res * res).alias("area"))
+    d = F.col("length") / F.col("area")
+    return area.join(length, "basin").select("basin", d.alias("density"), F.when(d > 0, 1 / (2 * d)).alias("hillslope_length"))
+
+
+def both_sides(edge: DataFrame, cells: DataFrame, members: DataFrame, radius: int) -> DataFrame:
+    """``row, col, basin, inside, outside``: mean value near each perimeter cell within its basin and beyond."""
+    from catena.grid import disc
+
+    looks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc(radius)])
+    sent = edge.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("basin").alias("b0"), F.explode(looks).alias("m"))
+    sent = sent.withColumns({"row": F.col("r0") + F.col("m.i"), "col": F.col("c0") + F.col("m.j")})
+    j = sent.join(cells.select("row", "col", "value"), ["row", "col"]).join(members.select("row", "col", "basin"), ["row", "col"], "left")
+    same = F.col("basin") == F.col("b0")
+    out = j.groupBy("r0", "c0", "b0").agg(F.avg(F.when(same, F.col("value"))).alias("inside"), F.avg(F.when(~F.coalesce(same, F.lit(False)), F.col("value"))).alias("outside"))
+    return out.toDF("row", "col", "basin", "inside", "outside")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from catena.adapters import SIZE, adapter, prelude
 from catena.functions import geo, nuclide, soil, stats
 from catena.grid import GridSpec
-from catena.operators import algebra, flow, focal, joins, kernels, morphology, network, profile
+from catena.operators import algebra, flow, focal, joins, kernels, landforms, morphology, network, profile, routing
 from catena.plans import analyses
 
 SPEC = GridSpec(SIZE, SIZE)
@@ -696,9 +696,229 @@ def _(cells):
     return s.select("row", "col", r6(soil.factor_of_safety(F.lit(0.2), F.lit(0.4), 0.5, F.col("a"), F.lit(0.6))).alias("fs"))
 
 
+for _name, _scale, _sql in (
+    ("scaling_stone", lambda s: nuclide.stone_scaling(F.col("latitude"), nuclide.pressure(F.col("conc") / 1000)), None),
+    ("scaling_dunai", lambda s: nuclide.dunai_scaling(nuclide.pressure(F.col("conc") / 1000), nuclide.cutoff_rigidity(F.col("latitude"))), "p.l * exp((1013.25 - hpa) * 1.019716 / p.len)"),
+    ("scaling_desilets", lambda s: nuclide.desilets_scaling(nuclide.pressure(F.col("conc") / 1000), nuclide.cutoff_rigidity(F.col("latitude"))), None),
+    ("scaling_lifton", lambda s: nuclide.lifton_scaling(nuclide.pressure(F.col("conc") / 1000), nuclide.cutoff_rigidity(F.col("latitude"))), None),
+):
+    query(_name, "samples", more="h AS (SELECT sample, 1013.25 * exp(-0.03417 / 0.0065 * (ln(288.15) - ln(288.15 - conc / 1000.0 * 0.0065))) AS hpa, 14.9 * power(cos(radians(latitude)), 4) AS r FROM samples), p AS (SELECT sample, hpa, 0.4952 + 0.5221 / power(1 + exp((r - 4.2822) / 1.7211), 0.3345) AS l, 130.11 + 17.183 / power(1 + exp((r - 2.2964) / -2.060), 5.9164) AS len FROM h)", sql=_sql and f"SELECT sample, round({_sql}, 6) AS scaling FROM p")(lambda s, f=_scale: s.select("sample", r6(f(s)).alias("scaling")))
+
+
+# --- more of networks and landforms ---
+
+
+def outlets_of(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes = d8(cells)
+    counts = flow.store(flow.contributing(nodes), "counts")
+    return nodes, counts, flow.store(network.prune_by_size(counts, 4, 20).select("node"), "outlets")
+
+
+OUTS = D8_WAYS + ",\n" + COUNTS + ",\nouts AS (SELECT node FROM counts WHERE n_contrib BETWEEN 4 AND 20)"
+
+
+@query("nesting_map", "cells", recursive=True, more=OUTS + ",\npairs AS (SELECT w.ancestor AS outlet, w.node AS inside, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS depth FROM ways w JOIN outs a ON a.node = w.ancestor JOIN outs b ON b.node = w.node WHERE w.steps > 0)", sql="SELECT outlet, inside, CAST(depth AS INT) AS depth FROM pairs")
+def _(cells):
+    nodes, _counts, outlets = outlets_of(cells)
+    return network.nesting(nodes, outlets).withColumn("depth", F.col("depth").cast("int"))
+
+
+@query("prune_elevation", "cells", recursive=True, more=OUTS, sql="SELECT o.node FROM outs o JOIN nodes n ON n.node = o.node WHERE n.z BETWEEN 30000 AND 34000")
+def _(cells):
+    nodes, _counts, outlets = outlets_of(cells)
+    return network.prune_elevation(outlets, nodes, 30000.0, 34000.0)
+
+
+@query("upstream_histogram", "cells", recursive=True, more=OUTS, sql="SELECT w.ancestor AS outlet, CAST(floor(n.z / 2000) AS BIGINT) AS bin, count(*) AS n FROM ways w JOIN outs o ON o.node = w.ancestor JOIN nodes n ON n.node = w.node GROUP BY 1, 2")
+def _(cells):
+    nodes, _counts, outlets = outlets_of(cells)
+    return routing.upstream_histogram(nodes, outlets, nodes, 2000.0)
+
+
+@query("drainage_density", "cells", recursive=True, more=CHANNEL_SQL + ",\nmembers AS (SELECT w.node, w.ancestor AS basin FROM ways w JOIN nodes a ON a.node = w.ancestor AND a.receiver = a.node), len AS (SELECT m.basin, sum(c.dx) AS l FROM members m JOIN channel c ON c.node = m.node GROUP BY 1), area AS (SELECT basin, count(*) AS a FROM members GROUP BY 1)", sql="SELECT area.basin, round(l / a, 6) AS density, round(CASE WHEN l > 0 THEN 1 / (2 * l / a) END, 6) AS hillslope_length FROM area JOIN len ON len.basin = area.basin")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    members = flow.to_root(nodes).select("node", F.col("root").alias("basin"))
+    return rounded(network.drainage_density(members, channel), "density", "hillslope_length")
+
+
+@query("basin_summary", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.ancestor AS basin, CAST(count(*) AS DOUBLE) AS area, round(avg(n.row), 6) AS centre_row, round(avg(n.z), 6) AS z_mean, round(quantile_cont(n.z, 0.5), 6) AS z_median, min(n.z) AS z_min, max(n.z) AS z_max FROM ways w JOIN nodes a ON a.node = w.ancestor AND a.receiver = a.node JOIN nodes n ON n.node = w.node GROUP BY 1")
+def _(cells):
+    nodes = d8(cells)
+    members = flow.to_root(nodes).select("node", F.col("root").alias("basin")).join(nodes.select("node", "row", "col", "z"), "node")
+    return rounded(network.basin_summary(members, ["z"]).select("basin", F.col("area").cast("double").alias("area"), "centre_row", "z_mean", "z_median", "z_min", "z_max"), "centre_row", "z_mean", "z_median")
+
+
+@query("largest_complete_basins", "cells", recursive=True, more=D8_WAYS + ",\n" + COUNTS + ",\nedge AS (SELECT DISTINCT w.ancestor AS node FROM ways w JOIN nodes n ON n.node = w.node WHERE n.row IN (0, 63) OR n.col IN (0, 63)), free AS (SELECT c.node, c.n_contrib, r.ancestor AS root FROM counts c JOIN ways r ON r.node = c.node JOIN nodes a ON a.node = r.ancestor AND a.receiver = a.node WHERE c.node NOT IN (SELECT node FROM edge)), p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n_contrib DESC, node) AS k FROM free)", sql="SELECT root, node, n_contrib FROM p WHERE k = 1")
+def _(cells):
+    nodes = d8(cells)
+    edge = F.when((F.col("row").isin(0, SIZE - 1)) | (F.col("col").isin(0, SIZE - 1)), 1).otherwise(0)
+    touched = flow.accumulate(nodes, {}, {"touched": edge}).where("touched = 1").select("node")
+    return network.largest_complete(nodes, flow.contributing(nodes), touched)
+
+
+@query("move_heads_down", "cells", recursive=True, more=D8_WAYS + ",\nm AS (SELECT node, arg_max(ancestor, steps) AS moved FROM ways WHERE node % 31 = 0 AND distance <= 2.5 GROUP BY node)", sql="SELECT node, moved FROM m")
+def _(cells):
+    nodes = d8(cells)
+    return routing.move_heads_down(nodes, nodes.where("node % 31 = 0").select("node"), 2.5)
+
+
+@query("slope_between_nodes", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.node AS a, w.ancestor AS b, round(w.distance, 6) AS length, round((a.z - b.z) / w.distance, 6) AS slope FROM ways w JOIN nodes a ON a.node = w.node JOIN nodes b ON b.node = w.ancestor WHERE w.node % 29 = 0 AND w.steps = 2")
+def _(cells):
+    nodes = d8(cells)
+    pairs = flow.store(flow.ancestors(nodes, nodes.where("node % 29 = 0")).where("steps = 2").select(F.col("node").alias("a"), F.col("ancestor").alias("b")), "pairs")
+    return rounded(routing.slope_between(nodes, pairs), "length", "slope")
+
+
+@query("hillslope_lengths", "cells", recursive=True, more=CHANNEL_SQL + ",\nnear AS (SELECT w.node, w.ancestor, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w JOIN channel c ON c.node = w.ancestor)", sql="SELECT n.node, n.ancestor AS channel_node, round(n.distance, 6) AS length, round(a.z - b.z, 6) AS relief, round(CASE WHEN n.distance > 0 THEN (a.z - b.z) / n.distance END, 6) AS slope FROM near n JOIN nodes a ON a.node = n.node JOIN nodes b ON b.node = n.ancestor WHERE place = 1 AND a.z > 45000")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return rounded(routing.hillslopes(nodes, nodes.where("z > 45000"), channel), "length", "relief", "slope")
+
+
+@query("bordered_by_nodata", "cells", more="c AS (SELECT row, col FROM cells WHERE value < 40000)", sql=f'SELECT * FROM (SELECT c.row AS "row", c.col, CAST(8 - count(n.row) AS INT) AS gaps FROM c JOIN {STEPS_SQL} ON true LEFT JOIN c n ON n.row = c.row + k.dr AND n.col = c.col + k.dc GROUP BY 1, 2) WHERE gaps > 0')
+def _(cells):
+    return landforms.bordered_by_nodata(cells.where("value < 40000"))
+
+
+@query("terrain_shape_index", "cells", more=W3, sql='SELECT row AS "row", col, round((8 * z - (n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7)) / 8 / ((12 + 8 * sqrt(2.0)) / 20), 4) AS value FROM w3 WHERE n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7 IS NOT NULL')
+def _(cells):
+    return landforms.terrain_shape(cells).withColumn("value", F.round("value", 4))
+
+
+@query("box_plot", "profile", more="q AS (SELECT source_key, quantile_cont(elevation, 0.25) AS q1, quantile_cont(elevation, 0.5) AS median, quantile_cont(elevation, 0.75) AS q3 FROM profile GROUP BY 1)", sql="SELECT p.source_key, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(elevation) FILTER (elevation >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(elevation) FILTER (elevation <= q3 + 1.5 * (q3 - q1)) AS whisker_high FROM profile p JOIN q ON q.source_key = p.source_key GROUP BY p.source_key, q1, median, q3")
+def _(profile_):
+    return rounded(stats.box_plot(profile_, ["source_key"], "elevation"), "q1", "median", "q3")
+
+
+@query("distribution_shape", "profile", more="m AS (SELECT source_key, avg(elevation) AS m FROM profile GROUP BY 1), c AS (SELECT p.source_key, elevation, elevation - m AS d FROM profile p JOIN m ON m.source_key = p.source_key)", sql="SELECT source_key, round(sqrt(avg(elevation * elevation)), 6) AS quadratic_mean, round(avg(d * d * d) / power(avg(d * d), 1.5), 6) AS skewness, round(avg(d * d * d * d) / power(avg(d * d), 2), 6) AS kurtosis FROM c GROUP BY 1")
+def _(profile_):
+    return rounded(stats.distribution(profile_, ["source_key"], "elevation"), "quadratic_mean", "skewness", "kurtosis")
+
+
+@query("mid_ranks", "profile", sql="SELECT node, rank() OVER (ORDER BY elevation) + (count(*) OVER (PARTITION BY elevation) - 1) / 2 AS rank FROM profile")
+def _(profile_):
+    return stats.mid_ranks(profile_, "elevation").select("node", "rank")
+
+
+@query("bilinear_points", "points", "cells", more="p AS (SELECT id, x + CAST(0.13 AS DOUBLE) AS x, y - CAST(0.21 AS DOUBLE) AS y FROM points), q AS (SELECT id, x - 0.5 AS u, 64 - y - 0.5 AS v FROM p), k AS (SELECT id, CAST(floor(v) AS INT) + i AS row, CAST(floor(u) AS INT) + j AS col, (CASE WHEN i = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) * (CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))", sql="SELECT id, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 6) AS value FROM k LEFT JOIN cells c ON c.row = k.row AND c.col = k.col WHERE w > 0 GROUP BY id")
+def _(points, cells):
+    return rounded(joins.bilinear(points.withColumns({"x": F.col("x") + 0.13, "y": F.col("y") - 0.21}), cells, SPEC), "value")
+
+
+@query("swath_coordinates", "points", sql="SELECT id, round(greatest(CAST(0 AS DOUBLE), least(CAST(50 AS DOUBLE), (x - 5) * 0.6 + (y - 10) * 0.8)), 6) AS along FROM points")
+def _(points):
+    return rounded(landforms.swath_coordinates(points, [(5.0, 10.0), (35.0, 50.0)]).select("id", "along"), "along")
+
+
+@query("ridges", "cells", recursive=True, more=D8_WAYS + ",\n" + ROOTED, sql=f'SELECT DISTINCT b.row AS "row", b.col, b.basin FROM rooted b JOIN {STEPS_SQL} ON true JOIN rooted n ON n.row = b.row + k.dr AND n.col = b.col + k.dc WHERE n.basin <> b.basin')
+def _(cells):
+    return landforms.ridges(cells, rooted(cells))
+
+
+@query("edge_influenced", "cells", recursive=True, more=D8_WAYS, sql="SELECT DISTINCT w.ancestor AS node FROM ways w JOIN nodes n ON n.node = w.node WHERE n.row IN (0, 63) OR n.col IN (0, 63)")
+def _(cells):
+    return flow.edge_influenced(d8(cells), cells, SPEC)
+
+
+@query("greatest_in_window", "points", "cells", more="w AS (SELECT p.id, c.row, c.col, c.value FROM points p JOIN cells c ON abs(c.row - (63 - floor(p.y))) <= 1 AND abs(c.col - floor(p.x)) <= 1)", sql="SELECT id, max(value) AS value FROM w GROUP BY id")
+def _(points, cells):
+    return joins.greatest_within(joins.in_cells(points, SPEC), cells, 1).select("id", "value")
+
+
 # --- kernels and iterations that SQL can't express: rows only ---
 
 
+@query("main_stems", "cells")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return landforms.main_stem(channel, flow.base_level(channel).select("node"))
+
+
+@query("tributaries", "cells")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return landforms.tributaries(channel, flow.store(landforms.main_stem(channel, flow.base_level(channel).select("node")), "stem"))
+
+
+@query("quinn_flow", "cells")
+def _(cells):
+    return routing.spread_flow(cells, routing.weighted_edges(cells, "quinn"))
+
+
+@query("two_way_flow", "cells")
+def _(cells):
+    return routing.spread_flow(cells, routing.weighted_edges(cells, "two"))
+
+
+@query("d_infinity_area", "cells")
+def _(cells):
+    return routing.spread_flow(cells, routing.infinity_edges(cells))
+
+
+@query("hilltop_traces", "cells")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return routing.aspect_traces(cells, nodes.where("z > 48000").select("row", "col"), channel.select("row", "col"), SPEC, max_rounds=40)
+
+
+@query("breach", "cells")
+def _(cells):
+    return routing.breach(cells, SIZE, SIZE, 0.001)
+
+
+@query("flow_bearings", "cells")
+def _(cells):
+    nodes = d8(cells)
+    paths = flow.flow_paths(nodes, nodes.where("node % 7 = 0"))
+    return routing.bearings(paths, nodes.select("node", SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y")), 2)
+
+
+@query("channel_heads_chi", "profile")
+def _(profile_):
+    return landforms.chi_heads(profile_.withColumn("chi", F.col("pos").cast("double")))
+
+
+@query("curved_channels", "cells")
+def _(cells):
+    return landforms.curved_channels(cells, 2, 1.0)
+
+
+@query("cast_shadows", "cells")
+def _(cells):
+    return landforms.cast_shadows(cells, 3000.0, 30.0, 135.0, 6)
+
+
+@query("terrace_cells", "cells")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    return landforms.terraces_by_relief(network.to_channel(nodes, channel, nodes), flow.d8_slope(nodes))
+
+
+@query("valley_widths", "cells")
+def _(cells):
+    nodes = d8(cells)
+    line = nodes.where("node % 11 = 0").select("node", "row", "col", (F.col("node") % 360).cast("double").alias("bearing"))
+    return landforms.valley_widths(cells.where("value < 40000"), line, 10)
+
+
+@query("divide_sides", "cells")
+def _(cells):
+    members = rooted(cells)
+    return network.both_sides(network.perimeter(members), cells, members, 2)
+
+
+@query("bootstrap_regression", "profile")
+def _(profile_):
+    return stats.bootstrap_regression(profile_, ["source_key"], "pos", "elevation", 20)
+
+
+@query("combination_disorder", "profile")
+def _(profile_):
+    p = profile_.where("source_key < 60").withColumns({"chi": F.col("pos").cast("double"), "basin": F.col("source_key") % 10, "main": F.col("source_key") < 10})
+    return profile.combinations_disorder(p, "source_key", "basin", "main")
+
+
 @query("apparent_erosion", "samples")
 def _(samples):
     s = samples.withColumn("scaling", nuclide.stone_scaling(F.col("latitude"), nuclide.pressure(F.lit(500.0))))
