@@ -801,9 +801,10 @@ def _(profile_):
     return stats.mid_ranks(profile_, "elevation").select("node", "rank")
 
 
-@query("bilinear_points", "points", "cells", more="p AS (SELECT id, x + CAST(0.13 AS DOUBLE) AS x, y - CAST(0.21 AS DOUBLE) AS y FROM points), q AS (SELECT id, x - 0.5 AS u, 64 - y - 0.5 AS v FROM p), k AS (SELECT id, CAST(floor(v) AS INT) + i AS row, CAST(floor(u) AS INT) + j AS col, (CASE WHEN i = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) * (CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))", sql="SELECT id, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 6) AS value FROM k LEFT JOIN cells c ON c.row = k.row AND c.col = k.col WHERE w > 0 GROUP BY id")
+@query("bilinear_points", "points", "cells", more="p AS (SELECT id, x + CAST(0.13 AS DOUBLE) AS x, y - CAST(0.21 AS DOUBLE) AS y FROM points), q AS (SELECT id, x - 0.5 AS u, 64 - y - 0.5 AS v FROM p), k AS (SELECT id, CAST(floor(v) AS INT) + i AS row, CAST(floor(u) AS INT) + j AS col, (CASE WHEN i = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) * (CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))", sql="SELECT id, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 4) AS value FROM k LEFT JOIN cells c ON c.row = k.row AND c.col = k.col WHERE w > 0 GROUP BY id")
 def _(points, cells):
-    return rounded(joins.bilinear(points.withColumns({"x": F.col("x") + 0.13, "y": F.col("y") - 0.21}), cells, SPEC), "value")
+    found = joins.bilinear(points.withColumns({"x": F.col("x") + 0.13, "y": F.col("y") - 0.21}), cells, SPEC)
+    return found.withColumn("value", F.round("value", 4))
 
 
 @query("swath_coordinates", "points", sql="SELECT id, round(greatest(CAST(0 AS DOUBLE), least(CAST(50 AS DOUBLE), (x - 5) * 0.6 + (y - 10) * 0.8)), 6) AS along FROM points")
