@@ -3,8 +3,8 @@
 A text is scored in overlapping windows of words; its score is that of its worst
 window.  A word enters the network by what training learned about the word (an
 embedding, and its smoothed log-odds among the training labels) and by its
-characters (the mean of embeddings of its byte pairs), so words that training
-never saw have a say too.  Two recurrent passes, one in each direction, give a
+characters (the log-odds of its telling prefixes, and the mean of embeddings of
+its byte pairs), so words that training never saw have a say too.  Two recurrent passes, one in each direction, give a
 state for every word; attention weighs the states into one vector and a
 logistic unit scores it.
 
@@ -36,6 +36,8 @@ THRESHOLD = 0.3
 VOCABULARY, WORD_DIM, CHAR_DIM, STATE, ATTEND = 20_000, 6, 6, 8, 8
 #: Byte pairs are hashed to this many embeddings; of longer words the first WIDTH bytes and the last byte count.
 PAIRS, WIDTH = 2048, 24
+#: Lengths of prefixes, in characters, and the number of rows (words or prefixes need as many documents) before one counts.
+PREFIXES, SUPPORT = (2, 3, 4, 5, 6), 5
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*#&%$-_/\\"
 
 
@@ -83,9 +85,19 @@ class Network:
 
     words: list[str]
     odds: np.ndarray
+    prefixes: list[str]
+    prefix_odds: np.ndarray
     weights: dict[str, np.ndarray]
     floor: float
 
+    def telling(self, distinct: pa.Array) -> np.ndarray:
+        """The largest log-odds of each word's prefixes."""
+        best, known = np.zeros(len(distinct), dtype=np.float32), pa.array(self.prefixes, pa.string())
+        for k in PREFIXES:
+            at = pc.index_in(pc.utf8_slice_codeunits(distinct, 0, k), value_set=known).fill_null(len(self.prefixes))
+            best = np.maximum(best, self.prefix_odds[np.asarray(at, dtype=np.int64)])
+        return best
+
     def inputs(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each distinct word its input vector; its place in the vocabulary, byte pairs and their number."""
         known = pc.index_in(distinct, value_set=pa.array(self.words, pa.string())).fill_null(len(self.words))
@@ -97,7 +109,7 @@ class Network:
         for column in pair.T:
             chars += table[column]
         chars /= count[:, None]
-        return np.concatenate([w["word"][known], self.odds[known][:, None], chars], axis=1), known, pair, count
+        return np.concatenate([w["word"][known], self.odds[known][:, None], self.telling(distinct)[:, None], chars], axis=1), known, pair, count
 
     def states(self, feeds: list[np.ndarray], codes: np.ndarray, length: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """States of both directions for windows (rows of ``codes``); what the gradient needs if ``keep``."""
@@ -167,7 +179,7 @@ class Network:
 
 
 def start_weights(rng: np.random.Generator, words: int) -> dict[str, np.ndarray]:
-    depth = WORD_DIM + 1 + CHAR_DIM
+    depth = WORD_DIM + 2 + CHAR_DIM
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     w = {"word": draw(words + 1, WORD_DIM, scale=0.05), "pair": draw(PAIRS, CHAR_DIM, scale=0.1)}
     for s in (0, 1):
@@ -214,7 +226,7 @@ def gradients(net: Network, codes: np.ndarray, length: np.ndarray, inputs: tuple
         dx += dfeed @ w[f"w{side}"].T
     g["word"], g["pair"] = np.zeros_like(w["word"]), np.zeros((PAIRS + 1, CHAR_DIM), dtype=np.float32)
     np.add.at(g["word"], known, dx[:, :WORD_DIM])
-    dchar = dx[:, WORD_DIM + 1 :] / count[:, None]
+    dchar = dx[:, WORD_DIM + 2 :] / count[:, None]
     used = np.flatnonzero(np.abs(dchar).sum(axis=1) > 0)
     for column in pair.T:
         np.add.at(g["pair"], column[used], dchar[used])
@@ -222,23 +234,42 @@ def gradients(net: Network, codes: np.ndarray, length: np.ndarray, inputs: tuple
     return g, loss
 
 
-def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int = 7, rounds: int = 4, epochs: int = 4, batch: int = 128, rate: float = 0.01) -> Network:
-    """Train on whole texts; in each round every text is shown by its worst window so far and one other."""
+def log_odds(doc: np.ndarray, item: np.ndarray, n_items: int, labels: np.ndarray) -> np.ndarray:
+    """Log-odds of label 1 in documents with an item against label 0, moved toward 0 by one and a half standard errors."""
+    once = np.unique(np.stack([doc, item]), axis=1) if len(doc) else np.zeros((2, 0), dtype=np.int64)
+    good, bad = (np.bincount(once[1][labels[once[0]] == y], minlength=n_items) for y in (0, 1))
+    wide = [int((labels == y).sum()) for y in (0, 1)]
+    gap = np.log((bad + 0.5) / (wide[1] - bad + 0.5)) - np.log((good + 0.5) / (wide[0] - good + 0.5))
+    sure = np.sign(gap) * np.maximum(0, np.abs(gap) - 1.5 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))
+    return np.where(good + bad >= SUPPORT, sure, 0.0)
+
+
+def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int = 7, rounds: int = 3, steps: int = 50, batch: int = 128, rate: float = 0.01) -> Network:
+    """Train on whole texts; in each round every text is shown by its worst window so far and clean ones by another, too.
+
+    A round has about ``steps`` batches: a small sample is gone through more often.
+    """
     rng = np.random.default_rng(seed)
     offsets, codes, distinct = base.coded_words(pa.array(texts, pa.string()))
-    distinct = plain(distinct)
-    by_word = {w: i for i, w in enumerate(dict.fromkeys(distinct.to_pylist()))}
-    same = np.array([by_word[w] for w in distinct.to_pylist()], dtype=np.int64) if len(distinct) else np.zeros(0, dtype=np.int64)
-    names, codes = list(by_word), same[codes] if len(codes) else codes
+    names_coded = plain(distinct).dictionary_encode()
+    vocabulary = names_coded.dictionary
+    codes = np.asarray(names_coded.indices, dtype=np.int64)[codes] if len(codes) else codes
+    names = vocabulary.to_pylist()
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    once = np.unique(np.stack([doc, codes]), axis=1) if len(codes) else np.zeros((2, 0), dtype=np.int64)
-    good, bad = (np.bincount(once[1][labels[once[0]] == y], minlength=len(names)) for y in (0, 1))
-    wide = [int((labels == y).sum()) for y in (0, 1)]
-    gap = np.log((bad + 0.5) / (wide[1] - bad + 0.5)) - np.log((good + 0.5) / (wide[0] - good + 0.5))
-    error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    sure = np.sign(gap) * np.maximum(0, np.abs(gap) - 1.5 * error)
-    kept = [i for i in np.argsort(-(good + bad), kind="stable")[:VOCABULARY] if good[i] + bad[i] >= 3 and names[i]]
-    net = Network([names[i] for i in kept], np.concatenate([sure[kept], [0.0]]).astype(np.float32) / 2, start_weights(rng, len(kept)), 0.0)
+    sure = log_odds(doc, codes, len(names), labels)
+    often = np.bincount(codes, minlength=len(names))
+    kept = [i for i in np.argsort(-often, kind="stable")[:VOCABULARY].tolist() if names[i] and (sure[i] != 0 or often[i] >= 2 * SUPPORT)]
+    prefixes, odds = [], [np.zeros(0)]
+    for k in PREFIXES:
+        cut = pc.utf8_slice_codeunits(vocabulary, 0, k).dictionary_encode()
+        found = log_odds(doc, np.asarray(cut.indices, dtype=np.int64)[codes], len(cut.dictionary), labels)
+        # A prefix counts where it is as long as its length says: shorter ones are whole words.
+        found[np.asarray(pc.utf8_length(cut.dictionary)) < k] = 0
+        good = np.flatnonzero(found > 0)
+        prefixes += cut.dictionary.take(pa.array(good)).to_pylist()
+        odds.append(found[good])
+    half = lambda x: np.concatenate([*x, [0.0]]).astype(np.float32) / 2
+    net = Network([names[i] for i in kept], half([sure[kept]]), prefixes, half(odds), start_weights(rng, len(kept)), 0.0)
     mean = float((weight * labels).sum() / weight.sum())
     net.weights["bias"][0] = math.log(max(mean, 1e-3) / max(1 - mean, 1e-3))
     empty = np.diff(offsets) == 0
@@ -247,16 +278,16 @@ def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int =
         return net
     start, length, text = windows_of(offsets)
     heads = np.flatnonzero(np.concatenate([[True], np.diff(text) > 0]))
-    vocabulary = pa.array(names, pa.string())
     first, second, step = {k: np.zeros_like(v) for k, v in net.weights.items()}, {k: np.zeros_like(v) for k, v in net.weights.items()}, 0
-    run = np.concatenate([[0.0], np.cumsum(np.maximum(sure[codes], 0))])
+    hint = np.maximum(np.maximum(sure, 0), 2 * net.telling(vocabulary))
+    run = np.concatenate([[0.0], np.cumsum(hint[codes])])
     value = run[start + length] - run[start]
     for _ in range(rounds):
         worst = np.lexsort((-value, text))[heads]
         other = heads + (rng.random(len(heads)) * np.diff(np.concatenate([heads, [len(text)]]))).astype(np.int64)
         clean = other[labels[text[other]] == 0]
         shown = np.concatenate([worst, clean])
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * batch / len(shown)))):
             order = rng.permutation(len(shown))
             for lo in range(0, len(order), batch):
                 own = shown[order[lo : lo + batch]]
@@ -287,6 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network |
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     rows = base.whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(small), "doc_id").where(F.length("text") <= TRAIN_CHARS)
     rows = sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    # Copies of one text would make its words look telling.
+    rows = list({r["text"]: r for r in reversed(rows)}.values())[::-1]
     y = np.array([r["toxic"] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
@@ -318,7 +351,9 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
 def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores under ``threshold``, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    place = docs.columns.index("text")
+    # Other columns may have any name, so all go by number through Arrow.
+    names, place = docs.columns, docs.columns.index("text")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -326,9 +361,8 @@ def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOL
             if model is None:
                 yield whole
                 continue
-            # By place, as other columns may have any name.
             texts = whole.column(place).cast(pa.string()).fill_null("")
             kept = np.concatenate([model.score(b.column("text")) for b in base.slices(pa.RecordBatch.from_arrays([texts], names=["text"]))] or [np.zeros(0)])
             yield whole.filter(pa.array(kept < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
