@@ -817,7 +817,7 @@ def _(cells):
     return landforms.ridges(cells, rooted(cells))
 
 
-@query("edge_influenced", "cells", recursive=True, more=D8_WAYS, sql="SELECT DISTINCT w.ancestor AS node FROM ways w JOIN nodes n ON n.node = w.node WHERE n.row IN (0, 63) OR n.col IN (0, 63)")
+@query("edge_influenced", "cells", recursive=True, more=D8_WAYS + f",\nrim AS (SELECT c.row * {SIZE} + c.col AS node FROM cells c JOIN {STEPS_SQL} ON true LEFT JOIN cells n ON n.row = c.row + k.dr AND n.col = c.col + k.dc GROUP BY 1 HAVING count(n.row) < 8)", sql="SELECT DISTINCT w.ancestor AS node FROM ways w JOIN rim ON rim.node = w.node")
 def _(cells):
     return flow.edge_influenced(d8(cells), cells, SPEC)
 
@@ -916,7 +916,7 @@ def _(profile_):
 
 @query("combination_disorder", "profile")
 def _(profile_):
-    p = profile_.where("source_key < 60").withColumns({"chi": F.col("pos").cast("double"), "basin": F.col("source_key") % 10, "main": F.col("source_key") < 10})
+    p = profile_.where("source_key < 60").withColumns({"chi": F.col("pos").cast("double"), "basin": F.col("source_key") % 3, "main": F.col("source_key") < 3})
     return profile.combinations_disorder(p, "source_key", "basin", "main")
 
 
