@@ -62,6 +62,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def with_long(df: DataFrame, column: str) -> DataFrame:
+    """The column as a long; a table where it is one already stays as it is, so that plans that read it twice look the same."""
+    return df if dict(df.dtypes)[column] == "bigint" else df.withColumn(column, F.col(column).cast("long"))
+
+
 def whole_text(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Only the named columns and the text, nulls as the empty string."""
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -127,6 +127,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> I
     """Candidates at the whole length, and as runs (``run`` > 0) what this batch settles."""
     for whole in batches:
         for batch in base.slices(whole):
+            batch = batch.filter(pc.is_valid(batch.column("places")))
+            if not batch.num_rows:
+                continue
             offsets, words, ids = _documents(batch)
             found = batch.column("places")
             hashes_of, places_of, owner = [], [], []
@@ -167,7 +170,8 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     same = Window.partitionBy("hash")
     alive = anchors.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("repeats").over(same)}).where("any OR low < high")
     places = alive.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places"))
-    extended = docs.join(places, ["doc_id", "row_key"])
+    # A left join without a filter, as in the caller: both then read one and the same shuffle of the texts.
+    extended = docs.join(places, ["doc_id", "row_key"], "left")
     windows = extended.mapInArrow(lambda b: _window_rows(b, window, half), "hash long, doc_id long, row_key int, place int, run int")
     smallest = F.min("doc_id").over(Window.partitionBy("hash", F.col("run") > 0))
     flagged = windows.withColumn("low", smallest).where("run > 0 OR doc_id > low")
@@ -213,11 +217,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     """
     if window < 2:
         raise ValueError("a window has at least two words")
-    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    rows = base.whole_text(base.with_long(docs, "doc_id"), "doc_id")
     # Rows that share a doc_id are told apart by 16 bits of their text's hash; more would double what is shuffled.
     rows = rows.withColumn("row_key", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
-    runs = repeated_places(rows.where("doc_id IS NOT NULL"), window)
+    named = rows.where("doc_id IS NOT NULL")
+    runs = repeated_places(named, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
     none = F.array().cast("array<struct<place:int,run:int>>")
-    both = rows.join(runs, ["doc_id", "row_key"], "left").withColumn("runs", F.coalesce("runs", none)).select("doc_id", "text", "runs")
+    both = named.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    both = both.unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("runs")))
     return both.mapInArrow(lambda b: _removed(b, window, texts), schema)
