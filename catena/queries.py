@@ -117,10 +117,10 @@ def _(tree):
     return flow.distance_from_outlet(tree)
 
 
-@query("flow_path", "cells", recursive=True, more=D8_WAYS, sql="SELECT node AS start, steps AS step, ancestor AS node FROM ways WHERE node % 97 = 0")
+@query("flow_path", "cells", recursive=True, more=D8_WAYS, sql="SELECT node AS start, steps AS step, ancestor AS node FROM ways")
 def _(cells):
     nodes = d8(cells)
-    return flow.flow_paths(nodes, nodes.where("node % 97 = 0"))
+    return flow.flow_paths(nodes, nodes)
 
 
 CHI_SQL = """terms AS (SELECT w.node, n.receiver = n.node AS at_root, n.node AS via, CASE WHEN n.receiver = n.node THEN 0 ELSE n.dx * power(1.0 / c.n_contrib, 0.5) END AS term FROM ways w JOIN {t} n ON n.node = w.ancestor JOIN counts c ON c.node = n.node)"""
@@ -147,10 +147,10 @@ def _(cells):
     return flow.sources_by_slope_area(nodes, flow.contributing(nodes), flow.d8_slope(nodes), 1e9)
 
 
-@query("upstream_closure", "tree", recursive=True, more=TREE_WAYS, sql="SELECT ancestor AS outlet, node FROM ways WHERE ancestor >= 100 AND ancestor < 1000 AND ancestor % 5 = 0")
+@query("upstream_closure", "tree", recursive=True, more=TREE_WAYS, sql="SELECT ancestor AS outlet, node FROM ways WHERE ancestor >= 100 AND ancestor < 1000")
 def _(tree):
     tree = flow.store(tree, "tree")
-    return flow.upslope_nodes(tree, tree.where("node >= 100 AND node < 1000 AND node % 5 = 0"))
+    return flow.upslope_nodes(tree, tree.where("node >= 100 AND node < 1000"))
 
 
 @query("is_upstream_pairs", "cells", recursive=True, more=D8_WAYS, sql="SELECT node AS a, ancestor AS b FROM ways WHERE steps > 0")
@@ -163,13 +163,13 @@ def _(tree):
     return flow.farthest_upslope(flow.store(tree, "tree"))
 
 
-TAGGED = "tagged AS (SELECT w.node, w.ancestor AS tag_node, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w WHERE w.ancestor % 3 = 0)"
+TAGGED = "tagged AS (SELECT w.node, w.ancestor AS tag_node, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w WHERE w.ancestor >= 100 AND w.ancestor < 1000)"
 
 
 @query("tag_upstream", "tree", recursive=True, more=TREE_WAYS + ",\n" + TAGGED, sql="SELECT node, tag_node, tag_node * 10 AS tag, distance FROM tagged WHERE place = 1 AND distance < 120")
 def _(tree):
     tree = flow.store(tree, "tree")
-    return flow.nearest_tag(tree, tree.where("node % 3 = 0").select("node", (F.col("node") * 10).alias("tag")), 120.0)
+    return flow.nearest_tag(tree, tree.where("node >= 100 AND node < 1000").select("node", (F.col("node") * 10).alias("tag")), 120.0)
 
 
 # --- networks ---
@@ -299,18 +299,18 @@ def _(points, cells):
     return joins.burn(points, cells, SPEC).select("id", "burned")
 
 
-TARGETS = "targets AS (SELECT row, col, CAST(row * 64 + col AS BIGINT) AS node FROM cells WHERE (row * 64 + col) % 23 = 0)"
+TARGETS = "targets AS (SELECT row, col, CAST(row * 64 + col AS BIGINT) AS node FROM cells WHERE value < 44000)"
 
 
 @query("snap_points", "points", "cells", more=TARGETS + ",\npairs AS (SELECT p.id, t.node, (t.row - (63 - floor(p.y))) * (t.row - (63 - floor(p.y))) + (t.col - floor(p.x)) * (t.col - floor(p.x)) AS d2 FROM points p JOIN targets t ON abs(t.row - (63 - floor(p.y))) <= 4 AND abs(t.col - floor(p.x)) <= 4)", sql="SELECT id, arg_min(node, (d2, node)) AS node, round(sqrt(min(d2)), 6) AS distance FROM pairs WHERE d2 <= 16 GROUP BY id")
 def _(points, cells):
-    targets = cells.where("(row * 64 + col) % 23 = 0").select("row", "col", SPEC.node().alias("node"))
+    targets = cells.where("value < 44000").select("row", "col", SPEC.node().alias("node"))
     return rounded(joins.nearest_within(joins.in_cells(points, SPEC), targets, 4), "distance")
 
 
-@query("nearest_point", "points", "cells", more="far AS (SELECT CAST(row * 64 + col AS BIGINT) AS id2, col + 0.5 AS x, 63 - row + 0.5 AS y FROM cells WHERE (row * 64 + col) % 401 = 0)", sql="SELECT p.id, arg_min(f.id2, ((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), f.id2)) AS id2, round(sqrt(min((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y))), 6) AS distance FROM points p JOIN far f ON true GROUP BY p.id")
+@query("nearest_point", "points", "cells", more="far AS (SELECT CAST(row * 64 + col AS BIGINT) AS id2, col + 0.5 AS x, 63 - row + 0.5 AS y FROM cells WHERE value > 68000)", sql="SELECT p.id, arg_min(f.id2, ((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), f.id2)) AS id2, round(sqrt(min((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y))), 6) AS distance FROM points p JOIN far f ON true GROUP BY p.id")
 def _(points, cells):
-    targets = cells.where("(row * 64 + col) % 401 = 0").select(SPEC.node().alias("id2"), SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
+    targets = cells.where("value > 68000").select(SPEC.node().alias("id2"), SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
     return rounded(joins.nearest(points, targets, 8.0), "distance")
 
 
@@ -757,16 +757,16 @@ def _(cells):
     return network.largest_complete(nodes, flow.contributing(nodes), touched)
 
 
-@query("move_heads_down", "cells", recursive=True, more=D8_WAYS + ",\nm AS (SELECT node, arg_max(ancestor, steps) AS moved FROM ways WHERE node % 31 = 0 AND distance <= 2.5 GROUP BY node)", sql="SELECT node, moved FROM m")
+@query("move_heads_down", "cells", recursive=True, more=D8_WAYS + ",\nm AS (SELECT node, arg_max(ancestor, steps) AS moved FROM ways WHERE distance <= 2.5 GROUP BY node)", sql="SELECT node, moved FROM m")
 def _(cells):
     nodes = d8(cells)
-    return routing.move_heads_down(nodes, nodes.where("node % 31 = 0").select("node"), 2.5)
+    return routing.move_heads_down(nodes, nodes.select("node"), 2.5)
 
 
-@query("slope_between_nodes", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.node AS a, w.ancestor AS b, round(w.distance, 6) AS length, round((a.z - b.z) / w.distance, 6) AS slope FROM ways w JOIN nodes a ON a.node = w.node JOIN nodes b ON b.node = w.ancestor WHERE w.node % 29 = 0 AND w.steps = 2")
+@query("slope_between_nodes", "cells", recursive=True, more=D8_WAYS, sql="SELECT w.node AS a, w.ancestor AS b, round(w.distance, 6) AS length, round((a.z - b.z) / w.distance, 6) AS slope FROM ways w JOIN nodes a ON a.node = w.node JOIN nodes b ON b.node = w.ancestor WHERE w.steps = 2")
 def _(cells):
     nodes = d8(cells)
-    pairs = flow.store(flow.ancestors(nodes, nodes.where("node % 29 = 0")).where("steps = 2").select(F.col("node").alias("a"), F.col("ancestor").alias("b")), "pairs")
+    pairs = flow.store(flow.ancestors(nodes).where("steps = 2").select(F.col("node").alias("a"), F.col("ancestor").alias("b")), "pairs")
     return rounded(routing.slope_between(nodes, pairs), "length", "slope")
 
 
@@ -871,7 +871,7 @@ def _(cells):
 @query("flow_bearings", "cells")
 def _(cells):
     nodes = d8(cells)
-    paths = flow.flow_paths(nodes, nodes.where("node % 7 = 0"))
+    paths = flow.flow_paths(nodes, nodes)
     return routing.bearings(paths, nodes.select("node", SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y")), 2)
 
 
@@ -899,7 +899,7 @@ def _(cells):
 @query("valley_widths", "cells")
 def _(cells):
     nodes = d8(cells)
-    line = nodes.where("node % 11 = 0").select("node", "row", "col", (F.col("node") % 360).cast("double").alias("bearing"))
+    line = nodes.select("node", "row", "col", (F.col("node") % 360).cast("double").alias("bearing"))
     return landforms.valley_widths(cells.where("value < 40000"), line, 10)
 
 
@@ -916,7 +916,7 @@ def _(profile_):
 
 @query("combination_disorder", "profile")
 def _(profile_):
-    p = profile_.where("source_key < 60").withColumns({"chi": F.col("pos").cast("double"), "basin": F.col("source_key") % 3, "main": F.col("source_key") < 3})
+    p = profile_.withColumns({"chi": F.col("pos").cast("double"), "basin": F.floor(F.col("source_key") / 15), "main": F.col("source_key") % 15 == 0})
     return profile.combinations_disorder(p, "source_key", "basin", "main")
 
 
