@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,3 +136,48 @@ def angle_between(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Radians between two vectors."""
     cos = (x1 * x2 + y1 * y2) / F.sqrt((x1 * x1 + y1 * y1) * (x2 * x2 + y2 * y2))
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+
+
+# The Airy 1830 ellipsoid, the British grid's projection, and the shift from its datum to WGS84.
+AIRY = (6377563.396, 299.3249646)
+BRITISH = {"k0": 0.9996012717, "lat0": 49.0, "lon0": -2.0, "east0": 400000.0, "north0": -100000.0}
+BRITISH_SHIFT = ((446.448, -125.157, 542.060), -20.4894, (0.1502, 0.2470, 0.8421))
+
+
+def from_british_grid(east: Column, north: Column) -> Column:
+    """A struct of ``lat`` and ``lon`` (WGS84, to a few metres) of British National Grid coordinates.
+
+    The inverse iterates, which as one nested expression would grow with every round; batches of rows run through arrays.
+    """
+    return F.pandas_udf(_from_british_grid, "lat double, lon double")(east, north)
+
+
+def _from_british_grid(east: pd.Series, north: pd.Series) -> pd.DataFrame:
+    (a, inv_f), k0 = AIRY, BRITISH["k0"]
+    e2 = _e2(inv_f)
+    ep = e2 / (1 - e2)
+    goal = (north.to_numpy(dtype=float) - BRITISH["north0"]) / k0 + _meridian_number(math.radians(BRITISH["lat0"]), a, e2)
+    foot = goal / a
+    for _ in range(8):
+        foot = foot + (goal - _meridian_number(foot, a, e2)) / a
+    s2 = np.sin(foot) ** 2 * e2
+    n, r = a / np.sqrt(1 - s2), a * (1 - e2) / (1 - s2) ** 1.5
+    t, c, d = np.tan(foot) ** 2, np.cos(foot) ** 2 * ep, (east.to_numpy(dtype=float) - BRITISH["east0"]) / (n * k0)
+    lat = foot - n * np.tan(foot) / r * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep) * d**4 / 24)
+    lon = (d - (1 + 2 * t + c) * d**3 / 6) / np.cos(foot) + math.radians(BRITISH["lon0"])
+    n = a / np.sqrt(1 - np.sin(lat) ** 2 * e2)
+    x, y, z = n * np.cos(lat) * np.cos(lon), n * np.cos(lat) * np.sin(lon), n * (1 - e2) * np.sin(lat)
+    move, ppm, seconds = BRITISH_SHIFT
+    (rx, ry, rz), s = (math.radians(v / 3600) for v in seconds), 1 + ppm / 1e6
+    x, y, z = x * s - y * rz + z * ry + move[0], x * rz + y * s - z * rx + move[1], -x * ry + y * rx + z * s + move[2]
+    e2, p = _e2(), np.hypot(x, y)
+    lat = np.arctan2(z, p * (1 - e2))
+    for _ in range(6):
+        lat = np.arctan2(z + A / np.sqrt(1 - np.sin(lat) ** 2 * e2) * np.sin(lat) * e2, p)
+    return pd.DataFrame({"lat": np.degrees(lat), "lon": np.degrees(np.arctan2(y, x))})
+
+
+def _meridian_number(lat, a: float, e2: float):  # noqa: ANN001, ANN202
+    c0, c2 = 1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024
+    c4, c6 = 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072
+    return a * (c0 * lat - c2 * np.sin(2 * lat) + c4 * np.sin(4 * lat) - c6 * np.sin(6 * lat))

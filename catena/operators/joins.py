@@ -83,3 +83,13 @@ def bilinear(points: DataFrame, cells: DataFrame, spec: GridSpec, key: str = "id
     sent = p.select(key, "r0", "c0", F.explode(corners).alias("m")).select(key, (F.col("r0") + F.col("m.i")).cast("int").alias("row"), (F.col("c0") + F.col("m.j")).cast("int").alias("col"), F.col("m.w").alias("w"))
     found = sent.where("w > 0").join(cells.select("row", "col", "value"), ["row", "col"], "left")
     return found.groupBy(key).agg(F.when(F.count("*") == F.count("value"), F.sum(F.col("w") * F.col("value"))).alias("value"))
+
+
+def within(points: DataFrame, targets: DataFrame, radius: float, key: str = "id") -> DataFrame:
+    """``id, id2, distance`` of all targets (id2, x, y) within a radius of each point, by buckets of the radius."""
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    bucket = lambda c: F.floor(F.col(c) / radius)
+    here = points.select(key, "x", "y", bucket("x").alias("bx"), bucket("y").alias("by"), F.explode(around).alias("m")).select(key, "x", "y", (F.col("bx") + F.col("m.i")).alias("bx"), (F.col("by") + F.col("m.j")).alias("by"))
+    there = targets.select("id2", F.col("x").alias("tx"), F.col("y").alias("ty"), bucket("x").alias("bx"), bucket("y").alias("by"))
+    d = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
+    return here.join(there, ["bx", "by"]).select(key, "id2", d.alias("distance")).where(F.col("distance") <= radius)

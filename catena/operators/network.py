@@ -228,3 +228,14 @@ def both_sides(edge: DataFrame, cells: DataFrame, members: DataFrame, radius: in
     same = F.col("basin") == F.col("b0")
     out = j.groupBy("r0", "c0", "b0").agg(F.avg(F.when(same, F.col("value"))).alias("inside"), F.avg(F.when(~F.coalesce(same, F.lit(False)), F.col("value"))).alias("outside"))
     return out.toDF("row", "col", "basin", "inside", "outside")
+
+
+def link_lengths(links: DataFrame) -> DataFrame:
+    """Length of each link (node, dx, link) and its number of nodes."""
+    return links.groupBy("link").agg(F.sum("dx").alias("length"), F.count("*").alias("n"))
+
+
+def angle_statistics(angles: DataFrame, orders: DataFrame) -> DataFrame:
+    """Mean, median and deviation of junction angles (node, angle) by stream order."""
+    j = angles.join(orders, "node")
+    return j.groupBy("stream_order").agg(F.avg("angle").alias("mean"), F.percentile(F.col("angle"), F.lit(0.5)).alias("median"), F.stddev_pop("angle").alias("sd"), F.count("*").alias("n"))

@@ -166,3 +166,37 @@ def collinearity(profile: DataFrame, reference: Column, sigma: float = 10.0) ->
     both = interpolate(test, ref.groupBy("basin_key", "chi").agg(F.avg("z_ref").alias("z_ref")), ["basin_key"], "chi", "z_ref")
     r = F.col("z_ref") - F.col("elevation")
     return both.groupBy("basin_key", "source_key").agg(likelihood(r, sigma).alias("mle"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.count("*").alias("n"))
+
+
+def chi_over(profile: DataFrame, thetas: list[float], area: str, dx: str) -> DataFrame:
+    """One chi column for each concavity: ``chi_0_45`` for 0.45."""
+    upto = channel().rowsBetween(Window.unboundedPreceding, 0)
+    term = lambda t: F.sum(F.col(dx) * F.pow(F.lit(1.0) / F.col(area), F.lit(t))).over(upto)
+    return profile.withColumns({f"chi_{t}".replace(".", "_"): term(t) for t in thetas})
+
+
+def collinearity_over(profile: DataFrame, thetas: list[float], area: str, dx: str, reference: Column, sigma: float = 10.0) -> DataFrame:
+    """Likelihood and residuals of every tributary for every concavity; the best one of a basin has the largest total."""
+    many = profile.withColumn("theta", F.explode(F.array(*[F.lit(t) for t in thetas]))).withColumn("is_reference", reference)
+    upto = Window.partitionBy("source_key", "theta").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    many = many.withColumn("chi", F.sum(F.col(dx) * F.pow(F.lit(1.0) / F.col(area), F.col("theta"))).over(upto))
+    # A basin and a concavity together are a basin of their own.
+    keyed = many.withColumn("basin_key", F.struct("basin_key", "theta"))
+    return collinearity(keyed, F.col("is_reference"), sigma).select("basin_key.*", "source_key", "mle", "mae", "rmse", "n")
+
+
+def median_residuals(profile: DataFrame, x: str, y: str) -> DataFrame:
+    """Median and quartiles of the residuals about each channel's line."""
+    from catena.functions.stats import regression
+
+    r = profile.join(regression(profile, ["source_key"], x, y).select("source_key", "slope", "intercept"), "source_key").withColumn("r", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
+    q = lambda p: F.percentile(F.col("r"), F.lit(p))
+    return r.groupBy("source_key").agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+
+
+def knickpoints(profile: DataFrame, value: str, lam: float, gap: float, least: float = 0.0) -> DataFrame:
+    """The whole chain: denoise, take the steps, join near ones, keep those of some size."""
+    from catena.operators.kernels import denoise
+
+    steps = changes(denoise(profile, value, lam), "denoised")
+    return gather(steps, gap).where(F.abs("delta") >= least)

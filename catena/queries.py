@@ -1044,3 +1044,43 @@ def _(cells):
 def _(cells):
     parts = analyses.drainage(cells, SPEC, {"raster_is_filled": True, "threshold_contributing_pixels": 3})
     return analyses.chi_profiles({k: flow.store(v, k) for k, v in parts.items() if k in ("nodes", "area", "chi", "source_keys")})["chi_data"]
+
+
+@query("wiener_filter", "cells")
+def _(cells):
+    return focal.wiener(cells, SIZE, SIZE)
+
+
+@query("knickpoint_chain", "profile")
+def _(profile_):
+    return profile.knickpoints(profile_, "elevation", 30.0, 3.0, 5.0)
+
+
+@query("collinearity_grid", "profile")
+def _(profile_):
+    p = profile_.withColumns({"area": F.lit(1.0) + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos"), "dx": F.lit(1.0), "basin_key": F.col("source_key") % 10})
+    return profile.collinearity_over(p, [0.3, 0.5], "area", "dx", F.col("source_key") < 10)
+
+
+@query("median_residuals", "profile", more="f AS (SELECT source_key, regr_slope(elevation, pos) AS s, regr_intercept(elevation, pos) AS i FROM profile GROUP BY 1)", sql="SELECT p.source_key, round(quantile_cont(elevation - s * pos - i, 0.25), 5) AS q1, round(quantile_cont(elevation - s * pos - i, 0.5), 5) AS median, round(quantile_cont(elevation - s * pos - i, 0.75), 5) AS q3 FROM profile p JOIN f ON f.source_key = p.source_key GROUP BY 1")
+def _(profile_):
+    return profile.median_residuals(profile_, "pos", "elevation").select("source_key", *[F.round(c, 5).alias(c) for c in ("q1", "median", "q3")])
+
+
+@query("chi_over_movern", "profile", sql="SELECT node, round(sum(power(CAST(1 AS DOUBLE) / (1 + n - pos), 0.3)) OVER (PARTITION BY source_key ORDER BY pos), 5) AS chi_0_3, round(sum(power(CAST(1 AS DOUBLE) / (1 + n - pos), 0.6)) OVER (PARTITION BY source_key ORDER BY pos), 5) AS chi_0_6 FROM (SELECT *, count(*) OVER (PARTITION BY source_key) AS n FROM profile)")
+def _(profile_):
+    p = profile_.withColumns({"area": 1 + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos"), "dx": F.lit(1.0)})
+    return profile.chi_over(p, [0.3, 0.6], "area", "dx").select("node", F.round("chi_0_3", 5).alias("chi_0_3"), F.round("chi_0_6", 5).alias("chi_0_6"))
+
+
+@query("junction_angle_statistics", "cells")
+def _(cells):
+    nodes, _counts, channel = channel_of(cells)
+    places = nodes.select("node", SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
+    return network.angle_statistics(network.junction_angles(channel, places), network.strahler(channel))
+
+
+@query("points_within_radius", "points", "cells", more="far AS (SELECT CAST(row * 64 + col AS BIGINT) AS id2, CAST(col + 0.5 AS DOUBLE) AS x, CAST(63 - row + 0.5 AS DOUBLE) AS y FROM cells WHERE value > 68000)", sql="SELECT p.id, f.id2, round(sqrt((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y)), 6) AS distance FROM points p JOIN far f ON (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) <= 25")
+def _(points, cells):
+    targets = cells.where("value > 68000").select(SPEC.node().alias("id2"), SPEC.x(F.col("col")).alias("x"), SPEC.y(F.col("row")).alias("y"))
+    return rounded(joins.within(points, targets, 5.0), "distance")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catena.functions.geo import from_utm
+from catena.grid import GridSpec
+
 LATITUDE, LONGITUDE = ("latitude", "Latitude", "lat", "Lat"), ("longitude", "Longitude", "long", "Lon")
 
 
@@ -67,3 +70,28 @@ def read_wkt(spark: SparkSession, path: str) -> DataFrame:
     found = F.regexp_extract_all("value", F.lit(r'([A-Z_]+)\s*\[\s*"([^"]*)"'), 1)
     names = F.regexp_extract_all("value", F.lit(r'([A-Z_]+)\s*\[\s*"([^"]*)"'), 2)
     return text.select(F.explode(F.arrays_zip(found.alias("key"), names.alias("name"))).alias("p")).select("p.key", "p.name")
+
+
+def flatten(cells: DataFrame, spec: GridSpec, zone: int | None = None, south: bool = False) -> DataFrame:
+    """``x, y, value`` of data cells; with a UTM zone also ``latitude, longitude``."""
+    df = cells.where("value IS NOT NULL").select(spec.x(F.col("col")).alias("x"), spec.y(F.col("row")).alias("y"), "value")
+    if zone is None:
+        return df
+    lat, lon = from_utm(F.col("x"), F.col("y"), F.lit(zone), F.lit(south))
+    return df.withColumns({"latitude": lat, "longitude": lon})
+
+
+def network_table(channel: DataFrame, orders: DataFrame, spec: GridSpec, metrics: DataFrame | None = None) -> DataFrame:
+    """Channel nodes with place, order, receiver and any metrics by node, ready for CSV or GeoJSON."""
+    df = channel.select("node", "row", "col", "receiver", "z").join(orders, "node").withColumns({"x": spec.x(F.col("col")), "y": spec.y(F.col("row"))})
+    return df if metrics is None else df.join(metrics, "node")
+
+
+def read_series(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A plain table without a header, such as a rainfall series, with the given schema; comments begin with #."""
+    return spark.read.schema(columns).option("comment", "#").option("mode", "DROPMALFORMED").csv(path)
+
+
+def read_raster_list(spark: SparkSession, path: str) -> DataFrame:
+    """``dem, snow, self, topographic``: file names or single values of each row; empty fields are null."""
+    return spark.read.schema("dem string, snow string, self string, topographic string").csv(path).select(*[F.when(F.trim(c) != "", F.trim(c)).alias(c) for c in ("dem", "snow", "self", "topographic")])

@@ -6,7 +6,20 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"catena-{os.getuid()}")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's tables; results that were not computed yet need them, so call it last."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -17,7 +30,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
     (one machine) a temporary one is used.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"catena-{os.getuid()}")
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

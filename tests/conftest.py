@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+
+from catena.storage import clean  # noqa: E402
+
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
@@ -24,6 +27,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean(session)
     session.stop()
 
 

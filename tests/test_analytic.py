@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from catena.functions import geo, nuclide
+from catena.functions import columns, geo, nuclide
 from catena.grid import GridSpec
-from catena.operators import flow, focal, kernels, morphology, network
+from catena.operators import flow, focal, kernels, landforms, morphology, network, routing
 from catena.plans import analyses, params
-from catena.sources import grids, shapes, surfaces, tables
+from catena.sources import clouds, grids, shapes, surfaces, tables
 
 SPEC = GridSpec(12, 10)
 
@@ -246,3 +246,62 @@ def test_steady_profile_slope(spark):
     counts = flow.contributing(nodes)
     z = {r["node"]: r["z"] for r in surfaces.steady_profile(nodes, counts, 1e-3, 1e-3).collect()}
     assert math.isclose(z[10 * 10 + 3] - z[11 * 10 + 3], 1 / math.sqrt(11), rel_tol=1e-9)
+
+
+def test_british_grid(spark):
+    # The worked example of the projection's guide is 651409.903, 313177.270 at 52 39 27.2531 N, 1 43 4.5177 E on the old datum.
+    df = spark.createDataFrame([(651409.903, 313177.270)], "e double, n double")
+    r = df.select(geo.from_british_grid(F.col("e"), F.col("n")).alias("p")).select("p.*").head()
+    assert abs(r["lat"] - 52.65798) < 2e-4 and abs(r["lon"] - 1.71605) < 3e-4
+
+
+def test_breaching_leaves_no_pits(spark):
+    z = np.random.default_rng(8).uniform(0, 10, (12, 10))
+    got = array(routing.breach(frame(spark, z), 12, 10, 0.001), z.shape)
+    assert (got <= z + 1e-12).all()
+    roots = flow.base_level(flow.d8(frame(spark, got), SPEC)).collect()
+    assert all(r["row"] in (0, 11) or r["col"] in (0, 9) for r in roots)
+
+
+def test_facet_flow_keeps_water(spark):
+    z = surfaces.plane(spark, SPEC, 0.3, 0.7)
+    edges = routing.infinity_edges(z)
+    total = edges.groupBy("row", "col").agg(F.sum("w").alias("w"))
+    assert all(abs(r["w"] - 1) < 1e-9 for r in total.collect())
+    assert array(routing.spread_flow(z, edges), (12, 10), "area").min() >= 1
+
+
+def test_las_points(spark, tmp_path):
+    import struct
+
+    head = bytearray(227)
+    head[:4] = b"LASF"
+    struct.pack_into("<I", head, 96, 227)
+    struct.pack_into("<HI", head, 105, 20, 2)
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.1, 1000.0, 0.0, 0.0)
+    points = b"".join(struct.pack("<3i", x, y, z) + bytes([0, 0, 0, c]) + bytes(4) for x, y, z, c in [(100, 200, 30, 2), (150, 250, 70, 5)])
+    (tmp_path / "p.las").write_bytes(bytes(head) + points)
+    clouds.register(spark)
+    df = spark.read.format("las").load(str(tmp_path / "p.las"))
+    assert sorted((r["x"], r["z"], r["class"]) for r in df.collect()) == [(1001.0, 3.0, 2), (1001.5, 7.0, 5)]
+    assert clouds.ground(df).count() == 1 and clouds.to_cells(df, GridSpec(5, 5, 1000.0, 0.0)).count() == 1
+
+
+def test_rain_lowers_safety(spark):
+    df = spark.createDataFrame([(1, 0.6, 2.0, 5e-6, 5e-7, 4000.0, 0.6)], "site int, slope double, table double, diffusivity double, conductivity double, cohesion double, friction double")
+    rows = columns.lowest_safety(df, [(5e-7, 86400.0)], [0.0, 3 * 86400.0, 1000 * 86400.0], [0.5, 1.0, 1.5, 2.0]).orderBy("time").collect()
+    assert rows[1]["safety"] < rows[0]["safety"] and rows[2]["safety"] > rows[1]["safety"]
+
+
+def test_main_stem_and_tributaries(spark):
+    # 0 <- 1 <- 2 <- 3 <- 4, with 5 -> 2 and 6 -> 1.
+    receiver = {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 2, 6: 1}
+    nodes = flow.store(spark.createDataFrame([(n, r, float(n != r)) for n, r in receiver.items()], "node long, receiver long, dx double"), "tree")
+    stem = flow.store(landforms.main_stem(nodes, nodes.where("node = 0").select("node")), "stem")
+    assert [r["node"] for r in stem.orderBy("step").collect()] == [4, 3, 2, 1, 0]
+    assert {(r["node"], r["junction"]) for r in landforms.tributaries(nodes, stem).collect()} == {(5, 2), (6, 1)}
+
+
+def test_scaling_models_agree_at_sea_level(spark):
+    r = spark.range(1).select(nuclide.dunai_scaling(F.lit(1013.25), F.lit(0.0)).alias("a"), nuclide.desilets_scaling(F.lit(1013.25), F.lit(0.0)).alias("b"), nuclide.lifton_scaling(F.lit(1013.25), F.lit(0.0)).alias("c")).head()
+    assert all(0.9 < x < 1.1 for x in r)
