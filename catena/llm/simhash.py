@@ -34,7 +34,7 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Fingerprints that a shard aims at, and those on which the top of the tree is grown at most (8 bytes each).
-SHARD = 20_000
+SHARD = 4_000
 SAMPLE = 1_000_000
 LEAF = 256
 
