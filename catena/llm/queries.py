@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_quality_rules, op4_token_records, op5_packing, op6_substring_dedup, op7_mixing, op8_toxicity, op9_simhash, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op7_mixing": mixing.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op7_mixing": mixing.SQL, "op10_warc": warc.SQL}

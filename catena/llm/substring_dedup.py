@@ -227,3 +227,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     both = named.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     both = both.unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("runs")))
     return both.mapInArrow(lambda b: _removed(b, window, texts), schema)
+
+
+#: DuckDB's form of ``remove_repeats`` (without the texts) for windows of 50 words, over documents with distinct ids.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 49 <= len(ws) THEN md5(array_to_string(ws[i:i + 49], ' ')) END AS key FROM p),
+f AS (SELECT doc_id, i, word, key IS NOT NULL AND min(doc_id) OVER (PARTITION BY key) < doc_id AS again FROM k),
+c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
