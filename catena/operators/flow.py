@@ -9,6 +9,9 @@ node double likewise: after k rounds a node holds the sum over descendants less
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,20 +213,41 @@ def _heads(nodes: DataFrame, channel: DataFrame) -> DataFrame:
     return channel.join(fed, "node", "left_anti")
 
 
-def fill(cells: DataFrame, min_drop: float = 0.0, max_rounds: int = 10_000) -> DataFrame:
+def _flood(ground: np.ndarray, start: np.ndarray, value: np.ndarray, drop: float) -> np.ndarray:
+    """The lowest values above the ground that reach a start by steps that fall by ``drop``, given values that hold already."""
+    out = value.copy()
+    heap = [(out[i, j], i, j) for i, j in np.argwhere(start & np.isfinite(out)).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        level, i, j = heapq.heappop(heap)
+        if level > out[i, j]:
+            continue
+        for dr, dc in STEPS:
+            a, b = i + dr, j + dc
+            if 0 <= a < out.shape[0] and 0 <= b < out.shape[1] and ground[a, b] == ground[a, b] and out[a, b] > (new := max(ground[a, b], level + drop)):
+                out[a, b] = new
+                heapq.heappush(heap, (new, a, b))
+    return out
+
+
+def fill(cells: DataFrame, min_drop: float = 0.0, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
     """Raise pits: the lowest surface, not below the cells, from which every cell has a way to the edge that falls by ``min_drop`` a step.
 
-    Every inner cell starts infinitely high and sinks to the larger of its own value and its lowest neighbour plus the
-    drop; edge cells keep theirs.  Rounds run until nothing changes.
+    Every inner cell starts infinitely high; edge cells keep their value.  In each round every tile floods itself completely from
+    what its margin holds so far, so rounds follow the number of tiles that a way crosses, not of cells.
     """
+    from catena.operators.focal import tiled
+
+    def kernel(_corner: tuple[int, int], a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        inside = ~np.isnan(a["ground"])
+        return {"sunk": _flood(a["ground"], inside, np.where(inside, a["value"], np.inf), min_drop)}
+
     edge = F.greatest(*[F.col(f"n{k}").isNull().cast("int") for k in range(8)]) == 1
     ground = window3(cells.where("value IS NOT NULL"))
-    now = store(ground.select("row", "col", F.col("z").alias("ground"), edge.alias("edge"), F.when(edge, F.col("z")).otherwise(F.lit(float("inf"))).alias("value")), "fill-0")
+    now = store(ground.select("row", "col", F.col("z").alias("ground"), F.when(edge, F.col("z")).otherwise(F.lit(float("inf"))).alias("value")), "fill-0")
     for k in range(1, max_rounds):
-        low = spread(now.where(F.col("value") != float("inf")), STEPS).groupBy("row", "col").agg(F.min("sent").alias("low"))
-        sunk = F.least("value", F.greatest("ground", F.coalesce(F.col("low") + min_drop, F.lit(float("inf")))))
-        after = now.join(low, ["row", "col"], "left").select("row", "col", "ground", "edge", F.when(F.col("edge"), F.col("value")).otherwise(sunk).alias("value"), (~F.col("edge") & (sunk < F.col("value"))).alias("moved"))
-        after = store(after, f"fill-{k}")
+        sunk = tiled(now, ["ground", "value"], 1, kernel, {"sunk": "double"}, tile)
+        after = store(now.join(sunk, ["row", "col"]).select("row", "col", "ground", F.col("sunk").alias("value"), (F.col("sunk") < F.col("value")).alias("moved")), f"fill-{k}")
         now = after.drop("moved")
         if not after.where("moved").take(1):
             break

@@ -55,27 +55,37 @@ def hillshade(cells: DataFrame, res: float = 1.0, altitude: float = 45.0, azimut
     return g.select("row", "col", (255 * F.greatest(light, F.lit(0.0))).alias("hillshade"))
 
 
-def on_tiles(cells: DataFrame, margin: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: list[str], tile: int = TILE) -> DataFrame:
-    """Apply an array kernel to tiles with a margin; cells outside the data are NaN.
+def tiled(df: DataFrame, columns: list[str], margin: int, kernel: Callable[[tuple[int, int], dict[str, np.ndarray]], dict[str, np.ndarray]], result: dict[str, str], tile: int = TILE) -> DataFrame:
+    """Apply an array kernel to square tiles with a margin: ``row, col`` and the columns of ``result`` for every row of ``df``.
 
-    The kernel gets (rows, cols) with the margin and returns an array of that size for each column.
+    The kernel gets the row and column of its array's corner and a (rows, cols) array of doubles for each column, NaN where there
+    is no row; it returns an array of that size for each result.
     """
-    data = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double"))
+    data = df.select("row", "col", *[F.col(c).cast("double").alias(c) for c in columns])
     low = lambda c: F.floor((F.col(c) - margin) / tile)
     high = lambda c: F.floor((F.col(c) + margin) / tile)
     dealt = data.withColumn("tr", F.explode(F.sequence(low("row"), high("row")))).withColumn("tc", F.explode(F.sequence(low("col"), high("col"))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        side = tile + 2 * margin
-        z = np.full((side, side), np.nan)
-        r, c = rows["row"].to_numpy() - (int(key[0]) * tile - margin), rows["col"].to_numpy() - (int(key[1]) * tile - margin)
-        z[r, c] = rows["value"].to_numpy()
-        found = kernel(z)
+        side, top, left = tile + 2 * margin, int(key[0]) * tile - margin, int(key[1]) * tile - margin
+        r, c = rows["row"].to_numpy() - top, rows["col"].to_numpy() - left
+        arrays = {}
+        for name in columns:
+            arrays[name] = np.full((side, side), np.nan)
+            arrays[name][r, c] = rows[name].to_numpy()
         inner = (r >= margin) & (r < margin + tile) & (c >= margin) & (c < margin + tile)
+        if not inner.any():
+            return pd.DataFrame({k: [] for k in ["row", "col", *result]})
+        found = kernel((top, left), arrays)
         out = {"row": rows["row"].to_numpy()[inner], "col": rows["col"].to_numpy()[inner]}
-        return pd.DataFrame(out | {k: found[k][r[inner], c[inner]] for k in columns})
+        return pd.DataFrame(out | {k: found[k][r[inner], c[inner]] for k in result})
+
+    return dealt.groupBy("tr", "tc").applyInPandas(run, "row int, col int, " + ", ".join(f"{k} {t}" for k, t in result.items()))
 
-    return dealt.groupBy("tr", "tc").applyInPandas(run, "row int, col int, " + ", ".join(f"{k} double" for k in columns))
+
+def on_tiles(cells: DataFrame, margin: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: list[str], tile: int = TILE) -> DataFrame:
+    """``tiled`` for one grid: the kernel gets its values and returns an array of doubles for each column."""
+    return tiled(cells.where("value IS NOT NULL"), ["value"], margin, lambda _corner, a: kernel(a["value"]), {k: "double" for k in columns}, tile)
 
 
 def _windows(z: np.ndarray, radius: int) -> np.ndarray:

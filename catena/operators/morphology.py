@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catena.grid import STEPS, spread, window3
+from catena.operators import focal, graph
 from catena.storage import store
 
 
-def components(cells: DataFrame, ncols: int, max_rounds: int = 200) -> DataFrame:
+def _label(have: np.ndarray) -> np.ndarray:
+    """The smallest position of each cell's area within one array (-1: no data), by hooking and pointer jumps."""
+    n = have.size
+    own = np.arange(n).reshape(have.shape)
+    parent = np.arange(n)
+    label = np.where(have, own, n)
+    while True:
+        p = np.pad(label, 1, constant_values=n)
+        low = label.copy()
+        for dr, dc in STEPS:
+            low = np.minimum(low, p[1 + dr : 1 + dr + have.shape[0], 1 + dc : 1 + dc + have.shape[1]])
+        low[~have] = n
+        before = label
+        np.minimum.at(parent, label[have], low[have])
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        label = np.where(have, parent[np.where(have, label, 0)], n)
+        if (label == before).all():
+            return np.where(have, label, -1)
+
+
+def components(cells: DataFrame, ncols: int, tile: int = focal.TILE) -> DataFrame:
     """``row, col, component``: areas of data cells that touch by edges or corners, numbered by their first cell.
 
-    Each round a cell takes the smallest label around it, then the label of its label's cell: labels
-    jump, so rounds grow with the logarithm of an area's extent in most shapes.
+    Tiles label their own areas at once.  Areas that touch across a tile's border are linked, the links' components
+    are found (a graph of borders, not of cells), and labels follow their roots.
     """
-    own = F.col("row").cast("long") * ncols + F.col("col")
-    now = store(cells.where("value IS NOT NULL").select("row", "col", own.alias("node"), own.alias("label")), "components-0")
-    for k in range(1, max_rounds):
-        low = spread(now, STEPS, "label").groupBy("row", "col").agg(F.min("sent").alias("low"))
-        near = now.join(low, ["row", "col"], "left").select("row", "col", "node", "label", F.least("label", F.coalesce("low", "label")).alias("to"))
-        # The old label's cell learns the smallest new label of its area; everyone then follows it.
-        hook = near.groupBy(F.col("label").alias("was")).agg(F.min("to").alias("root"))
-        after = near.join(hook, near["label"] == hook["was"]).select("row", "col", "node", F.least("to", "root").alias("label"), (F.least("to", "root") < F.col("label")).alias("moved"))
-        after = store(after, f"components-{k}")
-        now = after.drop("moved")
-        if not after.where("moved").take(1):
-            break
-    return now.select("row", "col", F.col("label").alias("component"))
+
+    def kernel(corner: tuple[int, int], arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        have = ~np.isnan(arrays["value"])
+        at = _label(have)
+        r, c = np.divmod(np.maximum(at, 0), have.shape[1])
+        return {"label": (r + corner[0]).astype(np.int64) * ncols + c + corner[1]}
+
+    local = store(focal.tiled(cells.where("value IS NOT NULL").select("row", "col", F.lit(1).alias("value")), ["value"], 0, kernel, {"label": "long"}, tile), "tile-labels")
+    rim = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
+    border = local.where(rim("row") | rim("col"))
+    links = spread(border, STEPS, "label").join(border, ["row", "col"]).where("sent <> label").select(F.col("sent").alias("a"), F.col("label").alias("b"))
+    roots = graph.components(links)
+    return local.join(roots, local["label"] == roots["node"], "left").select("row", "col", F.coalesce("root", "label").alias("component"))
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -54,19 +80,31 @@ def fill_holes(cells: DataFrame, nrows: int, ncols: int, most: int) -> DataFrame
     return cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("int")).unionByName(small)
 
 
-def thin(cells: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """A skeleton one cell wide of a binary grid, by alternate peeling of south-east and north-west rims (Zhang and Suen 1984)."""
+def _peel(one: np.ndarray, half: int) -> np.ndarray:
+    p = np.pad(one, 1)
+    n = [p[1 + dr : 1 + dr + one.shape[0], 1 + dc : 1 + dc + one.shape[1]].astype(np.int8) for dr, dc in STEPS]
+    count = sum(n)
+    turns = sum((n[i] == 0) & (n[(i + 1) % 8] == 1) for i in range(8))
+    a, b = ((n[0] * n[2] * n[4], n[2] * n[4] * n[6]), (n[0] * n[2] * n[6], n[0] * n[4] * n[6]))[half]
+    return one & ~((count >= 2) & (count <= 6) & (turns == 1) & (a == 0) & (b == 0))
+
+
+def thin(cells: DataFrame, tile: int = focal.TILE, passes: int = 16, max_rounds: int = 500) -> DataFrame:
+    """A skeleton one cell wide of a binary grid, by alternate peeling of south-east and north-west rims (Zhang and Suen 1984).
+
+    A pass looks two cells far, so with a margin of twice their number a tile does several passes exactly; rounds go on until none changes.
+    """
+
+    def kernel(_corner: tuple[int, int], arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        one = arrays["value"] == 1
+        for _ in range(passes):
+            one = _peel(_peel(one, 0), 1)
+        return {"value": one.astype(np.int32)}
+
     now = store(cells.where("value = 1").select("row", "col", F.lit(1).alias("value")), "thin-0")
     for k in range(1, max_rounds):
-        before = now
-        for half in (0, 1):
-            w = window3(now)
-            n = [F.coalesce(F.col(f"n{i}"), F.lit(0)) for i in range(8)]
-            count = sum(n, F.lit(0))
-            turns = sum(((n[i] == 0) & (n[(i + 1) % 8] == 1)).cast("int") for i in range(8))
-            a, b = ((n[0] * n[2] * n[4], n[2] * n[4] * n[6]), (n[0] * n[2] * n[6], n[0] * n[4] * n[6]))[half]
-            gone = count.between(2, 6) & (turns == 1) & (a == 0) & (b == 0)
-            now = store(w.where(~gone).select("row", "col", F.lit(1).alias("value")), f"thin-{k}-{half}")
+        left = focal.tiled(now, ["value"], 2 * passes, kernel, {"value": "int"}, tile).where("value = 1")
+        before, now = now, store(left, f"thin-{k}")
         if now.count() == before.count():
             break
     return now

@@ -334,9 +334,9 @@ def _(cells, cells2):
     return rounded(algebra.difference_summary(cells, cells2), "mean_abs_diff")
 
 
-@query("mask_below", "cells", sql='SELECT row AS "row", col, CASE WHEN value >= 37000 THEN value END AS value FROM cells')
+@query("mask_below", "cells", sql='SELECT row AS "row", col, CASE WHEN value >= 50000 THEN value END AS value FROM cells')
 def _(cells):
-    return algebra.mask_below(cells, 37000)
+    return algebra.mask_below(cells, 50000)
 
 
 @query("mask_by_raster", "cells", "cells2", sql='SELECT a.row AS "row", a.col, CASE WHEN b.value > 25 THEN a.value END AS value FROM cells a LEFT JOIN cells2 b ON a.row = b.row AND a.col = b.col')
@@ -349,14 +349,14 @@ def _(cells):
     return algebra.clip(cells, 10, 20, 20, 30)
 
 
-@query("trim_bounds", "cells", sql="SELECT min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max, count(*) AS n FROM cells WHERE value >= 39000")
+@query("trim_bounds", "cells", sql="SELECT min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max, count(*) AS n FROM cells WHERE value >= 70000")
 def _(cells):
-    return algebra.bounds(algebra.mask_below(cells, 39000))
+    return algebra.bounds(algebra.mask_below(cells, 70000))
 
 
-@query("trim_to_data", "cells", sql='SELECT c.row - b.r AS "row", c.col - b.c AS col, value FROM cells c, (SELECT min(row) AS r, min(col) AS c FROM cells WHERE value >= 39000) b WHERE value >= 39000')
+@query("trim_to_data", "cells", sql='SELECT c.row - b.r AS "row", c.col - b.c AS col, value FROM cells c, (SELECT min(row) AS r, min(col) AS c FROM cells WHERE value >= 70000) b WHERE value >= 70000')
 def _(cells):
-    return algebra.trim(algebra.mask_below(cells, 39000)).select("row", "col", "value")
+    return algebra.trim(algebra.mask_below(cells, 70000)).select("row", "col", "value")
 
 
 @query("resample_centre", "cells", sql='SELECT CAST(floor(row / 4.0) AS INT) AS "row", CAST(floor(col / 4.0) AS INT) AS col, value FROM cells WHERE row % 4 = 2 AND col % 4 = 2')
@@ -364,9 +364,9 @@ def _(cells):
     return algebra.resample(cells, 4)
 
 
-@query("categorise", "cells", sql='SELECT row AS "row", col, CAST((value > 35000) AS INT) + CAST((value > 38000) AS INT) + CAST((value > 41000) AS INT) AS category FROM cells')
+@query("categorise", "cells", sql='SELECT row AS "row", col, CAST((value > 48000) AS INT) + CAST((value > 53000) AS INT) + CAST((value > 58000) AS INT) AS category FROM cells')
 def _(cells):
-    return cells.select("row", "col", algebra.categorise(F.col("value"), [35000.0, 38000.0, 41000.0]).alias("category"))
+    return cells.select("row", "col", algebra.categorise(F.col("value"), [48000.0, 53000.0, 58000.0]).alias("category"))
 
 
 @query("scale_minmax", "cells", sql='SELECT row AS "row", col, round((value - min(value) OVER ()) * 100 / (max(value) OVER () - min(value) OVER ()), 6) AS value FROM cells')
@@ -374,19 +374,19 @@ def _(cells):
     return rounded(algebra.rescale(cells, 0.0, 100.0), "value")
 
 
-@query("merge_rasters", "cells", "cells2", sql='SELECT a.row AS "row", a.col, coalesce(CASE WHEN a.value >= 38000 THEN a.value END, b.value) AS value FROM cells a JOIN cells2 b ON a.row = b.row AND a.col = b.col')
+@query("merge_rasters", "cells", "cells2", sql='SELECT a.row AS "row", a.col, coalesce(CASE WHEN a.value >= 53000 THEN a.value END, b.value) AS value FROM cells a JOIN cells2 b ON a.row = b.row AND a.col = b.col')
 def _(cells, cells2):
-    return algebra.merge(algebra.mask_below(cells, 38000).where("value IS NOT NULL"), cells2)
+    return algebra.merge(algebra.mask_below(cells, 53000).where("value IS NOT NULL"), cells2)
 
 
-@query("union_networks", "cells", "cells2", sql='SELECT row AS "row", col, max(v) AS value FROM (SELECT row, col, 1 AS v FROM cells WHERE value > 40000 UNION ALL SELECT row, col, 1 FROM cells2 WHERE value > 27) GROUP BY 1, 2')
+@query("union_networks", "cells", "cells2", sql='SELECT row AS "row", col, max(v) AS value FROM (SELECT row, col, 1 AS v FROM cells WHERE value > 56000 UNION ALL SELECT row, col, 1 FROM cells2 WHERE value > 27) GROUP BY 1, 2')
 def _(cells, cells2):
-    return algebra.union_of(algebra.to_mask(cells, F.col("value") > 40000).where("value = 1"), algebra.to_mask(cells2, F.col("value") > 27).where("value = 1"))
+    return algebra.union_of(algebra.to_mask(cells, F.col("value") > 56000).where("value = 1"), algebra.to_mask(cells2, F.col("value") > 27).where("value = 1"))
 
 
-@query("binary_quality", "cells", "cells2", more="b AS (SELECT CAST(a.value > 38000 AS INT) AS f, CAST(c.value > 25.5 AS INT) AS t FROM cells a JOIN cells2 c ON a.row = c.row AND a.col = c.col), s AS (SELECT count(*) FILTER (f = 1 AND t = 1) AS tp, count(*) FILTER (f = 1 AND t = 0) AS fp, count(*) FILTER (f = 0 AND t = 1) AS fn FROM b)", sql="SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS reliability, round(tp / (tp + fn), 6) AS sensitivity, round(tp / (tp + fp + fn), 6) AS quality, round((fp - fn) / (tp + fn), 6) AS area_difference FROM s")
+@query("binary_quality", "cells", "cells2", more="b AS (SELECT CAST(a.value > 53000 AS INT) AS f, CAST(c.value > 25.5 AS INT) AS t FROM cells a JOIN cells2 c ON a.row = c.row AND a.col = c.col), s AS (SELECT count(*) FILTER (f = 1 AND t = 1) AS tp, count(*) FILTER (f = 1 AND t = 0) AS fp, count(*) FILTER (f = 0 AND t = 1) AS fn FROM b)", sql="SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS reliability, round(tp / (tp + fn), 6) AS sensitivity, round(tp / (tp + fp + fn), 6) AS quality, round((fp - fn) / (tp + fn), 6) AS area_difference FROM s")
 def _(cells, cells2):
-    found = algebra.to_mask(cells, F.col("value") > 38000).where("value = 1")
+    found = algebra.to_mask(cells, F.col("value") > 53000).where("value = 1")
     return rounded(algebra.quality_of(found, algebra.to_mask(cells2, F.col("value") > 25.5).where("value = 1")), "reliability", "sensitivity", "quality", "area_difference")
 
 
@@ -541,9 +541,9 @@ def _(cells):
     return focal.neighbourhood(cells, 2).select("row", "col", "low", "high", "relief")
 
 
-@query("fraction_condition", "cells", sql=f'SELECT c.row AS "row", c.col, round(avg(CASE WHEN n.value BETWEEN 36000 AND 40000 THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM cells c JOIN (VALUES {DISC2}) k(i, j) ON true JOIN cells n ON n.row = c.row + k.i AND n.col = c.col + k.j GROUP BY 1, 2')
+@query("fraction_condition", "cells", sql=f'SELECT c.row AS "row", c.col, round(avg(CASE WHEN n.value BETWEEN 50000 AND 56000 THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM cells c JOIN (VALUES {DISC2}) k(i, j) ON true JOIN cells n ON n.row = c.row + k.i AND n.col = c.col + k.j GROUP BY 1, 2')
 def _(cells):
-    return rounded(focal.fraction_where(cells, 2, 36000.0, 40000.0), "fraction")
+    return rounded(focal.fraction_where(cells, 2, 50000.0, 56000.0), "fraction")
 
 
 W3 = f"""w3 AS (SELECT c.row, c.col, c.value AS z, {', '.join(f'max(CASE WHEN k.k = {k} THEN n.value END) AS n{k}' for k in range(8))}
@@ -643,12 +643,12 @@ def _(profile_):
 
 # --- components ---
 
-COMPONENT_SQL = f"""hot AS (SELECT row, col, CAST(row * {SIZE} + col AS BIGINT) AS node FROM cells WHERE value > 40000),
+COMPONENT_SQL = f"""hot AS (SELECT row, col, CAST(row * {SIZE} + col AS BIGINT) AS node FROM cells WHERE value > 56000),
 reach(node, row, col, label) AS (SELECT node, row, col, node FROM hot UNION SELECT n.node, n.row, n.col, r.label FROM reach r JOIN {STEPS_SQL} ON true JOIN hot n ON n.row = r.row + k.dr AND n.col = r.col + k.dc)"""
 
 
 def hot(cells: DataFrame) -> DataFrame:
-    return morphology.components(algebra.mask_below(cells, 40000.000001), SIZE)
+    return morphology.components(algebra.mask_below(cells, 56000.000001), SIZE)
 
 
 @query("connected_components", "cells", recursive=True, more=COMPONENT_SQL, sql='SELECT row AS "row", col, min(label) AS component FROM reach GROUP BY 1, 2')
@@ -661,9 +661,9 @@ def _(cells):
     return morphology.patches_of_size(hot(cells), 4)
 
 
-@query("isolated_corner_cells", "cells", more="hot AS (SELECT row, col FROM cells WHERE value > 38000)", sql='SELECT h.row AS "row", h.col FROM hot h WHERE EXISTS (SELECT 1 FROM hot n WHERE abs(n.row - h.row) + abs(n.col - h.col) = 1)')
+@query("isolated_corner_cells", "cells", more="hot AS (SELECT row, col FROM cells WHERE value > 53000)", sql='SELECT h.row AS "row", h.col FROM hot h WHERE EXISTS (SELECT 1 FROM hot n WHERE abs(n.row - h.row) + abs(n.col - h.col) = 1)')
 def _(cells):
-    return morphology.remove_checkerboard(algebra.to_mask(cells, F.col("value") > 38000)).select("row", "col")
+    return morphology.remove_checkerboard(algebra.to_mask(cells, F.col("value") > 53000)).select("row", "col")
 
 
 # --- places and nuclides ---
@@ -723,10 +723,10 @@ def _(cells):
     return network.nesting(nodes, outlets).withColumn("depth", F.col("depth").cast("int"))
 
 
-@query("prune_elevation", "cells", recursive=True, more=OUTS, sql="SELECT o.node FROM outs o JOIN nodes n ON n.node = o.node WHERE n.z BETWEEN 30000 AND 34000")
+@query("prune_elevation", "cells", recursive=True, more=OUTS, sql="SELECT o.node FROM outs o JOIN nodes n ON n.node = o.node WHERE n.z BETWEEN 40000 AND 48000")
 def _(cells):
     nodes, _counts, outlets = outlets_of(cells)
-    return network.prune_elevation(outlets, nodes, 30000.0, 34000.0)
+    return network.prune_elevation(outlets, nodes, 40000.0, 48000.0)
 
 
 @query("upstream_histogram", "cells", recursive=True, more=OUTS, sql="SELECT w.ancestor AS outlet, CAST(floor(n.z / 2000) AS BIGINT) AS bin, count(*) AS n FROM ways w JOIN outs o ON o.node = w.ancestor JOIN nodes n ON n.node = w.node GROUP BY 1, 2")
@@ -770,15 +770,15 @@ def _(cells):
     return rounded(routing.slope_between(nodes, pairs), "length", "slope")
 
 
-@query("hillslope_lengths", "cells", recursive=True, more=CHANNEL_SQL + ",\nnear AS (SELECT w.node, w.ancestor, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w JOIN channel c ON c.node = w.ancestor)", sql="SELECT n.node, n.ancestor AS channel_node, round(n.distance, 6) AS length, round(a.z - b.z, 6) AS relief, round(CASE WHEN n.distance > 0 THEN (a.z - b.z) / n.distance END, 6) AS slope FROM near n JOIN nodes a ON a.node = n.node JOIN nodes b ON b.node = n.ancestor WHERE place = 1 AND a.z > 45000")
+@query("hillslope_lengths", "cells", recursive=True, more=CHANNEL_SQL + ",\nnear AS (SELECT w.node, w.ancestor, w.distance, row_number() OVER (PARTITION BY w.node ORDER BY w.steps) AS place FROM ways w JOIN channel c ON c.node = w.ancestor)", sql="SELECT n.node, n.ancestor AS channel_node, round(n.distance, 6) AS length, round(a.z - b.z, 6) AS relief, round(CASE WHEN n.distance > 0 THEN (a.z - b.z) / n.distance END, 6) AS slope FROM near n JOIN nodes a ON a.node = n.node JOIN nodes b ON b.node = n.ancestor WHERE place = 1 AND a.z > 60000")
 def _(cells):
     nodes, _counts, channel = channel_of(cells)
-    return rounded(routing.hillslopes(nodes, nodes.where("z > 45000"), channel), "length", "relief", "slope")
+    return rounded(routing.hillslopes(nodes, nodes.where("z > 60000"), channel), "length", "relief", "slope")
 
 
-@query("bordered_by_nodata", "cells", more="c AS (SELECT row, col FROM cells WHERE value < 40000)", sql=f'SELECT * FROM (SELECT c.row AS "row", c.col, CAST(8 - count(n.row) AS INT) AS gaps FROM c JOIN {STEPS_SQL} ON true LEFT JOIN c n ON n.row = c.row + k.dr AND n.col = c.col + k.dc GROUP BY 1, 2) WHERE gaps > 0')
+@query("bordered_by_nodata", "cells", more="c AS (SELECT row, col FROM cells WHERE value < 56000)", sql=f'SELECT * FROM (SELECT c.row AS "row", c.col, CAST(8 - count(n.row) AS INT) AS gaps FROM c JOIN {STEPS_SQL} ON true LEFT JOIN c n ON n.row = c.row + k.dr AND n.col = c.col + k.dc GROUP BY 1, 2) WHERE gaps > 0')
 def _(cells):
-    return landforms.bordered_by_nodata(cells.where("value < 40000"))
+    return landforms.bordered_by_nodata(cells.where("value < 56000"))
 
 
 @query("terrain_shape_index", "cells", more=W3, sql='SELECT row AS "row", col, round((8 * z - (n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7)) / 8 / ((12 + 8 * sqrt(2.0)) / 20), 4) AS value FROM w3 WHERE n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7 IS NOT NULL')
@@ -860,7 +860,7 @@ def _(cells):
 @query("hilltop_traces", "cells")
 def _(cells):
     nodes, _counts, channel = channel_of(cells)
-    return routing.aspect_traces(cells, nodes.where("z > 48000").select("row", "col"), channel.select("row", "col"), SPEC, max_rounds=40)
+    return routing.aspect_traces(cells, nodes.where("z > 65000").select("row", "col"), channel.select("row", "col"), SPEC, max_rounds=40)
 
 
 @query("breach", "cells")
@@ -900,7 +900,7 @@ def _(cells):
 def _(cells):
     nodes = d8(cells)
     line = nodes.select("node", "row", "col", (F.col("node") % 360).cast("double").alias("bearing"))
-    return landforms.valley_widths(cells.where("value < 40000"), line, 10)
+    return landforms.valley_widths(cells.where("value < 56000"), line, 10)
 
 
 @query("divide_sides", "cells")
@@ -1005,7 +1005,7 @@ def _(cells):
 
 @query("nodata_fill", "cells")
 def _(cells):
-    return focal.fill_gaps(algebra.mask_below(cells, 36000), SIZE, SIZE)
+    return focal.fill_gaps(algebra.mask_below(cells, 50000), SIZE, SIZE)
 
 
 @query("depression_fill", "cells")
@@ -1025,12 +1025,12 @@ def _(cells):
 
 @query("skeleton", "cells")
 def _(cells):
-    return morphology.thin(algebra.to_mask(cells, F.col("value") > 37000).where("value = 1"))
+    return morphology.thin(algebra.to_mask(cells, F.col("value") > 50000).where("value = 1"))
 
 
 @query("skeleton_end_points", "cells")
 def _(cells):
-    return morphology.end_points(morphology.thin(algebra.to_mask(cells, F.col("value") > 37000).where("value = 1")))
+    return morphology.end_points(morphology.thin(algebra.to_mask(cells, F.col("value") > 50000).where("value = 1")))
 
 
 @query("stability_index", "cells")

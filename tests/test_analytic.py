@@ -87,7 +87,7 @@ def priority_flood(z, drop):
 
 def test_fill_equals_priority_flood(spark):
     z = np.random.default_rng(2).uniform(0, 10, (12, 10))
-    got = array(flow.fill(frame(spark, z), 0.01), z.shape)
+    got = array(flow.fill(frame(spark, z), 0.01, tile=5), z.shape)
     assert np.allclose(got, priority_flood(z, 0.01))
     roots = flow.base_level(flow.d8(frame(spark, got), SPEC)).collect()
     assert all(r["row"] in (0, 11) or r["col"] in (0, 9) for r in roots)
@@ -124,7 +124,7 @@ def test_strahler_on_a_random_tree(spark):
 def test_components_are_invariant_under_transpose(spark):
     z = np.where(np.random.default_rng(4).random((12, 10)) < 0.45, 1.0, np.nan)
     a = array(morphology.components(frame(spark, z), 10), z.shape, "component")
-    b = array(morphology.components(frame(spark, z.T), 12), z.T.shape, "component").T
+    b = array(morphology.components(frame(spark, z.T), 12, tile=4), z.T.shape, "component").T
     pairs = {(x, y) for x, y in zip(a[~np.isnan(a)], b[~np.isnan(b)], strict=True)}
     assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
 
@@ -134,6 +134,8 @@ def test_thinning_leaves_a_line(spark):
     z[3:6, 1:11] = 1
     kept = array(morphology.thin(frame(spark, z)), z.shape)
     assert np.nansum(kept) <= 10 and (np.nansum(kept, axis=0) <= 1).all()
+    small = array(morphology.thin(frame(spark, z), tile=5, passes=1), z.shape)
+    assert np.array_equal(np.nan_to_num(kept), np.nan_to_num(small))
 
 
 def objective(x, y, lam):
