@@ -204,7 +204,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", le
             out.close()
             fs.move(temporary, f"{root}/{name}")
 
-    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return base.store(rows.mapInArrow(part, INDEX), "record-index")
 
 
