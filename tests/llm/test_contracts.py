@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from catena.llm import base, packing, queries, records
+from catena.llm import base, packing, quality, queries, records, secret_scan
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -201,3 +201,22 @@ def test_encoder_equals_library():
         at, ids = base.CachedEncoder(base.tokenizer_path(name), lead).encode(pa.array(texts))
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids, (name, t)
+
+
+def test_forest_on_held_out_findings():
+    """Findings drawn with another seed than those it was trained on."""
+    forest = secret_scan.fit(secret_scan.labelled_findings())
+    fresh = secret_scan.labelled_findings(1000, seed=99)
+    chance = forest.chance(np.array([secret_scan.describe(*f[:5]) for f in fresh]))
+    assert np.mean((chance >= 0.5) == np.array([f[5] for f in fresh], dtype=bool)) > 0.95
+
+
+def test_quality_keeps_good_documents(spark):
+    """On held-out labels good documents that pass the base counts stay and bad ones go."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    known = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
+    got = [(r["kept"], known[r["doc_id"]]) for r in quality.assess(docs, model).collect() if r["doc_id"] in known and not r["base_failed"]]
+    assert np.mean([k == bool(q) for k, q in got]) > 0.95
