@@ -1,0 +1,186 @@
+"""Near duplicates by the exact similarity of word shingles.
+
+Two texts are near copies if the Jaccard similarity of their sets of ``LENGTH``-word
+shingles is at least 4/5.  Candidates come from prefix filtering, which loses no
+pair: if shingles have one order everywhere, two such sets share one of the first
+``n - ceil(4n/5) + 1`` of each.  The order puts what is frequent in a bounded sample
+last, so few prefixes meet by a common line; any order would find the same pairs.
+
+What meets is compared in two rounds: each document with the smallest one that has
+the same shingle in its prefix, then all pairs that the first round left in
+different components.  So a large group of near copies costs about a comparison a
+row and a shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from catena.llm import base
+from catena.llm.components import components
+
+LENGTH = 5
+#: Documents whose shingles are counted for the order, and the most shingles that are broadcast with their counts (16 bytes each).
+SAMPLE = 20_000
+FREQUENT = 200_000
+
+
+def shingle_sets(texts: pa.Array, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of each text's distinct shingles, and these as sorted 64-bit hashes.
+
+    Words are compared in ASCII lower case.  A shorter text is one shingle, and so is a text without words.
+    """
+    offsets, codes, distinct = base.coded_words(pc.ascii_lower(texts))
+    words = np.append(base.word_hashes(distinct)[codes], np.uint64(0))
+    size = np.diff(offsets)
+    count = np.maximum(size - length + 1, 1)
+    at = base.spread(offsets[:-1], count)
+    text = np.repeat(np.arange(len(size)), count)
+    end = offsets[1:][text]
+    found = np.zeros(len(at), dtype=np.uint64)
+    for j in range(length):
+        inside = at + j < end
+        found = np.where(inside, base.mix(found + words[np.where(inside, at + j, 0)] + np.uint64(1)), found)
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    return np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(size)))]).astype(np.int64), found[new]
+
+
+def prefixes(offsets: np.ndarray, found: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of each text's prefix, and the prefixes; ``known`` shingles (sorted) come by their counts, after all others."""
+    size = np.diff(offsets)
+    rank = np.zeros(len(found), dtype=np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        rank = np.where(known[place] == found, counts[place], 0)
+    # Runs are sorted by hash already, so a stable sort by text and rank orders the rest.
+    text = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(text * (int(rank.max(initial=0)) + 1) + rank, kind="stable")
+    short = size - (4 * size + 4) // 5 + 1
+    return np.concatenate([[0], np.cumsum(short)]).astype(np.int64), found[order][base.spread(offsets[:-1], short)]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, text``: equal texts (null: empty) have one key, a 64-bit hash."""
+    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """``key, shingles`` of ``key, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in base.slices(whole):
+                offsets, found = shingle_sets(batch.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "shingles"])
+
+    return rows.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+
+
+def _frequent(rows: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come in 3 or more of the sampled documents, sorted, and in how many."""
+    n = rows.count()
+    few = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0)
+    counted = _sets(few).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count >= 3")
+    top = counted.orderBy(F.desc("count"), "shingle").limit(most).toPandas()
+    known, counts = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _meeting(rows: DataFrame, known: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``token, key, size``: prefix shingles that two or more different texts have."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in base.slices(whole):
+                offsets, found = shingle_sets(batch.column("text"))
+                first, tokens = prefixes(offsets, found, known, counts)
+                each = np.diff(first)
+                keys = np.asarray(batch.column("key"), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(keys, each)), pa.array(np.repeat(np.diff(offsets), each))], names=["token", "key", "size"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        token, key, size = (np.concatenate([np.asarray(b.column(c), dtype=np.int64) for b in found]) for c in ("token", "key", "size"))
+        found.clear()
+        order = np.argsort(token)
+        same = token[order][1:] == token[order][:-1]
+        order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) > 1 else order[:0]
+        order = order[np.lexsort((key[order], token[order]))]
+        again = np.zeros(len(order), dtype=bool)
+        again[1:] = (token[order][1:] == token[order][:-1]) & (key[order][1:] == key[order][:-1])
+        order = order[~again]
+        for lo in range(0, len(order), 50_000):
+            part = order[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(key[part]), pa.array(size[part])], names=["token", "key", "size"])
+
+    form = "token long, key long, size long"
+    return rows.select("key", "text").mapInArrow(cut, form).repartition("token").mapInArrow(several, form)
+
+
+def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``a, b`` whose similarity is 4/5 or more."""
+    wanted = base.store(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "compared-keys")
+    sets = base.store(_sets(rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])), "compared-sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _others(rows: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of one token in different components that are near enough in size, but for those with its first row."""
+    rows = rows.sort_values(["size", "key"])
+    key, size, root = (rows[c].to_numpy() for c in ("key", "size", "root"))
+    reach = np.searchsorted(size, size * 5 // 4, side="right")
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for i in range(1, len(key)):
+        own = i + 1 + np.flatnonzero(root[i + 1 : reach[i]] != root[i])
+        out.append(np.stack([np.full(len(own), key[i]), key[own]], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def links(docs: DataFrame, sample: int = SAMPLE, most: int = FREQUENT) -> DataFrame:
+    """``a, b``: links that join the keys of all near copies."""
+    rows = _keyed(docs)
+    meeting = base.store(_meeting(rows, *_frequent(rows, sample, most)), "meeting-prefixes")
+    first = meeting.groupBy("token").agg(F.min(F.struct("size", "key")).alias("first"), F.count("*").alias("n"))
+    pairs = meeting.join(first, "token").where("key <> first.key AND 5 * first.size >= 4 * size")
+    pairs = base.store(pairs.select(F.least("key", "first.key").alias("a"), F.greatest("key", "first.key").alias("b")).distinct(), "first-pairs")
+    found = base.store(_verified(rows, pairs), "first-links")
+    roots = components(found).withColumnRenamed("node", "key")
+    left = meeting.join(first.where("n > 2").select("token"), "token").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    more = left.join(apart, "token").groupBy("token").applyInPandas(_others, "a long, b long")
+    more = base.store(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    return found.unionByName(base.store(_verified(rows, more), "other-links"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of linked near copies the row with the smallest doc_id (null last), with all its columns.
+
+    Null text counts as empty, and texts without words are equal.  Of rows that repeat
+    the text and the doc_id of the row that stays one stays.
+    """
+    roots = base.store(components(base.store(links(docs), "links")).withColumnRenamed("node", "key"), "roots")
+    ids = base.store(_keyed(docs).select("doc_id", "key"), "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = ids.groupBy("key").agg(F.min(order).alias("first"))
+    named = first.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    stay = named.select(F.col("first.key").alias("key"), F.col("first.doc_id").alias("winner"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    rows = whole.join(stay, "key").where(F.col("doc_id").eqNullSafe(F.col("winner")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where("place = 1").select("row.*")

@@ -1,0 +1,51 @@
+"""The near-duplicate stage against all pairs of 5-word shingle sets."""
+
+import random
+
+import corpus_pipeline
+from tests.llm.test_contracts import words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingle_set(text):
+    w = [x.lower() for x in words(text or "")]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def kept(rows):
+    """The row that stays of each component, by comparing all pairs."""
+    sets, group = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted((min((d is None, d or 0) for (d, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)))
+
+
+def test_near_copies_by_similarity(spark, sf_dir):
+    r = random.Random(3)
+    line = "this very common line comes in many of the documents here"
+    rows = []
+    for k in range(40):
+        text = [f"w{r.randint(0, 400)}" for _ in range(r.randint(3, 150))]
+        for _ in range(r.randint(1, 4)):
+            copy = list(text)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = f"v{r.randint(0, 999)}"
+            rows.append((len(rows) if k % 5 else None, " ".join(copy) + (" " + line if k % 3 else "")))
+    base_text = [f"g{i}" for i in range(120)]
+    for i in range(60):
+        copy = list(base_text)
+        for _ in range(i % 4):
+            copy[r.randrange(120)] = f"u{r.randint(0, 999)}"
+        rows.append((1000 + i, " ".join(copy)))
+    rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "a b"), (2004, "A  b"), (2005, "a b c"), (None, "A B"), (2006, line), (2007, line.upper())]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    out = stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in out.collect()) == kept(rows)
+    assert stage(spark, docs.limit(0), sf_dir).collect() == []
