@@ -1,7 +1,7 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-Candidates are single words: known key formats, values assigned to a name, and long
-runs of mixed characters.  For each the forest sees the candidate's length, its
+Candidates lie within words: known key formats, values assigned to a name (in the word
+itself, in JSON or a URL, or announced by the words before), and long runs of mixed characters.  For each the forest sees the candidate's length, its
 character transitions, how much of it a dictionary covers, its path and the words
 beside it.  The forest (numpy, trained here) learns from labelled findings, given by the
 caller or made up by ``labelled_findings``.
@@ -25,8 +25,16 @@ from pyspark.sql import functions as F
 
 from catena.llm import base
 
-#: A word is looked at if it has this shape (RE2): 16 or more characters of key alphabets with a digit among them, or a value assigned to a telling name.
-CANDIDATE = r"(?i)^[^A-Za-z0-9]*((pass(word|wd)?|pwd|secret|token|api_?key|auth)[\"']?[=:][\"']?\S{6,}|[A-Za-z0-9_\-./+=:~]*[0-9][A-Za-z0-9_\-./+=:~]*)[^A-Za-z0-9]*$"
+_TELLS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credential|bearer)"
+#: A word is looked at (RE2) if it assigns a value to a telling name, holds a password in a URL, or has a run of 16 or more key characters and a digit.
+ASSIGNED = rf"(?i){_TELLS}[A-Za-z0-9_.\-]*[\"']?\]?(:=|=>|[=:])|://[^/\s:@]*:\S{{6,}}@"
+RUN = r"[A-Za-z0-9_\-./+=~]{16,}"
+#: A word that announces the next one as a value: a telling name, with or without a sign of assignment; or that sign alone.
+CUE = rf"(?i)^[^A-Za-z0-9]*[A-Za-z0-9_.\-]*{_TELLS}[A-Za-z0-9_.\-]*[\"']?\]?(:=|=>|[=:])?$"
+SIGN = r"^(:=|=>|[=:])$"
+PAIR = re.compile(rf"(?i)(?P<name>[A-Za-z0-9_.\-]*{_TELLS}[A-Za-z0-9_.\-]*)[\"']?\]?(?::=|=>|[=:])(?:\"(?P<double>[^\"]{{6,}})|'(?P<single>[^']{{6,}})|(?P<bare>[^\"'\s]\S{{5,}}))")
+URL = re.compile(r"://[^/\s:@]*:(\S{6,})@")
+RUNS = re.compile(RUN)
 CORE = re.compile(r"^[^A-Za-z0-9]*(?:(?P<name>[A-Za-z_\-]{2,32})[\"']?[=:][\"']?)?(?P<value>[A-Za-z0-9_\-./+=~]{8,})[^A-Za-z0-9=]*$")
 SHORTEST = 16
 #: Words that candidates, paths and neighbours are compared with.
@@ -103,9 +111,45 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
             ][kind]()
             near = r.choice(["commit", "sha", "checksum", "hash:"]) if kind == 3 else r.choice([before, "id", "phone", "version", "example"])
             out.append((r.choice(["password", "token"]) if kind == 7 else "", value, path(0), near, after, 0))
+    # Short passwords and passphrases under telling names, and what such names have in prose and templates.
+    for i in range(n // 4):
+        name = r.choice(["password", "pwd", "passwd", "DB_PASSWORD", "db_password", "secret", "token"])
+        if i % 2:
+            value = [lambda: pick(letters, r.randint(4, 10)) + r.choice("0123456789") + pick("!@&#$%", r.randint(0, 2)) + pick(letters, r.randint(1, 4)), lambda: pick(string.ascii_lowercase, r.randint(3, 8)) + pick(string.digits, r.randint(1, 4)) + pick(string.ascii_lowercase, r.randint(0, 3)), lambda: "".join(word() for _ in range(r.randint(5, 8)))][r.randrange(3)]()
+            out.append((name, value, path(1), word(), word(), 1))
+        else:
+            value = r.choice([lambda: r.choice(DICTIONARY), lambda: r.choice(["changeme", "required", "<password>", "${PASSWORD}", "optional", "undefined", "string", "xxxxxxxx"]), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4)))])()
+            out.append((name, value, path(0), word(), word(), 0))
     return out
 
 
+def values_in(word: str) -> list[tuple[str, str]]:
+    """(name, value) of all candidates within a word."""
+    found, at = [], 0
+    while m := PAIR.search(word, at):
+        value, at = m["double"] or m["single"] or m["bare"], m.end()
+        if m["bare"]:
+            # In a query an ampersand ends the value, in JSON a comma before the next name does.
+            cut = re.search(r"[&#]", value) if "?" in word[: m.start()] or "://" in word[: m.start()] else re.search(r",[\"']", value)
+            if cut:
+                value, at = value[: cut.start()], m.start("bare") + cut.start()
+            value = value.rstrip(",;)]}>\"'.")
+        if len(value) >= 6:
+            found.append((m["name"], value))
+    found += [("password", m[1]) for m in URL.finditer(word)]
+    if not found and (m := CORE.match(word)) and len(m["value"]) >= SHORTEST:
+        return [(m["name"] or "", m["value"])]
+    runs = [m[0] for m in RUNS.finditer(word) if any(c.isdigit() for c in m[0])]
+    return found + [("", r) for r in runs if not any(v in r or r in v for _, v in found)]
+
+
+def value_after(before: list[str], word: str) -> tuple[str, str] | None:
+    """(name, value) of a word that the words before it announce."""
+    name = next((w for w in reversed(before) if not re.match(SIGN, w)), "")
+    value = word.strip("\"'`").rstrip(",;)]}>\"'.")
+    return (re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", name), value) if len(value) >= 6 else None
+
+
 @dataclass
 class Forest:
     """Trees as arrays: feature (-1: leaf), bound, left, right, share of secrets."""
@@ -177,27 +221,36 @@ def scan(docs: DataFrame, forest: Forest, path: str | None = None, threshold: fl
         for whole in batches:
             for batch in base.slices(whole):
                 offsets, codes, distinct = base.coded_words(batch.column("text"))
-                match = pc.and_(pc.greater_equal(pc.binary_length(distinct), 8), pc.match_substring_regex(distinct, CANDIDATE))
-                odd = np.asarray(match, dtype=bool)
-                parts: dict[int, tuple[str, str]] = {}
+                has = lambda p: np.asarray(pc.match_substring_regex(distinct, p), dtype=bool)  # noqa: E731, B023
+                odd = has(ASSIGNED) | (has(RUN) & has("[0-9]"))
+                parts: dict[int, list[tuple[str, str]]] = {}
                 for i in np.flatnonzero(odd).tolist():
-                    m = CORE.match(distinct[i].as_py())
-                    if m and (len(m["value"]) >= SHORTEST or m["name"] and m["name"].lower().replace("-", "_") in TELLING):
-                        parts[i] = (m["name"] or "", m["value"])
+                    if values := values_in(distinct[i].as_py()):
+                        parts[i] = values
                 good = np.zeros(len(distinct), dtype=bool)
                 good[list(parts)] = True
-                at = np.flatnonzero(good[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
+                # The word after a cue, or after a cue and a sign, within the same text.
+                cue, sign = has(CUE)[codes], has(SIGN)[codes]
+                number = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                after = np.zeros(len(codes), dtype=bool)
+                after[1:] = cue[:-1] & (number[1:] == number[:-1])
+                after[2:] |= cue[:-2] & sign[1:-1] & (number[2:] == number[:-2])
+                after &= ~good[codes] & ~sign & ~cue
+                at = np.flatnonzero(good[codes] | after) if len(codes) else np.zeros(0, dtype=np.int64)
                 if not len(at):
                     continue
                 text = np.searchsorted(offsets, at, side="right") - 1
                 paths = batch.column("path").to_pylist()
                 rows, found = [], []
                 for w, d in zip(at.tolist(), text.tolist(), strict=True):
-                    name, value = parts[int(codes[w])]
-                    before = " ".join(distinct[int(codes[j])].as_py() for j in range(max(int(offsets[d]), w - 2), w))
-                    after = distinct[int(codes[w + 1])].as_py() if w + 1 < offsets[d + 1] else ""
-                    rows.append(describe(name, value, paths[d] or "", before, after))
-                    found.append((d, w - int(offsets[d]), name, len(value), hashlib.sha256(value.encode()).hexdigest()))
+                    words = [distinct[int(codes[j])].as_py() for j in range(max(int(offsets[d]), w - 2), w)]
+                    follows = distinct[int(codes[w + 1])].as_py() if w + 1 < offsets[d + 1] else ""
+                    told = value_after(words, distinct[int(codes[w])].as_py()) if after[w] else None
+                    for name, value in [told] if told else parts.get(int(codes[w]), []):
+                        rows.append(describe(name, value, paths[d] or "", " ".join(words), follows))
+                        found.append((d, w - int(offsets[d]), name, len(value), hashlib.sha256(value.encode()).hexdigest()))
+                if not rows:
+                    continue
                 chance = forest.chance(np.array(rows))
                 doc, index, name, size, sha = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(index, pa.int64()), pa.array(name), pa.array(size, pa.int64()), pa.array(sha), pa.array(chance), pa.array(chance >= threshold)], names=["doc_id", "word_index", "name", "n_chars", "value_sha256", "score", "is_secret"])

@@ -1,0 +1,22 @@
+"""Secrets that are short, have punctuation, or lie in URLs, JSON and spaced assignments become candidates."""
+
+import hashlib
+
+from catena.llm import secret_scan
+
+CASES = {
+    "password=Tr0ub4dor&3x": "Tr0ub4dor&3x", "password=P@ssw0rd!2024xyz": "P@ssw0rd!2024xyz", "pwd=abc1234": "abc1234", "db_password=S3cretPw9x": "S3cretPw9x",
+    "DB_PASSWORD=correcthorsebatterystaple": "correcthorsebatterystaple", 'password = "hunter2abc"': "hunter2abc", "postgres://u:p4ssw0rd9@host/db": "p4ssw0rd9",
+    "https://x.y/z?a=1&key=AIza" + "b1" * 16 + "&c=2": "AIza" + "b1" * 16, '{"user":"bob","token":"q9X7z5w3v1t8"}': "q9X7z5w3v1t8",
+}
+
+
+def test_wide_candidates(spark):
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(CASES)], "doc_id long, text string")
+    forest = secret_scan.fit(secret_scan.labelled_findings())
+    got = secret_scan.scan(docs, forest).collect()
+    found = {(r["doc_id"], r["value_sha256"]): r["is_secret"] for r in got}
+    want = [(i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate(CASES.values())]
+    assert [i for i, h in want if (i, h) not in found] == []
+    missed = [i for i, h in want if not found[i, h]]
+    assert missed == []
