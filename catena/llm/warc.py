@@ -79,12 +79,12 @@ def parse(data: bytes) -> dict:
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``page_id, refers_to`` of the pages that repeat the payload of a page with a larger id."""
+    """``page_id, digest, refers_to`` of the pages that repeat the payload of a page with a larger id."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     small = base.store(pages.select(F.col("page_id").cast("long"), F.sha1(html).alias("digest"), F.length(html).alias("bytes")).where(F.col("bytes") >= least).select("page_id", "digest"), "payload-digests")
     # Counts are summed before the shuffle; only repeated digests are joined back.
     best = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    return small.join(best, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return small.join(best, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST, level: int = 1) -> DataFrame:
@@ -120,7 +120,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, level: int = 1) ->
 
     again = revisits(pages, least)
     rows = base.whole_text(pages.withColumn("page_id", F.col("page_id").cast("long")), "page_id", F.col("url").cast("string").alias("url"), text="html")
-    rows = rows.join(again, "page_id", "left").select("page_id", "url", "text", "refers_to")
+    rows = rows.withColumn("digest", F.sha1(F.col("text").cast("binary"))).join(again, ["page_id", "digest"], "left").select("page_id", "url", "text", "refers_to")
     return base.store(rows.mapInArrow(part, INDEX), "warc-index")
 
 
