@@ -10,9 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"catena-{os.getuid()}")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder, which ``spark.checkpoint.dir`` names.
+
+    Only where the executors are threads of the driver a temporary folder of this machine stands in for it; on a cluster
+    without that setting this raises, as executors would write where the others can't read.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), f"catena-{os.getuid()}")
+    return f"{root.rstrip('/')}/{context.applicationId}"
 
 
 def clean(spark: SparkSession) -> None:
@@ -25,9 +34,7 @@ def clean(spark: SparkSession) -> None:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table.
 
-    Iterative operators call this each round: the lineage ends here, and the copy outlives
-    lost executors.  The folder is that of ``spark.checkpoint.dir``; only where it is unset
-    (one machine) a temporary one is used.
+    Iterative operators call this each round: the lineage ends here, and the copy outlives lost executors.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
