@@ -1,19 +1,18 @@
 """Repeated passages by level-wise doubling of window lengths.
 
-The windows looked for have ``window`` words.  Half as long a window is looked for
-first, and only windows that repeat at the half length are extended to the whole
-one; a window length that halves evenly more than once could start lower.
-
-At the half length not every window needs a look: of each whole window, only the
-half-length window with the smallest hash inside it stands for it (its
-anchor).  Equal windows have equal anchors at the same place, so a window whose
-anchor is in one document only can't repeat, and no repeated window is
-missed.  At the whole length every window with a repeated anchor is compared.
-
-Windows are compared by 64-bit hashes of all their words.  Before each shuffle a
-batch keeps one row for each hash, the one with the smallest doc_id, and settles
-the others itself, so that a passage in any number of documents sends at most a row
-for each batch.  When no window survives a level there is nothing left to extend.
+The windows looked for have ``window`` words.  Their length is halved down to a short one (50, 25, 13 words), and
+the levels are gone through from the shortest: only windows that repeat at one length are extended to twice
+that length, and a level without survivors ends the work (the levels above it join an empty table, which
+adaptive execution drops).
+
+Below the whole length not every window needs a look: of each whole window that is still alive, only the
+shorter window with the smallest hash inside it stands for it (its anchor).  Equal windows have equal anchors at
+the same place, so a window whose anchor is in one document only can't repeat, and no repeated window is
+missed.  At the whole length every window that is still alive is compared, by 128-bit hashes of all its words.
+
+A document sends one row for each hash, with all its places, and of the documents of a slice (4 MB of text) only the
+first one with a hash sends it; the others are known to repeat.  So a passage in any number of documents sends a row
+a slice at most, and a text of equal words sends one row.
 """
 
 from __future__ import annotations
@@ -24,13 +23,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catena.llm import base
 
 WINDOW = 50
+#: Lengths are halved until they are at most this.
+SHORTEST = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+ANCHORS = "hash long, doc_id long, row_key long, place int, more array<int>, repeats boolean"
+RUN = "struct<place:int,run:int>"
+WINDOWS = f"hash long, hash2 long, doc_id long, row_key long, place int, more array<{RUN}>, settled boolean"
+_RUNS = pa.list_(pa.struct([("place", pa.int32()), ("run", pa.int32())]))
+
+
+def levels(window: int, shortest: int = SHORTEST) -> list[int]:
+    """Window lengths from the shortest to the whole; each is at most twice the one before it, and there are two at least."""
+    found = [window]
+    while found[0] > shortest or len(found) == 1:
+        found.insert(0, -(-found[0] // 2))
+    return found
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -46,7 +60,7 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     out, have, power, size, left = None, 0, words, 1, length
     while left:
         if left & 1:
-            out = power if out is None else _join(out[: len(out) - size], power[have:])
+            out = power if out is None else _join(out[: max(0, len(out) - size)], power[have:])
             have += size
         left >>= 1
         if left:
@@ -55,108 +69,147 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of ``width`` values from each position on, by doubling."""
-    size = 1
-    while size * 2 <= width:
-        x = np.minimum(x[: len(x) - size], x[size:])
-        size *= 2
-    rest = width - size
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def _first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, whether a row with its key has a smaller id in these arrays, and whether any has another id."""
-    order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(np.concatenate([heads, [len(k)]]))
-    later, shared = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
-    later[order] = i > np.repeat(i[heads], size)
-    shared[order] = np.repeat(i[heads] < i[heads + size - 1], size)
-    return later, shared
+def first_smallest(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the minimum of ``width`` values from each position on, the first of equal ones, by doubling."""
+    place, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        n = max(0, len(x) - step)
+        later = x[step:] < x[:n]
+        x, place = np.where(later, x[step:], x[:n]), np.where(later, place[step:], place[:n])
+        size += step
+    return place
 
 
-def _scattered(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _scattered(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Keys for rows that meet no others: any task will do."""
-    return base.mix(base.mix(ids.astype(np.uint64)) ^ places.astype(np.uint64))
-
-
-def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offsets, codes, distinct = base.coded_words(batch.column("text"))
-    return offsets, base.word_hashes(distinct)[codes], np.asarray(batch.column("doc_id"), dtype=np.int64)
-
-
-def _anchors(words: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of half-length windows, and for each whole window the place of its anchor."""
-    hashes = window_hashes(words, half)
-    # The low bits carry the place in the window, so that ties go to the first one of equal hashes.
-    width = window - half + 1
-    ranks = base.mix(hashes)
-    low = sliding_min(ranks, width)
-    n = len(low)
-    # The first place in each window that has the minimum: going back, keep the nearest.
-    place = np.full(n, -1, dtype=np.int64)
-    for step in range(width - 1, -1, -1):
-        hit = ranks[step : step + n] == low
-        place[hit] = step
-    return hashes, place + np.arange(n)
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> Iterator[pa.RecordBatch]:
+    return base.mix(base.mix(ids.astype(np.uint64)) ^ keys.astype(np.uint64))
+
+
+class Texts:
+    """The words of some documents as two lanes of hashes, one document after another."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.offsets, codes, distinct = base.coded_words(batch.column("text"))
+        digests = b"".join(map(xxhash.xxh3_128_digest, distinct.cast(pa.binary()).to_pylist()))
+        lanes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+        self.words, self.second = lanes[codes, 0], lanes[codes, 1]
+        self.ids, self.keys = np.asarray(batch.column("doc_id"), dtype=np.int64), np.asarray(batch.column("row_key"), dtype=np.int64)
+
+    def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where whole windows begin, and the document of each."""
+        count = np.maximum(0, np.diff(self.offsets) - window + 1)
+        return base.spread(self.offsets[:-1], count), np.repeat(np.arange(len(count)), count)
+
+    def anchors(self, starts: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of ``length`` words, and the place of the anchor of each whole window."""
+        hashes = window_hashes(self.words, length)
+        return hashes, first_smallest(base.mix(hashes), window - length + 1)[starts]
+
+    def alive(self, batch: pa.RecordBatch, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whole windows whose anchor of ``length`` words is among the documents' ``places``, and the document of each."""
+        starts, owner = self.starts(window)
+        found = batch.column("places")
+        parent, place = np.asarray(pc.list_parent_indices(found), dtype=np.int64), np.asarray(pc.list_flatten(found), dtype=np.int64)
+        good = np.zeros(len(self.words) + 1, dtype=bool)
+        good[self.offsets[parent] + place] = True
+        if not len(starts) or not good.any():
+            return starts[:0], owner[:0]
+        use = good[self.anchors(starts, window, length)[1]]
+        return starts[use], owner[use]
+
+
+def _grouped(keys: list[np.ndarray], ids: np.ndarray, owner: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of key, id, document and place; which begin a document's rows of a key; which have a smaller id before them in their key; which keys have two ids.
+
+    The last three are given for each row in that order.
+    """
+    order = np.lexsort((places, owner, ids, *keys))
+    i, o = ids[order], owner[order]
+    new = np.zeros(len(i), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    heads = np.flatnonzero(new)
+    size = np.diff(np.append(heads, len(i)))
+    first = new.copy()
+    first[1:] |= o[1:] != o[:-1]
+    return order, first, i > np.repeat(i[heads], size), np.repeat(i[heads] < i[heads + size - 1], size)
+
+
+def _lists(group: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """Lists of the values by ascending group from 0 to n - 1; a group without values is null."""
+    count = np.bincount(group, minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), values, mask=pa.array(count == 0))
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, length: int, before: int | None) -> Iterator[pa.RecordBatch]:
+    """Anchors of ``length`` words: of all whole windows, or of those alive after the level of ``before`` words."""
     for whole in batches:
         for batch in base.slices(whole):
-            offsets, words, ids = _documents(batch)
-            hashes_of, places_of, owner = [], [], []
-            for i in np.flatnonzero(np.diff(offsets) >= window):
-                hashes, at = _anchors(words[offsets[i] : offsets[i + 1]], window, half)
-                at = np.unique(at)
-                hashes_of.append(hashes[at])
-                places_of.append(at)
-                owner.append(np.full(len(at), i))
-            if not owner:
+            if before is not None:
+                batch = batch.filter(pc.is_valid(batch.column("places")))
+            texts = Texts(batch)
+            starts, owner = texts.starts(window) if before is None else texts.alive(batch, window, before)
+            if not len(starts):
                 continue
-            hashes, places, rows = np.concatenate(hashes_of), np.concatenate(places_of), np.concatenate(owner)
-            later, shared = _first(hashes, ids[rows])
-            # Only the first row of a hash goes to be compared; of the others it is known that they repeat.
-            hashes = np.where(later, _scattered(ids[rows], places), hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows]), batch.column("row_key").take(pa.array(rows)), pa.array(places.astype(np.int32)), pa.array(shared)], names=["hash", "doc_id", "row_key", "place", "repeats"])
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch], window: int, half: int) -> Iterator[pa.RecordBatch]:
-    """Candidates at the whole length, and as runs (``run`` > 0) what this batch settles."""
+            hashes, at = texts.anchors(starts, window, length)
+            # Anchors never go back, so equal ones stand together.
+            new = np.append(True, at[1:] != at[:-1])
+            at, owner = at[new], owner[new]
+            place = at - texts.offsets[owner]
+            order, first, later, shared = _grouped([hashes[at]], texts.ids[owner], owner, place)
+            at, owner, place = at[order], owner[order], place[order]
+            # One row for each hash and document that goes to be compared, with its other places; one for all that is settled of a document.
+            send = np.flatnonzero(first & ~later)
+            extra = np.flatnonzero(~first & ~later)
+            group = np.cumsum(first & ~later)[extra] - 1
+            done = np.flatnonzero(later)
+            done = done[np.argsort(owner[done], kind="stable")]
+            docs, which = np.unique(owner[done], return_inverse=True)
+            rows = np.concatenate([owner[send], docs])
+            places = pa.array(np.concatenate([place[send], np.zeros(len(docs), dtype=np.int64)]), pa.int32(), mask=np.arange(len(rows)) >= len(send))
+            more = _lists(np.concatenate([group, which + len(send)]), len(rows), pa.array(np.concatenate([place[extra], place[done]]), pa.int32()))
+            keys = np.concatenate([hashes[at[send]], _scattered(texts.ids[docs], texts.keys[docs])]).view(np.int64)
+            repeats = np.concatenate([shared[send], np.ones(len(docs), dtype=bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts.ids[rows]), pa.array(texts.keys[rows]), places, more, pa.array(repeats)], names=["hash", "doc_id", "row_key", "place", "more", "repeats"])
+
+
+def _runs(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Consecutive places of a group as runs: the group of each run, and (place, run)."""
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (group[1:] != group[:-1])
+    heads = np.flatnonzero(new)
+    size = np.diff(np.append(heads, len(place)))
+    return group[heads], pa.StructArray.from_arrays([pa.array(place[heads], pa.int32()), pa.array(size, pa.int32())], names=["place", "run"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], window: int, before: int) -> Iterator[pa.RecordBatch]:
+    """Windows of the whole length that are still alive, and as one row a document (``settled``) the runs that this slice settles."""
     for whole in batches:
         for batch in base.slices(whole):
             batch = batch.filter(pc.is_valid(batch.column("places")))
-            if not batch.num_rows:
-                continue
-            offsets, words, ids = _documents(batch)
-            found = batch.column("places")
-            hashes_of, places_of, owner = [], [], []
-            for i in np.flatnonzero(np.diff(offsets) >= window):
-                own = words[offsets[i] : offsets[i + 1]]
-                _, at = _anchors(own, window, half)
-                alive = np.zeros(len(own), dtype=bool)
-                alive[np.asarray(found[i].values if isinstance(found[i], pa.Scalar) else found[i])] = True
-                at = np.flatnonzero(alive[at])
-                hashes_of.append(window_hashes(own, window)[at])
-                places_of.append(at)
-                owner.append(np.full(len(at), i))
-            if not owner:
+            texts = Texts(batch)
+            starts, owner = texts.alive(batch, window, before)
+            if not len(starts):
                 continue
-            hashes, places, rows = np.concatenate(hashes_of), np.concatenate(places_of), np.concatenate(owner)
-            later, _ = _first(hashes, ids[rows])
-            send = np.flatnonzero(~later)
-            # Of rows of one document with the same window all are sent: each place counts.
-            runs = np.flatnonzero(later)
-            begin = np.concatenate([[True], (np.diff(places[runs]) != 1) | (np.diff(rows[runs]) != 0)]) if len(runs) else np.zeros(0, dtype=bool)
-            heads = np.flatnonzero(begin)
-            length = np.diff(np.concatenate([heads, [len(runs)]])) if len(runs) else heads
-            rows = np.concatenate([rows[send], rows[runs][heads]])
-            place = np.concatenate([places[send], places[runs][heads]])
-            run = np.concatenate([np.zeros(len(send), dtype=np.int64), length])
-            hashes = np.concatenate([hashes[send], _scattered(ids[rows[len(send) :]], place[len(send) :])])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows]), batch.column("row_key").take(pa.array(rows)), pa.array(place.astype(np.int32)), pa.array(run.astype(np.int32))], names=["hash", "doc_id", "row_key", "place", "run"])
+            hashes, second = (window_hashes(lane, window)[starts] for lane in (texts.words, texts.second))
+            place = starts - texts.offsets[owner]
+            order, first, later, _ = _grouped([hashes, second], texts.ids[owner], owner, place)
+            hashes, second, owner, place = hashes[order], second[order], owner[order], place[order]
+            send = np.flatnonzero(first & ~later)
+            extra = np.flatnonzero(~first & ~later)
+            some, some_runs = _runs(np.cumsum(first & ~later)[extra] - 1, place[extra])
+            done = np.flatnonzero(later)
+            done = done[np.lexsort((place[done], owner[done]))]
+            docs, which = np.unique(owner[done], return_inverse=True)
+            settled, settled_runs = _runs(which, place[done])
+            rows = np.concatenate([owner[send], docs])
+            alone = np.arange(len(rows)) < len(send)
+            places = pa.array(np.concatenate([place[send], np.zeros(len(docs), dtype=np.int64)]), pa.int32(), mask=~alone)
+            more = _lists(np.concatenate([some, settled + len(send)]), len(rows), pa.concat_arrays([some_runs, settled_runs])).cast(_RUNS)
+            keys = [np.concatenate([x[send], _scattered(texts.ids[docs], texts.keys[docs])]).view(np.int64) for x in (hashes, second)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(texts.ids[rows]), pa.array(texts.keys[rows]), places, more, pa.array(~alone)], names=["hash", "hash2", "doc_id", "row_key", "place", "more", "settled"])
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -164,19 +217,20 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``docs`` has ``doc_id, row_key, text``; a run is (place, count) in words from 0.
     """
-    half = (window + 1) // 2
-    anchors = docs.mapInArrow(lambda b: _anchor_rows(b, window, half), "hash long, doc_id long, row_key int, place int, repeats boolean")
-    # At most one document of each batch sends a hash, so these groups stay small however often a passage repeats.
-    same = Window.partitionBy("hash")
-    alive = anchors.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("repeats").over(same)}).where("any OR low < high")
-    places = alive.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places"))
-    # A left join without a filter, as in the caller: both then read one and the same shuffle of the texts.
-    extended = docs.join(places, ["doc_id", "row_key"], "left")
-    windows = extended.mapInArrow(lambda b: _window_rows(b, window, half), "hash long, doc_id long, row_key int, place int, run int")
-    smallest = F.min("doc_id").over(Window.partitionBy("hash", F.col("run") > 0))
-    flagged = windows.withColumn("low", smallest).where("run > 0 OR doc_id > low")
-    runs = F.collect_list(F.struct("place", F.greatest("run", F.lit(1)).alias("run")))
-    return flagged.groupBy("doc_id", "row_key").agg(runs.alias("runs"))
+    alive, before = docs, None
+    *short, _ = levels(window)
+    for length in short:
+        anchors = alive.mapInArrow(lambda b, n=length, p=before: _anchor_rows(b, window, n, p), ANCHORS)
+        same = Window.partitionBy("hash")
+        found = anchors.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("repeats").over(same)}).where("any OR low < high")
+        places = found.groupBy("doc_id", "row_key").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places"))
+        # A left join without a filter, as in the caller: all of them then read one and the same shuffle of the texts.
+        alive, before = docs.join(places, ["doc_id", "row_key"], "left"), length
+    windows = alive.mapInArrow(lambda b: _window_rows(b, window, before), WINDOWS)
+    smallest = F.min("doc_id").over(Window.partitionBy("hash", "hash2", "settled"))
+    flagged = windows.withColumn("low", smallest).where("settled OR doc_id > low")
+    own = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.lit(1).alias("run"))))
+    return flagged.groupBy("doc_id", "row_key").agg(F.concat(own, F.flatten(F.collect_list("more"))).cast(f"array<{RUN}>").alias("runs"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -210,6 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
 
     Each word goes that is covered by ``window`` words in sequence that also
     begin in a document with a smaller doc_id; all windows are judged on the input.
+    Whole texts of any length are read; memory holds a slice of 4 MB, or one longer text.
     Null text has no words.  Documents shorter than a window, and rows without a
     doc_id, stay whole and count as no one's earlier copy.  Rows equal in doc_id
     and text are one document that comes twice: both stay.  Other columns
@@ -218,12 +273,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     if window < 2:
         raise ValueError("a window has at least two words")
     rows = base.whole_text(base.with_long(docs, "doc_id"), "doc_id")
-    # Rows that share a doc_id are told apart by 16 bits of their text's hash; more would double what is shuffled.
-    rows = rows.withColumn("row_key", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+    # Rows that share a doc_id are told apart by a hash of their text.
+    rows = rows.withColumn("row_key", F.xxhash64("text"))
     named = rows.where("doc_id IS NOT NULL")
     runs = repeated_places(named, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    none = F.array().cast("array<struct<place:int,run:int>>")
+    none = F.array().cast(f"array<{RUN}>")
     both = named.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     both = both.unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("runs")))
     return both.mapInArrow(lambda b: _removed(b, window, texts), schema)
