@@ -1,8 +1,9 @@
 """Quality rules: a conditional random field labels each line as content or boilerplate.
 
 A document's lines are a sequence.  A linear-chain conditional random field over
-simple features of the lines is trained on labelled documents (lines of good
-documents are content, lines of bad ones boilerplate); Viterbi decoding finds the best
+simple features of the lines is trained on labelled documents: lines of good
+documents are content, lines of bad ones boilerplate, and besides whole documents it sees mixed ones, where lines of
+one kind stand within a document of the other, so that it learns where labels change.  Viterbi decoding finds the best
 labelling of all lines of a document, and the share of its words that stand in
 content lines decides whether it stays.  Documents that fail a few plain counts go
 before that.
@@ -168,6 +169,35 @@ def train(features: np.ndarray, offsets: np.ndarray, labels: np.ndarray, steps:
     return weights, moves
 
 
+def mixtures(good: list[str], bad: list[str], seed: int = 3) -> tuple[list[str], list[int]]:
+    """Training texts and the labels of all their lines: every document as it is, and pairs with one document put between two lines of the other."""
+    rng = np.random.default_rng(seed)
+    texts, labels = [], []
+
+    def add(*parts: tuple[list[str], int]) -> None:
+        texts.append("\n".join(line for lines, _ in parts for line in lines))
+        labels.extend(y for lines, y in parts for _ in lines)
+
+    for t in good:
+        add((t.split("\n"), 1))
+    for t in bad:
+        add((t.split("\n"), 0))
+    for i in range(max(len(good), len(bad))):
+        outer, inner = (good[i % len(good)].split("\n"), 1), (bad[i % len(bad)].split("\n"), 0)
+        if rng.random() < 0.5:
+            outer, inner = inner, outer
+        cut = int(rng.integers(0, len(outer[0]) + 1))
+        add(*(p for p in ((outer[0][:cut], outer[1]), inner, (outer[0][cut:], outer[1])) if p[0]))
+    return texts, labels
+
+
+def learn(good: list[str], bad: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves from good and bad texts."""
+    texts, labels = mixtures(good, bad)
+    lines = Lines(pa.array(texts, pa.string()))
+    return train(lines.features(lines.repeated_words(), lines.duplicate_lines()), lines.line_offsets, np.array(labels))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
     """Train on at most ``most`` documents of each label, the same ones each run; None if a label is missing.
 
@@ -183,17 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.
     rows = base.whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(small), "doc_id")
     rows = rows.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "quality", "text").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
-    if len({r["quality"] for r in rows}) < 2:
-        return None
-    lines = Lines(pa.array([r["text"] for r in rows], pa.string()))
-    features = lines.features(lines.repeated_words(), lines.duplicate_lines())
-    return train(features, lines.line_offsets, np.array([r["quality"] for r in rows])[lines.docs])
+    good, bad = ([r["text"] for r in rows if r["quality"] == y] for y in (1, 0))
+    return learn(good, bad) if good and bad else None
 
 
 def assess(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share.
 
-    Null text has no words.  A document fails the base with under 50 words, or if
+    All lines of whole texts are labelled, however many there are.  Null text has no words.  A document fails the base with under 50 words, or if
     over half its words stand in 3-word windows that come twice or more.  Without
     a model every line is content.  Rows without a doc_id and repeated rows are judged like any
     other.  Other columns are ignored; an empty table gives an empty result.
