@@ -1,14 +1,12 @@
-"""What the corpus operators share: shared storage, word arrays, hashing.
+"""What the corpus operators share: shared storage, word arrays, hashing, tokenizers.
 
-Nothing here gathers rows on the driver.  Tables that cut lineage go to the
-folder named by ``spark.checkpoint.dir``; a folder of our own is used only where
-that setting is absent (tests on one machine).
+Nothing here gathers rows on the driver.  Tables that cut lineage go to the shared folder (``catena.storage``).
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catena import storage
+from catena.storage import store as store
+
 #: Runs of these characters separate words (space, tab, newline, VT, FF, CR).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,38 +29,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as a URI."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"catena-{os.getuid()}")
-    return found.rstrip("/")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table.
-
-    The copy survives lost executors and cuts the lineage, so later jobs read it
-    instead of running the plan above it again.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A fresh path below the shared folder; nothing is created yet."""
+    return f"{storage.folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI, on the driver or an executor."""
+    """The file system and path of a URI, on the driver or an executor; s3a and s3n are Hadoop's names of s3."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), os.path.abspath(uri)
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def with_long(df: DataFrame, column: str) -> DataFrame:
@@ -141,18 +122,21 @@ class CachedEncoder:
     The library encodes each distinct part of a batch once, many of them joined
     by a separator that no part contains and that no merge crosses.  Parts that
     came twice in a batch are kept for the next ones, ``capacity`` of them at
-    most.  Strings of special tokens inside a text are ordinary text.
+    most.  Texts that hold the string of an added token are encoded whole by the
+    library, which makes special ids of such strings; if ``ordinary`` they are text like any other.
     """
 
     #: Parts of this form (RE2) can be joined: no separator, and no white space but a leading space and newlines inside.
     JOINABLE = r"^ ?[^~\s\x0b\x1c-\x1f\x85\p{Z}]+(\n+[^~\s\x0b\x1c-\x1f\x85\p{Z}]+)*$"
 
-    def __init__(self, path: str, lead_space: bool, capacity: int = 250_000) -> None:
+    def __init__(self, path: str, lead_space: bool, ordinary: bool = False, capacity: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = ordinary
+        added = self.model.get_added_tokens_decoder().values()
+        self.added = [(t.content, t.normalized) for t in added if not (ordinary and t.special)]
         self.lead_space, self.capacity = lead_space, capacity
         self.separator = "\t" if lead_space else " ~ "
         self.mark = self.model.encode(self.separator, add_special_tokens=False).ids
@@ -188,6 +172,23 @@ class CachedEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids of all texts (uint32)."""
+        odd = np.zeros(len(texts), dtype=bool)
+        for content, normalized in self.added:
+            odd |= np.asarray(pc.match_substring(texts, content, ignore_case=normalized), dtype=bool)
+        if not odd.any():
+            return self._cut(texts)
+        offsets, ids = self._cut(pc.if_else(pa.array(odd), "", texts))
+        count, special = self._one_by_one(texts.filter(pa.array(odd)))
+        n = np.diff(offsets)
+        n[odd] = count
+        at = np.concatenate([[0], np.cumsum(n)])
+        out = np.zeros(int(at[-1]), dtype=np.uint32)
+        for which, found in ((~odd, ids), (odd, special)):
+            out[spread(at[:-1][which], n[which])] = found
+        return at, out
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         whole = pc.split_pattern(texts, " ")
         offsets, parts = whole.offsets.to_numpy().astype(np.int64), whole.flatten()
         offsets = offsets - offsets[0]
@@ -204,8 +205,6 @@ class CachedEncoder:
 
     def _mixed(self, texts: pa.Array, runs: np.ndarray, offsets: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts with runs of spaces are cut only where a run begins."""
-        import re
-
         cut = re.compile(r"(?<=\S)(?= )")
         out, where = [], [0]
         for i, odd in enumerate(runs.tolist()):
@@ -237,13 +236,23 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, lead_space: bool) -> CachedEncoder:
+def encoder(path: str, lead_space: bool, ordinary: bool = False) -> CachedEncoder:
     """One encoder for each worker process and file."""
-    return CachedEncoder(path, lead_space)
+    return CachedEncoder(path, lead_space, ordinary)
 
 
 def tokenizer_path(name: str) -> str:
-    """The place of a public vocabulary file on this machine."""
+    """The place of a vocabulary file on this machine: a path, or the name of a public one."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def id_width(tokenizer: str) -> int:
+    """Bytes that every id of a vocabulary fits in: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path(tokenizer))
+    return 2 if max(model.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4

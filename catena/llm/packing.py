@@ -128,9 +128,11 @@ def repack(rows: pd.DataFrame, first: int, capacity: int = CAPACITY, classes: in
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", lead_space: bool = False, end_id: int = 2, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", lead_space: bool = False, end_id: int = 2, capacity: int = CAPACITY, classes: int = CLASSES, ordinary: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    Texts are encoded by the library's plain call, which makes special ids of the strings of special tokens; if
+    ``ordinary`` these are text like any other.  Whole texts of any length are encoded, each in one piece.
     Null text counts as empty, so its document is the end id alone.  Rows that
     repeat a doc_id, or have none, are documents of their own.  A sequence's pieces
     lie without gaps from 0; it is padded from its last piece on.  Other columns
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", lead_space: bool
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = base.encoder(base.tokenizer_path(tokenizer) if "/" not in tokenizer else tokenizer, lead_space)
+        model = base.encoder(base.tokenizer_path(tokenizer), lead_space, ordinary)
         part = TaskContext.get().partitionId()
         bins = Bins(part << 32, capacity, classes)
         for whole in batches:

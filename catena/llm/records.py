@@ -169,17 +169,20 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if named else None, np.frombuffer(payload, dtype=f"<u{width}", offset=HEAD.size)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", lead_space: bool = True, end_id: int = 0, width: int = 2) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", lead_space: bool = True, end_id: int = 0, ordinary: bool = False) -> DataFrame:
     """Encode every whole text, write the record files to ``folder``, return the index table.
 
+    Texts are encoded by the library's plain call, which makes special ids of the strings of special tokens; if
+    ``ordinary`` these are text like any other.  Whole texts of any length are encoded, each into one record.
     Null text counts as empty; ``end_id`` is appended to each document.  A null
-    doc_id sorts first.  Rows that repeat a doc_id are records of their own.
-    Other columns are ignored; an empty table writes no file.
-    ``width`` is the bytes of an id: 2 where the vocabulary has under 65,536.
+    doc_id sorts first.  Rows that repeat a doc_id are records of their own, in an order that their texts decide;
+    many such rows go to several files.
+    Other columns are ignored; an empty table writes no file.  An id takes 2 bytes where the vocabulary allows it, else 4.
     """
+    width = max(base.id_width(tokenizer), 2 if end_id < 1 << 16 else 4)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = base.encoder(base.tokenizer_path(tokenizer) if "/" not in tokenizer else tokenizer, lead_space)
+        model = base.encoder(base.tokenizer_path(tokenizer), lead_space, ordinary)
         fs, root = base.filesystem(folder)
         number = TaskContext.get().partitionId()
         name = f"{number:06d}.records"
@@ -204,40 +207,46 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", le
             out.close()
             fs.move(temporary, f"{root}/{name}")
 
-    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return base.store(rows.mapInArrow(part, INDEX), "record-index")
+    # Equal ids (or none) are told apart by their texts, and equal rows by their places, so that no id fills a file alone.
+    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
+    return base.store(rows.select("doc_id", "text").mapInArrow(part, INDEX), "record-index")
 
 
 def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Read records back by byte ranges: doc_id, part, local_start, n_tokens, ids.
+    """The records that ``index`` (any rows of the index table) names, each once: doc_id, part, local_start, n_tokens, ids, ids_crc32.
 
-    ``index`` may be any selection of the index's rows that covers whole ranges;
-    neighbouring records are read together, about 8 MB at a time.
+    Selected records of about 8 MB of a file are read together, by one range; only they are returned.
     """
     return _ranges(index).mapInArrow(lambda batches: _read(batches, folder, True), "doc_id long, part int, local_start long, n_tokens long, ids array<int>, ids_crc32 long")
 
 
 def _ranges(index: DataFrame) -> DataFrame:
     block = F.floor(F.col("offset") / READ_BYTES)
-    ranges = index.groupBy("file", "part", block.alias("block")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("local_start").alias("local_start"))
-    # The table of ranges is tiny, so its number of tasks is set: adaptive execution would read everything in one.
+    # A block's list is bounded: a record has 26 bytes at least.
+    own = F.sort_array(F.collect_set(F.struct("offset", "length", "local_start"))).alias("own")
+    ranges = index.groupBy("file", "part", block.alias("block")).agg(own)
+    # The table of ranges is small, so its number of tasks is set: adaptive execution would read everything in one.
     return ranges.repartition(max(1, min(ranges.count(), 100_000)), F.col("file"), F.col("block"))
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     fs, root = base.filesystem(folder)
     for batch in batches:
-        for row in batch.to_pylist():
-            with fs.open_input_file(f"{root}/{row['file']}") as f:
-                f.seek(row["begin"])
-                payloads = unframe(f.read(row["end"] - row["begin"]))
-            found = [unpack_ids(p) for p in payloads]
+        for file, part, own in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist(), batch.column("own"), strict=True):
+            offset, length, start = (np.asarray(own.values.field(c), dtype=np.int64) for c in ("offset", "length", "local_start"))
+            with fs.open_input_file(f"{root}/{file}") as f:
+                f.seek(int(offset[0]))
+                data = f.read(int(offset[-1] + length[-1] - offset[0]))
+            if int(length.sum()) != len(data):
+                data = b"".join(data[a : a + n] for a, n in zip((offset - offset[0]).tolist(), length.tolist(), strict=True))
+            found = [unpack_ids(p) for p in unframe(data)]
             n = np.fromiter((len(x[1]) for x in found), np.int64, len(found))
             crc = pa.array([zlib.crc32(x[1].astype("<u4").tobytes()) for x in found], pa.int64())
-            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array(np.full(len(found), row["part"], np.int32)), pa.array(np.cumsum(n) - n + row["local_start"]), pa.array(n)]
+            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array(np.full(len(found), part, np.int32)), pa.array(start), pa.array(n)]
             names = ["doc_id", "part", "local_start", "n_tokens"]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([x[1] for x in found]), pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([x[1] for x in found]).astype(np.uint32).view(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*columns, crc], names=[*names, "ids_crc32"])
 
