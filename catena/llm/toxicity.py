@@ -34,8 +34,10 @@ TRAIN_DOCS, TRAIN_CHARS = 1500, 50_000
 THRESHOLD = 0.3
 #: Sizes: words with their own embedding, embedding of a word, of its characters, state of one direction, attention.
 VOCABULARY, WORD_DIM, CHAR_DIM, STATE, ATTEND = 20_000, 6, 6, 8, 8
-#: Byte pairs are hashed to this many embeddings; of longer words the first WIDTH bytes and the last byte count.
-PAIRS, WIDTH = 2048, 24
+#: Byte pairs are hashed to this many embeddings; a word's pairs are summed this many at a time.
+PAIRS, BLOCK = 2048, 1 << 20
+#: Words with more characters are cut to pieces of so many (texts without spaces, joined strings), so that windows cover all of them.
+PIECE = 48
 #: Lengths of prefixes, in characters, and the number of rows (words or prefixes need as many documents) before one counts.
 PREFIXES, SUPPORT = (2, 3, 4, 5, 6), 5
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*#&%$-_/\\"
@@ -51,17 +53,34 @@ def plain(words: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.utf8_lower(words), characters=EDGE)
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets of each text's words, a code for each word, and the distinct words; long words come in pieces."""
+    offsets, codes, distinct = base.coded_words(texts)
+    long = np.flatnonzero(np.asarray(pc.greater(pc.utf8_length(distinct), PIECE)))
+    if not len(long):
+        return offsets, codes, distinct
+    parts = [w for w in distinct.to_pylist()]
+    count, pieces = np.ones(len(parts), dtype=np.int64), {}
+    for i in long.tolist():
+        pieces[i] = [parts[i][k : k + PIECE] for k in range(0, len(parts[i]), PIECE)]
+        count[i] = len(pieces[i])
+    flat = pa.array([p for i, w in enumerate(parts) for p in pieces.get(i, (w,))], pa.string()).dictionary_encode()
+    own, start = np.asarray(flat.indices, dtype=np.int64), np.cumsum(count) - count
+    at = np.concatenate([[0], np.cumsum(count[codes])])
+    return at[offsets], own[base.spread(start[codes], count[codes])], flat.dictionary
+
+
 def pairs_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte pairs of each word (padded), and how many of them count."""
+    """The hashed byte pairs of all words, one after another (an edge counts as a byte), and how many each word has."""
     flat = words.cast(pa.binary())
     raw, at = np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
-    size = np.minimum(np.diff(at), WIDTH)
-    grid = np.zeros((len(flat), WIDTH + 2), dtype=np.int64)
-    grid[np.repeat(np.arange(len(flat)), size), base.spread(np.ones(len(flat), dtype=np.int64), size)] = raw[base.spread(at[:-1], size)]
-    pair = (grid[:, :-1] * 257 + grid[:, 1:] * 31 + 7) % PAIRS
-    count = size + 1
-    pair[np.arange(WIDTH + 1)[None, :] >= count[:, None]] = PAIRS
-    return pair, count
+    size = np.diff(at)
+    # Each word's bytes between two zeros.
+    padded = np.zeros(int((size + 2).sum()), dtype=np.int64)
+    begin = np.cumsum(size + 2) - (size + 2)
+    padded[base.spread(begin + 1, size)] = raw[base.spread(at[:-1], size)]
+    left = base.spread(begin, size + 1)
+    return (padded[left] * 257 + padded[left + 1] * 31 + 7) % PAIRS, size + 1
 
 
 def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,10 +123,12 @@ class Network:
         known = np.asarray(known, dtype=np.int64)
         pair, count = pairs_of(distinct)
         w = self.weights
-        chars = np.zeros((len(known), CHAR_DIM), dtype=np.float32)
-        table = np.concatenate([w["pair"], np.zeros((1, CHAR_DIM), dtype=np.float32)])
-        for column in pair.T:
-            chars += table[column]
+        chars = np.zeros((len(known), CHAR_DIM), dtype=w["pair"].dtype)
+        word = np.repeat(np.arange(len(known)), count)
+        for lo in range(0, len(pair), BLOCK):
+            own = word[lo : lo + BLOCK]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            chars[own[heads]] += np.add.reduceat(w["pair"][pair[lo : lo + BLOCK]], heads, axis=0)
         chars /= count[:, None]
         return np.concatenate([w["word"][known], self.odds[known][:, None], self.telling(distinct)[:, None], chars], axis=1), known, pair, count
 
@@ -167,7 +188,7 @@ class Network:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The worst window's probability of each text; texts without words have the training share of such or of all."""
-        offsets, codes, distinct = base.coded_words(texts)
+        offsets, codes, distinct = words_of(texts)
         out = np.full(len(texts), self.floor)
         if len(codes):
             start, length, text = windows_of(offsets)
@@ -224,13 +245,9 @@ def gradients(net: Network, codes: np.ndarray, length: np.ndarray, inputs: tuple
             np.add.at(dfeed, codes[:, t], dgate)
         g[f"u{side}"], g[f"w{side}"], g[f"b{side}"] = du, x.T @ dfeed, dfeed.sum(axis=0)
         dx += dfeed @ w[f"w{side}"].T
-    g["word"], g["pair"] = np.zeros_like(w["word"]), np.zeros((PAIRS + 1, CHAR_DIM), dtype=np.float32)
+    g["word"], g["pair"] = np.zeros_like(w["word"]), np.zeros_like(w["pair"])
     np.add.at(g["word"], known, dx[:, :WORD_DIM])
-    dchar = dx[:, WORD_DIM + 2 :] / count[:, None]
-    used = np.flatnonzero(np.abs(dchar).sum(axis=1) > 0)
-    for column in pair.T:
-        np.add.at(g["pair"], column[used], dchar[used])
-    g["pair"] = g["pair"][:-1]
+    np.add.at(g["pair"], pair, np.repeat(dx[:, WORD_DIM + 2 :] / count[:, None], count, axis=0))
     return g, loss
 
 
@@ -244,13 +261,13 @@ def log_odds(doc: np.ndarray, item: np.ndarray, n_items: int, labels: np.ndarray
     return np.where(good + bad >= SUPPORT, sure, 0.0)
 
 
-def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int = 7, rounds: int = 3, steps: int = 50, batch: int = 128, rate: float = 0.01) -> Network:
+def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int = 7, rounds: int = 3, steps: int = 25, batch: int = 128, rate: float = 0.01) -> Network:
     """Train on whole texts; in each round every text is shown by its worst window so far and clean ones by another, too.
 
     A round has about ``steps`` batches: a small sample is gone through more often.
     """
     rng = np.random.default_rng(seed)
-    offsets, codes, distinct = base.coded_words(pa.array(texts, pa.string()))
+    offsets, codes, distinct = words_of(pa.array(texts, pa.string()))
     names_coded = plain(distinct).dictionary_encode()
     vocabulary = names_coded.dictionary
     codes = np.asarray(names_coded.indices, dtype=np.int64)[codes] if len(codes) else codes
@@ -330,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network |
 def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    All windows of the whole text are scored.  Null and empty texts have the share of toxic ones in training;
+    All windows of the whole text are scored, however long it is; words of over 48 characters count as several.  Null and empty texts have the share of toxic ones in training;
     without a network (no labels to learn from) every score is 0.  Rows without a doc_id are
     not held out; repeated rows are scored alike.  Other columns are ignored; an empty table gives
     an empty result.
@@ -349,7 +366,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
 
 
 def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores under ``threshold``, with all their columns."""
+    """The rows whose text scores under ``threshold``, with all their columns (rules as for ``score``)."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     # Other columns may have any name, so all go by number through Arrow.
     names, place = docs.columns, docs.columns.index("text")
