@@ -4,7 +4,8 @@ A Misra-Gries summary of each partition finds the digests that may be frequent;
 their exact counts and winners are counted over all rows (verification), and
 the winners, at most ``counters`` of them, are broadcast so that the copies of
 a frequent text are settled where they are read.  All other digests meet in an
-ordinary shuffle, in groups no larger than ``2 * rows / counters``.
+ordinary shuffle: a grouped minimum that combines before the shuffle finds each winner, and only digests that
+come twice or more are joined back to their rows.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def frequent_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFra
 
 
 def _first() -> Column:
-    """Orders rows: smallest doc_id, null last; of repeated ids the row read first."""
+    """Orders rows: smallest doc_id, null last; of repeated ids the row that is read first."""
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("row"))
 
 
@@ -84,7 +85,7 @@ def annotate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same after each run of white space
-    became one space.  Null text counts as empty; all empty texts are one
+    became one space; whole texts of any length are digested.  Null text counts as empty; all empty texts are one
     group.  The smallest doc_id stays, null ids come last; of rows that repeat
     the winning doc_id one row stays.  Other columns are ignored; an empty
     table gives an empty result.
@@ -92,8 +93,10 @@ def annotate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     digests = base.store(docs.select(F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     frequent = winners(digests, counters)
     split = digests.join(F.broadcast(frequent), "digest", "left")
-    group = Window.partitionBy("digest")
-    rare = split.where("first IS NULL").drop("first", "copies").withColumns({"first": F.min(_first()).over(group), "copies": F.count("*").over(group)})
+    rest = split.where("first IS NULL").drop("first", "copies")
+    again = rest.groupBy("digest").agg(F.min(_first()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    alone = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    rare = rest.join(again, "digest", "left").withColumns({"first": F.coalesce("first", alone), "copies": F.coalesce("copies", F.lit(1))})
     both = split.where("first IS NOT NULL").unionByName(rare)
     return both.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("copies").cast("long").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -101,15 +104,17 @@ def annotate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows that stay, with all their columns (rules as for ``annotate``).
 
-    Copies of frequent texts are dropped before the shuffle, all but the
-    winner's; the others meet by digest.
+    Of rows that repeat the winning doc_id the one with the smallest text, then the smallest hash of all columns, stays.
+    Copies of frequent texts are dropped before the shuffle, all but those with the
+    winner's id; the others meet by digest, at most one of each task, as the first place is looked for in each task before the shuffle.
     """
     digests = base.store(docs.select(F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     best = winners(digests, counters).select("digest", F.col("first.doc_id").alias("winner"), F.lit(True).alias("frequent"))
     # The row travels as one struct, so its columns may have any names.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.xxhash64(*plain).alias("tie"))
     rows = rows.join(F.broadcast(best), "digest", "left").where(F.col("frequent").isNull() | F.col("doc_id").eqNullSafe(F.col("winner")))
-    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "row.text", "tie")
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
 
 
