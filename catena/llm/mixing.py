@@ -23,8 +23,10 @@ PASSES = 3
 #: The weights of sources in code point order, repeated.
 WEIGHTS = (1, 2, 3)
 SEED = 42
-#: Sources up to which the small tables by source are broadcast; more are joined by shuffles.
-BROADCAST_SOURCES = 100_000
+#: Rows up to which the small tables by source (and slot) are broadcast once they were counted; larger ones are joined by shuffles.
+BROADCAST_ROWS = 100_000
+#: Documents that a slot of the shuffled order, or a range of finish times, should hold, and the fewest and most slots.
+SLOT_ROWS, LEAST_SLOTS, MOST_SLOTS = 16_384, 256, 1 << 22
 
 
 def tokens_of(text: Column) -> Column:
@@ -62,7 +64,7 @@ def targets(sizes: DataFrame, passes: int = PASSES, weights: tuple[int, ...] = W
 
 
 def _by_source(rows: DataFrame, small: DataFrame, few: bool, *more: str) -> DataFrame:
-    """Join on source (null equals null); ``small`` is broadcast only if its sources were counted to be few."""
+    """Join on source (null equals null); ``small`` is broadcast only if its rows were counted to be few."""
     small = small.withColumnRenamed("source", "__source")
     match = F.col("source").eqNullSafe(F.col("__source"))
     for c in more:
@@ -71,28 +73,31 @@ def _by_source(rows: DataFrame, small: DataFrame, few: bool, *more: str) -> Data
     return rows.join(F.broadcast(small) if few else small, match, "left").drop("__source", *[f"__{c}" for c in more])
 
 
-def plan(docs: DataFrame, passes: int = PASSES, seed: int = SEED, slots: int = 256) -> tuple[DataFrame, DataFrame, bool]:
+def plan(docs: DataFrame, passes: int = PASSES, seed: int = SEED, slots: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """The documents' sizes and order keys, the cut of each source, and whether sources are few.
 
-    The cut of a source is where the ranking's end meets its shuffled order:
-    ``full`` whole passes, then all documents up to ``(last_key, last_id)``.
+    The cut of a source is where the ranking's end meets its shuffled order: the turn, the key and the row of the last
+    document it takes.  The shuffled order has ``slots`` slots, by default as many as hold 16,384 documents each, and as
+    many ranges of finish times; the ranking's end falls in one range, which alone is sorted as a whole.
     """
     meta = base.store(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), tokens_of(F.col("text")).alias("size"), shuffled(F.col("doc_id"), seed).alias("key")), "sizes")
-    meta = meta.withColumn("slot", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * slots / 65536).cast("int"))
+    if slots is None:
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, meta.count() // SLOT_ROWS))
+    ranges = max(4096, slots)
+    meta = meta.withColumn("slot", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slots / (1 << 32)).cast("int"))
     in_slot = base.store(meta.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "slots")
     wanted = base.store(targets(in_slot.groupBy("source").agg(F.sum("slot_size").alias("source_size"))), "targets")
-    few = wanted.count() <= BROADCAST_SOURCES
+    few = wanted.count() <= BROADCAST_ROWS
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     begins = in_slot.select("source", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("begin"))
-    # At most `slots` rows a source.
-    ranked = _by_source(_by_source(meta, begins, few, "slot"), wanted, few)
+    ranked = _by_source(_by_source(meta, begins, in_slot.count() <= BROADCAST_ROWS, "slot"), wanted, few)
     order = Window.partitionBy("source", "slot").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("so_far", F.col("begin") + F.sum("size").over(order)).where("target > 0")
     ranked = ranked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     ranked = ranked.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("so_far")) / F.col("target"))
     ranked = base.store(ranked.select("source", "key", "doc_id", "size", "turn", "finish", "total"), "ranked")
     # Finish times up to 2 are cut into fine ranges; what lies above shares one more.
-    ranged = ranked.withColumn("range", F.least(F.floor(F.col("finish") * 4096), F.lit(8192)))
+    ranged = ranked.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)))
     sums = ranged.groupBy("range").agg(F.sum("size").alias("in_range"), F.first("total").alias("total"))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("range_begin", F.coalesce(F.sum("in_range").over(upto), F.lit(0)))
@@ -120,7 +125,7 @@ def taken(rows: DataFrame, cuts: DataFrame, few: bool, passes: int = PASSES) ->
 def mix(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
     """The mixture: each document as many times as it is taken, with all its columns.
 
-    Null text has no words; a document without words comes with its neighbours
+    Words of whole texts are counted.  Null text has no words; a document without words comes with its neighbours
     in the shuffled order.  Null is a source of its own, the last one.  Rows that
     repeat a doc_id with as many words share a place.  Sources without any words have target
     0 and nothing is taken of them.  An empty table gives an empty mixture.
@@ -132,7 +137,7 @@ def mix(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
 
 
 def report(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repetitions counted)."""
+    """One row per document: doc_id, size, source_size, target, taken (words, repetitions counted); rules as for ``mix``."""
     meta, cuts, few = plan(docs, passes, seed)
     return taken(meta, cuts, few, passes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
