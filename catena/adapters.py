@@ -7,18 +7,22 @@ makes averages the same in every engine.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and columns of the grid.
-SIZE = 64
+#: Rows of lineitem that a cell averages: the grid grows with the table, and its values are spread alike at every size.
+ROWS_PER_CELL = 12
+SIZE = f"size AS (SELECT greatest(1, CAST(ceil(sqrt(count(*) / {ROWS_PER_CELL}.0)) AS INT)) AS n FROM lineitem)"
 
-CELLS = f"""cells AS (SELECT CAST(l_orderkey % {SIZE} AS INT) AS row, CAST(l_partkey % {SIZE} AS INT) AS col,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)) AS value FROM lineitem GROUP BY 1, 2)"""
-CELLS2 = f"""cells2 AS (SELECT CAST(l_orderkey % {SIZE} AS INT) AS row, CAST(l_partkey % {SIZE} AS INT) AS col,
-  CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) / count(*) AS value FROM lineitem GROUP BY 1, 2)"""
+CELLS = """cells AS (SELECT CAST(l_orderkey % n AS INT) AS row, CAST(l_partkey % n AS INT) AS col,
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)) AS value FROM sized_lineitem GROUP BY 1, 2)"""
+CELLS2 = """cells2 AS (SELECT CAST(l_orderkey % n AS INT) AS row, CAST(l_partkey % n AS INT) AS col,
+  CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) / count(*) AS value FROM sized_lineitem GROUP BY 1, 2)"""
 LITHO = """litho AS (SELECT row, col, (row * 7 + col * 13) % 5 AS litho FROM cells)"""
 #: Basins for zonal statistics: square blocks.
-ZONES = """zones AS (SELECT row, col, value, CAST(floor(row / 16.0) * 4 + floor(col / 16.0) AS INT) AS zone FROM cells)"""
+ZONES = """zones AS (SELECT row, col, value, CAST(floor(row / 16.0) * 10000 + floor(col / 16.0) AS INT) AS zone FROM cells)"""
 TREE = """tree AS (
   SELECT CAST(r_regionkey AS BIGINT) AS node, CAST(r_regionkey AS BIGINT) AS receiver, CAST(0 AS DOUBLE) AS dx, CAST(1 AS BIGINT) AS amount FROM region
   UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), CAST(100 AS DOUBLE), CAST(2 AS BIGINT) FROM nation
@@ -27,25 +31,37 @@ TREE = """tree AS (
 #: One channel a user: events in order, a unit apart; the running number is the distance from the outlet.
 PROFILE = """profile AS (SELECT user_id AS source_key, event_id AS node, event_type AS kind, round(value, 2) AS elevation,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos FROM events)"""
-POINTS = f"""points AS (SELECT o_orderkey AS id, CAST(o_custkey % {SIZE} + 0.5 AS DOUBLE) AS x, CAST(o_orderkey % {SIZE} + 0.5 AS DOUBLE) AS y, o_totalprice AS value FROM orders)"""
+POINTS = """points AS (SELECT o_orderkey AS id, CAST(o_custkey % n + 0.5 AS DOUBLE) AS x, CAST(o_orderkey % n + 0.5 AS DOUBLE) AS y, o_totalprice AS value FROM sized_orders)"""
 SAMPLES = """samples AS (SELECT s_suppkey AS sample, CAST(-60 + s_suppkey % 121 AS DOUBLE) AS latitude, CAST(-177 + (s_suppkey * 7) % 355 AS DOUBLE) AS longitude,
   100000 + CAST(round(s_acctbal * 100) AS BIGINT) % 900000 AS conc FROM supplier)"""
 
 _PARTS = {"cells": CELLS, "cells2": CELLS2, "litho": LITHO, "zones": ZONES, "tree": TREE, "profile": PROFILE, "points": POINTS, "samples": SAMPLES}
 _NEEDS = {"cells": ["lineitem"], "cells2": ["lineitem"], "litho": ["lineitem"], "zones": ["lineitem"], "tree": ["region", "nation", "customer", "orders"], "profile": ["events"], "points": ["orders"], "samples": ["supplier"]}
-_ON = {"litho": ["cells"], "zones": ["cells"]}
+_ON = {"cells": ["sized_lineitem"], "cells2": ["sized_lineitem"], "litho": ["sized_lineitem", "cells"], "zones": ["sized_lineitem", "cells"], "points": ["sized_orders"]}
+
+
+def on_grid(*names: str) -> bool:
+    """Whether any of the adapters depends on the size of the grid."""
+    return any(n in _ON for n in names)
 
 
-def prelude(*names: str) -> str:
-    """The adapters' definitions as the beginning of a WITH clause (without WITH)."""
+def grid_size(spark: SparkSession, sf_dir: str) -> int:
+    """Rows, and columns, of the grid; the count comes from the files' footers."""
+    return max(1, math.ceil(math.sqrt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / ROWS_PER_CELL)))
+
+
+def prelude(*names: str, size: int | None = None) -> str:
+    """The adapters' definitions as the beginning of a WITH clause (without WITH); without a size they count it themselves."""
     wanted = dict.fromkeys(n for name in names for n in [*_ON.get(name, []), name])
-    return ",\n".join(_PARTS[n] for n in wanted)
+    sized = lambda t: f"{t} AS (SELECT *, {size} AS n FROM {t[6:]})" if size else f"{t} AS (SELECT t.*, size.n FROM {t[6:]} t, size)"
+    parts = [sized(n) if n.startswith("sized_") else _PARTS[n] for n in wanted]
+    return ",\n".join([SIZE, *parts] if on_grid(*names) and not size else parts)
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def adapter(spark: SparkSession, sf_dir: str, name: str, size: int | None = None) -> DataFrame:
     """One adapter as a DataFrame."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEEDS[name]}
-    text = prelude(name)
+    text = prelude(name, size=size)
     for t in tables:
         text = _named(text, t)
     return spark.sql(f"WITH {text} SELECT * FROM {name}", **{f"t_{t}": df for t, df in tables.items()})
@@ -53,6 +69,4 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _named(text: str, table: str) -> str:
     """Replace a table's name after FROM by a parameter, so that no view is registered."""
-    import re
-
     return re.sub(rf"\bFROM {table}\b", f"FROM {{t_{table}}}", text)

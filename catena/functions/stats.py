@@ -203,24 +203,60 @@ def box_plot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return j.groupBy(*keys, "q1", "median", "q3").agg(low.alias("whisker_low"), high.alias("whisker_high"))
 
 
-def bootstrap_regression(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """Mean and deviation of slope and intercept over resamples, from counts drawn for each row and round.
+def bootstrap_regression(df: DataFrame, keys: list[str], x: str, y: str, row: str, rounds: int = 100, seed: int = 1) -> DataFrame:
+    """Mean and deviation of slope and intercept over resamples, from counts drawn for each row (named by ``row``) and round.
 
     Rows draw Poisson weights (mean 1) by a hash, the usual stand-in for drawing rows when they are spread over a cluster.
     """
-    draws = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("__r"))
-    u = F.pmod(F.xxhash64(*keys, "__x", "__y", "__r", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps, total = [], 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    w = sum((F.when(u > s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
+    draws = df.select(*keys, F.col(row).alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("__r"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "__r", "__i").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    w = sum((F.when(u > s, 1.0).otherwise(0.0) for s in poisson_steps()), F.lit(0.0))
     m = draws.withColumn("__w", w).groupBy(*keys, "__r").agg(*[F.sum(F.col("__w") * e).alias(n) for n, e in (("n", F.lit(1.0)), ("sx", F.col("__x")), ("sy", F.col("__y")), ("xx", F.col("__x") * F.col("__x")), ("xy", F.col("__x") * F.col("__y")))])
     d = F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")
     fit = m.withColumn("slope", F.when(d > 0, (F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")) / d)).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
     return fit.groupBy(*keys).agg(F.avg("slope").alias("slope"), F.stddev_pop("slope").alias("slope_sd"), F.avg("intercept").alias("intercept"), F.stddev_pop("intercept").alias("intercept_sd"))
 
 
+def poisson_steps(most: int = 7) -> list[float]:
+    """The distribution function of a Poisson count of mean 1 at 0, 1, .."""
+    steps, total = [], 0.0
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    return steps
+
+
+def peaks(df: DataFrame, keys: list[str], order: str, value: str, above: float, apart: int) -> DataFrame:
+    """Rows higher than both neighbours and than ``above``; of peaks up to ``apart`` rows from a higher one only the higher stays.
+
+    From the highest down, each peak drops those near it; of equal ones the later is taken first.  ``order`` counts rows of a group.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    rising, falling = F.col(value) - F.lag(value).over(w), F.lead(value).over(w) - F.col(value)
+    found = df.withColumns({"__up": rising, "__down": falling}).where((F.col("__up") > 0) & (F.col("__down") < 0) & (F.col(value) > above)).select(*keys, order, value)
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        at, height = rows[order].to_numpy(), rows[value].to_numpy()
+        kept = np.ones(len(at), dtype=bool)
+        for i in np.lexsort((at, height))[::-1]:
+            if kept[i]:
+                lo, hi = np.searchsorted(at, at[i] - apart), np.searchsorted(at, at[i] + apart, side="right")
+                kept[lo:hi] = False
+                kept[i] = True
+        return rows[kept]
+
+    return found.groupBy(*keys).applyInPandas(keep, found.schema)
+
+
+def erfi(x: Column, terms: int = 60) -> Column:
+    """The imaginary error function, by its power series; for arguments up to about 4."""
+    total = F.lit(0.0)
+    for n in reversed(range(terms)):
+        total = x * x * total + 1.0 / (math.factorial(n) * (2 * n + 1))
+    return x * total * (2 / math.sqrt(math.pi))
+
+
 def sample_rows(df: DataFrame, n: int, *order: str, seed: int = 1) -> DataFrame:
     """``n`` rows without replacement, the same each run."""
     return df.orderBy(F.xxhash64(*order, F.lit(seed)), *order).limit(n)

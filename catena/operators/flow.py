@@ -10,22 +10,23 @@ node double likewise: after k rounds a node holds the sum over descendants less
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catena.grid import DIAGONAL, STEPS, GridSpec, spread, window3
 from catena.storage import store
 
 
-def d8(cells: DataFrame, spec: GridSpec, periodic: str = "") -> DataFrame:
+def d8(cells: DataFrame, spec: GridSpec, periodic: str = "", base: str = "") -> DataFrame:
     """Nodes with ``node, row, col, z, receiver, direction, dx, drop``.
 
     The receiver is the neighbour of steepest drop (per unit of distance); of equal ones the
     first clockwise from north; without a drop a cell is its own receiver.
     Cells at the edge of the data look at the neighbours they have; pairs of sides in
-    ``periodic`` (ns, ew) wrap around.
+    ``periodic`` (ns, ew) wrap around.  Cells on the sides in ``base`` (n, e, s, w) are base level: their own receivers.
     """
     data = cells.where("value IS NOT NULL")
     if periodic:
@@ -35,7 +36,12 @@ def d8(cells: DataFrame, spec: GridSpec, periodic: str = "") -> DataFrame:
         z = z.where(F.col("row").between(0, spec.nrows - 1) & F.col("col").between(0, spec.ncols - 1))
     # One struct a direction; the largest has the steepest drop, and of equal drops the smallest k.
     ways = [F.struct(F.coalesce((F.col("z") - F.col(f"n{k}")) / (DIAGONAL if k % 2 else 1.0), F.lit(0.0)).alias("drop"), F.lit(-k).alias("minus_k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(STEPS)]
-    out = z.select("row", "col", "z", F.array_max(F.array(*ways)).alias("way")).withColumn("falls", F.col("way.drop") > 0)
+    out = z.select("row", "col", "z", F.array_max(F.array(*ways)).alias("way"))
+    sides = {"n": F.col("row") == 0, "e": F.col("col") == spec.ncols - 1, "s": F.col("row") == spec.nrows - 1, "w": F.col("col") == 0}
+    level = F.lit(False)
+    for side in base:
+        level = level | sides[side]
+    out = out.withColumn("falls", (F.col("way.drop") > 0) & ~level)
     row, col = F.col("row") + F.when(F.col("falls"), F.col("way.dr")).otherwise(0), F.col("col") + F.when(F.col("falls"), F.col("way.dc")).otherwise(0)
     if "n" in periodic:
         row = F.pmod(row, F.lit(spec.nrows))
@@ -137,25 +143,24 @@ def chi(nodes: DataFrame, area: DataFrame, theta: float = 0.5, a0: float = 1.0,
     return to_root(joined, {"chi": F.col("dx") * F.pow(F.lit(a0) / F.col("__a"), F.lit(theta))}).drop("depth")
 
 
-def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+def ancestors(nodes: DataFrame, of: DataFrame | None = None, most_steps: int | None = None) -> DataFrame:
     """``node, ancestor, steps``: all pairs of a node and one downstream of it (itself: 0 steps), from ``of`` (node) or all nodes.
 
-    The table has a row for each step of each path: meant for chosen nodes or shallow trees.
+    The table has a row for each step of each path, up to ``most_steps``: meant for chosen nodes or shallow trees.
     """
     jump = store(nodes.where("node <> receiver").select("node", F.col("receiver").alias("far")), "jump-0")
     start = (of if of is not None else nodes).select("node").distinct()
     pairs = start.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
-    length = 1
-    for k in range(max_rounds):
+    length, k = 1, 0
+    while True:
         pairs = store(pairs, f"pairs-{k}")
-        if not jump.take(1):
-            break
+        if not jump.take(1) or (most_steps is not None and length > most_steps):
+            return pairs if most_steps is None else pairs.where(F.col("steps") <= most_steps)
         # Pairs with under `length` steps extend by exactly `length` steps: each longer pair arises once.
         more = pairs.join(jump.select(F.col("node").alias("ancestor"), "far"), "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("steps") + length).alias("steps"))
         pairs = pairs.unionByName(more)
         jump = store(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("__far")), "far").select("node", F.col("__far").alias("far")), f"jump-{k + 1}")
-        length *= 2
-    return pairs
+        length, k = 2 * length, k + 1
 
 
 def flow_paths(nodes: DataFrame, starts: DataFrame) -> DataFrame:
@@ -164,9 +169,17 @@ def flow_paths(nodes: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def upslope_nodes(nodes: DataFrame, outlets: DataFrame, with_outlet: bool = True) -> DataFrame:
-    """``outlet, node`` of all nodes that drain to each outlet (node)."""
-    pairs = ancestors(nodes).join(outlets.select(F.col("node").alias("ancestor")), "ancestor")
-    return pairs.where("steps > 0" if not with_outlet else "true").select(F.col("ancestor").alias("outlet"), "node")
+    """``outlet, node`` of all nodes that drain to each outlet (node).
+
+    Every node looks for its nearest outlet, and outlets for those below them; no table of other pairs is built.
+    """
+    named = outlets.select("node").distinct()
+    near = store(nearest_tag(nodes, named.withColumn("tag", F.col("node"))).select("node", F.col("tag_node").alias("outlet")), "nearest-outlet")
+    ahead = nodes.join(named, "node", "left_semi").where("node <> receiver").select(F.col("node").alias("top"), F.col("receiver").alias("node")).join(near, "node")
+    tree = named.join(ahead.select(F.col("top").alias("node"), "outlet"), "node", "left").select("node", F.coalesce("outlet", "node").alias("receiver"))
+    below = ancestors(store(tree, "outlet-tree")).select(F.col("node").alias("outlet"), F.col("ancestor").alias("__o"))
+    pairs = near.join(below, "outlet").select(F.col("__o").alias("outlet"), "node")
+    return pairs if with_outlet else pairs.where("outlet <> node")
 
 
 def nearest_tag(nodes: DataFrame, tags: DataFrame, max_distance: float | None = None) -> DataFrame:
@@ -182,11 +195,14 @@ def nearest_tag(nodes: DataFrame, tags: DataFrame, max_distance: float | None =
 
 
 def farthest_upslope(nodes: DataFrame) -> DataFrame:
-    """``node, farthest, distance``: what drains to a node from farthest away; of equally far ones the smallest node."""
-    far = distance_from_outlet(nodes).select("node", F.col("distance").alias("__d"))
+    """``node, farthest, distance``: what drains to a node from farthest away; of equally far ones the smallest node.
+
+    Distances count to nine places, so that the order in which steps were added does not decide.
+    """
+    far = distance_from_outlet(nodes).select("node", F.round("distance", 9).alias("__d"))
     joined = nodes.join(far, "node")
     top = accumulate(joined, {}, {"top": F.struct(F.col("__d").alias("d"), (-F.col("node")).alias("minus"))})
-    return top.join(far, "node").select("node", (-F.col("top.minus")).alias("farthest"), (F.col("top.d") - F.col("__d")).alias("distance"))
+    return top.join(far, "node").select("node", (-F.col("top.minus")).alias("farthest"), F.round(F.col("top.d") - F.col("__d"), 9).alias("distance"))
 
 
 def edge_influenced(nodes: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFrame:
@@ -230,7 +246,7 @@ def _flood(ground: np.ndarray, start: np.ndarray, value: np.ndarray, drop: float
     return out
 
 
-def fill(cells: DataFrame, min_drop: float = 0.0, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
+def fill(cells: DataFrame, min_drop: float = 0.0, tile: int = 256) -> DataFrame:
     """Raise pits: the lowest surface, not below the cells, from which every cell has a way to the edge that falls by ``min_drop`` a step.
 
     Every inner cell starts infinitely high; edge cells keep their value.  In each round every tile floods itself completely from
@@ -245,37 +261,19 @@ def fill(cells: DataFrame, min_drop: float = 0.0, tile: int = 256, max_rounds: i
     edge = F.greatest(*[F.col(f"n{k}").isNull().cast("int") for k in range(8)]) == 1
     ground = window3(cells.where("value IS NOT NULL"))
     now = store(ground.select("row", "col", F.col("z").alias("ground"), F.when(edge, F.col("z")).otherwise(F.lit(float("inf"))).alias("value")), "fill-0")
-    for k in range(1, max_rounds):
+    for k in count(1):
         sunk = tiled(now, ["ground", "value"], 1, kernel, {"sunk": "double"}, tile)
         after = store(now.join(sunk, ["row", "col"]).select("row", "col", "ground", F.col("sunk").alias("value"), (F.col("sunk") < F.col("value")).alias("moved")), f"fill-{k}")
         now = after.drop("moved")
         if not after.where("moved").take(1):
-            break
-    return now.select("row", "col", "value")
+            return now.select("row", "col", "value")
 
 
-def multiple_flow(cells: DataFrame, spec: GridSpec, power: float = 1.1, max_rounds: int = 10_000) -> DataFrame:
-    """``row, col, area`` with flow shared among all lower neighbours by slope to a power.
+def multiple_flow(cells: DataFrame, spec: GridSpec, power: float = 1.1) -> DataFrame:
+    """``row, col, area`` with flow shared among all lower neighbours by slope to a power."""
+    from catena.operators.routing import spread_flow, weighted_edges
 
-    Flow moves on level by level: a cell passes its area on in the round in which all higher neighbours have.
-    """
-    z = window3(cells.where("value IS NOT NULL"))
-    parts = []
-    for k, (dr, dc) in enumerate(STEPS):
-        fall = (F.col("z") - F.col(f"n{k}")) / (DIAGONAL if k % 2 else 1.0)
-        parts.append(F.struct((F.col("row") + dr).alias("to_row"), (F.col("col") + dc).alias("to_col"), F.when(fall > 0, F.pow(fall, F.lit(power))).otherwise(0.0).alias("w")))
-    edges = z.select("row", "col", F.explode(F.array(*parts)).alias("e")).select("row", "col", "e.*").where("w > 0")
-    edges = store(edges.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("row", "col"))), "edges")
-    area = store(z.select("row", "col", F.lit(spec.res * spec.res).alias("area")), "area-0")
-    flow = area
-    for k in range(1, max_rounds):
-        # What arrived in this round moves one step on; after as many rounds as the longest way nothing moves.
-        moved = flow.join(edges, ["row", "col"]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("area") * F.col("w")).alias("area"))
-        flow = store(moved, f"flow-{k}")
-        if not flow.take(1):
-            break
-        area = store(area.unionByName(flow).groupBy("row", "col").agg(F.sum("area").alias("area")), f"area-{k}")
-    return area
+    return spread_flow(cells, weighted_edges(cells, "freeman", power), spec.res * spec.res)
 
 
 def d_infinity(cells: DataFrame) -> DataFrame:

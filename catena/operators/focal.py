@@ -21,13 +21,40 @@ TILE = 256
 
 
 def neighbourhood(cells: DataFrame, radius: float, circular: bool = True) -> DataFrame:
-    """``row, col, mean, sd, low, high, relief, n`` over the window around each data cell."""
+    """``row, col, mean, sd, low, high, relief, n`` over the window around each data cell.
+
+    Up to radius 2 values are sent to the cells around them; larger windows are taken on tiles, where only margins are copied.
+    """
     data = cells.where("value IS NOT NULL")
+    if radius > 2:
+        return _windowed(data, int(radius), disc(radius, circular))
     sent = spread(data, disc(radius, circular))
     found = sent.groupBy("row", "col").agg(F.avg("sent").alias("mean"), F.stddev_pop("sent").alias("sd"), F.min("sent").alias("low"), F.max("sent").alias("high"), F.count("*").alias("n"))
     return found.join(data.select("row", "col"), ["row", "col"], "left_semi").withColumn("relief", F.col("high") - F.col("low"))
 
 
+def _windowed(data: DataFrame, reach: int, offsets: list[tuple[int, int]]) -> DataFrame:
+    """``neighbourhood`` on tiles: the shifted copies of a tile are gone through one by one."""
+
+    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
+        p = np.pad(z, reach, constant_values=np.nan)
+        n, total, square = np.zeros_like(z), np.zeros_like(z), np.zeros_like(z)
+        low, high = np.full_like(z, np.inf), np.full_like(z, -np.inf)
+        # About the cell's own value, so that squares stay small.
+        for i, j in offsets:
+            d = p[reach + i : reach + i + z.shape[0], reach + j : reach + j + z.shape[1]] - z
+            have = ~np.isnan(d)
+            d0 = np.where(have, d, 0.0)
+            n, total, square = n + have, total + d0, square + d0 * d0
+            low, high = np.where(have, np.minimum(low, d0), low), np.where(have, np.maximum(high, d0), high)
+        with np.errstate(all="ignore"):
+            mean = total / n
+            return {"mean": z + mean, "sd": np.sqrt(np.maximum(0, square / n - mean * mean)), "low": z + low, "high": z + high, "relief": high - low, "n": n}
+
+    found = on_tiles(data, reach, kernel, ["mean", "sd", "low", "high", "relief", "n"])
+    return found.select("row", "col", "mean", "sd", "low", "high", F.col("n").cast("long").alias("n"), "relief")
+
+
 def fraction_where(cells: DataFrame, radius: float, low: float, high: float) -> DataFrame:
     """The share of the window's data cells with values in a range."""
     data = cells.where("value IS NOT NULL")
@@ -92,14 +119,15 @@ def _windows(z: np.ndarray, radius: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.pad(z, radius, constant_values=np.nan), (2 * radius + 1, 2 * radius + 1))
 
 
-SURFACE = ["elevation", "slope", "aspect", "curvature", "planform", "profile", "tangential", "kind"]
+SURFACE = ["elevation", "slope", "aspect", "curvature", "planform", "profile", "tangential", "kind", "gradient_x", "gradient_y"]
 
 
-def polynomial_surface(cells: DataFrame, radius_cells: int, res: float = 1.0, circular: bool = True) -> DataFrame:
+def polynomial_surface(cells: DataFrame, radius_cells: int, res: float = 1.0, circular: bool = True, partial: bool = True) -> DataFrame:
     """Surface metrics from z = ax^2 + by^2 + cxy + dx + ey + f, fitted around each cell by least squares.
 
     Elevation, slope (gradient), aspect (degrees from north), mean curvature 2a + 2b, planform, profile and tangential
-    curvature, and kind (1 peak, 2 pit, 3 saddle, 0 none).  Windows with gaps are fitted on the cells that they have.
+    curvature, kind (1 peak, 2 pit, 3 saddle, 0 none), and the gradients along both axes (east, north).  Windows with gaps are fitted on the cells that they have, or
+    give no values unless ``partial``.
     """
     r = radius_cells
     y, x = np.mgrid[r : -r - 1 : -1, -r : r + 1] * res
@@ -112,7 +140,7 @@ def polynomial_surface(cells: DataFrame, radius_cells: int, res: float = 1.0, ci
         whole = have.all(axis=-1)
         co = np.full((*z.shape, 6), np.nan)
         co[whole] = w[whole] @ np.linalg.pinv(design).T
-        some = ~whole & (have.sum(axis=-1) >= 6) & ~np.isnan(z)
+        some = ~whole & (have.sum(axis=-1) >= 6) & ~np.isnan(z) & partial
         for i, j in np.argwhere(some):
             h = have[i, j]
             co[i, j] = np.linalg.lstsq(design[h], w[i, j][h], rcond=None)[0]
@@ -129,7 +157,7 @@ def polynomial_surface(cells: DataFrame, radius_cells: int, res: float = 1.0, ci
             det = fxx * fyy - fxy * fxy
             kind = np.where(~level, 0, np.where(det < 0, 3, np.where((fxx < 0) & (det > 0), 1, np.where(det > 0, 2, 0))))
             aspect = np.degrees(np.arctan2(-fx, -fy)) % 360
-        return dict(zip(SURFACE, [f, slope, aspect, fxx + fyy, plan, prof, tang, kind.astype(float)], strict=True))
+        return dict(zip(SURFACE, [f, slope, aspect, fxx + fyy, plan, prof, tang, kind.astype(float), d, e], strict=True))
 
     return on_tiles(cells, r, kernel, SURFACE)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catena.grid import GridSpec, disc
+from catena.storage import store
 
 
 def in_cells(points: DataFrame, spec: GridSpec) -> DataFrame:
@@ -22,13 +23,15 @@ def burn(points: DataFrame, cells: DataFrame, spec: GridSpec, name: str = "burne
 def nearest_within(points: DataFrame, targets: DataFrame, radius: int, key: str = "id") -> DataFrame:
     """For each point (id, row, col) the nearest target cell (row, col, node) within a radius: id, node, distance.
 
-    Each point looks into the cells of its window, an equi-join; of equally near targets the smallest node is taken.
+    Targets are sent to the cells of their window that hold points, an equi-join on distinct cells whose minimum combines before
+    the shuffle; points then look up their own cell.  Of equally near targets the smallest node is taken.
     """
+    asked = points.select("row", "col").distinct()
     looks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d2")) for i, j in disc(radius)])
-    sent = points.select(key, (F.col("row")).alias("r0"), F.col("col").alias("c0"), F.explode(looks).alias("m"))
-    sent = sent.select(key, (F.col("r0") + F.col("m.i")).alias("row"), (F.col("c0") + F.col("m.j")).alias("col"), F.col("m.d2").alias("d2"))
-    found = sent.join(targets.select("row", "col", "node"), ["row", "col"]).groupBy(key).agg(F.min(F.struct("d2", "node")).alias("best"))
-    return found.select(key, F.col("best.node").alias("node"), F.sqrt("best.d2").alias("distance"))
+    sent = targets.select("node", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(looks).alias("m"))
+    sent = sent.select((F.col("r0") + F.col("m.i")).alias("row"), (F.col("c0") + F.col("m.j")).alias("col"), F.col("m.d2").alias("d2"), "node")
+    best = sent.groupBy("row", "col").agg(F.min(F.struct("d2", "node")).alias("best")).join(asked, ["row", "col"], "left_semi")
+    return points.select(key, "row", "col").join(best, ["row", "col"]).select(key, F.col("best.node").alias("node"), F.sqrt("best.d2").alias("distance"))
 
 
 def greatest_within(points: DataFrame, cells: DataFrame, radius: int, key: str = "id") -> DataFrame:
@@ -39,29 +42,35 @@ def greatest_within(points: DataFrame, cells: DataFrame, radius: int, key: str =
     return found.select(key, (-F.col("best.r")).alias("row"), (-F.col("best.c")).alias("col"), F.col("best.value").alias("value"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float, key: str = "id", max_rounds: int = 40) -> DataFrame:
-    """The nearest target (id2, x, y) of each point (id, x, y) at any distance: id, id2, distance.
+def nearest(points: DataFrame, targets: DataFrame, cell: float, key: str = "id") -> DataFrame:
+    """The nearest target (id2, x, y) of each point (id, x, y) at any distance: id, id2, distance; null where there is no target.
 
-    Buckets of side ``cell`` are joined with their neighbours; points that found nothing within the
-    bucket's side look again with buckets twice as large, until all have found one.
+    Distinct places look for targets: buckets of side ``cell`` are joined with their neighbours; places that found nothing within the
+    bucket's side look again with buckets twice as large, until all have found one.  Each round is stored.
     """
-    left, done = points.select(key, "x", "y"), None
-    targets = targets.select(F.col("id2"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    asked = points.select(key, "x", "y")
+    targets = store(targets.select(F.col("id2"), F.col("x").alias("tx"), F.col("y").alias("ty")), "targets")
+    none = F.lit(None)
+    if not targets.take(1):
+        return asked.select(key, none.cast(targets.schema["id2"].dataType).alias("id2"), none.cast("double").alias("distance"))
+    left, done = store(asked.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct(), "places"), []
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    for _ in range(max_rounds):
-        bucket = lambda c, size: F.floor(F.col(c) / size)
-        here = left.select(key, "x", "y", bucket("x", cell).alias("bx"), bucket("y", cell).alias("by"), F.explode(around).alias("m"))
-        here = here.select(key, "x", "y", (F.col("bx") + F.col("m.i")).alias("bx"), (F.col("by") + F.col("m.j")).alias("by"))
+    bucket = lambda c, size: F.floor(F.col(c) / size)
+    while left.take(1):
+        here = left.select("x", "y", bucket("x", cell).alias("bx"), bucket("y", cell).alias("by"), F.explode(around).alias("m"))
+        here = here.select("x", "y", (F.col("bx") + F.col("m.i")).alias("bx"), (F.col("by") + F.col("m.j")).alias("by"))
         there = targets.withColumns({"bx": bucket("tx", cell), "by": bucket("ty", cell)})
         d = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
-        found = here.join(there, ["bx", "by"]).groupBy(key).agg(F.min(F.struct(d.alias("d"), "id2")).alias("best")).where(F.col("best.d") <= cell)
-        found = found.select(key, F.col("best.id2").alias("id2"), F.col("best.d").alias("distance"))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
-        if not left.take(1):
-            break
+        found = here.join(there, ["bx", "by"]).groupBy("x", "y").agg(F.min(F.struct(d.alias("d"), "id2")).alias("best")).where(F.col("best.d") <= cell)
+        done.append(store(found.select("x", "y", F.col("best.id2").alias("id2"), F.col("best.d").alias("distance")), f"nearest-{len(done)}"))
+        left = store(left.join(done[-1].select("x", "y"), ["x", "y"], "left_anti"), f"left-{len(done)}")
         cell *= 2
-    return done
+    if not done:
+        return asked.select(key, none.cast(targets.schema["id2"].dataType).alias("id2"), none.cast("double").alias("distance"))
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return asked.join(every, ["x", "y"], "left").select(key, "id2", "distance")
 
 
 def in_polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catena.grid import window3
 from catena.operators import flow, focal, network
+from catena.operators.morphology import in_order
 
 
 def ridges(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -40,15 +40,15 @@ def main_stem(channel: DataFrame, outlets: DataFrame) -> DataFrame:
 
 
 def tributaries(channel: DataFrame, stem: DataFrame) -> DataFrame:
-    """``outlet, node, junction``: channel nodes that flow into the main stem and are not part of it."""
+    """``outlet, node, junction``: channel nodes that flow into an outlet's main stem and are not part of that stem."""
     inflow = channel.where("node <> receiver").select("node", F.col("receiver").alias("junction")).join(stem.select("outlet", F.col("node").alias("junction")), "junction")
-    return inflow.join(stem.select("node"), "node", "left_anti").select("outlet", "node", "junction")
+    return inflow.join(stem.select("outlet", "node"), ["outlet", "node"], "left_anti").select("outlet", "node", "junction")
 
 
 def split_channels(profile: DataFrame, length: float, distance: str = "flow_distance") -> DataFrame:
     """``reach`` numbers for stretches of a length along each channel, unique over all channels."""
     reach = F.floor(F.col(distance) / length).cast("long")
-    named = profile.select("source_key", reach.alias("r")).distinct().withColumn("reach", F.dense_rank().over(Window.orderBy("source_key", "r")))
+    named = in_order(profile.select("source_key", reach.alias("r")), "source_key", "r").withColumn("reach", F.col("number") + 1).drop("number")
     return profile.withColumn("r", reach).join(named, ["source_key", "r"]).drop("r")
 
 
@@ -64,20 +64,22 @@ def chi_heads(profile: DataFrame, least: int = 10) -> DataFrame:
     one least: its correlation minus half of how far the upper residuals' Durbin-Watson statistic is above 2.
     """
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        x, y = rows["chi"].to_numpy(dtype=float), rows["elevation"].to_numpy(dtype=float)
+    def kernel(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x, y = rows["chi"].astype(float), rows["elevation"].astype(float)
         best = (-math.inf, 0)
         for cut in range(least, len(x) - least + 1):
             r = np.corrcoef(x[:cut], y[:cut])[0, 1] if y[:cut].std() > 0 and x[:cut].std() > 0 else 0.0
             m, b = np.polyfit(x[cut:], y[cut:], 1) if x[cut:].std() > 0 else (0.0, y[cut:].mean())
             e = y[cut:] - m * x[cut:] - b
             dw = (np.diff(e) ** 2).sum() / max(1e-300, (e**2).sum())
-            best = max(best, (r * r - (dw - 2) / 2, cut))
+            best = max(best, (round(r * r - (dw - 2) / 2, 9), cut))
         ok = math.isfinite(best[0])
-        return pd.DataFrame({"source_key": rows["source_key"].iloc[:1], "node": [rows["node"].iloc[best[1] - 1 if ok else 0]], "score": [best[0] if ok else float("nan")]})
+        return {"node": rows["node"][[best[1] - 1 if ok else 0]], "score": np.array([best[0] if ok else np.nan])}
 
-    return profile.groupBy("source_key").applyInPandas(kernel, "source_key long, node long, score double")
+    from catena.operators.kernels import by_channel
+
+    found = by_channel(profile, ["node", "chi", "elevation"], kernel, "source_key long, node long, score double")
+    return found.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
 def curved_channels(cells: DataFrame, radius_cells: int, res: float, threshold: float | None = None, quantile: float = 0.95) -> DataFrame:
@@ -122,7 +124,9 @@ def valley_widths(floodplain: DataFrame, line: DataFrame, reach: int) -> DataFra
     looks = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("i")
     across = F.radians(F.col("bearing") + 90)
     seen = line.select("node", "row", "col", across.alias("a"), looks)
-    seen = seen.select("node", "i", F.round(F.col("row") - F.cos("a") * F.col("i")).cast("int").alias("row"), F.round(F.col("col") + F.sin("a") * F.col("i")).cast("int").alias("col"))
+    # To nine places first, so that the last digit of a sine does not decide where half a cell goes.
+    cell = lambda x: F.round(F.round(x, 9)).cast("int")
+    seen = seen.select("node", "i", cell(F.col("row") - F.cos("a") * F.col("i")).alias("row"), cell(F.col("col") + F.sin("a") * F.col("i")).alias("col"))
     inside = floodplain.select("row", "col", F.lit(True).alias("inside"))
     j = seen.join(inside, ["row", "col"], "left")
     ends = j.groupBy("node").agg(F.min(F.when(F.col("inside").isNull() & (F.col("i") >= 0), F.col("i"))).alias("right"), F.max(F.when(F.col("inside").isNull() & (F.col("i") <= 0), F.col("i"))).alias("left"))

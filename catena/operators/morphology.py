@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,11 +58,21 @@ def components(cells: DataFrame, ncols: int, tile: int = focal.TILE) -> DataFram
     return local.join(roots, local["label"] == roots["node"], "left").select("row", "col", F.coalesce("root", "label").alias("component"))
 
 
+def in_order(values: DataFrame, first: str, *then: str, bucket: int = 1 << 16) -> DataFrame:
+    """Distinct rows of a long column (and more) with their ``number`` from 0 in order.
+
+    Rows are numbered within buckets of the first column's range; only the buckets' counts are ordered as a whole.
+    """
+    rows = values.select(first, *then).distinct().withColumn("__b", F.floor(F.col(first) / bucket))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", before.alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(first, *then))
+    return rows.withColumn("__p", place).join(starts, "__b").select(first, *then, (F.col("__start") + F.col("__p") - 1).alias("number"))
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Components renumbered from 0 in order of their first cells."""
-    w = Window.orderBy("component")
-    names = found.select("component").distinct().withColumn("number", F.row_number().over(w) - 1)
-    return found.join(names, "component").select("row", "col", F.col("number").alias("component"))
+    return found.join(in_order(found, "component"), "component").select("row", "col", F.col("number").alias("component"))
 
 
 def patches_of_size(found: DataFrame, least: int, most: int | None = None) -> DataFrame:
@@ -89,7 +101,7 @@ def _peel(one: np.ndarray, half: int) -> np.ndarray:
     return one & ~((count >= 2) & (count <= 6) & (turns == 1) & (a == 0) & (b == 0))
 
 
-def thin(cells: DataFrame, tile: int = focal.TILE, passes: int = 16, max_rounds: int = 500) -> DataFrame:
+def thin(cells: DataFrame, tile: int = focal.TILE, passes: int = 16) -> DataFrame:
     """A skeleton one cell wide of a binary grid, by alternate peeling of south-east and north-west rims (Zhang and Suen 1984).
 
     A pass looks two cells far, so with a margin of twice their number a tile does several passes exactly; rounds go on until none changes.
@@ -102,12 +114,11 @@ def thin(cells: DataFrame, tile: int = focal.TILE, passes: int = 16, max_rounds:
         return {"value": one.astype(np.int32)}
 
     now = store(cells.where("value = 1").select("row", "col", F.lit(1).alias("value")), "thin-0")
-    for k in range(1, max_rounds):
+    for k in count(1):
         left = focal.tiled(now, ["value"], 2 * passes, kernel, {"value": "int"}, tile).where("value = 1")
         before, now = now, store(left, f"thin-{k}")
         if now.count() == before.count():
-            break
-    return now
+            return now
 
 
 def end_points(skeleton: DataFrame) -> DataFrame:

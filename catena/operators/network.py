@@ -16,11 +16,12 @@ def channel_nodes(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return nodes.join(below, "node", "left_semi")
 
 
-def strahler(channel: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strahler(channel: DataFrame) -> DataFrame:
     """``node, stream_order`` of a channel tree (node, receiver).
 
     Chains between junctions have one order, so the tree is first shrunk to sources and
-    junctions by pointer jumps; rounds then climb the shrunken tree, one for each level.
+    junctions by pointer jumps; rounds then climb the shrunken tree, one for each level.  A round hands the orders that are new to the
+    junctions below, which keep how many came and the two highest; only new orders and waiting junctions are written.
     """
     feeds = channel.where("node <> receiver").groupBy(F.col("receiver").alias("node")).agg(F.count("*").alias("n"))
     kind = store(channel.select("node", "receiver").join(feeds, "node", "left").fillna(0, ["n"]), "channel-kinds")
@@ -32,19 +33,22 @@ def strahler(channel: DataFrame, max_rounds: int = 1000) -> DataFrame:
     # The shrunken tree: the heads of a junction's donors.
     links = kind.where("n > 1").select("node").join(above, "node").join(head.select(F.col("node").alias("donor"), F.col("head").alias("from")), "donor").select(F.col("node").alias("to"), "from")
     links = store(links, "links")
-    done = store(kind.where("n = 0").select("node", F.lit(1).alias("stream_order")), "order-0")
-    left = store(links.groupBy("to").agg(F.count("*").alias("need")), "need-0")
-    for k in range(1, max_rounds):
-        if not left.take(1):
-            break
-        got = links.join(done.withColumnRenamed("node", "from"), "from").groupBy("to").agg(F.count("*").alias("have"), F.max("stream_order").alias("top"), F.sort_array(F.collect_list("stream_order"), asc=False).alias("all"))
-        ready = left.join(got, "to").where("need = have")
+    done = [store(kind.where("n = 0").select("node", F.lit(1).alias("stream_order")), "order-0")]
+    left = store(links.groupBy("to").agg(F.count("*").alias("need")).select("to", "need", F.lit(0).cast("long").alias("have"), F.lit(0).alias("first"), F.lit(0).alias("second")), "need-0")
+    while left.take(1):
+        got = links.join(done[-1].withColumnRenamed("node", "from"), "from").groupBy("to").agg(F.count("*").alias("more"), F.collect_list("stream_order").alias("all"))
+        # A junction of a grid has at most eight donors, so its list is short.
+        two = F.slice(F.sort_array(F.concat(F.array("first", "second"), F.coalesce("all", F.array().cast("array<int>"))), asc=False), 1, 2)
+        now = left.join(got, "to", "left").select("to", "need", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"), two[0].alias("first"), two[1].alias("second"))
+        now = store(now, f"need-{len(done)}")
         # Two or more donors of the highest order make one more.
-        order = F.col("top") + F.when(F.element_at("all", 2) == F.col("top"), 1).otherwise(0)
-        new = store(ready.select(F.col("to").alias("node"), order.cast("int").alias("stream_order")), f"ready-{k}")
-        done = store(done.unionByName(new), f"order-{k}")
-        left = store(left.join(new.select(F.col("node").alias("to")), "to", "left_anti"), f"need-{k}")
-    return head.join(done.withColumnRenamed("node", "head"), "head").select("node", "stream_order")
+        order = F.col("first") + F.when(F.col("first") == F.col("second"), 1).otherwise(0)
+        done.append(store(now.where("need = have").select(F.col("to").alias("node"), order.cast("int").alias("stream_order")), f"order-{len(done)}"))
+        left = now.where("need > have")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return head.join(every.withColumnRenamed("node", "head"), "head").select("node", "stream_order")
 
 
 def junctions(channel: DataFrame, orders: DataFrame) -> DataFrame:
@@ -168,6 +172,38 @@ def adjacent(members: DataFrame) -> DataFrame:
     return j.groupBy("basin", "neighbour").agg(F.count("*").alias("n"))
 
 
+def overlapping_channels(channel: DataFrame, sources: DataFrame, extra: int) -> DataFrame:
+    """``source_key, node, pos, own``: every source's channel, downstream from its head (pos 0).
+
+    A channel owns its nodes down to where a longer one owns them (``source_keys``), and goes on there for ``extra`` nodes
+    more, so that neighbouring channels overlap.
+    """
+    keys = store(source_keys(channel, sources), "source-keys")
+    steps = flow.to_root(channel).select("node", "depth")
+    mine = keys.join(steps, "node").join(steps.select(F.col("node").alias("source_key"), F.col("depth").alias("__top")), "source_key")
+    own = store(mine.select("source_key", "node", (F.col("__top") - F.col("depth")).alias("pos"), F.lit(True).alias("own")), "own-nodes")
+    last = own.groupBy("source_key").agg(F.max(F.struct("pos", "node")).alias("l")).select("source_key", "l.pos", "l.node")
+    ends = last.join(channel.where("node <> receiver").select("node", "receiver"), "node").select("source_key", "pos", F.col("receiver").alias("node"))
+    if extra < 1:
+        return own
+    ways = flow.ancestors(channel, ends.select("node"), extra - 1)
+    more = ends.join(ways, "node").select("source_key", F.col("ancestor").alias("node"), (F.col("pos") + 1 + F.col("steps")).alias("pos"), F.lit(False).alias("own"))
+    return own.unionByName(more)
+
+
+def channel_outlets(found: DataFrame) -> DataFrame:
+    """``source_key, outlet``: the last node of each channel, overlap included."""
+    return found.groupBy("source_key").agg(F.max_by("node", "pos").alias("outlet"))
+
+
+def internal_nodes(members: DataFrame) -> DataFrame:
+    """``row, col, basin`` of the cells whose eight neighbours belong to the same basin."""
+    from catena.grid import STEPS, spread
+
+    same = spread(members, STEPS, "basin").join(members, ["row", "col"]).where("sent = basin").groupBy("row", "col", "basin").agg(F.count("*").alias("n"))
+    return same.where("n = 8").select("row", "col", "basin")
+
+
 def overlap_window(profile: DataFrame, n: int) -> DataFrame:
     """The first ``n`` nodes of each channel past its confluence, by position downstream."""
     w = Window.partitionBy("source_key").orderBy("pos")

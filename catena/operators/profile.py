@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -57,18 +56,18 @@ def slope_area(profile: DataFrame, interval: float, area: str = "area", distance
     The nodes of a channel are looked up in one sorted array; elevations are first made monotone downstream.
     """
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        z, x = np.maximum.accumulate(rows["elevation"].to_numpy()), rows[distance].to_numpy()
+    def kernel(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        z, x = np.maximum.accumulate(rows["elevation"]), rows[distance]
         at = np.searchsorted(z, z - interval, side="right") - 1
         good = at >= 0
-        own = rows[good]
         i = at[good]
         with np.errstate(all="ignore"):
             slope = (z[good] - z[i]) / (x[good] - x[i])
-        return pd.DataFrame({"source_key": own["source_key"], "node": own["node"], "area": own[area].astype(float), "slope": slope})
+        return {"node": rows["node"][good], "area": rows[area][good].astype(float), "slope": slope}
 
-    return profile.groupBy("source_key").applyInPandas(kernel, "source_key long, node long, area double, slope double")
+    from catena.operators.kernels import by_channel
+
+    return by_channel(profile, ["node", "elevation", area, distance], kernel, "source_key long, node long, area double, slope double")
 
 
 def bin_slope_area(points: DataFrame, width: float = 0.1) -> DataFrame:
@@ -176,10 +175,14 @@ def chi_over(profile: DataFrame, thetas: list[float], area: str, dx: str) -> Dat
 
 
 def collinearity_over(profile: DataFrame, thetas: list[float], area: str, dx: str, reference: Column, sigma: float = 10.0) -> DataFrame:
-    """Likelihood and residuals of every tributary for every concavity; the best one of a basin has the largest total."""
+    """Likelihood and residuals of every tributary for every concavity; the best one of a basin has the largest total.
+
+    With a discharge as ``area`` chi is that of the discharge.  Chi counts to nine places, so that the order of its sum does not
+    decide which nodes lie within the reference's range.
+    """
     many = profile.withColumn("theta", F.explode(F.array(*[F.lit(t) for t in thetas]))).withColumn("is_reference", reference)
     upto = Window.partitionBy("source_key", "theta").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    many = many.withColumn("chi", F.sum(F.col(dx) * F.pow(F.lit(1.0) / F.col(area), F.col("theta"))).over(upto))
+    many = many.withColumn("chi", F.round(F.sum(F.col(dx) * F.pow(F.lit(1.0) / F.col(area), F.col("theta"))).over(upto), 9))
     # A basin and a concavity together are a basin of their own.
     keyed = many.withColumn("basin_key", F.struct("basin_key", "theta"))
     return collinearity(keyed, F.col("is_reference"), sigma).select("basin_key.*", "source_key", "mle", "mae", "rmse", "n")

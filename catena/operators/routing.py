@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,16 +19,23 @@ from catena.storage import store
 CONTOUR = (0.5, 0.354)
 
 
-def weighted_edges(cells: DataFrame, method: str = "freeman") -> DataFrame:
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def weighted_edges(cells: DataFrame, method: str = "freeman", power: float = 1.1) -> DataFrame:
     """``row, col, to_row, to_col, w`` of every downhill neighbour; weights of a cell sum to 1.
 
-    freeman: slope to the power 1.1; quinn: slope times contour length; two: the two steepest by slope.
+    freeman: slope to a power; quinn: slope times contour length; two: the two steepest by slope.
     """
     z = window3(cells.where("value IS NOT NULL"))
     parts = []
     for k, (dr, dc) in enumerate(STEPS):
         fall = (F.col("z") - F.col(f"n{k}")) / (DIAGONAL if k % 2 else 1.0)
-        weight = F.pow(fall, F.lit(1.1)) if method == "freeman" else fall * CONTOUR[k % 2] if method == "quinn" else fall
+        weight = F.pow(fall, F.lit(power)) if method == "freeman" else fall * CONTOUR[k % 2] if method == "quinn" else fall
         parts.append(F.struct(F.when(fall > 0, weight).otherwise(0.0).alias("w"), F.lit(-k).alias("k"), (F.col("row") + dr).alias("to_row"), (F.col("col") + dc).alias("to_col")))
     ways = F.array(*parts)
     if method == "two":
@@ -48,22 +56,26 @@ def infinity_edges(cells: DataFrame) -> DataFrame:
     return both.select("row", "col", (F.col("row") + F.col("e.s.dr")).alias("to_row"), (F.col("col") + F.col("e.s.dc")).alias("to_col"), F.col("e.w").alias("w")).where("w > 0")
 
 
-def spread_flow(cells: DataFrame, edges: DataFrame, start: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
+def spread_flow(cells: DataFrame, edges: DataFrame, start: float = 1.0) -> DataFrame:
     """``row, col, area``: what arrives at each cell when every cell sends ``start`` down the weighted edges.
 
-    Rounds move all flow one step, so there are as many as the longest way; edges that lead outside lose theirs.
+    Rounds move all flow one step, so there are as many as the longest way; each writes what moves, and the sum over rounds is
+    taken at the end.  Edges that lead outside lose theirs.  Edges must not lead in a circle: this raises once there were
+    more rounds than cells.
     """
     edges = store(edges, "edges")
     inside = store(cells.where("value IS NOT NULL").select("row", "col"), "inside")
-    area = store(inside.withColumn("area", F.lit(start)), "area-0")
-    moving = area
-    for k in range(1, max_rounds):
-        moved = moving.join(edges, ["row", "col"]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("area") * F.col("w")).alias("area"))
-        moving = store(moved.join(inside, ["row", "col"], "left_semi").where("area > 1e-12"), f"moving-{k}")
-        if not moving.take(1):
-            break
-        area = store(area.unionByName(moving).groupBy("row", "col").agg(F.sum("area").alias("area")), f"area-{k}")
-    return area
+    moving = [store(inside.withColumn("area", F.lit(start).cast("double")), "moving-0")]
+    most = inside.count()
+    while moving[-1].take(1):
+        if len(moving) > most + 1:
+            raise ValueError("the edges lead in a circle")
+        moved = moving[-1].join(edges, ["row", "col"]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("area") * F.col("w")).alias("area"))
+        moving.append(store(moved.join(inside, ["row", "col"], "left_semi"), f"moving-{len(moving)}"))
+        if len(moving) % 64 == 0:
+            # Plans of many parts are slow to make: sum up from time to time, and keep what still moves.
+            moving = [store(union_all(moving[:-1]).groupBy("row", "col").agg(F.sum("area").alias("area")), "area"), moving[-1]]
+    return union_all(moving).groupBy("row", "col").agg(F.sum("area").alias("area"))
 
 
 def hillslopes(nodes: DataFrame, hilltops: DataFrame, channel: DataFrame) -> DataFrame:
@@ -75,24 +87,56 @@ def hillslopes(nodes: DataFrame, hilltops: DataFrame, channel: DataFrame) -> Dat
     return j.select("node", F.col("tag_node").alias("channel_node"), F.col("distance").alias("length"), relief.alias("relief"), F.when(F.col("distance") > 0, relief / F.col("distance")).alias("slope"))
 
 
-def aspect_traces(cells: DataFrame, starts: DataFrame, stops: DataFrame, spec: GridSpec, step: float = 0.5, max_rounds: int = 2000) -> DataFrame:
+def aspect_traces(cells: DataFrame, starts: DataFrame, stops: DataFrame, spec: GridSpec, step: float = 0.5) -> DataFrame:
     """``start, row, col, length``: where traces along the steepest direction from the starts (row, col) end.
 
-    All traces move ``step`` cells a round by a join with the directions; one ends at a stop cell (row, col), in a flat, or outside.
+    All traces move ``step`` cells a round by a join with the directions.  One ends at a stop cell (row, col), in a flat,
+    outside the data (the cell outside is given), or where it would climb (the last cell before is given); heights fall from cell to cell
+    otherwise, so every trace ends and none is left out.
     """
-    angles = store(flow.d_infinity(cells).select("row", "col", "angle"), "angles")
-    halt = stops.select("row", "col", F.lit(True).alias("stop"))
-    now = starts.select(spec.node().alias("start"), (F.col("row") + 0.5).cast("double").alias("r"), (F.col("col") + 0.5).cast("double").alias("c"), F.lit(0.0).alias("length"))
-    done = None
-    for k in range(max_rounds):
+    angles = store(flow.d_infinity(cells).select("row", "col", "angle").join(cells.select("row", "col", F.col("value").alias("z")), ["row", "col"]), "angles")
+    halt = store(stops.select("row", "col", F.lit(True).alias("stop")).distinct(), "stops")
+    now = starts.select(spec.node().alias("start"), (F.col("row") + 0.5).cast("double").alias("r"), (F.col("col") + 0.5).cast("double").alias("c"), F.lit(0.0).alias("length"), *[F.lit(None).cast("int").alias(n) for n in ("r0", "c0")], F.lit(None).cast("double").alias("z0"))
+    done = []
+    for k in count():
         at = now.withColumns({"row": F.floor("r").cast("int"), "col": F.floor("c").cast("int")})
-        at = store(at.join(angles, ["row", "col"], "left").join(halt, ["row", "col"], "left"), f"traces-{k}")
-        ended = at.where("stop OR angle IS NULL").select("start", "row", "col", "length")
-        done = ended if done is None else done.unionByName(ended)
-        now = at.where("stop IS NULL AND angle IS NOT NULL").select("start", (F.col("r") - F.sin("angle") * step).alias("r"), (F.col("c") + F.cos("angle") * step).alias("c"), (F.col("length") + step * spec.res).alias("length"))
+        at = at.join(angles, ["row", "col"], "left").join(halt, ["row", "col"], "left")
+        moved = (F.col("row") != F.col("r0")) | (F.col("col") != F.col("c0"))
+        at = store(at.withColumn("climbs", F.coalesce((F.col("z") >= F.col("z0")) & moved, F.lit(False))), f"traces-{k}")
+        over = F.col("climbs") | F.col("stop").isNotNull() | F.col("angle").isNull()
+        where = [F.when(F.col("climbs"), F.col(f"{n[0]}0")).otherwise(F.col(n)).alias(n) for n in ("row", "col")]
+        done.append(at.where(over).select("start", *where, "length"))
+        now = at.where(~over).select("start", (F.col("r") - F.sin("angle") * step).alias("r"), (F.col("c") + F.cos("angle") * step).alias("c"), (F.col("length") + step * spec.res).alias("length"), F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("z").alias("z0"))
         if not now.take(1):
-            break
-    return done
+            return union_all(done)
+        if len(done) % 64 == 0:
+            done = [store(union_all(done), f"ended-{k}")]
+
+
+def tag_downstream(nodes: DataFrame, tags: DataFrame, distance: float) -> DataFrame:
+    """``node, tag`` of all nodes up to a distance downstream of a tagged one (node, tag).
+
+    A tagged node keeps its own tag; others take that of the tagged node that is fewest steps above them, then the nearest, then the smallest.
+    """
+    far = flow.distance_from_outlet(nodes).select("node", "distance")
+    ways = flow.ancestors(nodes, tags).join(far, "node").join(far.select(F.col("node").alias("ancestor"), F.col("distance").alias("d")), "ancestor")
+    near = ways.withColumn("way", F.round(F.col("distance") - F.col("d"), 9)).where(F.col("way") <= distance).join(tags, "node")
+    own = tags.select(F.col("node").alias("ancestor"), F.lit(True).alias("own"))
+    free = near.join(own, "ancestor", "left").where("steps = 0 OR own IS NULL")
+    return free.groupBy(F.col("ancestor").alias("node")).agg(F.min(F.struct("steps", "way", "node", "tag")).alias("b")).select("node", F.col("b.tag").alias("tag"))
+
+
+def move_heads_up(nodes: DataFrame, heads: DataFrame, distance: float) -> DataFrame:
+    """``node, moved``: each head goes up to the node within a distance above it that has the longest way to its own farthest source.
+
+    Of the nodes above, those on the way to the farthest upslope node are taken; the last one within the distance is the new head.
+    """
+    top = flow.farthest_upslope(nodes).join(heads.select("node"), "node", "left_semi")
+    far = flow.distance_from_outlet(nodes).select("node", "distance")
+    ways = flow.ancestors(nodes, top.select(F.col("farthest").alias("node"))).select(F.col("node").alias("farthest"), F.col("ancestor").alias("on"), "steps")
+    j = top.select("node", "farthest").join(ways, "farthest").join(far.select(F.col("node").alias("on"), F.col("distance").alias("d_on")), "on").join(far.withColumnRenamed("distance", "d"), "node")
+    way = F.round(F.col("d_on") - F.col("d"), 9)
+    return j.where((way >= 0) & (way <= distance)).groupBy("node").agg(F.min_by("on", "steps").alias("moved"))
 
 
 def move_heads_down(nodes: DataFrame, heads: DataFrame, distance: float) -> DataFrame:
