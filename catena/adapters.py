@@ -32,11 +32,13 @@ TREE = """tree AS (
 PROFILE = """profile AS (SELECT user_id AS source_key, event_id AS node, event_type AS kind, round(value, 2) AS elevation,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos FROM events)"""
 POINTS = """points AS (SELECT o_orderkey AS id, CAST(o_custkey % n + 0.5 AS DOUBLE) AS x, CAST(o_orderkey % n + 0.5 AS DOUBLE) AS y, o_totalprice AS value FROM sized_orders)"""
-SAMPLES = """samples AS (SELECT s_suppkey AS sample, CAST(-60 + s_suppkey % 121 AS DOUBLE) AS latitude, CAST(-177 + (s_suppkey * 7) % 355 AS DOUBLE) AS longitude,
+SAMPLES = """samples AS (SELECT s_suppkey AS sample, CAST(-60 + (s_suppkey * 13) % 121 AS DOUBLE) AS latitude, CAST(-177 + (s_suppkey * 7) % 355 AS DOUBLE) AS longitude,
   100000 + CAST(round(s_acctbal * 100) AS BIGINT) % 900000 AS conc FROM supplier)"""
 
-_PARTS = {"cells": CELLS, "cells2": CELLS2, "litho": LITHO, "zones": ZONES, "tree": TREE, "profile": PROFILE, "points": POINTS, "samples": SAMPLES}
-_NEEDS = {"cells": ["lineitem"], "cells2": ["lineitem"], "litho": ["lineitem"], "zones": ["lineitem"], "tree": ["region", "nation", "customer", "orders"], "profile": ["events"], "points": ["orders"], "samples": ["supplier"]}
+RAW_EVENTS = "raw_events AS (SELECT * FROM events)"
+
+_PARTS = {"raw_events": RAW_EVENTS, "cells": CELLS, "cells2": CELLS2, "litho": LITHO, "zones": ZONES, "tree": TREE, "profile": PROFILE, "points": POINTS, "samples": SAMPLES}
+_NEEDS = {"raw_events": ["events"], "cells": ["lineitem"], "cells2": ["lineitem"], "litho": ["lineitem"], "zones": ["lineitem"], "tree": ["region", "nation", "customer", "orders"], "profile": ["events"], "points": ["orders"], "samples": ["supplier"]}
 _ON = {"cells": ["sized_lineitem"], "cells2": ["sized_lineitem"], "litho": ["sized_lineitem", "cells"], "zones": ["sized_lineitem", "cells"], "points": ["sized_orders"]}
 
 

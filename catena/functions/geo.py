@@ -86,45 +86,80 @@ def shift_datum(x: Column, y: Column, z: Column, move: tuple[float, float, float
     return x * s - y * rz + z * ry + move[0], x * rz + y * s - z * rx + move[1], x * -ry + y * rx + z * s + move[2]
 
 
-def albers(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """Equal-area conic with two standard parallels, on the sphere of the semi-axis."""
+def _q(lat: float | Column, e2: float) -> float | Column:
+    """The authalic function of a latitude in radians (Snyder 1987, 3-12)."""
+    f = math if isinstance(lat, float) else F
+    s = f.sin(lat)
+    if not e2:
+        return s * 2
+    e = math.sqrt(e2)
+    return (s / (1 - s * s * e2) - f.log((1 - s * e) / (1 + s * e)) / (2 * e)) * (1 - e2)
+
+
+def _t(lat: float | Column, e2: float) -> float | Column:
+    """The conformal function of a latitude in radians (Snyder 1987, 15-9)."""
+    f = math if isinstance(lat, float) else F
+    e, s = math.sqrt(e2), f.sin(lat)
+    return f.tan(math.pi / 4 - lat / 2 if f is math else lat / -2 + math.pi / 4) / f.pow((1 - s * e) / (1 + s * e), e / 2 if f is math else F.lit(e / 2))
+
+
+def _m(lat: float, e2: float) -> float:
+    return math.cos(lat) / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+
+
+def _albers_terms(lat1: float, lat2: float, lat0: float, a: float, e2: float) -> tuple[float, float, float]:
     p1, p2, p0 = (math.radians(v) for v in (lat1, lat2, lat0))
-    n = (math.sin(p1) + math.sin(p2)) / 2
-    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
-    rho0 = A * math.sqrt(c - 2 * n * math.sin(p0)) / n
-    rho = F.sqrt(F.lit(c) - F.sin(F.radians(latitude)) * (2 * n)) * (A / n)
+    m1, m2 = _m(p1, e2), _m(p2, e2)
+    n = (m1 * m1 - m2 * m2) / (_q(p2, e2) - _q(p1, e2)) if lat1 != lat2 else math.sin(p1)
+    c = m1 * m1 + n * _q(p1, e2)
+    return n, c, a * math.sqrt(c - n * _q(p0, e2)) / n
+
+
+def albers(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
+    """Equal-area conic with two standard parallels on an ellipsoid (``inv_f`` None: on the sphere of the semi-axis)."""
+    e2 = _e2(inv_f) if inv_f else 0.0
+    n, c, rho0 = _albers_terms(lat1, lat2, lat0, a, e2)
+    rho = F.sqrt(F.lit(c) - _q(F.radians(latitude), e2) * n) * (a / n)
     theta = F.radians(longitude - lon0) * n
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
-def albers_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
-    p1, p2, p0 = (math.radians(v) for v in (lat1, lat2, lat0))
-    n = (math.sin(p1) + math.sin(p2)) / 2
-    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
-    down = F.lit(A * math.sqrt(c - 2 * n * math.sin(p0)) / n) - y
+def albers_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
+    """Latitudes come from the series of the authalic latitude (Snyder 1987, 3-18), to a few millionths of a degree."""
+    e2 = _e2(inv_f) if inv_f else 0.0
+    n, c, rho0 = _albers_terms(lat1, lat2, lat0, a, e2)
+    down = F.lit(rho0) - y
     rho = F.sqrt(x * x + down * down)
-    return F.degrees(F.asin((F.lit(c) - rho * rho * (n * n / A**2)) / (2 * n))), F.degrees(F.atan2(x, down)) / n + lon0
+    beta = F.asin((F.lit(c) - rho * rho * (n * n / a**2)) / (n * _q(math.pi / 2, e2)))
+    lat = beta + F.sin(beta * 2) * (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) + F.sin(beta * 4) * (23 * e2**2 / 360 + 251 * e2**3 / 3780) + F.sin(beta * 6) * (761 * e2**3 / 45360)
+    return F.degrees(lat), F.degrees(F.atan2(x, down)) / n + lon0
 
 
-def lambert(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """Conformal conic with two standard parallels, on the sphere of the semi-axis."""
+def _lambert_terms(lat1: float, lat2: float, lat0: float, a: float, e2: float) -> tuple[float, float, float]:
     p1, p2, p0 = (math.radians(v) for v in (lat1, lat2, lat0))
-    up = lambda p: math.tan(math.pi / 4 + p / 2)
-    n = math.log(math.cos(p1) / math.cos(p2)) / math.log(up(p2) / up(p1)) if lat1 != lat2 else math.sin(p1)
-    f = math.cos(p1) * up(p1) ** n / n
-    rho = F.pow(F.tan(F.radians(latitude) / 2 + math.pi / 4), F.lit(-n)) * (A * f)
+    n = (math.log(_m(p1, e2)) - math.log(_m(p2, e2))) / (math.log(_t(p1, e2)) - math.log(_t(p2, e2))) if lat1 != lat2 else math.sin(p1)
+    f = _m(p1, e2) / (n * _t(p1, e2) ** n)
+    return n, a * f, a * f * _t(p0, e2) ** n
+
+
+def lambert(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
+    """Conformal conic with two standard parallels on an ellipsoid (``inv_f`` None: on the sphere of the semi-axis)."""
+    e2 = _e2(inv_f) if inv_f else 0.0
+    n, af, rho0 = _lambert_terms(lat1, lat2, lat0, a, e2)
+    rho = F.pow(_t(F.radians(latitude), e2), F.lit(n)) * af
     theta = F.radians(longitude - lon0) * n
-    return rho * F.sin(theta), F.lit(A * f * up(p0) ** -n) - rho * F.cos(theta)
+    return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
-def lambert_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
-    p1, p2, p0 = (math.radians(v) for v in (lat1, lat2, lat0))
-    up = lambda p: math.tan(math.pi / 4 + p / 2)
-    n = math.log(math.cos(p1) / math.cos(p2)) / math.log(up(p2) / up(p1)) if lat1 != lat2 else math.sin(p1)
-    f = math.cos(p1) * up(p1) ** n / n
-    down = F.lit(A * f * up(p0) ** -n) - y
+def lambert_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
+    """Latitudes come from the series of the conformal latitude (Snyder 1987, 3-5)."""
+    e2 = _e2(inv_f) if inv_f else 0.0
+    n, af, rho0 = _lambert_terms(lat1, lat2, lat0, a, e2)
+    down = F.lit(rho0) - y
     rho = F.sqrt(x * x + down * down) * (1 if n > 0 else -1)
-    return F.degrees(F.atan(F.pow(F.lit(A * f) / rho, F.lit(1 / n))) * 2 - math.pi / 2), F.degrees(F.atan2(x, down)) / n + lon0
+    chi = F.atan(F.pow(rho / af, F.lit(1 / n))) * -2 + math.pi / 2
+    lat = chi + F.sin(chi * 2) * (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) + F.sin(chi * 4) * (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) + F.sin(chi * 6) * (7 * e2**3 / 120 + 81 * e2**4 / 1120) + F.sin(chi * 8) * (4279 * e2**4 / 161280)
+    return F.degrees(lat), F.degrees(F.atan2(x, down)) / n + lon0
 
 
 def bearing(dx: Column, dy: Column) -> Column:

@@ -86,6 +86,15 @@ def lifton_scaling(hpa: Column, rigidity: Column, modulation: float = 0.95) -> C
     return F.exp(F.log(x * s) * c[0] + solar + F.pow(x, F.lit(c[3])) * c[2] + F.pow((r + 4 * s) * x, F.lit(c[5])) * c[4] + F.pow(r + 4 * s, F.lit(c[7])) * c[6])
 
 
+def accumulated(nodes: DataFrame, local: DataFrame) -> DataFrame:
+    """``node, conc, flux``: the concentration of what leaves each node, from each node's own concentration and rate of erosion (node, conc, rate)."""
+    from catena.operators.flow import accumulate
+
+    joined = nodes.join(local.select("node", (F.col("conc") * F.col("rate")).alias("__q"), F.col("rate").alias("__e")), "node")
+    out = accumulate(joined, {"atoms": F.col("__q"), "flux": F.col("__e")})
+    return out.select("node", F.when(F.col("flux") > 0, F.col("atoms") / F.col("flux")).alias("conc"), "flux")
+
+
 def nested_erosion(cells: DataFrame, samples: DataFrame, nesting: DataFrame, nuclide: str = "be10") -> DataFrame:
     """``basin, erosion``: of each sampled basin without the sampled basins directly inside it.
 

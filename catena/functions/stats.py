@@ -259,4 +259,4 @@ def erfi(x: Column, terms: int = 60) -> Column:
 
 def sample_rows(df: DataFrame, n: int, *order: str, seed: int = 1) -> DataFrame:
     """``n`` rows without replacement, the same each run."""
-    return df.orderBy(F.xxhash64(*order, F.lit(seed)), *order).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *order).cast("binary")), *order).limit(n)

@@ -270,6 +270,26 @@ def fill_gaps(cells: DataFrame, nrows: int, ncols: int, radius: float = 1.5, rou
     return now.where("value IS NOT NULL")
 
 
+def fill_between(cells: DataFrame, nrows: int, ncols: int, width: int, sides: int = 4) -> DataFrame:
+    """Nodata that has data within ``width`` cells on at least ``sides`` of its four sides becomes the mean of the nearest ones.
+
+    With four sides only holes that are surrounded are filled, and the outside of an irregular grid stays nodata.
+    """
+    from pyspark.sql import Window
+
+    from catena.operators.algebra import pad
+
+    full = pad(cells.where("value IS NOT NULL"), nrows, ncols)
+    parts = []
+    for along, across in (("col", "row"), ("row", "col")):
+        w = Window.partitionBy(across).orderBy(along)
+        parts += [F.last("value", ignorenulls=True).over(w.rowsBetween(-width, -1)), F.first("value", ignorenulls=True).over(w.rowsBetween(1, width))]
+    near = full.withColumns({f"__s{k}": c for k, c in enumerate(parts)})
+    found = sum((F.col(f"__s{k}").isNotNull().cast("int") for k in range(4)), F.lit(0))
+    mean = sum((F.coalesce(f"__s{k}", F.lit(0.0)) for k in range(4)), F.lit(0.0)) / found
+    return near.select("row", "col", F.coalesce("value", F.when(found >= sides, mean)).alias("value")).where("value IS NOT NULL")
+
+
 def spectrum(cells: DataFrame, nrows: int, ncols: int, res: float = 1.0, bins: int = 20) -> DataFrame:
     """``bin, frequency, power, n``: the radial power spectrum of the detrended, windowed grid.
 

@@ -68,6 +68,17 @@ def junction_receivers(channel: DataFrame, found: DataFrame) -> DataFrame:
     return ahead.join(stop, "node").select("junction", F.col("tag_node").alias("receiver_junction"), (F.col("dx") + F.col("distance")).alias("distance"))
 
 
+def next_order(channel: DataFrame, orders: DataFrame) -> DataFrame:
+    """``node, next_node``: the first node downstream of a higher order; nodes of the highest order on their way are left out."""
+    o = orders.select("node", "stream_order")
+    j = channel.select("node", "receiver").join(o, "node").join(o.select(F.col("node").alias("receiver"), F.col("stream_order").alias("__r")), "receiver")
+    # Pointers run along nodes of one order; the last of them stands before the next order.
+    stay = j.select("node", F.when(F.col("__r") > F.col("stream_order"), F.col("node")).otherwise(F.col("receiver")).alias("receiver"))
+    last = flow.to_root(stay).select("node", F.col("root").alias("last"))
+    ahead = j.where(F.col("__r") > F.col("stream_order")).select(F.col("node").alias("last"), F.col("receiver").alias("next_node"))
+    return last.join(ahead, "last").select("node", "next_node")
+
+
 def stream_counts(channel: DataFrame, orders: DataFrame) -> DataFrame:
     """``stream_order, n_streams``: a stream begins where no donor has its order."""
     o = orders.join(channel.select("node", "receiver"), "node")
@@ -131,6 +142,66 @@ def junction_angles(channel: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.select(F.col("receiver").alias("node"), F.col("node").alias("donor1"), F.col("node2").alias("donor2"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))).alias("angle"))
 
 
+def links(channel: DataFrame, places: DataFrame) -> DataFrame:
+    """``link, end, n, length, fall, ux, uy, r2, x0, y0, x1, y1``: each reach from a source or junction (link) down to the next junction or root (end).
+
+    ``places`` has node, x, y, z.  ``ux, uy`` is the direction of the line of least perpendicular distance through the
+    reach's nodes, both ends included, pointing downstream, and ``r2`` the squared correlation of its x and y (1 where either is constant).
+    """
+    d = flow.donors(channel)
+    roots = channel.where("node = receiver").select("node")
+    knots = store(d.where("n_donors <> 1").select("node").unionByName(roots).distinct(), "knots")
+    # Going up from a node between knots ends at the knot where its reach begins.
+    above = channel.where("node <> receiver").select(F.col("receiver").alias("node"), F.col("node").alias("receiver"))
+    inner = channel.select("node").join(knots, "node", "left_anti").join(above, "node")
+    up = inner.unionByName(knots.select("node", F.col("node").alias("receiver")))
+    head = store(flow.to_root(up).select("node", F.col("root").alias("link")), "reach-heads")
+    last = channel.where("node <> receiver").join(knots.select(F.col("node").alias("receiver")), "receiver", "left_semi").join(head, "node").select("link", F.col("receiver").alias("node"), F.lit(True).alias("is_end"))
+    own = head.join(roots.withColumn("__root", F.lit(True)), "node", "left").where("__root IS NULL").select("link", "node", F.lit(False).alias("is_end"))
+    rows = own.unionByName(last).join(places.select("node", "x", "y", "z"), "node").join(channel.select("node", "dx"), "node")
+    at = lambda c, end: F.max(F.when(F.col("is_end") if end else F.col("node") == F.col("link"), F.col(c)))
+    s = rows.groupBy("link").agg(
+        at("node", True).alias("end"), F.count("*").alias("n"), F.sum(F.when(~F.col("is_end"), F.col("dx"))).alias("length"), (at("z", False) - at("z", True)).alias("fall"),
+        *[at(c, e).alias(f"{c}{int(e)}") for c in "xy" for e in (False, True)], F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"),
+    )
+    turn = F.atan2(2 * F.round("xy", 9), F.round(F.col("xx") - F.col("yy"), 9)) / 2
+    way = F.when(F.cos(turn) * (F.col("x1") - F.col("x0")) + F.sin(turn) * (F.col("y1") - F.col("y0")) >= 0, 1.0).otherwise(-1.0)
+    r2 = F.when((F.round("xx", 9) > 0) & (F.round("yy", 9) > 0), F.col("xy") * F.col("xy") / (F.col("xx") * F.col("yy"))).otherwise(1.0)
+    return s.select("link", "end", "n", "length", "fall", (F.cos(turn) * way).alias("ux"), (F.sin(turn) * way).alias("uy"), r2.alias("r2"), "x0", "y0", "x1", "y1")
+
+
+def link_bearings(found: DataFrame) -> DataFrame:
+    """``link, end, bearing, gradient``: degrees from north from a reach's begin to its end, and its fall over its length."""
+    from catena.functions.geo import bearing
+
+    return found.select("link", "end", bearing(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("bearing"), (F.col("fall") / F.col("length")).alias("gradient"))
+
+
+def junction_angles_complete(found: DataFrame, orders: DataFrame, area: DataFrame, least_nodes: int = 9) -> DataFrame:
+    """For each junction where two reaches meet and one leaves, all with enough nodes: angles, orders, areas and fits.
+
+    ``angle_12, angle_1r, angle_2r`` are the degrees between the two donors (1: the smaller link) and the receiver, in the order in which they lie around the
+    junction, so they sum to 360.  ``area`` has node and area.
+    """
+    whole = found.where(F.col("n") >= least_nodes)
+    north = lambda u, v: F.pmod(F.degrees(F.atan2(u, v)), F.lit(360.0))
+    two = found.groupBy("end").agg(F.count("*").alias("__n"), F.min("link").alias("d1"), F.max("link").alias("d2")).where("__n = 2")
+    # Donors point up from the junction, the receiver down from it.
+    up = lambda k: whole.select(F.col("link").alias(f"d{k}"), north(-F.col("ux"), -F.col("uy")).alias(f"b{k}"), F.col("r2").alias(f"r2_{k}"))
+    down = whole.select(F.col("link").alias("junction"), F.col("end").alias("receiver"), north(F.col("ux"), F.col("uy")).alias("br"), F.col("r2").alias("r2_r"))
+    j = two.select(F.col("end").alias("junction"), "d1", "d2").join(up(1), "d1").join(up(2), "d2").join(down, "junction")
+    a, b = (F.pmod(F.round(F.col(f"b{k}") - F.col("br"), 9), F.lit(360.0)) for k in (1, 2))
+    j = j.withColumns({"t1": a, "t2": b})
+    after = F.col("t2") > F.col("t1")
+    angles = {"angle_12": F.abs(F.col("t2") - F.col("t1")), "angle_1r": F.when(after, F.col("t1")).otherwise(360 - F.col("t1")), "angle_2r": F.when(after, 360 - F.col("t2")).otherwise(F.col("t2"))}
+    j = j.withColumns(angles)
+    for name, at in (("1", "d1"), ("2", "d2"), ("r", "receiver"), ("j", "junction")):
+        j = j.join(orders.select(F.col("node").alias(at), F.col("stream_order").alias(f"order_{name}")), at)
+        if name != "j":
+            j = j.join(area.select(F.col("node").alias(at), F.col("area").alias(f"area_{name}")), at)
+    return j.select("junction", "d1", "d2", "receiver", *angles, "order_j", "order_1", "order_2", "order_r", "area_1", "area_2", "area_r", "r2_1", "r2_2", "r2_r")
+
+
 def tokunaga(channel: DataFrame, orders: DataFrame) -> DataFrame:
     """``i, j, n``: streams of order i that end in a stream of order j."""
     o = channel.select("node", "receiver").join(orders, "node")

@@ -167,6 +167,34 @@ def collinearity(profile: DataFrame, reference: Column, sigma: float = 10.0) ->
     return both.groupBy("basin_key", "source_key").agg(likelihood(r, sigma).alias("mle"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.count("*").alias("n"))
 
 
+def collinearity_points(profile: DataFrame, reference: Column, offsets: list[float], sigma: float = 10.0) -> DataFrame:
+    """``collinearity`` at points: each tributary is looked at ``offsets`` of chi above its lower end, where it reaches so far."""
+    from catena.functions.stats import interpolate
+
+    marked = profile.withColumn("__ref", reference)
+    span = marked.where("NOT __ref").groupBy("basin_key", "source_key").agg(F.min("chi").alias("lo"), F.max("chi").alias("hi"))
+    asked = span.withColumn("o", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("chi", F.col("lo") + F.col("o")).where("chi <= hi").select("basin_key", "source_key", "chi")
+    nodes = marked.where("NOT __ref").groupBy("basin_key", "source_key", "chi").agg(F.avg("elevation").alias("elevation"))
+    points = interpolate(asked, nodes, ["basin_key", "source_key"], "chi", "elevation").withColumn("__ref", F.lit(False))
+    both = points.unionByName(marked.where("__ref").select("basin_key", "source_key", "chi", "elevation", "__ref"))
+    return collinearity(both, F.col("__ref"), sigma)
+
+
+def collinearity_sampled(profile: DataFrame, reference: Column, row: str, rounds: int, share: float = 0.5, sigma: float = 10.0, seed: int = 1) -> DataFrame:
+    """``basin_key, round, mle, mae, n``: collinearity of all of a basin's tributaries over random shares of their nodes, by round.
+
+    A node is in a round by a hash of its id (``row``), so any cluster draws the same ones.
+    """
+    marked = profile.withColumn("__ref", reference)
+    drawn = marked.where("NOT __ref").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "round", row).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    ref = marked.where("__ref").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    # A basin and a round together are a basin of their own.
+    both = drawn.where(u < share).unionByName(ref).withColumn("basin_key", F.struct("basin_key", "round"))
+    found = collinearity(both, F.col("__ref"), sigma)
+    return found.groupBy("basin_key").agg(F.exp(-F.sum(F.col("n") * F.col("rmse") * F.col("rmse")) / (2 * sigma * sigma)).alias("mle"), (F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae"), F.sum("n").alias("n")).select("basin_key.*", "mle", "mae", "n")
+
+
 def chi_over(profile: DataFrame, thetas: list[float], area: str, dx: str) -> DataFrame:
     """One chi column for each concavity: ``chi_0_45`` for 0.45."""
     upto = channel().rowsBetween(Window.unboundedPreceding, 0)

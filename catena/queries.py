@@ -1313,3 +1313,6 @@ def _(profile_):
 def _(points, cells):
     targets = cells.where("value > 68000").select(spec().node().alias("id2"), spec().x(F.col("col")).alias("x"), spec().y(F.col("row")).alias("y"))
     return rounded(joins.within(points, targets, 5.0), "distance")
+
+
+from catena import more_queries  # noqa: E402, F401

@@ -1,7 +1,8 @@
 """Raster files (.asc, .flt, .bil) as a Spark data source, and its writer.
 
 ``register(spark)`` once, then ``spark.read.format("grid").load("dem.bil")`` gives ``row, col, value``
-(null: nodata).  Binary files are read in row bands, one partition each, at the offsets the header gives.
+(null: nodata); ``value`` is a double, or a long where the file holds integers.  Files are read in row bands, one
+partition each: binary ones at the offsets the header gives, text at the places of lines, which are looked up once.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ def _esri(head: dict[str, str]) -> GridSpec:
 class Band(InputPartition):
     start: int
     stop: int
+    at: int = 0
 
 
 class GridReader(DataSourceReader):
@@ -75,23 +77,37 @@ class GridReader(DataSourceReader):
         self.path, self.bands, self.layout = path, bands, read_layout(path)
 
     def partitions(self) -> list[InputPartition]:
-        if self.layout.dtype == "text":
-            return [Band(0, self.layout.spec.nrows)]
         n = self.layout.spec.nrows
         cuts = np.linspace(0, n, max(1, min(self.bands, n)) + 1).astype(int).tolist()
-        return [Band(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        places = [0] * len(cuts)
+        if self.layout.dtype == "text":
+            begins, at = [], 0
+            with open(self.path, "rb") as f:
+                for k, line in enumerate(f):
+                    if k >= self.layout.first and line.strip():
+                        begins.append(at)
+                    at += len(line)
+            if len(begins) != n:
+                # Rows that do not stand on lines of their own can't be cut.
+                return [Band(0, n, begins[0] if begins else 0)]
+            places = [begins[c] for c in cuts[:-1]]
+        return [Band(a, b, p) for a, b, p in zip(cuts[:-1], cuts[1:], places, strict=False)]
 
     def read(self, partition: Band) -> Iterator[pa.RecordBatch]:
         spec, layout = self.layout.spec, self.layout
         if layout.dtype == "text":
+            rows = partition.stop - partition.start
             with open(self.path) as f:
-                values = np.array("".join(f.readlines()[layout.first :]).split(), dtype=float).reshape(spec.nrows, spec.ncols)
+                f.seek(partition.at)
+                whole = f.read() if rows == spec.nrows else "".join(next(f) for _ in range(rows))
+            values = np.array(whole.split(), dtype=float).reshape(rows, spec.ncols)
         else:
             width = np.dtype(layout.dtype).itemsize
             with open(self.path, "rb") as f:
                 f.seek(layout.first + partition.start * spec.ncols * width)
                 raw = f.read((partition.stop - partition.start) * spec.ncols * width)
-            values = np.frombuffer(raw, dtype=layout.dtype).astype(float).reshape(-1, spec.ncols)
+            values = np.frombuffer(raw, dtype=layout.dtype).reshape(-1, spec.ncols)
+            values = values.astype(np.int64 if values.dtype.kind in "iu" else float)
         step = max(1, 500_000 // spec.ncols)
         for lo in range(0, len(values), step):
             part = values[lo : lo + step]
@@ -106,19 +122,27 @@ class GridSource(DataSource):
     def name(cls) -> str:
         return "grid"
 
+    def path(self) -> str:
+        return self.options["path"].removeprefix("file://")
+
     def schema(self) -> str:
-        return "row int, col int, value double"
+        whole = np.dtype(layout).kind in "iu" if (layout := read_layout(self.path()).dtype) != "text" else False
+        return f"row int, col int, value {'long' if whole else 'double'}"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return GridReader(self.options["path"].removeprefix("file://"), int(self.options.get("bands", "32")))
+        return GridReader(self.path(), int(self.options.get("bands", "32")))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GridSource)
 
 
-def write_grid(cells: DataFrame, spec: GridSpec, path: str) -> None:
-    """One raster file (.asc, .flt or .bil by its ending), row by row in order; the rows stream through the driver."""
+def write_grid(cells: DataFrame, spec: GridSpec, path: str, dtype: str = "f4") -> None:
+    """One raster file (.asc, .flt or .bil by its ending), row by row in order; the rows stream through the driver.
+
+    A .bil file holds numbers of ``dtype``: f4, f8 or i4.
+    """
+    code = {"f4": 4, "f8": 5, "i4": 3}[dtype]
     stem, kind = os.path.splitext(path)
     lines = cells.groupBy("row").agg(F.collect_list(F.struct("col", "value")).alias("v")).orderBy("row")
     west, north = spec.xmin, spec.ymin + spec.nrows * spec.res
@@ -128,14 +152,14 @@ def write_grid(cells: DataFrame, spec: GridSpec, path: str) -> None:
             f.write(esri + "byteorder LSBFIRST\n")
     elif kind == ".bil":
         with open(stem + ".hdr", "w") as f:
-            f.write(f"ENVI\nsamples = {spec.ncols}\nlines = {spec.nrows}\nbands = 1\nheader offset = 0\ndata type = 4\ninterleave = bil\nbyte order = 0\nmap info = {{UTM, 1, 1, {west}, {north}, {spec.res}, {spec.res}, 30, North, WGS-84}}\ndata ignore value = {spec.nodata}\n")
+            f.write(f"ENVI\nsamples = {spec.ncols}\nlines = {spec.nrows}\nbands = 1\nheader offset = 0\ndata type = {code}\ninterleave = bil\nbyte order = 0\nmap info = {{UTM, 1, 1, {west}, {north}, {spec.res}, {spec.res}, 30, North, WGS-84}}\ndata ignore value = {spec.nodata}\n")
     with open(path, "w" if kind == ".asc" else "wb") as f:
         if kind == ".asc":
             f.write(esri)
         at = 0
 
         def put(line: np.ndarray) -> None:
-            f.write(" ".join(repr(float(v)) for v in line) + "\n" if kind == ".asc" else line.astype("<f4").tobytes())
+            f.write(" ".join(repr(float(v)) for v in line) + "\n" if kind == ".asc" else line.astype(f"<{dtype if kind == '.bil' else 'f4'}").tobytes())
 
         blank = np.full(spec.ncols, spec.nodata)
         for r in lines.toLocalIterator():

@@ -11,7 +11,10 @@ from catena.queries import ORACLE_SQL, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-@pytest.fixture(scope="module")
+#: Where a query finds nothing on the smallest tables, it is held against these.
+LARGER = "/root/testdata/sf0.01"
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -30,12 +33,15 @@ def same(a, b):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_query(spark, duck, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
+def test_query(spark, sf_dir, name):
+    for tables in (sf_dir, LARGER):
+        df = QUERIES[name](spark, tables)
+        columns = sorted(df.columns)
+        got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
+        if got:
+            break
     names = ", ".join(f'"{c}"' for c in columns)
-    want = sorted((tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {names} FROM ({ORACLE_SQL[name]})").fetchall()), key=repr)
+    want = sorted((tuple(plain(v) for v in r) for r in duck(tables).sql(f"SELECT {names} FROM ({ORACLE_SQL[name]})").fetchall()), key=repr)
     assert got and len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert all(same(x, y) for x, y in zip(a, b, strict=True)), (a, b)
