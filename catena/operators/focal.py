@@ -8,7 +8,7 @@ whose margin it lies in, so the data grow by the margin's share only.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -290,61 +290,115 @@ def fill_between(cells: DataFrame, nrows: int, ncols: int, width: int, sides: in
     return near.select("row", "col", F.coalesce("value", F.when(found >= sides, mean)).alias("value")).where("value IS NOT NULL")
 
 
-def spectrum(cells: DataFrame, nrows: int, ncols: int, res: float = 1.0, bins: int = 20) -> DataFrame:
-    """``bin, frequency, power, n``: the radial power spectrum of the detrended, windowed grid.
+def _lines(df: DataFrame, along: str, across: str, n: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 64) -> DataFrame:
+    """Apply a kernel to whole lines of complex cells (row, col, re, im): it gets the lines' numbers and a (lines, n) array, and returns such an array.
 
-    A transform of the whole grid is one array by nature; the grid goes to one task, which bounds it to what
-    a worker holds (8 bytes a cell and some copies).
+    A group holds ``block`` lines, so a task holds that many lines of the grid, not the grid.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros((nrows, ncols))
-        z[rows["row"], rows["col"]] = rows["value"]
-        y, x = np.mgrid[:nrows, :ncols]
-        a = np.stack([x.ravel(), y.ravel(), np.ones(z.size)], axis=1)
-        z = z - (a @ np.linalg.lstsq(a, z.ravel(), rcond=None)[0]).reshape(z.shape)
-        w = np.outer(np.hanning(nrows), np.hanning(ncols))
-        power = np.abs(np.fft.fft2(z * w)) ** 2 / (z.size * (w**2).sum())
-        f = np.hypot(*np.meshgrid(np.fft.fftfreq(nrows, res), np.fft.fftfreq(ncols, res), indexing="ij"))
-        b = np.minimum((f / (0.5 / res) * bins).astype(int), bins - 1)
-        return pd.DataFrame({"f": f.ravel(), "bin": b.ravel(), "p": power.ravel()}).groupby("bin").agg(frequency=("f", "mean"), power=("p", "mean"), n=("p", "size")).reset_index()
+        first = int(rows[across].min())
+        lines = np.zeros((int(rows[across].max()) - first + 1, n), dtype=complex)
+        lines[rows[across] - first, rows[along]] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        out = kernel(np.arange(first, first + len(lines)), lines)
+        i, j = np.indices(out.shape, dtype=np.int32)
+        return pd.DataFrame({across: (i + first).ravel(), along: j.ravel(), "re": out.real.ravel(), "im": out.imag.ravel()})[["row", "col", "re", "im"]]
+
+    return df.groupBy(F.floor(F.col(across) / block).alias("__block")).applyInPandas(run, "row int, col int, re double, im double")
+
+
+def _spectrum_by_rows(full: DataFrame, ncols: int) -> DataFrame:
+    """Each row of a dense grid (row, col, value) transformed."""
+    rows = full.select("row", "col", F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return _lines(rows, "col", "row", ncols, lambda _at, x: np.fft.fft(x, axis=1))
+
+
+def _frequency(row: np.ndarray, nrows: int, col: np.ndarray, ncols: int, res: float) -> np.ndarray:
+    return np.hypot(np.fft.fftfreq(nrows, res)[row], np.fft.fftfreq(ncols, res)[col])
+
+
+def _dense(cells: DataFrame, nrows: int, ncols: int, gaps: float) -> DataFrame:
+    from catena.operators.algebra import pad
+
+    return pad(cells.select("row", "col", F.col("value").cast("double")), nrows, ncols).withColumn("value", F.coalesce("value", F.lit(gaps)))
+
+
+def _back(columns: DataFrame, cells: DataFrame, ncols: int) -> DataFrame:
+    """The data cells of a grid whose columns are transformed back already."""
+    found = _lines(columns, "col", "row", ncols, lambda _at, x: np.fft.ifft(x, axis=1))
+    return found.join(cells.where("value IS NOT NULL").select("row", "col"), ["row", "col"], "left_semi").select("row", "col", F.col("re").alias("value"))
+
+
+def spectrum(cells: DataFrame, nrows: int, ncols: int, res: float = 1.0, bins: int = 20) -> DataFrame:
+    """``bin, frequency, power, n``: the radial power spectrum of the detrended, windowed grid; gaps count as 0.
 
-    data = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double"))
-    return data.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "bin int, frequency double, power double, n long")
+    Rows are transformed first, then columns: two shuffles of the grid, and no task holds more than a block of lines.
+    """
+    full = _dense(cells, nrows, ncols, 0.0)
+    # The plane of least squares over all cells, from sums.
+    one = F.lit(1.0)
+    terms = [F.col("col"), F.col("row"), one]
+    sums = full.agg(*[F.sum(x * y).cast("double") for x in terms for y in [*terms, F.col("value")]]).head()
+    m = np.array(sums, dtype=float).reshape(3, 4)
+    plane = np.linalg.solve(m[:, :3], m[:, 3])
+    taper = lambda c, n: 0.5 - F.cos(F.col(c) * (2 * math.pi / max(1, n - 1))) * 0.5
+    flat = full.withColumn("value", (F.col("value") - F.col("col") * float(plane[0]) - F.col("row") * float(plane[1]) - float(plane[2])) * taper("row", nrows) * taper("col", ncols))
+    weight = nrows * ncols * float((np.hanning(nrows) ** 2).sum() * (np.hanning(ncols) ** 2).sum())
+    both = _lines(_spectrum_by_rows(flat, ncols), "row", "col", nrows, lambda _at, x: np.fft.fft(x, axis=1))
+
+    def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            f = _frequency(rows["row"].to_numpy(), nrows, rows["col"].to_numpy(), ncols, res)
+            yield pd.DataFrame({"f": f, "bin": np.minimum((f / (0.5 / res) * bins).astype(np.int32), bins - 1), "p": (rows["re"] ** 2 + rows["im"] ** 2) / weight})
+
+    placed = both.mapInPandas(frequency, "f double, bin int, p double")
+    return placed.groupBy("bin").agg(F.avg("f").alias("frequency"), F.avg("p").alias("power"), F.count("*").alias("n"))
 
 
 def frequency_filter(cells: DataFrame, nrows: int, ncols: int, res: float, low: float | None, high: float | None) -> DataFrame:
-    """Keep wavelengths between frequencies ``low`` and ``high`` (None: open), with smooth shoulders; one task, as ``spectrum``."""
+    """Keep wavelengths between frequencies ``low`` and ``high`` (None: open), with smooth shoulders; gaps count as the mean.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        z = np.full((nrows, ncols), rows["value"].mean())
-        z[rows["row"], rows["col"]] = rows["value"]
-        f = np.hypot(*np.meshgrid(np.fft.fftfreq(nrows, res), np.fft.fftfreq(ncols, res), indexing="ij"))
+    Rows, then columns there and back, then rows back: three shuffles of the grid.
+    """
+    mean = cells.agg(F.avg("value")).head()[0] or 0.0
+
+    def columns(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        f = _frequency(np.arange(nrows)[None, :], nrows, at[:, None], ncols, res)
         h = np.ones_like(f)
-        with np.errstate(all="ignore"):
-            if low is not None:
-                h *= 1 - np.exp(-((f / low) ** 2) / 2)
-            if high is not None:
-                h *= np.exp(-((f / high) ** 2) / 2)
-        out = np.fft.ifft2(np.fft.fft2(z) * h).real
-        return pd.DataFrame({"row": rows["row"], "col": rows["col"], "value": out[rows["row"], rows["col"]]})
+        if low is not None:
+            h *= 1 - np.exp(-((f / low) ** 2) / 2)
+        if high is not None:
+            h *= np.exp(-((f / high) ** 2) / 2)
+        return np.fft.ifft(np.fft.fft(x, axis=1) * h, axis=1)
 
-    data = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double"))
-    return data.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "row int, col int, value double")
+    rows = _spectrum_by_rows(_dense(cells, nrows, ncols, mean), ncols)
+    return _back(_lines(rows, "row", "col", nrows, columns), cells, ncols)
 
 
 def wiener(cells: DataFrame, nrows: int, ncols: int, res: float = 1.0) -> DataFrame:
-    """Least-squares denoising in frequency space, with the noise taken from the highest quarter of frequencies; one task, as ``spectrum``."""
+    """Least-squares denoising in frequency space, with the noise taken from the highest quarter of frequencies; gaps count as the mean.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        z = np.full((nrows, ncols), rows["value"].mean())
-        z[rows["row"], rows["col"]] = rows["value"]
-        f = np.fft.fft2(z - z.mean())
-        k = np.hypot(*np.meshgrid(np.fft.fftfreq(nrows, res), np.fft.fftfreq(ncols, res), indexing="ij"))
-        power = np.abs(f) ** 2
-        noise = power[k >= 0.75 * k.max()].mean()
-        out = np.fft.ifft2(f * np.maximum(0, power - noise) / np.maximum(power, 1e-300)).real + z.mean()
-        return pd.DataFrame({"row": rows["row"], "col": rows["col"], "value": out[rows["row"], rows["col"]]})
-
-    data = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double"), F.lit(0).alias("whole"))
-    return data.groupBy("whole").applyInPandas(run, "row int, col int, value double")
+    The spectrum is stored once, as the noise is known only after all of it.
+    """
+    from catena.storage import store
+
+    mean = cells.agg(F.avg("value")).head()[0] or 0.0
+    rows = _spectrum_by_rows(_dense(cells, nrows, ncols, mean).withColumn("value", F.col("value") - mean), ncols)
+    both = store(_lines(rows, "row", "col", nrows, lambda _at, x: np.fft.fft(x, axis=1)), "spectrum")
+    top = float(np.hypot(np.abs(np.fft.fftfreq(nrows, res)).max(), np.abs(np.fft.fftfreq(ncols, res)).max()))
+
+    def powers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            f = _frequency(part["row"].to_numpy(), nrows, part["col"].to_numpy(), ncols, res)
+            p = (part["re"] ** 2 + part["im"] ** 2).to_numpy()[f >= 0.75 * top]
+            yield pd.DataFrame({"total": [p.sum()], "n": [len(p)]})
+
+    found = both.mapInPandas(powers, "total double, n long").agg(F.sum("total"), F.sum("n")).head()
+    noise = (found[0] or 0.0) / max(1, found[1] or 0)
+
+    def columns(_at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        power = np.abs(x) ** 2
+        return np.fft.ifft(x * np.maximum(0, power - noise) / np.maximum(power, 1e-300), axis=1)
+
+    back = _back(_lines(both, "row", "col", nrows, columns), cells, ncols)
+    return back.withColumn("value", F.col("value") + mean)
