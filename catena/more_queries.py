@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catena.functions import geo, nuclide, soil, stats
 from catena.grid import GridSpec
 from catena.operators import algebra, flow, focal, joins, landforms, network, profile
-from catena.queries import CHANNEL_SQL, COMPONENT_SQL, D8_WAYS, GRID_SQL, KEYS_SQL, NUDGE, ORDER_SQL, OUTS, ROOTED, SLOPES, SPOTS_SQL, STEPS_SQL, STRAHLER_SQL, _collinear_sql, _F, _DF, _fit_sql, _stone_sql, _STONE_SQL, _theta_sql, channel_of, d8, nudged, outlets_of, query, r6, rooted, rounded, spec
+from catena.queries import CHANNEL_SQL, COMPONENT_SQL, D8_WAYS, GRID_SQL, INFINITE_SQL, KEYS_SQL, NUDGE, ORDER_SQL, OUTS, ROOTED, SLOPES, SPOTS_SQL, STEPS_SQL, STRAHLER_SQL, _collinear_sql, _F, _DF, _fit_sql, _stone_sql, _STONE_SQL, _theta_sql, channel_of, d8, nudged, outlets_of, query, r6, rooted, rounded, spec
 from catena.sources import grids, tables
 from catena.storage import folder
 
@@ -409,6 +409,23 @@ def _(cells):
     return found.withColumn("curvature", F.round(F.col("curvature") + 1e-6, 4))
 
 
+@query("curvature_heads", "cells", recursive=True, more=D8_WAYS + ",\n" + _fit_sql(2) + """,
+curved AS (SELECT row, col, CASE WHEN e * e + f * f > 0 THEN (2 * a * f * f - 2 * d * e * f + 2 * b * e * e) / ((e * e + f * f) * sqrt(1 + e * e + f * f)) ELSE 0 END AS t FROM fit),
+marks AS (SELECT n.node FROM curved c JOIN nodes n ON n.row = c.row AND n.col = c.col WHERE c.t > 1.2::DOUBLE * (SELECT stddev_pop(t) FROM curved))""", sql="SELECT m.node FROM marks m JOIN ways w ON w.ancestor = m.node JOIN marks u ON u.node = w.node GROUP BY m.node HAVING count(*) = 1")
+def _(cells):
+    return landforms.curvature_heads(cells, d8(cells), 2, times=1.2)
+
+
+@query("d_infinity_watershed", "cells", recursive=True, more=INFINITE_SQL + """,
+lowest AS (SELECT arg_min(row, (value, row, col)) AS row, arg_min(col, (value, row, col)) AS col FROM cells),
+up(row, col) AS (SELECT row, col FROM lowest UNION SELECT w.row, w.col FROM up u JOIN weighed w ON w.to_row = u.row AND w.to_col = u.col)""", sql='SELECT row AS "row", col FROM up')
+def _(cells):
+    from catena.operators import routing
+
+    outlet = cells.orderBy("value", "row", "col").limit(1)
+    return routing.watershed(routing.infinity_edges(cells), outlet)
+
+
 @query("gentle_hilltops", "cells", recursive=True, more=D8_WAYS + ",\n" + ROOTED + ",\n" + SLOPES + f",\nedge AS (SELECT DISTINCT b.row, b.col, b.basin FROM rooted b JOIN {STEPS_SQL} ON true JOIN rooted n ON n.row = b.row + k.dr AND n.col = b.col + k.dc WHERE n.basin <> b.basin)", sql='SELECT e.row AS "row", e.col, e.basin FROM edge e JOIN nodes n ON n.row = e.row AND n.col = e.col JOIN slopes s ON s.node = n.node WHERE s.slope < 12000')
 def _(cells):
     nodes = d8(cells)

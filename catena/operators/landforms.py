@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catena.grid import window3
 from catena.operators import flow, focal, network
 from catena.operators.morphology import in_order
+from catena.storage import store
 
 
 def ridges(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -93,6 +94,19 @@ def curved_channels(cells: DataFrame, radius_cells: int, res: float, threshold:
     return t.where(F.col("value") > threshold).select("row", "col", F.lit(1).alias("value"))
 
 
+def curvature_heads(cells: DataFrame, nodes: DataFrame, radius_cells: int, res: float = 1.0, times: float = 3.0, threshold: float | None = None) -> DataFrame:
+    """``node``: channel heads where the tangential curvature exceeds a threshold and nowhere upstream does (Pelletier 2013).
+
+    Without a threshold it is a number of deviations of the curvature over the grid; only whole windows are fitted.
+    """
+    t = store(focal.polynomial_surface(cells, radius_cells, res, partial=False).select("row", "col", "tangential").where("tangential IS NOT NULL AND NOT isnan(tangential)"), "tangential")
+    if threshold is None:
+        threshold = times * (t.agg(F.stddev_pop("tangential")).head()[0] or 0.0)
+    marked = nodes.join(t.where(F.col("tangential") > threshold).select("row", "col", F.lit(1).cast("long").alias("__m")), ["row", "col"], "left").fillna(0, ["__m"])
+    found = flow.accumulate(marked, {"above": F.col("__m")})
+    return marked.where("__m = 1").select("node").join(found.where("above = 1").select("node"), "node")
+
+
 def terraces_by_relief(relief: DataFrame, slopes: DataFrame, relief_share: float = 0.25, slope_share: float = 0.25) -> DataFrame:
     """Cells low above their channel and gentle: below the given quantiles of relief and slope over the grid."""
     j = relief.select("node", "relief").join(slopes.select("node", "row", "col", "slope"), "node")

@@ -78,6 +78,21 @@ def spread_flow(cells: DataFrame, edges: DataFrame, start: float = 1.0) -> DataF
     return union_all(moving).groupBy("row", "col").agg(F.sum("area").alias("area"))
 
 
+def watershed(edges: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``row, col`` of all cells from which weighted edges lead to one of the outlets (row, col), the outlets among them.
+
+    Rounds go up one step each; a round holds only the cells that are new.
+    """
+    edges = store(edges.select("row", "col", F.col("to_row").alias("r"), F.col("to_col").alias("c")).distinct(), "steps")
+    found = [store(outlets.select("row", "col").distinct(), "watershed-0")]
+    while found[-1].take(1):
+        up = edges.join(found[-1].select(F.col("row").alias("r"), F.col("col").alias("c")), ["r", "c"]).select("row", "col").distinct()
+        found.append(store(up.join(union_all(found), ["row", "col"], "left_anti"), f"watershed-{len(found)}"))
+        if len(found) % 64 == 0:
+            found = [store(union_all(found[:-1]), "watershed"), found[-1]]
+    return union_all(found)
+
+
 def hillslopes(nodes: DataFrame, hilltops: DataFrame, channel: DataFrame) -> DataFrame:
     """``node, channel_node, length, relief, slope`` from each hilltop (node) down to the first channel node."""
     near = flow.nearest_tag(nodes, channel.select("node", F.lit(1).alias("tag"))).join(hilltops.select("node"), "node", "left_semi")

@@ -937,10 +937,14 @@ def _(cells):
     return rounded(flow.d_infinity(cells), "angle", "slope")
 
 
-@query("d_infinity_area", "cells", recursive=True, more=FACET_SQL + f""",
+#: Edges of facet directions: flow is shared by the two neighbours beside the direction.
+INFINITE_SQL = FACET_SQL + f""",
 weighed AS (SELECT t.row, t.col, t.row + k.dr AS to_row, t.col + k.dc AS to_col, CASE o.o WHEN 0 THEN 1 - share ELSE share END AS w
   FROM (SELECT row, col, CAST(floor(angle / (pi() / 4)) AS INT) % 8 AS f, angle / (pi() / 4) - floor(angle / (pi() / 4)) AS share FROM ways8 WHERE angle IS NOT NULL) t, (VALUES (0), (1)) o(o), (VALUES {_RING}) k(i, dr, dc)
-  WHERE k.i = t.f + o.o AND CASE o.o WHEN 0 THEN 1 - share ELSE share END > 0)""" + SHARED_SQL, sql=AREA_SQL)
+  WHERE k.i = t.f + o.o AND CASE o.o WHEN 0 THEN 1 - share ELSE share END > 0)"""
+
+
+@query("d_infinity_area", "cells", recursive=True, more=INFINITE_SQL + SHARED_SQL, sql=AREA_SQL)
 def _(cells):
     return rounded(routing.spread_flow(cells, routing.infinity_edges(cells)), "area")
 
