@@ -125,13 +125,16 @@ def albers(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0:
 
 
 def albers_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
-    """Latitudes come from the series of the authalic latitude (Snyder 1987, 3-18), to a few millionths of a degree."""
+    """Latitudes come from the series of the authalic latitude and a step of Newton's method (Snyder 1987, 3-18 and 3-16)."""
     e2 = _e2(inv_f) if inv_f else 0.0
     n, c, rho0 = _albers_terms(lat1, lat2, lat0, a, e2)
     down = F.lit(rho0) - y
     rho = F.sqrt(x * x + down * down)
-    beta = F.asin((F.lit(c) - rho * rho * (n * n / a**2)) / (n * _q(math.pi / 2, e2)))
+    q = (F.lit(c) - rho * rho * (n * n / a**2)) / n
+    beta = F.asin(q / _q(math.pi / 2, e2))
     lat = beta + F.sin(beta * 2) * (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) + F.sin(beta * 4) * (23 * e2**2 / 360 + 251 * e2**3 / 3780) + F.sin(beta * 6) * (761 * e2**3 / 45360)
+    s2 = 1 - F.sin(lat) * F.sin(lat) * e2
+    lat = lat + (q - _q(lat, e2)) * s2 * s2 / (F.cos(lat) * (2 * (1 - e2)))
     return F.degrees(lat), F.degrees(F.atan2(x, down)) / n + lon0
 
 
@@ -152,13 +155,15 @@ def lambert(latitude: Column, longitude: Column, lat1: float, lat2: float, lat0:
 
 
 def lambert_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float, a: float = A, inv_f: float | None = INV_F) -> tuple[Column, Column]:
-    """Latitudes come from the series of the conformal latitude (Snyder 1987, 3-5)."""
+    """Latitudes come from the series of the conformal latitude and a step of the exact equation (Snyder 1987, 3-5 and 7-9)."""
     e2 = _e2(inv_f) if inv_f else 0.0
     n, af, rho0 = _lambert_terms(lat1, lat2, lat0, a, e2)
     down = F.lit(rho0) - y
     rho = F.sqrt(x * x + down * down) * (1 if n > 0 else -1)
-    chi = F.atan(F.pow(rho / af, F.lit(1 / n))) * -2 + math.pi / 2
+    t, e = F.pow(rho / af, F.lit(1 / n)), math.sqrt(e2)
+    chi = F.atan(t) * -2 + math.pi / 2
     lat = chi + F.sin(chi * 2) * (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) + F.sin(chi * 4) * (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) + F.sin(chi * 6) * (7 * e2**3 / 120 + 81 * e2**4 / 1120) + F.sin(chi * 8) * (4279 * e2**4 / 161280)
+    lat = F.atan(t * F.pow((1 - F.sin(lat) * e) / (1 + F.sin(lat) * e), F.lit(e / 2))) * -2 + math.pi / 2
     return F.degrees(lat), F.degrees(F.atan2(x, down)) / n + lon0
 
 
