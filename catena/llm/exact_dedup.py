@@ -59,7 +59,7 @@ def frequent_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "estimate"])
 
     rows = digests.select("digest")
-    return rows.mapInArrow(summarise, "digest binary, estimate long").groupBy("digest").agg(F.sum("estimate").alias("estimate"))
+    return rows.mapInArrow(base.trimmed(summarise), "digest binary, estimate long").groupBy("digest").agg(F.sum("estimate").alias("estimate"))
 
 
 def _first() -> Column:
@@ -104,7 +104,7 @@ def annotate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows that stay, with all their columns (rules as for ``annotate``).
 
-    Of rows that repeat the winning doc_id the one with the smallest text, then the smallest hash of all columns, stays.
+    Of rows that repeat the winning doc_id the one with the smallest hash of all columns stays.
     Copies of frequent texts are dropped before the shuffle, all but those with the
     winner's id; the others meet by digest, at most one of each task, as the first place is looked for in each task before the shuffle.
     """
@@ -114,7 +114,7 @@ def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.xxhash64(*plain).alias("tie"))
     rows = rows.join(F.broadcast(best), "digest", "left").where(F.col("frequent").isNull() | F.col("doc_id").eqNullSafe(F.col("winner")))
-    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "row.text", "tie")
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
 
 

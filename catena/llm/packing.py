@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", lead_space: bool
         yield _rows([p for pieces in bins.open.values() for p in pieces], part)
 
     rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    pieces = base.store(rows.mapInArrow(fill, PIECES), "pieces")
+    pieces = base.store(rows.mapInArrow(base.trimmed(fill), PIECES), "pieces")
     done = [pieces.where("sequence_id IS NOT NULL")]
     # pandas has no nulls among longs: whether there is an id stands beside it.
     left = pieces.where("sequence_id IS NULL").withColumns({"named": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})

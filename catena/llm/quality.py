@@ -244,4 +244,4 @@ def assess(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_sha
                 ], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
+    return rows.mapInArrow(base.trimmed(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")

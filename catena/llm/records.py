@@ -210,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", le
     # Equal ids (or none) are told apart by their texts, and equal rows by their places, so that no id fills a file alone.
     rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
-    return base.store(rows.select("doc_id", "text").mapInArrow(part, INDEX), "record-index")
+    return base.store(rows.select("doc_id", "text").mapInArrow(base.trimmed(part), INDEX), "record-index")
 
 
 def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
 
     Selected records of about 8 MB of a file are read together, by one range; only they are returned.
     """
-    return _ranges(index).mapInArrow(lambda batches: _read(batches, folder, True), "doc_id long, part int, local_start long, n_tokens long, ids array<int>, ids_crc32 long")
+    return _ranges(index).mapInArrow(base.trimmed(lambda batches: _read(batches, folder, True)), "doc_id long, part int, local_start long, n_tokens long, ids array<int>, ids_crc32 long")
 
 
 def _ranges(index: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def digest(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before; the files' totals are
     summed first, one row a file.
     """
-    found = base.store(_ranges(index).mapInArrow(lambda batches: _read(batches, folder, False), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"), "records-read")
+    found = base.store(_ranges(index).mapInArrow(base.trimmed(lambda batches: _read(batches, folder, False)), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"), "records-read")
     files = found.groupBy("part").agg(F.sum("n_tokens").alias("in_file"))
     before = F.coalesce(F.sum("in_file").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return found.join(files.select("part", before.alias("file_start")), "part").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -94,7 +94,7 @@ def learn_language(docs: DataFrame, most: int = MOST_WORDS) -> Language:
                 good = pc.and_(pc.utf8_is_alpha(plain), pc.and_(pc.greater_equal(pc.utf8_length(plain), low), pc.less_equal(pc.utf8_length(plain), high)))
                 yield pa.RecordBatch.from_arrays([plain.filter(good), found.field("counts").filter(good)], names=["word", "n"])
 
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "word string, n long")
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(base.trimmed(count), "word string, n long")
     top = rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_SUPPORT).orderBy(F.desc("n"), "word").limit(most)
     return language_of({r["word"]: r["n"] for r in top.collect()})
 
@@ -353,4 +353,4 @@ def scan(docs: DataFrame, forest: Forest, path: str | None = None, threshold: fl
 
     where = (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(base.trimmed(run), schema)

@@ -220,13 +220,13 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     alive, before = docs, None
     *short, _ = levels(window)
     for length in short:
-        anchors = alive.mapInArrow(lambda b, n=length, p=before: _anchor_rows(b, window, n, p), ANCHORS)
+        anchors = alive.mapInArrow(base.trimmed(lambda b, n=length, p=before: _anchor_rows(b, window, n, p)), ANCHORS)
         same = Window.partitionBy("hash")
         found = anchors.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("repeats").over(same)}).where("any OR low < high")
         places = found.groupBy("doc_id", "row_key").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places"))
         # A left join without a filter, as in the caller: all of them then read one and the same shuffle of the texts.
         alive, before = docs.join(places, ["doc_id", "row_key"], "left"), length
-    windows = alive.mapInArrow(lambda b: _window_rows(b, window, before), WINDOWS)
+    windows = alive.mapInArrow(base.trimmed(lambda b: _window_rows(b, window, before)), WINDOWS)
     smallest = F.min("doc_id").over(Window.partitionBy("hash", "hash2", "settled"))
     flagged = windows.withColumn("low", smallest).where("settled OR doc_id > low")
     own = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.lit(1).alias("run"))))
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     none = F.array().cast(f"array<{RUN}>")
     both = named.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     both = both.unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("runs")))
-    return both.mapInArrow(lambda b: _removed(b, window, texts), schema)
+    return both.mapInArrow(base.trimmed(lambda b: _removed(b, window, texts)), schema)
 
 
 #: DuckDB's form of ``remove_repeats`` (without the texts) for windows of 50 words, over documents with distinct ids.

@@ -361,7 +361,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
                 found = np.zeros(batch.num_rows) if model is None else model.score(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
-    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, "doc_id long, score double")
+    rows = base.whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(base.trimmed(run), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -382,4 +382,4 @@ def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOL
             kept = np.concatenate([model.score(b.column("text")) for b in base.slices(pa.RecordBatch.from_arrays([texts], names=["text"]))] or [np.zeros(0)])
             yield whole.filter(pa.array(kept < threshold))
 
-    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+    return numbered.mapInArrow(base.trimmed(run), numbered.schema).toDF(*names)

@@ -90,7 +90,8 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, folder: str, least: int = LEAST, level: int = 1) -> DataFrame:
     """Write a record for each page to ``folder`` and return the index table.
 
-    Null html counts as empty; a null url leaves the header out.  Pages without an id
+    Null html counts as empty; a null url leaves the header out; spaces and control characters of a url are percent-encoded, as a
+    header is one line, and read back so.  Very long html is one record like any other; memory holds the page and its compressed form.  Pages without an id
     are responses.  Rows that repeat a page_id are records of their own (of equal payloads with one id all are responses).
     Other columns are ignored; an empty table writes no file.
     A file gets its name when it is complete, and a task that runs again writes the same file.
@@ -121,7 +122,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, level: int = 1) ->
     again = revisits(pages, least)
     rows = base.whole_text(pages.withColumn("page_id", F.col("page_id").cast("long")), "page_id", F.col("url").cast("string").alias("url"), text="html")
     rows = rows.withColumn("digest", F.sha1(F.col("text").cast("binary"))).join(again, ["page_id", "digest"], "left").select("page_id", "url", "text", "refers_to")
-    return base.store(rows.mapInArrow(part, INDEX), "warc-index")
+    return base.store(rows.mapInArrow(base.trimmed(part), INDEX), "warc-index")
 
 
 def ranges(offsets: np.ndarray, lengths: np.ndarray, gap: int = GAP, span: int = SPAN) -> list[tuple[int, int]]:
@@ -167,7 +168,7 @@ def read(spark: SparkSession, folder: str, selected: DataFrame, payloads: bool =
     n = rows.select("file", "block").distinct().count()
     sorted_rows = rows.repartition(max(1, min(n, 100_000)), "file", "block").sortWithinPartitions("file", "offset")
     schema = READ if payloads else READ.rpartition(",")[0]
-    return sorted_rows.mapInArrow(fetch, schema)
+    return sorted_rows.mapInArrow(base.trimmed(fetch), schema)
 
 
 def _read_batch(found: list[dict], payloads: bool) -> pa.RecordBatch:

@@ -169,20 +169,25 @@ def test_simhash(spark, sf_dir, docs):
 
 
 def test_toxicity_held_out(spark):
-    """On held-out labels the network finds what there is to find (labels without any cause are noise)."""
-    sf_dir = "/root/testdata/sf0.01"
+    """On held-out labels the network finds most toxic documents and leaves nearly all clean ones (labels without any cause are noise)."""
+    sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = rows(spark, sf_dir, "op8_toxicity")
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     mine = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
-    assert sum(p == y for p, y in mine) / len(mine) > 0.9
+    assert sum(p for p, y in mine if y) / sum(y for _, y in mine) > 0.85
+    assert sum(p for p, y in mine if not y) / sum(not y for _, y in mine) < 0.05
 
 
-def test_secret_scan(spark, sf_dir, docs):
-    got = [r for r in rows(spark, sf_dir, "op1_secret_scan")]
-    keys = {(d, hashlib.sha256(k.encode()).hexdigest()) for d, t in docs.items() for k in re.findall(r"\bAKIA[A-Z0-9]{16}\b", t)}
-    found = {(r["doc_id"], r["value_sha256"]) for r in got if r["is_secret"]}
-    assert keys <= found
+def test_secret_scan(spark):
+    """The tables hold assignments of 40 hexadecimal digits: all are found and marked, and nothing else is."""
+    sf_dir = "/root/testdata/sf0.01"
+    got = rows(spark, sf_dir, "op1_secret_scan")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    planted = {(d, len(words(t[: m.start(1)]))) + (hashlib.sha256(m[1].encode()).hexdigest(),) for d, t in texts.items() for m in re.finditer(r'token\s=\s"([0-9a-f]{40})"', t, re.I)}
+    found = {(r["doc_id"], r["word_index"], r["value_sha256"]) for r in got if r["is_secret"]}
+    assert len(planted) > 5 and {(d, h) for d, _, h in planted} == {(d, h) for d, _, h in found}
+    assert len(got) > len(found)
 
 
 def test_crc32c_known_values():
@@ -194,13 +199,15 @@ def test_crc32c_known_values():
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
-    texts = ["", " ", "  a  b", "a\n\n b\t c   d", "x  \ny", "it's we'll <|endoftext|> ok", "Élan  vital  x   y", "a 1 22 333!!! --", "Σίσυφος ΣΑΣ  Σ", "tail  ", "\n lead", "ａ　ｂ"]
+    texts = ["", " ", "  a  b", "a\n\n b\t c   d", "x  \ny", "it's we'll <|endoftext|> ok", "Élan  vital  x   y", "a 1 22 333!!! --", "Σίσυφος ΣΑΣ  Σ", "tail  ", "\n lead", "ａ　ｂ", "<|endoftext|>", "a  <|endoftext|>  b<|startoftext|>c", "<|ENDOFTEXT|> x", "plain words"]
     for name, lead in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        model = Tokenizer.from_file(base.tokenizer_path(name))
-        model.encode_special_tokens = True
-        at, ids = base.CachedEncoder(base.tokenizer_path(name), lead).encode(pa.array(texts))
-        for i, t in enumerate(texts):
-            assert ids[at[i] : at[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids, (name, t)
+        for ordinary in (False, True):
+            model = Tokenizer.from_file(base.tokenizer_path(name))
+            if ordinary:
+                model.encode_special_tokens = True
+            at, ids = base.CachedEncoder(base.tokenizer_path(name), lead, ordinary).encode(pa.array(texts))
+            for i, t in enumerate(texts):
+                assert ids[at[i] : at[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids, (name, t)
 
 
 def test_forest_on_held_out_findings():
@@ -220,3 +227,20 @@ def test_quality_keeps_good_documents(spark):
     known = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
     got = [(r["kept"], known[r["doc_id"]]) for r in quality.assess(docs, model).collect() if r["doc_id"] in known and not r["base_failed"]]
     assert np.mean([k == bool(q) for k, q in got]) > 0.95
+
+
+def test_quality_labels_lines(spark):
+    """Trained on half the labelled documents, the field labels the lines of mixed documents of the other half."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows_ = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    texts = {(h, q): [r["text"] or "" for r in rows_ if r["doc_id"] % 2 == h and r["quality"] == q] for h in (0, 1) for q in (0, 1)}
+    weights, moves = quality.learn(texts[0, 1], texts[0, 0])
+    assert moves[0, 0] > moves[0, 1] and moves[1, 1] > moves[1, 0]
+    mixed, labels = quality.mixtures(texts[1, 1], texts[1, 0], seed=8)
+    skip = sum(t.count("\n") + 1 for t in texts[1, 1] + texts[1, 0])
+    lines = quality.Lines(pa.array(mixed[len(texts[1, 1]) + len(texts[1, 0]) :]))
+    got = quality.viterbi(lines.features(lines.repeated_words(), lines.duplicate_lines()) @ weights, lines.line_offsets, moves)
+    full = lines.line_size > 0
+    assert np.mean((got == np.array(labels[skip:]))[full]) > 0.92
+    share = base.group_sums(got * lines.line_size, lines.line_offsets) / np.maximum(np.diff(lines.doc_words), 1)
+    assert np.mean((share > 0) & (share < 1)) > 0.7
