@@ -45,13 +45,32 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keep numpy's matrix library to one thread in this process: products here are small, and more threads mostly wait for each other.
+
+    Linux tells which library is loaded; elsewhere nothing is changed.
+    """
+    try:
+        with open("/proc/self/maps") as f:
+            loaded = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in loaded:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if put := getattr(library, name, None):
+                put(1)
+
+
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def trimmed(step: Step) -> Step:
-    """The step, which hands free memory back to the system when it ends: the worker process is kept for later stages."""
+    """The step, on one thread, which hands free memory back to the system when it ends: the worker process is kept for later stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         try:
             yield from step(batches)
         finally:
@@ -77,6 +96,17 @@ def whole_text(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def sample(rows: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` of ``n`` rows, picked by a hash of their keys: the same ones each run.
+
+    The hash first leaves about twice as many as are wanted, so what tasks hand to the driver is bounded, too.
+    """
+    key = F.xxhash64(*keys)
+    if 2 * most < n:
+        rows = rows.where(F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * 2 * most / n))
+    return rows.orderBy(key, *keys).limit(most)
+
+
 #: Text that is tokenized at once: more of it has fewer distinct words for its length.
 TOKEN_SLICE_BYTES = 8 << 20
 
@@ -168,13 +198,20 @@ class CachedEncoder:
         self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def _one_by_one(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.model.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)]
-        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for x in found for i in x), np.uint32)
+        found = list(self._encoded(parts.to_pylist(), 1024))
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return count, np.concatenate([*found, np.zeros(0, dtype=np.uint32)])
+
+    def _encoded(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+        """The ids of each text; what the library holds besides them is held for a few texts only."""
+        for lo in range(0, len(texts), at_once):
+            for x in self.model.encode_batch_fast(texts[lo : lo + at_once], add_special_tokens=False):
+                yield np.array(x.ids, dtype=np.uint32)
 
     def _joined(self, parts: pa.Array, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         cuts = pa.array([*range(0, len(parts), step), len(parts)], pa.int32())
         texts = [t + self.separator for t in pc.binary_join(pa.ListArray.from_arrays(cuts, parts), self.separator).to_pylist()]
-        ids = np.concatenate([np.array(x.ids, dtype=np.uint32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.concatenate(list(self._encoded(texts, 16)))
         ends = ids == self.mark[0]
         if len(self.mark) != 1 or int(ends.sum()) != len(parts):
             return self._one_by_one(parts)

@@ -193,6 +193,7 @@ def mixtures(good: list[str], bad: list[str], seed: int = 3) -> tuple[list[str],
 
 def learn(good: list[str], bad: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves from good and bad texts."""
+    base.one_thread()
     texts, labels = mixtures(good, bad)
     lines = Lines(pa.array(texts, pa.string()))
     return train(lines.features(lines.repeated_words(), lines.duplicate_lines()), lines.line_offsets, np.array(labels))
@@ -204,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.
     ``labels`` has doc_id and quality (0 or 1); null labels are ignored.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct()
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     picked = []
     for value in (0, 1):
-        picked += known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        picked += base.sample(known.where(F.col("quality") == value), counts.get(value, 0), most, "doc_id").collect()
     if len({r["quality"] for r in picked}) < 2:
         return None
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")

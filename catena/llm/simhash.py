@@ -233,7 +233,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: i
     n = prints.count()
     size = min(sample, 64 * n // shard) if n > shard else 0
     leaf = max(64, size * shard // max(n, 1))
-    few = prints.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(size)
+    few = base.sample(prints.select("fingerprint"), n, size, "fingerprint")
     points = np.array([r[0] for r in few.collect()], dtype=np.int64).view(np.uint64)
     tree = grow(points, leaf)
 
@@ -465,7 +465,7 @@ def similar_links(docs: DataFrame, shard: int = WIDE_SHARD, sample: int = SAMPLE
     n = prints.count()
     size = min(sample, 64 * n // shard) if n > shard else 0
     leaf = max(64, size * shard // max(n, 1))
-    few = prints.orderBy(F.xxhash64("key"), "key").limit(size).toPandas()
+    few = base.sample(prints, n, size, "key").toPandas()
     keys, points = few["key"].to_numpy(dtype=np.int64), few[WIDE].to_numpy(dtype=np.int64).view(np.uint64)
     trees = [grow(part_of(points, t), leaf) for t in range(TABLES)]
     heads: dict[tuple[int, int], list[int]] = {}

@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ VOCABULARY, WORD_DIM, CHAR_DIM, STATE, ATTEND = 20_000, 6, 6, 8, 8
 PAIRS, BLOCK = 2048, 1 << 20
 #: Words with more characters are cut to pieces of so many (texts without spaces, joined strings), so that windows cover all of them.
 PIECE = 48
+#: Text that is scored at once.
+SCORE_BYTES = 2 << 20
 #: Lengths of prefixes, in characters, and the number of rows (words or prefixes need as many documents) before one counts.
 PREFIXES, SUPPORT = (2, 3, 4, 5, 6), 5
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*#&%$-_/\\"
@@ -109,9 +112,14 @@ class Network:
     weights: dict[str, np.ndarray]
     floor: float
 
+    @cached_property
+    def known(self) -> tuple[pa.Array, pa.Array]:
+        """Words and prefixes to look up."""
+        return pa.array(self.words, pa.string()), pa.array(self.prefixes, pa.string())
+
     def telling(self, distinct: pa.Array) -> np.ndarray:
         """The largest log-odds of each word's prefixes."""
-        best, known = np.zeros(len(distinct), dtype=np.float32), pa.array(self.prefixes, pa.string())
+        best, known = np.zeros(len(distinct), dtype=np.float32), self.known[1]
         for k in PREFIXES:
             at = pc.index_in(pc.utf8_slice_codeunits(distinct, 0, k), value_set=known).fill_null(len(self.prefixes))
             best = np.maximum(best, self.prefix_odds[np.asarray(at, dtype=np.int64)])
@@ -119,7 +127,7 @@ class Network:
 
     def inputs(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each distinct word its input vector; its place in the vocabulary, byte pairs and their number."""
-        known = pc.index_in(distinct, value_set=pa.array(self.words, pa.string())).fill_null(len(self.words))
+        known = pc.index_in(distinct, value_set=self.known[0]).fill_null(len(self.words))
         known = np.asarray(known, dtype=np.int64)
         pair, count = pairs_of(distinct)
         w = self.weights
@@ -266,6 +274,7 @@ def learn(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int =
 
     A round has about ``steps`` batches: a small sample is gone through more often.
     """
+    base.one_thread()
     rng = np.random.default_rng(seed)
     offsets, codes, distinct = words_of(pa.array(texts, pa.string()))
     names_coded = plain(distinct).dictionary_encode()
@@ -331,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network |
     counts = Counter({r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()})
     picked = []
     for value in (0, 1):
-        picked += known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        picked += base.sample(known.where(F.col("toxic") == value), counts[value], most, "doc_id").collect()
     small = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     rows = base.whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(small), "doc_id").where(F.length("text") <= TRAIN_CHARS)
     rows = sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
@@ -357,7 +366,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for whole in batches:
-            for batch in base.slices(whole):
+            for batch in base.slices(whole, limit=SCORE_BYTES):
                 found = np.zeros(batch.num_rows) if model is None else model.score(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
@@ -379,7 +388,7 @@ def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOL
                 yield whole
                 continue
             texts = whole.column(place).cast(pa.string()).fill_null("")
-            kept = np.concatenate([model.score(b.column("text")) for b in base.slices(pa.RecordBatch.from_arrays([texts], names=["text"]))] or [np.zeros(0)])
+            kept = np.concatenate([model.score(b.column("text")) for b in base.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), limit=SCORE_BYTES)] or [np.zeros(0)])
             yield whole.filter(pa.array(kept < threshold))
 
     return numbered.mapInArrow(base.trimmed(run), numbered.schema).toDF(*names)
