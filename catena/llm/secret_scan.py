@@ -23,7 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catena.llm import base
@@ -81,7 +81,8 @@ def language_of(counts: dict[str, int]) -> Language:
 def learn_language(docs: DataFrame, most: int = MOST_WORDS) -> Language:
     """The most frequent words of the whole table, at most ``most`` of them, with the transitions of their letters.
 
-    Every text counts, whole; counts are combined before they are shuffled, and only the ``most`` words go to the driver.
+    Every text counts, whole; counts are combined before they are shuffled.  How many words come how often tells from what count on there are
+    few enough, so only the words that are taken go to the driver.
     """
     low, high = WORD_LENGTHS
 
@@ -95,8 +96,13 @@ def learn_language(docs: DataFrame, most: int = MOST_WORDS) -> Language:
                 yield pa.RecordBatch.from_arrays([plain.filter(good), found.field("counts").filter(good)], names=["word", "n"])
 
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(base.trimmed(count), "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_SUPPORT).orderBy(F.desc("n"), "word").limit(most)
-    return language_of({r["word"]: r["n"] for r in top.collect()})
+    counted = base.store(rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_SUPPORT), "word-counts")
+    # One row a count: few, as counts that differ add up.
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    bound = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n")).head()[0]
+    if bound is None:
+        return language_of({})
+    return language_of({r["word"]: r["n"] for r in counted.where(F.col("n") >= bound).collect()})
 
 
 @lru_cache(maxsize=4)
