@@ -80,6 +80,22 @@ def _zeros() -> list[np.ndarray]:
     return found
 
 
+@lru_cache(maxsize=64)
+def _by_byte(power: int) -> np.ndarray:
+    """The map of ``_zeros()[power]`` as its values for each of the 4 bytes of a state."""
+    out = np.zeros((4, 256), dtype=np.uint32)
+    for place in range(4):
+        for bit in range(8):
+            out[place, (np.arange(256) >> bit) & 1 == 1] ^= _zeros()[power][8 * place + bit]
+    return out
+
+
+def _advance(power: int, x: np.ndarray) -> np.ndarray:
+    """The states after ``2 ** power`` zero bytes more."""
+    t = _by_byte(power)
+    return t[0][x & np.uint32(0xFF)] ^ t[1][(x >> np.uint32(8)) & np.uint32(0xFF)] ^ t[2][(x >> np.uint32(16)) & np.uint32(0xFF)] ^ t[3][x >> np.uint32(24)]
+
+
 def crc32c(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """CRC-32C of each run ``data[offsets[i]:offsets[i + 1]]`` of bytes.
 
@@ -108,13 +124,13 @@ def crc32c(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 crc = low[crc & np.uint32(0xFFFF)] ^ high[crc >> np.uint32(16)]
             step = LANE.bit_length() - 1
             while len(crc) > len(own):
-                crc = _apply(_zeros()[step], crc[0::2]) ^ crc[1::2]
+                crc = _advance(step, crc[0::2]) ^ crc[1::2]
                 step += 1
             state[own] = crc
     start = np.full(len(size), 0xFFFFFFFF, dtype=np.uint32)
     for bit in range(int(size.max(initial=0)).bit_length()):
         use = (size >> bit) & 1 == 1
-        start[use] = _apply(_zeros()[bit], start[use])
+        start[use] = _advance(bit, start[use])
     return state ^ start ^ np.uint32(0xFFFFFFFF)
 
 
