@@ -176,17 +176,19 @@ def likelihood(residual: Column, sigma: float) -> Column:
 def interpolate(points: DataFrame, table: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """``y`` of a table of nodes at the points' ``x`` by group: linear between nodes, constant beyond them.
 
-    Points and nodes are ordered together once; each point looks at the last node before and the first one after it.
+    The distinct places of the points and the nodes are ordered together, once up and once down, so that both looks are running ones:
+    a frame from each row to the end of its group would be read again for every row.  Points meet their value by a join.
     """
-    both = points.withColumns({"__node": F.lit(False), y: F.lit(None).cast("double")}).unionByName(table.select(*keys, x, y).withColumn("__node", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(F.col(x), F.col("__node").desc())
+    places = points.select(*keys, x).distinct().withColumns({"__node": F.lit(False), y: F.lit(None).cast("double")})
+    both = places.unionByName(table.select(*keys, x, y).withColumn("__node", F.lit(True)))
     node = F.when(F.col("__node"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    before = F.last(node, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(node, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"__a": before, "__b": after}).where("NOT __node")
+    running = lambda *order: F.last(node, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"__a": running(F.col(x), F.col("__node").desc()), "__b": running(F.col(x).desc(), F.col("__node"))}).where("NOT __node")
     share = (F.col(x) - F.col("__a.x")) / (F.col("__b.x") - F.col("__a.x"))
     value = F.when(F.col("__a").isNull(), F.col("__b.y")).when(F.col("__b").isNull() | (F.col("__a.x") == F.col("__b.x")), F.col("__a.y")).otherwise(F.col("__a.y") + share * (F.col("__b.y") - F.col("__a.y")))
-    return both.withColumn(y, value).drop("__node", "__a", "__b")
+    found = both.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, x])], value.alias("__y"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, x])]
+    return points.drop(y).join(found, same, "left").select(*[c for c in points.columns if c != y], F.col("__y").alias(y))
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
