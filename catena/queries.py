@@ -60,6 +60,12 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 NUDGE = 3e-8
 
 
+def halves_up(df: DataFrame, places: int, *names: str) -> DataFrame:
+    """Columns of no negative values rounded as the checks' engine does it, by a product: a mean of prices may lie right between two roundings."""
+    scaled = lambda n: F.col(n) * 10.0**places
+    return df.withColumns({n: (F.floor(scaled(n)) + F.when(scaled(n) - F.floor(scaled(n)) >= 0.5, 1).otherwise(0)) / 10.0**places for n in names})
+
+
 def nudged(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n) + NUDGE, places) for n in names})
 
@@ -1117,7 +1123,7 @@ resid AS (SELECT *, CASE WHEN x0 = x1 THEN z0 ELSE z0 + (chi - x0) / (x1 - x0) *
 @query("collinearity", "profile", more="pts AS (SELECT source_key, source_key % 10 AS basin_key, CAST(pos AS DOUBLE) AS chi, elevation, source_key < 10 AS reference FROM profile),\n" + _collinear_sql("basin_key"), sql="SELECT basin_key, source_key, round(exp(-sum(r * r) / 200), 6) AS mle, round(avg(abs(r)), 6) AS mae, round(sqrt(avg(r * r)), 6) AS rmse, count(*) AS n FROM resid GROUP BY 1, 2")
 def _(profile_):
     p = profile_.withColumns({"chi": F.col("pos").cast("double"), "basin_key": F.col("source_key") % 10})
-    return rounded(profile.collinearity(p, F.col("source_key") < 10), "mle", "mae", "rmse")
+    return halves_up(profile.collinearity(p, F.col("source_key") < 10), 6, "mle", "mae", "rmse")
 
 
 def _theta_sql(area: str) -> str:
@@ -1130,7 +1136,7 @@ GRID_FIT = "SELECT basin_key, theta, source_key, round(exp(-sum(r * r) / 200), 6
 
 def _grid_fit(p: DataFrame) -> DataFrame:
     found = profile.collinearity_over(p.withColumns({"dx": F.lit(1.0), "basin_key": F.col("source_key") % 10}), [0.3, 0.5], "area", "dx", F.col("source_key") < 10)
-    return found.withColumns({"mle": r6("mle"), "mae": F.round("mae", 5), "rmse": F.round("rmse", 5)})
+    return halves_up(halves_up(found, 6, "mle"), 5, "mae", "rmse")
 
 
 @query("collinearity_grid", "profile", more=_theta_sql("1 + n - pos"), sql=GRID_FIT)

@@ -1,6 +1,10 @@
 """What only shows on larger tables: ties by the last digit of a sum, and frames that grow with the square of a group."""
 
+from pyspark.sql import functions as F
+
+from catena import queries
 from catena.functions import stats
+from catena.operators import profile
 
 
 def test_interpolation_reads_each_row_once(spark, capsys):
@@ -12,3 +16,18 @@ def test_interpolation_reads_each_row_once(spark, capsys):
     assert {r["i"]: r["y"] for r in found.collect()} == {1: 20.0, 2: 20.0, 3: 30.0, 4: 10.0, 5: 30.0, 6: 1.0, 7: None, 8: 10.0}
     found.explain("formatted")
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
+def test_residuals_in_order(spark):
+    """Residuals are added from the highest chi down, however rows lie, and a mean right between two roundings goes up."""
+    r = [((i * 7919) % 9973) / 100 for i in range(64)]
+    rows = [(0, 0, float(i), 0.0) for i in range(64)] + [(0, 1, float(i), -v) for i, v in enumerate(r)]
+    want = 0.0
+    for v in reversed(r):
+        want += v
+    for parts in (1, 7):
+        table = spark.createDataFrame(rows, "basin_key long, source_key long, chi double, elevation double").repartition(parts)
+        got = profile.collinearity(table, F.col("source_key") == 0).head()
+        assert got["mae"] == want / 64 and got["n"] == 64
+    row = queries.halves_up(spark.createDataFrame([(56.845625, 0.5)], "a double, b double"), 5, "a", "b").head()
+    assert (row["a"], row["b"]) == (56.84563, 0.5)
