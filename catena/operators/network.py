@@ -115,8 +115,11 @@ def largest(counts: DataFrame, by: Column) -> DataFrame:
 
 
 def source_keys(channel: DataFrame, sources: DataFrame) -> DataFrame:
-    """``node, source_key``: each node belongs to the source above it that is farthest from the root; ties go to the smaller one."""
-    far = flow.distance_from_outlet(channel).select("node", "distance")
+    """``node, source_key``: each node belongs to the source above it that is farthest from the root; ties go to the smaller one.
+
+    Distances count to six places, so that the order in which steps were added does not decide.
+    """
+    far = flow.distance_from_outlet(channel).select("node", F.round("distance", 6).alias("distance"))
     s = sources.select("node").join(far, "node").select("node", F.struct(F.col("distance").alias("d"), (-F.col("node")).alias("minus")).alias("__s"))
     top = flow.accumulate(channel.join(s, "node", "left"), {}, {"top": F.col("__s")})
     return top.select("node", (-F.col("top.minus")).alias("source_key"))

@@ -4,7 +4,15 @@ from pyspark.sql import functions as F
 
 from catena import queries
 from catena.functions import stats
-from catena.operators import profile
+from catena.operators import network, profile
+
+
+def test_equally_far_sources(spark):
+    """Two sources are as far from the root; the order in which their steps are added does not choose the larger one."""
+    rows = [(0, 0, 0.0), (1, 0, 0.1), (2, 1, 0.2), (10, 2, 0.3), (3, 0, 0.3), (4, 3, 0.2), (11, 4, 0.1)]
+    channel = spark.createDataFrame(rows, "node long, receiver long, dx double")
+    got = {r["node"]: r["source_key"] for r in network.source_keys(channel, channel.where("node >= 10")).collect()}
+    assert got == {0: 10, 1: 10, 2: 10, 10: 10, 3: 11, 4: 11, 11: 11}
 
 
 def test_interpolation_reads_each_row_once(spark, capsys):
