@@ -19,6 +19,10 @@ more.  At that similarity single fingerprints differ by ten bits, beyond what tr
 fingerprint of 256 bits and joins sixteen parts of 32 bits of it (each bit is in two) through trees of their own, each exactly within two bits.
 In a shard the whole fingerprints of what meets are compared, and the shortest links that connect it (at most one a
 row) are returned; these are decided by the shingles themselves.
+
+Fingerprints miss some pairs near 4/5, so an exact step follows for pairs of texts that are not in one group yet: two sets
+of that similarity share one of their first shingles (a fifth of each set and one more) in any order that all texts keep.
+Texts meet at these; where in both sets they meet, and how often, bounds what the sets can share, and what may reach 4/5 is decided by the shingles, too.
 """
 
 from __future__ import annotations
@@ -305,6 +309,8 @@ BALL, LEADERS = 4096, 64
 WIDE = [f"w{i}" for i in range(LANES)]
 #: Text whose shingles are held at once.
 SET_BYTES = 2 << 20
+#: Text a task whose first shingles meet.
+MEET_BYTES = 12 << 20
 #: Keys (8 bytes each) that are broadcast once they were counted, so that texts stay where they are; more are joined by shuffling the texts.
 BROADCAST_KEYS = 500_000
 
@@ -453,8 +459,124 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def first_shingles(offsets: np.ndarray, found: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and shingle of the first shingles of each set: a fifth of them and one more.
+
+    Sets of a similarity of 4/5 or more share one of these.  Shingles are in the order of their hashes, but for those in
+    ``hot`` (sorted), which come last, by their rank.
+    """
+    size = np.diff(offsets)
+    text = np.repeat(np.arange(len(size)), size)
+    if len(hot):
+        place = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        found = found[np.lexsort((found, np.where(hot[place] == found, rank[place] + 1, 0), text))]
+    at = np.arange(len(found)) - offsets[text]
+    first = 5 * at <= size[text]
+    return text[first], at[first], found[first]
+
+
+def meetings(token: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, block: int = 1 << 20) -> Iterator[dict[str, np.ndarray]]:
+    """``a, b, x, y, n, near``: keys and sizes of pairs of different roots, how often they meet, and whether one place lets them share 4/5, a block of meetings at a time.
+
+    Sets of sizes x and y have that similarity if they share 4/9 of x + y.  Where the first shingle that they share
+    stands at i and j, they share no more than x - i and y - j.
+    """
+    order = np.lexsort((key, root, token))
+    token, key, root, size, at = (x[order] for x in (token, key, root, size, at))
+    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+    group, run = ends(fresh), ends(fresh | np.concatenate([[True], root[1:] != root[:-1]])[: len(token)])
+    row = np.flatnonzero(group > run)
+    # A row meets those of later roots of its group; long lists are cut.
+    todo = np.cumsum(group[row] - run[row])
+    lo = 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + block, "right")))
+        own = row[lo:hi]
+        n = group[own] - run[own]
+        i, j = np.repeat(own, n), base.spread(run[own], n)
+        alike = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        i, j = i[alike], j[alike]
+        i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+        least = 4 * (size[i] + size[j])
+        near = (9 * (size[i] - at[i]) >= least) & (9 * (size[j] - at[j]) >= least)
+        order = np.lexsort((key[j], key[i]))
+        i, j, near = i[order], j[order], near[order]
+        if len(i):
+            new = np.flatnonzero(np.concatenate([[True], (key[i][1:] != key[i][:-1]) | (key[j][1:] != key[j][:-1])]))
+            count = np.diff(np.append(new, len(i)))
+            i, j = i[new], j[new]
+            yield {"a": key[i], "b": key[j], "x": size[i], "y": size[j], "n": count, "near": np.maximum.reduceat(near, new)}
+        lo = hi
+
+
+#: Of two sets whose first shingles (x / 5 and one more) met ``n`` times one shares no other but those behind its first ones; so both may share 4/9 of x + y.
+REACHES = "near AND 9 * (n + greatest(x - x div 5, y - y div 5) - 1) >= 4 * (x + y)"
+
+
+def _hot_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that came three times or more in a sample of texts (one of 32, some 200,000 at most), and their ranks by count.
+
+    They only shape the order of shingles, which changes how many texts meet, not which of them are found; the most frequent 200,000 are taken.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in base.slices(whole, limit=SET_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"))[1].view(np.int64))], names=["token"])
+
+    share = min(1 / 32, 200_000 / max(n, 1))
+    few = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
+    counts = few.mapInArrow(base.trimmed(every), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
+    found = counts.orderBy(F.desc("n"), "token").limit(200_000).toPandas()
+    hot, count = found["token"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(hot)
+    return hot[order], np.argsort(np.lexsort((hot, count)))[order]
+
+
+def remaining_links(docs: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """``a, b``: all pairs of 4/5 or more between texts (``n`` of them) that ``links`` leave in different groups."""
+    rows = _keyed(docs)
+    hot, rank = _hot_shingles(rows, n)
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // MEET_BYTES
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in base.slices(whole, limit=SET_BYTES):
+                # Copies in a slice come once.
+                once = np.sort(np.unique(np.asarray(batch.column("key"), dtype=np.int64), return_index=True)[1])
+                batch = batch.take(pa.array(once))
+                offsets, found = shingle_sets(batch.column("text"))
+                text, at, token = first_shingles(offsets, found, hot, rank)
+                key, root = (np.asarray(batch.column(c), dtype=np.int64)[text] for c in ("key", "root"))
+                columns = [token.view(np.int64), key, root, np.diff(offsets)[text].astype(np.int32), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "root", "size", "at"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("token", pa.int64()), ("key", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("at", pa.int32())]))
+        if table.num_rows:
+            for met in meetings(*[table.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "root", "size", "at")]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in met.values()], names=list(met))
+
+    roots, _ = _few(components(links).withColumnRenamed("node", "key"))
+    named = rows.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "text")
+    met = named.mapInArrow(base.trimmed(emit), "token long, key long, root long, size int, at int").repartition(parts, "token")
+    found = met.mapInArrow(base.trimmed(meet), "a long, b long, x long, y long, n long, near boolean").groupBy("a", "b").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.sum("n").alias("n"), F.max("near").alias("near"))
+    pairs = base.store(found.where(REACHES).select("a", "b"), "met-pairs")
+    return base.store(_verified(rows, pairs), "remaining-links")
+
+
 def similar_links(docs: DataFrame, shard: int = WIDE_SHARD, sample: int = SAMPLE // 4) -> DataFrame:
-    """``a, b``: links between the keys of near copies, all of them checked by their shingles.
+    """``a, b``: links between the keys of near copies, all of them checked by their shingles, which join all that have 4/5.
+
+    Links by fingerprints come first; ``remaining_links`` then finds every pair between groups that these leave apart.
+    """
+    links, n = print_links(docs, shard, sample)
+    return base.store(links.unionByName(remaining_links(docs, links, n)), "similar-links")
+
+
+def print_links(docs: DataFrame, shard: int = WIDE_SHARD, sample: int = SAMPLE // 4) -> tuple[DataFrame, int]:
+    """``a, b``: links between the keys of near copies whose fingerprints meet in trees, checked by their shingles; and the number of keys.
 
     Trees are grown on a bounded sample.  A leaf that holds many times its share of the sample is a ball: the driver picks
     its leaders from the sample, and what is surely near one links to it where it is read, so that a group of copies of
@@ -517,14 +639,14 @@ def similar_links(docs: DataFrame, shard: int = WIDE_SHARD, sample: int = SAMPLE
     if len(lead):
         found = found.unionByName(prints.mapInArrow(base.trimmed(cover), "a long, b long"))
     pairs = base.store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    return base.store(_verified(rows, pairs), "similar-links")
+    return base.store(_verified(rows, pairs), "print-links"), n
 
 
 def keep_one(docs: DataFrame, shard: int = WIDE_SHARD, sample: int = SAMPLE // 4) -> DataFrame:
     """Of each group of linked near copies the row with the smallest doc_id (null last), with all its columns.
 
     Near copies share 4/5 or more of their five-word shingles (whole texts, ASCII lower case).  Every link that is
-    taken has that similarity; a pair of exactly 4/5 is found with a chance of about 0.86, one of 0.9 with 0.999.
+    taken has that similarity, and all pairs that have it end in one group.
     Null text counts as empty, and texts without words are equal.  Of rows that repeat
     the text and the doc_id of the row that stays one stays.  An empty table gives an empty result.
     """

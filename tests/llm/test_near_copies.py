@@ -113,3 +113,42 @@ def test_ball_beyond_all_pairs(monkeypatch):
     forest = simhash.Forest(300)
     forest.link(a, b)
     assert (forest.find(np.arange(300)) == 0).all() and len(a) <= 400
+
+
+def test_every_pair_of_four_fifths_is_joined(spark):
+    """Pairs at 0.8 exactly and little above: fingerprints alone leave some apart."""
+    r = random.Random(12)
+    line = "this very common line comes in many of the documents here"
+    rows = []
+    for k in range(150):
+        text = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(50, 90))]
+        # Words cut from the end take a shingle each.
+        cut = text[: 4 + -(-4 * (len(text) - 4) // 5)] if k % 2 else [*text[:-1], *text[: (len(text) - 4) // 5 - 4]]
+        for words_of in (text, cut):
+            rows.append((len(rows), " ".join(words_of) + (" " + line if k % 3 == 0 else "")))
+    got = sorted((x["doc_id"] is None, x["doc_id"]) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == kept(rows) and len(got) < 220
+
+
+@pytest.mark.parametrize("n_hot", [0, 7])
+def test_pairs_meet_at_their_first_shingles(n_hot):
+    """Every pair of different roots that shares 4/5 meets, whatever shingles come last, also where pairs come in many blocks."""
+    r = random.Random(n_hot)
+    sets = []
+    for _ in range(60):
+        own = {r.randrange(10**6) for _ in range(r.randint(1, 40))} | {r.randrange(10) for _ in range(r.randint(0, 4))}
+        sets += [own, {x for x in own if r.random() > 0.08} or own, {x for x in own if r.random() > 0.15} | {r.randrange(10)}]
+    offsets = np.cumsum([0, *map(len, sets)])
+    found = np.concatenate([np.array(sorted(s), dtype=np.uint64) for s in sets])
+    text, at, token = simhash.first_shingles(offsets, found, np.arange(n_hot, dtype=np.uint64), np.arange(n_hot)[::-1].copy())
+    root = text % 50
+    met = {}
+    for block in simhash.meetings(token.view(np.int64), text, root, np.diff(offsets)[text], at, block=9):
+        for a, b, x, y, n, fits in zip(*(v.tolist() for v in block.values()), strict=True):
+            assert (x, y) == (len(sets[a]), len(sets[b]))
+            old = met.get((a, b), (0, False))
+            met[a, b] = old[0] + n, old[1] or fits
+    rule = simhash.REACHES.replace("AND", "and").replace("div", "//").replace("greatest", "max")
+    met = {(a, b) for (a, b), (n, fits) in met.items() if eval(rule, {"near": fits, "n": n, "x": len(sets[a]), "y": len(sets[b])})}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if i % 50 != j % 50 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert near and near <= met and all(a % 50 != b % 50 for a, b in met)
