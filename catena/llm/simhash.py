@@ -475,49 +475,95 @@ def first_shingles(offsets: np.ndarray, found: np.ndarray, hot: np.ndarray, rank
     return text[first], at[first], found[first]
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where the runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.append(np.flatnonzero(new), n)
+
+
+def _cuts(count: np.ndarray, block: int) -> Iterator[slice]:
+    """Slices whose counts sum up to ``block`` at most, or that hold one entry."""
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def meetings(token: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, block: int = 1 << 20) -> Iterator[dict[str, np.ndarray]]:
-    """``a, b, x, y, n, near``: keys and sizes of pairs of different roots, how often they meet, and whether one place lets them share 4/5, a block of meetings at a time.
+    """``a, b, x, y, n, near``: keys and sizes of pairs of different roots that meet where both may still share 4/5 (``near``, of all that come), and how often, a block of meetings at a time.
 
-    Sets of sizes x and y have that similarity if they share 4/9 of x + y.  Where the first shingle that they share
-    stands at i and j, they share no more than x - i and y - j.
+    Sets of sizes x <= y have that similarity if they share 4/9 of x + y.  Where the first shingle that they share
+    stands at i and j, they share no more than x - i and y - j; so they meet at i <= (5x - 4y) / 9 and j <= (5y - 4x) / 9, and pairs that meet at other places only are never made.
+    Rows of a shingle, size and root are a class, which comes to nothing but classes whose first place fits.
     """
-    order = np.lexsort((key, root, token))
-    token, key, root, size, at = (x[order] for x in (token, key, root, size, at))
-    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
-    fresh = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
-    group, run = ends(fresh), ends(fresh | np.concatenate([[True], root[1:] != root[:-1]])[: len(token)])
-    row = np.flatnonzero(group > run)
-    # A row meets those of later roots of its group; long lists are cut.
-    todo = np.cumsum(group[row] - run[row])
-    lo = 0
-    while lo < len(row):
-        hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + block, "right")))
-        own = row[lo:hi]
-        n = group[own] - run[own]
-        i, j = np.repeat(own, n), base.spread(run[own], n)
-        alike = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
-        i, j = i[alike], j[alike]
-        i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
-        least = 4 * (size[i] + size[j])
-        near = (9 * (size[i] - at[i]) >= least) & (9 * (size[j] - at[j]) >= least)
+    if not len(token):
+        return
+    rows = np.lexsort((at, root, size, token))
+    token, key, root, size, at = (x[rows] for x in (token, key, root, size, at))
+    # Classes of a shingle and size are in the order of their first places.
+    begin = _runs(token, size, root)
+    begin, end = begin[:-1], begin[1:]
+    order = np.lexsort((at[begin], size[begin], token[begin]))
+    begin, end = begin[order], end[order]
+    first, length = at[begin], size[begin]
+    # Runs of classes of a shingle and size, the run of each class, and the last run of its shingle that it reaches.
+    run = _runs(token[begin], length)
+    of = np.repeat(np.arange(len(run) - 1), np.diff(run))
+    shingle = np.cumsum(np.append(0, token[begin[run[1:-1]]] != token[begin[run[:-2]]]))
+    wide = int(size.max()) * 2 + 2
+    place = shingle * wide + length[run[:-1]]
+    reach = np.searchsorted(place, shingle[of] * wide + (5 * length - 9 * first) // 4, "right")
+    by_first, by_row = of * wide + first, np.repeat(np.arange(len(order)), (end - begin)[np.argsort(order)]) * wide + at
+
+    def fitting(c: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many rows of each class stand no later than ``most``."""
+        return np.searchsorted(by_row, order[c] * wide + most, "right") - begin[c]
+
+    one = np.flatnonzero(reach > of)
+    for cut in _cuts(reach[one] - of[one], block):
+        # Each class comes to every run of sizes that it reaches; in its own to the classes before it.
+        c = one[cut]
+        n = reach[c] - of[c]
+        c, to = np.repeat(c, n), base.spread(of[c], n)
+        fits = np.searchsorted(by_first, to * wide + (5 * length[run[to]] - 4 * length[c]) // 9, "right")
+        n = np.where(to == of[c], c, fits) - run[to]
+        for cut in _cuts(n, block):
+            a = np.repeat(c[cut], n[cut])
+            b = base.spread(run[to[cut]], n[cut])
+            other = root[begin[a]] != root[begin[b]]
+            a, b = a[other], b[other]
+            x, y = length[a], length[b]
+            na, nb = fitting(a, (5 * x - 4 * y) // 9), fitting(b, (5 * y - 4 * x) // 9)
+            for cut in _cuts(na, block):
+                i, from_b, nb_each = base.spread(begin[a[cut]], na[cut]), np.repeat(begin[b[cut]], na[cut]), np.repeat(nb[cut], na[cut])
+                for cut in _cuts(nb_each, block):
+                    j, k = base.spread(from_b[cut], nb_each[cut]), np.repeat(i[cut], nb_each[cut])
+                    j, k = np.where(key[k] < key[j], j, k), np.where(key[k] < key[j], k, j)
+                    yield from _met(key, size, k, j)
+
+
+def _met(key: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """The pairs of rows i and j, each once."""
+    if len(i):
         order = np.lexsort((key[j], key[i]))
-        i, j, near = i[order], j[order], near[order]
-        if len(i):
-            new = np.flatnonzero(np.concatenate([[True], (key[i][1:] != key[i][:-1]) | (key[j][1:] != key[j][:-1])]))
-            count = np.diff(np.append(new, len(i)))
-            i, j = i[new], j[new]
-            yield {"a": key[i], "b": key[j], "x": size[i], "y": size[j], "n": count, "near": np.maximum.reduceat(near, new)}
-        lo = hi
+        i, j = i[order], j[order]
+        new = _runs(key[i], key[j])
+        i, j = i[new[:-1]], j[new[:-1]]
+        yield {"a": key[i], "b": key[j], "x": size[i], "y": size[j], "n": np.diff(new), "near": np.ones(len(i), dtype=bool)}
 
 
-#: Of two sets whose first shingles (x / 5 and one more) met ``n`` times one shares no other but those behind its first ones; so both may share 4/9 of x + y.
-REACHES = "near AND 9 * (n + greatest(x - x div 5, y - y div 5) - 1) >= 4 * (x + y)"
+#: Pairs that are looked at; the number of meetings rules none of them out, as places that are near end where 4/9 of x + y are left.
+REACHES = "near"
 
 
-def _hot_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that came three times or more in a sample of texts (one of 32, some 200,000 at most), and their ranks by count.
+def _hot_shingles(rows: DataFrame, n: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that came twice or more in a sample of texts (one of 8, some 200,000 at most), and their ranks by count.
 
-    They only shape the order of shingles, which changes how many texts meet, not which of them are found; the most frequent 200,000 are taken.
+    They only shape the order of shingles, which changes how many texts meet, not which of them are found; where there are more than
+    ``most``, the counts are taken from the highest down as long as all shingles of a count fit, so the driver gets no more than it keeps.
     """
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,10 +571,15 @@ def _hot_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             for batch in base.slices(whole, limit=SET_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"))[1].view(np.int64))], names=["token"])
 
-    share = min(1 / 32, 200_000 / max(n, 1))
+    share = min(1 / 8, 200_000 / max(n, 1))
     few = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
-    counts = few.mapInArrow(base.trimmed(every), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
-    found = counts.orderBy(F.desc("n"), "token").limit(200_000).toPandas()
+    counts = base.store(few.mapInArrow(base.trimmed(every), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 2"), "shingle-counts")
+    least, held = None, 0
+    for times, shingles in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        if (held := held + shingles) > most:
+            break
+        least = times
+    found = counts.where(F.col("n") >= least if least else F.lit(False)).toPandas()
     hot, count = found["token"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
     order = np.argsort(hot)
     return hot[order], np.argsort(np.lexsort((hot, count)))[order]
@@ -561,8 +612,8 @@ def remaining_links(docs: DataFrame, links: DataFrame, n: int) -> DataFrame:
     roots, _ = _few(components(links).withColumnRenamed("node", "key"))
     named = rows.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "text")
     met = named.mapInArrow(base.trimmed(emit), "token long, key long, root long, size int, at int").repartition(parts, "token")
-    found = met.mapInArrow(base.trimmed(meet), "a long, b long, x long, y long, n long, near boolean").groupBy("a", "b").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.sum("n").alias("n"), F.max("near").alias("near"))
-    pairs = base.store(found.where(REACHES).select("a", "b"), "met-pairs")
+    found = met.mapInArrow(base.trimmed(meet), "a long, b long, x long, y long, n long, near boolean")
+    pairs = base.store(found.where(REACHES).select("a", "b").distinct(), "met-pairs")
     return base.store(_verified(rows, pairs), "remaining-links")
 
 

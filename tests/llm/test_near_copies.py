@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -152,3 +153,54 @@ def test_pairs_meet_at_their_first_shingles(n_hot):
     met = {(a, b) for (a, b), (n, fits) in met.items() if eval(rule, {"near": fits, "n": n, "x": len(sets[a]), "y": len(sets[b])})}
     near = {(i, j) for j in range(len(sets)) for i in range(j) if i % 50 != j % 50 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert near and near <= met and all(a % 50 != b % 50 for a, b in met)
+
+
+@pytest.mark.parametrize("block", [1, 9, 1 << 20])
+def test_only_near_meetings_are_made(block):
+    """Against all pairs of rows: those of one shingle and two roots whose places both leave 4/5 within reach, and no other."""
+    for seed in range(20):
+        g = np.random.default_rng(seed)
+        n = int(g.integers(1, 30))
+        keys, sizes, roots = g.integers(-(2**62), 2**62, n), g.integers(1, int(g.integers(2, 60)), n), g.integers(0, 8, n)
+        token, who = np.unique(np.stack([g.integers(-3, 3, 60), g.integers(0, n, 60)]), axis=1)
+        at = g.integers(0, sizes[who] // 5 + 1)
+        want, got = {}, {}
+        for p, a in enumerate(who):
+            for q, b in enumerate(who):
+                reach = min(9 * (sizes[a] - at[p]), 9 * (sizes[b] - at[q])) >= 4 * (sizes[a] + sizes[b])
+                if token[p] == token[q] and keys[a] < keys[b] and roots[a] != roots[b] and reach:
+                    want[keys[a], keys[b]] = want.get((keys[a], keys[b]), 0) + 1
+        for met in simhash.meetings(token, keys[who], roots[who], sizes[who], at, block=block):
+            assert met["near"].all()
+            for a, b, times in zip(met["a"], met["b"], met["n"], strict=True):
+                got[a, b] = got.get((a, b), 0) + times
+        assert got == want
+
+
+def test_family_below_the_limit_makes_few_meetings():
+    """Of 400 texts that share a base but differ from each other by more than a fifth, those that are near meet, not all 80,000 pairs."""
+    r = random.Random(5)
+    sets = []
+    for k in range(400):
+        own = {*r.sample(range(150), 120), *range(10**6 + 100 * k, 10**6 + 100 * k + 30)}
+        sets.append(own)
+        if k % 20 == 0:
+            sets.append({*own, 5 * 10**6 + k})
+    offsets = np.cumsum([0, *map(len, sets)])
+    found = np.concatenate([np.array(sorted(s), dtype=np.uint64) for s in sets])
+    text, at, token = simhash.first_shingles(offsets, found, np.arange(150, dtype=np.uint64), np.arange(150))
+    met = [(a, b) for m in simhash.meetings(token.view(np.int64), text, text, np.diff(offsets)[text], at) for a, b in zip(m["a"].tolist(), m["b"].tolist(), strict=True)]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(near) == 20 and near <= set(met) and len(met) < 100
+
+
+def test_frequent_shingles_are_bounded(spark):
+    """The highest counts are taken as long as all shingles of a count fit."""
+    lines = [" ".join(f"{x}{i}" for i in range(8)) for x in "abc"]
+    rows = spark.createDataFrame([(k, lines[0] if k % 2 else lines[1] if k % 3 else lines[2]) for k in range(3000)], "key long, text string")
+    hot, rank = simhash._hot_shingles(rows, 3000)
+    assert len(hot) == 12 and sorted(rank) == list(range(12)) and (np.diff(hot) > 0).all()
+    few, _ = simhash._hot_shingles(rows, 3000, most=9)
+    top = simhash.shingle_sets(pa.array(lines[:2]))[1]
+    assert sorted(few) == sorted(top)
+    assert len(simhash._hot_shingles(rows, 3000, most=3)[0]) == 0
