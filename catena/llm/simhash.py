@@ -22,7 +22,7 @@ row) are returned; these are decided by the shingles themselves.
 
 Fingerprints miss some pairs near 4/5, so an exact step follows for pairs of texts that are not in one group yet: two sets
 of that similarity share one of their first shingles (a fifth of each set and one more) in any order that all texts keep.
-Texts meet at these; where in both sets they meet, and how often, bounds what the sets can share, and what may reach 4/5 is decided by the shingles, too.
+Texts meet at these only where what follows in both sets leaves 4/5 within reach; what meets is decided by the shingles, too.
 """
 
 from __future__ import annotations
