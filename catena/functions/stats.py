@@ -173,17 +173,31 @@ def likelihood(residual: Column, sigma: float) -> Column:
     return F.exp(-F.sum(residual * residual) / (2 * sigma * sigma))
 
 
+def decimal_difference(a: str, b: str) -> Column:
+    """``a - b`` without the noise of short decimals as doubles, to twelve places; as doubles where one is not finite or beyond decimals."""
+    decimal = lambda c: F.col(c).cast("decimal(28,12)")
+    return F.when((F.abs(a) < 1e12) & (F.abs(b) < 1e12), (decimal(a) - decimal(b)).cast("double")).otherwise(F.col(a) - F.col(b))
+
+
+def decimal_sum(value: Column) -> Column:
+    """Aggregate: the sum to eighteen places, the same in any order of rows; what is not finite or beyond decimals is added as doubles."""
+    fits = F.abs(value) < 1e12
+    rest = F.sum(F.when(~fits, value))
+    return F.coalesce(F.sum(F.when(fits, value).cast("decimal(38,18)")).cast("double") + F.coalesce(rest, F.lit(0.0)), rest)
+
+
 def interpolate(points: DataFrame, table: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """``y`` of a table of nodes at the points' ``x`` by group: linear between nodes, constant beyond them.
 
     The distinct places of the points and the nodes are ordered together, once up and once down, so that both looks are running ones:
-    a frame from each row to the end of its group would be read again for every row.  Points meet their value by a join.
+    a frame from each row to the end of its group would be read again for every row.  A point at a node finds that node both ways,
+    whatever its neighbours hold.  Points meet their value by a join.
     """
     places = points.select(*keys, x).distinct().withColumns({"__node": F.lit(False), y: F.lit(None).cast("double")})
     both = places.unionByName(table.select(*keys, x, y).withColumn("__node", F.lit(True)))
     node = F.when(F.col("__node"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
     running = lambda *order: F.last(node, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumns({"__a": running(F.col(x), F.col("__node").desc()), "__b": running(F.col(x).desc(), F.col("__node"))}).where("NOT __node")
+    both = both.withColumns({"__a": running(F.col(x), F.col("__node").desc()), "__b": running(F.col(x).desc(), F.col("__node").desc())}).where("NOT __node")
     share = (F.col(x) - F.col("__a.x")) / (F.col("__b.x") - F.col("__a.x"))
     value = F.when(F.col("__a").isNull(), F.col("__b.y")).when(F.col("__b").isNull() | (F.col("__a.x") == F.col("__b.x")), F.col("__a.y")).otherwise(F.col("__a.y") + share * (F.col("__b.y") - F.col("__a.y")))
     found = both.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, x])], value.alias("__y"))

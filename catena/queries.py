@@ -61,9 +61,13 @@ NUDGE = 3e-8
 
 
 def halves_up(df: DataFrame, places: int, *names: str) -> DataFrame:
-    """Columns of no negative values rounded as the checks' engine does it, by a product: a mean of prices may lie right between two roundings."""
+    """Columns of no negative values rounded as the checks' engine does it, by a product: a mean of prices may lie right between two roundings.
+
+    Values that are not finite, or have no such places, stay.
+    """
     scaled = lambda n: F.col(n) * 10.0**places
-    return df.withColumns({n: (F.floor(scaled(n)) + F.when(scaled(n) - F.floor(scaled(n)) >= 0.5, 1).otherwise(0)) / 10.0**places for n in names})
+    up = lambda n: (F.floor(scaled(n)) + F.when(scaled(n) - F.floor(scaled(n)) >= 0.5, 1).otherwise(0)) / 10.0**places
+    return df.withColumns({n: F.when(scaled(n) < 2.0**52, up(n)).otherwise(F.col(n)) for n in names})
 
 
 def nudged(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -1134,21 +1138,21 @@ def _theta_sql(area: str) -> str:
 GRID_FIT = "SELECT basin_key, theta, source_key, round(exp(-sum(r * r) / 200), 6) AS mle, round(avg(abs(r)), 5) AS mae, round(sqrt(avg(r * r)), 5) AS rmse, count(*) AS n FROM resid GROUP BY 1, 2, 3"
 
 
-def _grid_fit(p: DataFrame) -> DataFrame:
-    found = profile.collinearity_over(p.withColumns({"dx": F.lit(1.0), "basin_key": F.col("source_key") % 10}), [0.3, 0.5], "area", "dx", F.col("source_key") < 10)
+def _grid_fit(p: DataFrame, fit: Callable[..., DataFrame]) -> DataFrame:
+    found = profile.collinearity_over(p.withColumns({"dx": F.lit(1.0), "basin_key": F.col("source_key") % 10}), [0.3, 0.5], "area", "dx", F.col("source_key") < 10, fit=fit)
     return halves_up(halves_up(found, 6, "mle"), 5, "mae", "rmse")
 
 
 @query("collinearity_grid", "profile", more=_theta_sql("1 + n - pos"), sql=GRID_FIT)
 def _(profile_):
-    return _grid_fit(profile_.withColumn("area", F.lit(1.0) + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos")))
+    return _grid_fit(profile_.withColumn("area", F.lit(1.0) + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos")), profile.collinearity)
 
 
 @query("collinearity_discharge", "profile", more=_theta_sql("(1 + n - pos) * (0.5 + source_key % 4)"), sql=GRID_FIT)
 def _(profile_):
     # Discharge: area times the rain of the channel.
     area = F.lit(1.0) + F.count("*").over(Window.partitionBy("source_key")) - F.col("pos")
-    return _grid_fit(profile_.withColumn("area", area * (0.5 + F.col("source_key") % 4)))
+    return _grid_fit(profile_.withColumn("area", area * (0.5 + F.col("source_key") % 4)), profile.decimal_collinearity)
 
 
 @query("slope_area", "profile", more="m AS (SELECT source_key, node, pos, max(elevation) OVER (PARTITION BY source_key ORDER BY pos) AS z FROM profile), b AS (SELECT a.source_key, a.node, a.pos, a.z, max(d.pos) AS pos0, arg_max(d.z, d.pos) AS z0 FROM m a JOIN m d ON d.source_key = a.source_key AND d.pos < a.pos AND d.z <= a.z - 5 GROUP BY 1, 2, 3, 4)", sql="SELECT source_key, node, CAST(pos AS DOUBLE) AS area, round((z - z0) / (pos - pos0) + 3e-8::DOUBLE, 6) AS slope FROM b")

@@ -39,3 +39,21 @@ def test_residuals_in_order(spark):
         assert got["mae"] == want / 64 and got["n"] == 64
     row = queries.halves_up(spark.createDataFrame([(56.845625, 0.5)], "a double, b double"), 5, "a", "b").head()
     assert (row["a"], row["b"]) == (56.84563, 0.5)
+
+
+def test_residuals_as_decimals(spark, tmp_path):
+    """The mean of these prices is 3,638.12 / 64 = 56.845625, right between two roundings: it goes up, however rows lie."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id IN (7, 1287)")
+    for parts in (1, 5):
+        folder = str(tmp_path / str(parts))
+        events.repartition(parts).write.parquet(f"{folder}/events.parquet")
+        got = queries.QUERIES["collinearity_discharge"](spark, folder).collect()
+        assert sorted((r["theta"], r["source_key"], r["mae"], r["n"]) for r in got) == [(0.3, 1287, 56.84563, 64), (0.5, 1287, 56.84563, 64)]
+
+
+def test_residuals_of_odd_nodes(spark):
+    """Nodes without an elevation only count, do not reach their neighbours, and what is not finite stays."""
+    nodes = [(0, 0, 1.0, 1.0), (0, 0, 2.0, 5.0), (0, 0, 3.0, None), (0, 1, 1.0, 4.0), (0, 1, 2.0, 1.0), (0, 1, 3.0, 1.0), (0, 2, 2.0, float("inf")), (0, 3, 2.0, None)]
+    table = spark.createDataFrame(nodes, "basin_key long, source_key long, chi double, elevation double")
+    found = queries.halves_up(profile.decimal_collinearity(table, F.col("source_key") == 0), 5, "mae", "rmse")
+    assert {r["source_key"]: (r["mae"], r["rmse"], r["n"]) for r in found.collect()} == {1: (3.5, 3.53553, 3), 2: (float("inf"), float("inf"), 1), 3: (None, None, 1)}
